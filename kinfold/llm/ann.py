@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
-#: Tables; buckets of each table that a query looks into; rows of a bucket in one task.
-TABLES, PROBES, PART = 8, 8, 1 << 16
+#: Tables, and rows of a table in one task on the average bucket's behalf.
+TABLES, PART = 8, 1 << 16
+#: Rows and queries that the number of probes is fitted on, and the recall that it must reach there.
+SAMPLE, ASKED, RECALL = 4096, 256, 0.95
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -53,6 +55,30 @@ def _unit(vectors: np.ndarray, norm: float, query: bool) -> np.ndarray:
     return out
 
 
+def fitted_probes(sample: np.ndarray, norm: float, flat: bool, k: int, tables: int, seed: int) -> int:
+    """The fewest probes a table with which the sample's first rows find RECALL of their k nearest in the sample.
+
+    Neighbours in a sample are farther than in the whole, so the whole needs no more probes.
+    """
+    if len(sample) < 2:
+        return 1
+    asked = sample[:ASKED]
+    plain = flat and sample.shape[1] & (sample.shape[1] - 1) == 0
+    rows, queries = (sample, asked) if plain else (_unit(sample, norm, False), _unit(asked, norm, True))
+    scores = asked @ sample.T
+    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    k = min(k, len(sample) - 1)
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    needed = np.full(near.shape, 2 * rows.shape[1])
+    for t in range(tables):
+        own = axes(rotated(rows, t, seed), 1)[:, 0]
+        order = axes(rotated(queries, t, seed), 2 * rows.shape[1])
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None], axis=1)
+        needed = np.minimum(needed, np.take_along_axis(rank, own[near], axis=1) + 1)
+    return int(np.quantile(needed, RECALL, method="higher"))
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
@@ -136,7 +162,7 @@ def _rerank(k: int, kept: int = 4000):
     return apply
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: int = PROBES, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: int | None = None, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by `every`, the k rows found of largest inner product.
 
     Ties go to the smaller id, a query is no neighbour of itself, scores are double precision on the original
@@ -160,9 +186,13 @@ def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES,
     distinct = cut(first.join(asked, ["_h", "v"], "left").withColumn("key", F.col("ids")[0]).withColumn("asked", F.coalesce("_asked", F.lit(False))))
     facts = distinct.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n")).agg(F.max("n"), F.min("n"), F.count("*")).first()
     largest, least, n = (facts[0] or 1.0) ** 0.5, (facts[1] or 1.0) ** 0.5, facts[2]
-    parts = max(1, -(-n // (PART * 16)))
+    parts, flat = max(1, -(-n // (PART * 16))), least > 0.999999 * largest
+    if probes is None:
+        share = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < max(1, int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
+        sample = np.array([r["v"] for r in distinct.where(share).orderBy("key").select("v").limit(2 * SAMPLE).collect()])
+        probes = fitted_probes(sample, largest, flat, k, tables, seed)
     part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
-    hashed = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, probes, seed, largest, least > 0.999999 * largest, parts, number), f"bucket int, part int, query byte, key long, v array<{sort}>")
+    hashed = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, probes, seed, largest, flat, parts, number), f"bucket int, part int, query byte, key long, v array<{sort}>")
     dealt = hashed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query")
     near = dealt.mapInArrow(_rerank(k + 1), "q long, near long, score double").dropDuplicates(["q", "near"])
     best = Window.partitionBy("q").orderBy(F.desc("score"), "near")

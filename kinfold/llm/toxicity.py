@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Bits of a feature's hash; labelled rows that a model is fitted on, at most about so many.
-BITS, ROWS = 22, 12_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.5, 0.5, 3
+BITS, ROWS = 22, 16_000
+#: Rate, its damping, the penalties, passes over the rows, and rows that a feature must be in to be learned.
+ALPHA, BETA, L1, L2, EPOCHS, SEEN = 2.0, 1.0, 12.0, 0.1, 8, 5
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -32,8 +33,13 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 def ftrl(rows: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the weights that are not 0; the bias is the last, at index 2**bits.
 
-    Rows are (label, distinct features). Each coordinate has its own rate; what L1 holds at zero stays there.
+    Rows are (label, distinct features). Each coordinate has its own rate; what L1 holds at zero stays there. Features of
+    fewer than SEEN rows are left out, so that a row can't be learned by heart.
     """
+    rows_with = np.zeros(1 << bits, np.int32)
+    for _, found in rows:
+        rows_with[found] += 1
+    rows = [(y, found[rows_with[found] >= SEEN]) for y, found in rows]
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
