@@ -54,7 +54,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve(warc.captures(_read(spark, sf_dir, "pages")))
-    return out.select(F.col("record_id").alias("page_id"), "url_key", "kind", "resolution", "source_id", "payload_digest", warc.header_lines(F.col("headers")).alias("headers"))
+    return out.select("record_id", "url_key", "kind", "resolution", "source_id", "payload_digest", warc.header_lines(F.col("headers")).alias("headers"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,31 +74,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLES = {
     "op7_revisits": r"""
-WITH u AS (
-  SELECT *, length(html) % 3 AS v, substr(md5(CAST(page_id AS VARCHAR)), 1, 1) < '5' AS again,
-         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+WITH d AS (SELECT *, instr('0123456789abcdef', substr(md5(CAST(page_id AS VARCHAR)), 1, 1)) - 1 AS d FROM pages),
+x AS (SELECT page_id, url, html, d, unnest(range(0, d % 5 + 1)) AS i FROM d),
+f AS (SELECT *, (i = 0 AND d <> 7) OR i = 3 AS full_, regexp_replace(url, '#.*$', '') AS bare FROM x),
+u AS (
+  SELECT *, (length(html) + CASE WHEN full_ THEN CAST(i = 3 AS INT) ELSE CAST(((d + i) % 4 = 0) <> (i > 3) AS INT) END) % 3 AS v,
+    regexp_replace(regexp_replace(trim(CASE WHEN i = 1 THEN regexp_replace(url, '^http:', 'https:') WHEN i = 2 THEN url || '#again'
+      WHEN i = 3 THEN bare || CASE WHEN contains(bare, '?') THEN '&' ELSE '?' END || 'utm_campaign=x' ELSE url END), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM f),
 p AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
          regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
          array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'),
-           lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|ref=|sessionid=|fbclid=|gclid=)'))), '&') AS query FROM u),
+           lambda y: y <> '' AND NOT regexp_matches(lower(y), '^(utm_|ref=|sessionid=|fbclid=|gclid=)'))), '&') AS query FROM u),
 r AS (
-  SELECT page_id, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key, CASE WHEN again THEN 'revisit' ELSE 'response' END AS kind, again,
-         CASE WHEN page_id % 7 <> 0 THEN '"v' || v || '"' END AS tag, CASE WHEN v <> 1 THEN 'day ' || v END AS seen, 't' || page_id AS day,
-         CASE WHEN again THEN '0' ELSE CAST(strlen(html) AS VARCHAR) END AS bytes, CASE WHEN NOT again THEN sha256(html) END AS digest FROM p),
+  SELECT page_id * 8 + i AS record_id, i, page_id, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key, full_,
+         CASE WHEN page_id % 7 <> 0 THEN '"v' || v || '"' END AS tag, CASE WHEN v <> 1 THEN 'day ' || v END AS seen, 'round ' || i AS day,
+         CASE WHEN full_ THEN CAST(strlen(html) AS VARCHAR) ELSE '0' END AS bytes, CASE WHEN full_ THEN sha256(CASE WHEN i = 3 THEN html || '+' ELSE html END) END AS digest FROM p),
 s AS (
-  SELECT *, CASE WHEN again THEN last_value(CASE WHEN NOT again THEN page_id END IGNORE NULLS)
-    OVER (PARTITION BY url_key ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS src FROM r),
+  SELECT *, CASE WHEN NOT full_ THEN last_value(CASE WHEN full_ THEN record_id END IGNORE NULLS)
+    OVER (PARTITION BY url_key ORDER BY i, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS src FROM r),
 j AS (
-  SELECT s.*, f.tag AS ftag, f.seen AS fseen, f.bytes AS fbytes, f.digest AS fdigest,
-    CASE WHEN NOT s.again THEN 'response' WHEN s.src IS NULL THEN 'missing' WHEN coalesce(s.tag = f.tag, s.seen = f.seen) IS NULL THEN 'unvalidated'
-         WHEN coalesce(s.tag = f.tag, s.seen = f.seen) THEN 'resolved' ELSE 'mismatch' END AS resolution
-  FROM s LEFT JOIN r f ON f.page_id = s.src)
-SELECT page_id, url_key, kind, resolution, CASE WHEN resolution IN ('resolved', 'unvalidated') THEN src END AS source_id,
-  CASE WHEN resolution IN ('resolved', 'unvalidated') THEN fdigest ELSE digest END AS payload_digest,
+  SELECT s.*, e.tag AS etag, e.seen AS eseen, e.bytes AS ebytes, e.digest AS edigest,
+    CASE WHEN s.full_ THEN 'response' WHEN s.src IS NULL THEN 'missing' WHEN coalesce(s.tag = e.tag, s.seen = e.seen) IS NULL THEN 'unvalidated'
+         WHEN coalesce(s.tag = e.tag, s.seen = e.seen) THEN 'resolved' ELSE 'mismatch' END AS resolution
+  FROM s LEFT JOIN r e ON e.record_id = s.src)
+SELECT record_id, url_key, CASE WHEN full_ THEN 'response' ELSE 'revisit' END AS kind, resolution, CASE WHEN resolution IN ('resolved', 'unvalidated') THEN src END AS source_id,
+  CASE WHEN resolution IN ('resolved', 'unvalidated') THEN edigest ELSE digest END AS payload_digest,
   CASE WHEN resolution IN ('resolved', 'unvalidated')
-    THEN concat_ws(chr(10), 'content-length: ' || fbytes, 'content-type: text/html', 'date: ' || day, 'etag: ' || coalesce('W/' || tag, ftag), 'last-modified: ' || coalesce(seen, fseen))
-    ELSE concat_ws(chr(10), 'content-length: ' || bytes, CASE WHEN NOT again THEN 'content-type: text/html' END, 'date: ' || day, 'etag: ' || CASE WHEN again THEN 'W/' ELSE '' END || tag, 'last-modified: ' || seen) END AS headers
+    THEN concat_ws(chr(10), 'content-length: ' || ebytes, 'content-type: text/html', 'date: ' || day, 'etag: ' || coalesce('W/' || tag, etag), 'last-modified: ' || coalesce(seen, eseen))
+    ELSE concat_ws(chr(10), 'content-length: ' || bytes, CASE WHEN full_ THEN 'content-type: text/html' END, 'date: ' || day, 'etag: ' || CASE WHEN full_ THEN '' ELSE 'W/' END || tag, 'last-modified: ' || seen) END AS headers
 FROM j
 """,
     "op8_mixing": r"""

@@ -89,19 +89,32 @@ def header_lines(headers: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Pages as archive records in the order of their ids: about a third, by checksum, is a not-modified answer.
+    """A crawl history made of pages: from one to five captures each, told by the id's checksum, in rounds.
 
-    The length of a page's HTML mod 3 stands for the version of what it shows: it makes the ETag, which one page in
-    seven lacks; Last-Modified comes with even versions. Payloads are named by their SHA-256; a revisit has none.
+    Round 0 brings a full response (one page in sixteen is only asked whether it has changed, with nothing stored), round 3
+    a response of the next version, the others not-modified answers under other spellings of the URL. The
+    length of the HTML mod 3 is the version; it makes the ETag, which pages with ids divisible by 7 lack, and Last-Modified,
+    which version 1 lacks. One answer in four carries the next version's validators. Payloads are named by SHA-256.
     """
-    version = (F.length("html") % 3).cast("string")
-    revisit = F.substring(F.md5(F.col("page_id").cast("string")), 1, 1) < "5"
-    tag = F.when(F.col("page_id") % 7 != 0, F.concat(F.when(revisit, "W/").otherwise(""), F.lit('"v'), version, F.lit('"')))
-    seen = F.when(F.length("html") % 3 != 1, F.concat(F.lit("day "), version))
+    digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.col("page_id").cast("string")), 1, 1)) - 1
+    rows = pages.withColumn("_d", digit).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d") % 5)))
+    i, d = F.col("_i"), F.col("_d")
+    full = ((i == 0) & (d != 7)) | (i == 3)
+    later = F.when(full, (i == 3).cast("int")).otherwise((((d + i) % 4 == 0) != (i > 3)).cast("int"))
+    version = ((F.length("html") + later) % 3).cast("string")
+    url, bare = F.col("url"), F.regexp_replace("url", "#.*$", "")
+    spelled = (
+        F.when(i == 1, F.regexp_replace(url, "^http:", "https:")).when(i == 2, F.concat(url, F.lit("#again")))
+        .when(i == 3, F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("utm_campaign=x"))).otherwise(url)
+    )
     pair = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
     pairs = F.array(
-        pair("ETag", tag), pair("Last-Modified", seen), pair("Date", F.concat(F.lit("t"), F.col("page_id"))),
-        pair("Content-Length", F.when(revisit, "0").otherwise(F.octet_length("html").cast("string"))), pair("Content-Type", F.when(~revisit, "text/html")),
+        pair("ETag", F.when(F.col("page_id") % 7 != 0, F.concat(F.when(full, "").otherwise("W/"), F.lit('"v'), version, F.lit('"')))),
+        pair("Last-Modified", F.when(version != "1", F.concat(F.lit("day "), version))), pair("Date", F.concat(F.lit("round "), i.cast("string"))),
+        pair("Content-Length", F.when(full, F.octet_length("html").cast("string")).otherwise("0")), pair("Content-Type", F.when(full, "text/html")),
     )
     headers = F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
-    return pages.select(F.col("page_id").alias("record_id"), "url", F.col("page_id").alias("ts"), F.when(revisit, "revisit").otherwise("response").alias("kind"), headers.alias("headers"), F.when(~revisit, F.sha2("html", 256)).alias("payload_digest"))
+    return rows.select(
+        (F.col("page_id") * 8 + i).alias("record_id"), spelled.alias("url"), (i.cast("long") * 1_000_000_000_000 + F.col("page_id")).alias("ts"), F.when(full, "response").otherwise("revisit").alias("kind"),
+        headers.alias("headers"), F.when(full, F.sha2(F.when(i == 3, F.concat("html", F.lit("+"))).otherwise(F.col("html")), 256)).alias("payload_digest"),
+    )
