@@ -48,17 +48,28 @@ def _past(*keys: str):
     return Window.partitionBy(*keys).orderBy("day", "game")
 
 
+def _played(rows: DataFrame, *keys: str) -> tuple[DataFrame, Window]:
+    """rows with the number of finished games before each, and a window over the last five of them.
+
+    Games without a score count for nothing in it, and get features like any other.
+    """
+    before = _past(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("_played", F.count("gf").over(before))
+    return counted, Window.partitionBy(*keys).orderBy("_played").rangeBetween(*_LAST5)
+
+
 def rolling_form(games: DataFrame) -> DataFrame:
     """(game, team, is_home, wins, draws, losses, goals_scored, goals_conceded, clean_sheets, home_wins, away_wins, days_rest).
 
-    Over the team's last five games of either venue before this one: shares of five, goals of 25, whatever their number;
+    Over the team's last five finished games of either venue before this one: shares of five, goals of 25, whatever their number;
     days_rest is of 14 at most over 14, and 14 without a game before. Rows in one window belong to one team, whose games are few.
     """
-    w = _past("team").rowsBetween(*_LAST5)
-    s = lambda c, n: F.coalesce(F.sum(c).over(w), F.lit(0.0)) / n
+    rows, w = _played(sides(games), "team")
+    s = lambda c, n: F.coalesce(F.sum(F.when(F.col("gf").isNotNull(), c)).over(w), F.lit(0.0)) / n
     gf, ga, at_home = F.col("gf"), F.col("ga"), F.col("is_home")
-    rest = F.datediff("day", F.lag("day").over(_past("team")))
-    return sides(games).select(
+    last = F.max(F.when(gf.isNotNull(), F.col("day"))).over(_past("team").rowsBetween(Window.unboundedPreceding, -1))
+    rest = F.datediff("day", last)
+    return rows.select(
         "game", "team", "is_home",
         s(flag(gf > ga), 5.0).alias("wins"), s(flag(gf == ga), 5.0).alias("draws"), s(flag(gf < ga), 5.0).alias("losses"), s(gf, 25.0).alias("goals_scored"), s(ga, 25.0).alias("goals_conceded"),
         s(flag(ga == 0), 5.0).alias("clean_sheets"), s(flag((gf > ga) & at_home), 5.0).alias("home_wins"), s(flag((gf > ga) & ~at_home), 5.0).alias("away_wins"),
@@ -77,8 +88,8 @@ def form_features(games: DataFrame) -> DataFrame:
 def head_to_head(games: DataFrame, ordered: bool = True) -> DataFrame:
     """(game, h2h_home_wins, h2h_draws, h2h_away_wins): shares of five over the pair's last five games; ordered: with the same home team."""
     pair = ["home", "away"] if ordered else ["_a", "_b"]
-    rows = games.withColumn("_a", F.least("home", "away")).withColumn("_b", F.greatest("home", "away"))
-    w = _past(*pair).rowsBetween(*_LAST5)
+    rows = games.withColumn("_a", F.least("home", "away")).withColumn("_b", F.greatest("home", "away")).withColumn("gf", F.col("home_goals") + 0 * F.col("away_goals"))
+    rows, w = _played(rows, *pair)
     s = lambda c: F.coalesce(F.sum(flag(c)).over(w), F.lit(0.0)) / 5.0
     h, a = F.col("home_goals"), F.col("away_goals")
     return rows.select("game", s(h > a).alias("h2h_home_wins"), s(h == a).alias("h2h_draws"), s(h < a).alias("h2h_away_wins"))
