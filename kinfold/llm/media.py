@@ -109,32 +109,60 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(pos, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())], names=["media", "pos", "n", "digest"])
 
 
-def _read(dictionary: bytes):
-    """Rebuild payloads from their chunks in order, check each digest, and describe the samples."""
+_DONE = ("payload_bytes", "payload_sha256", "tail_crc32", "feature")
+_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.string())
+
+
+class _Reader:
+    """Rebuilds payloads from their chunks in order, checks each digest, and describes the samples."""
+
+    def __init__(self, dictionary: bytes) -> None:
+        self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+    def read(self, media: bytes, n: int, parts: list[tuple[int, bytes, bytes]]) -> tuple[int, str, int, str]:
+        """From (pos, digest, stored bytes) of all chunks."""
+        pieces = []
+        for _, digest, stored in sorted(parts):
+            data = self.unpack.decompress(stored, max_output_size=MOST)
+            if _digest(data) != digest:
+                raise ValueError(f"a chunk of {media.hex()} does not match its digest")
+            pieces.append(data)
+        if len(pieces) != n:
+            raise ValueError(f"{media.hex()} has {len(pieces)} of {n} chunks")
+        data = b"".join(pieces)
+        x = np.frombuffer(data, np.uint8)
+        counts = np.bincount(x, minlength=256)
+        p = counts[counts > 0] / len(x)
+        feature = f"chunks={n};mean={x.mean():.4f};std={x.std():.4f};entropy={max(0.0, -(p * np.log2(p)).sum()):.4f};zeros={counts[0]}"
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), feature
+
+
+def _read_alone(dictionary: bytes):
+    """Payloads of one chunk are read where the join has put it; the chunks of others go on."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        reader = _Reader(dictionary)
+        for batch in batches:
+            data, done = [], []
+            for media, n, pos, digest, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data.append(None if n == 1 else stored)
+                done.append(reader.read(media, n, [(pos, digest, stored)]) if n == 1 else (None,) * len(_DONE))
+            columns = list(zip(*done, strict=True)) or [()] * len(_DONE)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(data, pa.binary()), *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], names=["media", "n", "pos", "digest", "data", *_DONE])
+
+    return apply
+
+
+def _read(dictionary: bytes):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(dictionary)
         for batch in batches:
-            rows: list[tuple] = []
-            for media, n, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                digests, pieces = [], []
-                for part in sorted(parts, key=lambda p: p["pos"]):
-                    data = unpack.decompress(part["data"], max_output_size=MOST)
-                    if _digest(data) != part["digest"]:
-                        raise ValueError(f"a chunk of {media.hex()} does not match its digest")
-                    digests.append(part["digest"])
-                    pieces.append(data)
-                data = b"".join(pieces)
-                if len(pieces) != n:
-                    raise ValueError(f"{media.hex()} has {len(pieces)} of {n} chunks")
-                x = np.frombuffer(data, np.uint8)
-                counts = np.bincount(x, minlength=256)
-                p = counts[counts > 0] / len(x)
-                feature = f"chunks={n};mean={x.mean():.4f};std={x.std():.4f};entropy={max(0.0, -(p * np.log2(p)).sum()):.4f};zeros={counts[0]}"
-                rows.append((media, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), feature))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["media", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+            rows = []
+            for media, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                one = parts[0]
+                rows.append((media, *((one[k] for k in _DONE) if n == 1 else reader.read(media, n, [(p["pos"], p["digest"], p["data"]) for p in parts]))))
+            columns = list(zip(*rows, strict=True)) or [()] * (1 + len(_DONE))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), *_TYPES), strict=True)], names=["media", *_DONE])
 
     return apply
 
@@ -165,10 +193,11 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lists = cut(source.mapInArrow(_listed(False, trained), f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary, list binary"))
     kept = source.select("id", "text").mapInArrow(_listed(True, trained), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
     entries = lists.groupBy("media").agg(F.first("list").alias("list")).mapInArrow(_entries, "media binary, pos int, n int, digest binary")
-    found = entries.join(kept, "digest")
-    part = F.struct("pos", "digest", "data")
-    schema = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    whole = found.groupBy("media", "n").agg(F.collect_list(part).alias("parts")).mapInArrow(_read(trained), schema)
+    found = entries.join(kept, "digest").select("media", "n", "pos", "digest", "data")
+    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    found = found.mapInArrow(_read_alone(trained), f"media binary, n int, pos int, digest binary, data binary, {schema}")
+    parts = F.collect_list(F.struct("pos", "digest", "data", *_DONE)).alias("parts")
+    whole = found.groupBy("media", "n").agg(parts).mapInArrow(_read(trained), f"media binary, {schema}")
     forms = lists.select("id", "n_bytes", "media", F.octet_length("list").cast("long").alias("media_bytes"))
     out = forms.join(cut(whole), "media")
     return out.select(F.col("id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
