@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -18,13 +19,48 @@ from .store import cut
 #: Distinct words whose ids a worker keeps; beyond, it starts afresh.
 KEPT = 700_000
 #: Buckets over which the pieces of one length are spread to be numbered.
-SPREAD = 64
+SPREAD = 32
 #: Search steps of the branch and bound, and fillings compared at a node.
 STEPS, FILLINGS = 200, 4
 
 _tokenizers: dict[str, _Words] = {}
 
 
+#: Fixed value: how byte-level BPE of this kind cuts a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts of characters below this are cut alike by all engines; others are left to the tokenizers library.
+PLAIN = "\u0250"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _fast_engine(path: str):
+    """The file's BPE as a tiktoken encoding, or None unless both must give the same ids.
+
+    The library merges in the order of the file's merges, tiktoken by the ids of what a merge gives: the same if those ids grow.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
+        return None
+    letters = _byte_letters()
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class _Words(dict):
     """Little-endian ids of a word with the space before it; None where a text can't be cut at that space.
 
@@ -37,6 +73,14 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.fast = _fast_engine(path)
+        if self.fast:
+            self.spaced = np.zeros(self.fast.n_vocab + 1, bool)
+            for i in range(self.fast.n_vocab):
+                try:
+                    self.spaced[i] = self.fast.decode_single_token_bytes(i).startswith(b" ")
+                except KeyError:  # no token of the vocabulary
+                    continue
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -48,8 +92,17 @@ class _Words(dict):
         new = [w for w in {w for text in texts for w in text.split(" ")[1:]} if w not in self]
         good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and len(w) < 256]
         self.update(dict.fromkeys(new))
-        for i in range(0, len(good), 20_000):
-            part = good[i : i + 20_000]
+        plain = [w for w in good if max(w) < PLAIN and "\x85" not in w and "\xa0" not in w] if self.fast else []
+        for i in range(0, len(plain), 20_000):
+            # One text of all words; a token that begins with a space begins a word.
+            part = plain[i : i + 20_000]
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(part)), "<u4")
+            cuts = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
+            data = ids.tobytes()
+            self.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        others = [w for w in good if self[w] is None]
+        for i in range(0, len(others), 20_000):
+            part = others[i : i + 20_000]
             joined = self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
             self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, joined, strict=True))
 
