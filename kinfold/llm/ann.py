@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
-#: Tables, and rows of a table in one task on the average bucket's behalf.
-TABLES, PART = 8, 1 << 16
+#: Tables; rows of a bucket in one task at most, on average; rows that a bucket should hold; most probes tried.
+TABLES, PART, ROWS, PROBES = 8, 1 << 16, 1 << 12, 2048
 #: Rows and queries that the number of probes is fitted on, and the recall that it must reach there.
 SAMPLE, ASKED, RECALL = 4096, 256, 0.95
 
@@ -55,10 +55,33 @@ def _unit(vectors: np.ndarray, norm: float, query: bool) -> np.ndarray:
     return out
 
 
-def fitted_probes(sample: np.ndarray, norm: float, flat: bool, k: int, tables: int, seed: int) -> int:
+def polytopes(n: int, width: int) -> int:
+    """Polytopes hashed together in a table, so that a bucket's share of n rows stays about the same."""
+    return max(1, round(np.log(max(1, n) / ROWS) / np.log(2 * width)))
+
+
+def hashed(unit: np.ndarray, table: int, count: int, most: int, seed: int) -> np.ndarray:
+    """The `most` nearest buckets of a table, nearest first: one axis of each polytope, by the sum of the coordinates.
+
+    The best sums of two lists need only the best of either, so polytopes are added one by one.
+    """
+    base = 2 * unit.shape[1]
+    code, total = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+    for j in range(count):
+        x = rotated(unit, table * count + j, seed)
+        near = axes(x, most)
+        value = np.take_along_axis(np.stack([x, -x], axis=2).reshape(len(x), -1), near, axis=1)
+        sums = (total[:, :, None] + value[:, None, :]).reshape(len(x), -1)
+        codes = (code[:, :, None] * base + near[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(-sums, axis=1, kind="stable")[:, :most]
+        code, total = np.take_along_axis(codes, best, axis=1), np.take_along_axis(sums, best, axis=1)
+    return code
+
+
+def fitted_probes(sample: np.ndarray, norm: float, flat: bool, k: int, tables: int, count: int, seed: int) -> int:
     """The fewest probes a table with which the sample's first rows find RECALL of their k nearest in the sample.
 
-    Neighbours in a sample are farther than in the whole, so the whole needs no more probes.
+    Neighbours in a sample are farther than in the whole, so the whole needs no more probes. PROBES is the most tried.
     """
     if len(sample) < 2:
         return 1
@@ -69,13 +92,13 @@ def fitted_probes(sample: np.ndarray, norm: float, flat: bool, k: int, tables: i
     scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     k = min(k, len(sample) - 1)
     near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    needed = np.full(near.shape, 2 * rows.shape[1])
+    most = min((2 * rows.shape[1]) ** count, PROBES)
+    needed = np.full(near.shape, most)
     for t in range(tables):
-        own = axes(rotated(rows, t, seed), 1)[:, 0]
-        order = axes(rotated(queries, t, seed), 2 * rows.shape[1])
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(order.shape[1])[None], axis=1)
-        needed = np.minimum(needed, np.take_along_axis(rank, own[near], axis=1) + 1)
+        own, order = hashed(rows, t, count, 1, seed)[:, 0], hashed(queries, t, count, most, seed)
+        for q in range(len(asked)):
+            same = order[q][:, None] == own[near[q]][None]
+            needed[q] = np.minimum(needed[q], np.where(same.any(axis=0), same.argmax(axis=0) + 1, most))
     return int(np.quantile(needed, RECALL, method="higher"))
 
 
@@ -84,9 +107,9 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def _hash(tables: int, probes: int, seed: int, norm: float, flat: bool, parts: int, number: pa.DataType):
+def _hash(tables: int, count: int, probes: int, seed: int, norm: float, flat: bool, parts: int, number: pa.DataType):
     """Rows (bucket, part, query, key, vector): an index row for its bucket in each table, a query for each bucket it probes."""
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("query", pa.int8()), ("key", pa.int64()), ("v", pa.list_(number))])
+    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("query", pa.int8()), ("key", pa.int64()), ("v", pa.list_(number))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,8 +123,7 @@ def _hash(tables: int, probes: int, seed: int, norm: float, flat: bool, parts: i
                 x = vectors[rows] if not flat else vectors[rows] / np.linalg.norm(vectors[rows], axis=1, keepdims=True)
                 unit = x if flat and x.shape[1] & (x.shape[1] - 1) == 0 else _unit(vectors[rows], norm, bool(query))
                 for t in range(tables):
-                    near = axes(rotated(unit, t, seed), probes if query else 1)
-                    bucket = (t * 2 * unit.shape[1] + near).astype(np.int32)
+                    bucket = hashed(unit, t, count, probes if query else 1, seed) * tables + t
                     n = bucket.shape[1]
                     for part in range(parts if query else 1):
                         at = pa.array(np.repeat(rows, n))
@@ -186,14 +208,17 @@ def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES,
     distinct = cut(first.join(asked, ["_h", "v"], "left").withColumn("key", F.col("ids")[0]).withColumn("asked", F.coalesce("_asked", F.lit(False))))
     facts = distinct.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n")).agg(F.max("n"), F.min("n"), F.count("*")).first()
     largest, least, n = (facts[0] or 1.0) ** 0.5, (facts[1] or 1.0) ** 0.5, facts[2]
-    parts, flat = max(1, -(-n // (PART * 16))), least > 0.999999 * largest
+    flat, size = least > 0.999999 * largest, len(distinct.select("v").first()["v"]) if n else 1
+    width = size if flat and size & (size - 1) == 0 else 1 << size.bit_length()
+    count = polytopes(n, width)
+    parts = max(1, -(-n // (PART * (2 * width) ** count)))
     if probes is None:
         share = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < max(1, int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
         sample = np.array([r["v"] for r in distinct.where(share).orderBy("key").select("v").limit(2 * SAMPLE).collect()])
-        probes = fitted_probes(sample, largest, flat, k, tables, seed)
+        probes = fitted_probes(sample, largest, flat, k, tables, count, seed)
     part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
-    hashed = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, probes, seed, largest, flat, parts, number), f"bucket int, part int, query byte, key long, v array<{sort}>")
-    dealt = hashed.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query")
+    dealt = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, count, probes, seed, largest, flat, parts, number), f"bucket long, part int, query byte, key long, v array<{sort}>")
+    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query")
     near = dealt.mapInArrow(_rerank(k + 1), "q long, near long, score double").dropDuplicates(["q", "near"])
     best = Window.partitionBy("q").orderBy(F.desc("score"), "near")
     near = cut(near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r"))
