@@ -143,17 +143,23 @@ class Model:
             out[t] = df.mapInPandas(run, f"{NODE} long, h array<double>")
         return out
 
-    def forward(self, params: K.Params) -> list[dict[str, DataFrame]]:
-        """Vectors after the encoder and each layer. Plans start at the stored features, so they don't grow with the epochs."""
+    def forward(self, params: K.Params, held: list[DataFrame] | None = None) -> list[dict[str, DataFrame]]:
+        """Vectors after the encoder and each layer. Plans start at the stored features, so they don't grow with the epochs.
+
+        With `held`, layers are kept for the passes that read them again; whoever passes the list gives them up.
+        """
         states = [self.encoded(params)]
         for layer in range(self.config.layers):
-            states.append({t: df.persist() for t, df in self.layer(params, layer, states[-1]).items()})
+            states.append(self.layer(params, layer, states[-1]))
+            if held is not None:
+                held += [df.persist() for df in states[-1].values()]
         return states
 
     def gradients(self, params: K.Params, samples: DataFrame, n: int, epoch: int) -> tuple[float, K.Params]:
         """Loss and gradients of all parameters. Partitions send sums, one row each; only those reach the driver."""
         c, task = self.config, self.spec.task_type
-        states = self.forward(params)
+        held: list[DataFrame] = []
+        states = self.forward(params, held)
         top = samples.join(states[-1][self.spec.target_table], NODE)
         pos_weight, weights = self.pos_weight, self.weights
         heads = {k: v for k, v in params.items() if k.startswith("head.")}
@@ -184,6 +190,7 @@ class Model:
                 df, names = self._inputs(states[layer], t)
                 g = _summed(parts, c.channels, "g")
                 rows = df.join(states[layer + 1][t].withColumnRenamed("h", "out"), NODE).join(g, NODE).persist()
+                held.append(rows)
 
                 def back(p: pd.DataFrame, t=t, names=names, sub=sub, layer=layer, relu=relu):
                     means = {n: _stack(p[f"m{i}"], c.channels) for i, n in enumerate(names)}
@@ -200,6 +207,7 @@ class Model:
                 for k, v in _reduced(rows.mapInPandas(sums, "g binary")).items():
                     total[k] = total.get(k, 0) + v
                 sent = rows.mapInPandas(down, f"{NODE} long, g array<double>" + "".join(f", m{i} array<double>" for i in range(len(names)))).persist()
+                held.append(sent)
                 below.setdefault(t, []).append(sent.select(NODE, "g"))
                 for i, e in enumerate(self.incoming(t)):
                     edges = self.graph.edges[e]
@@ -215,6 +223,8 @@ class Model:
                 yield from _sums(K.linear_grads(f"enc.{t}", _stack(p["x"], width), _stack(p["g"], c.channels)) for p in it)
 
             total |= _reduced(rows.mapInPandas(enc, "g binary"))
+        for df in held:
+            df.unpersist()
         return loss, total
 
     def scores(self, params: K.Params | None = None) -> DataFrame:
