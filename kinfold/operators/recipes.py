@@ -115,6 +115,30 @@ def season_features(games: DataFrame) -> DataFrame:
     return both.withColumn("points_diff", (F.col("_home") - F.col("_away") + 99.0) / 198.0).drop("_home", "_away")
 
 
+def fixture_features(games: DataFrame, ordered: bool = True) -> DataFrame:
+    """games with form, season table and head-to-head of both teams, and home-away differences (diff_*) of what both have."""
+    out = form_features(games).join(season_features(games), "game").join(head_to_head(games, ordered), "game")
+    both = [c.removeprefix("home_") for c in out.columns if c.startswith("home_") and c.replace("home_", "away_", 1) in out.columns and c not in games.columns]
+    return out.withColumns({f"diff_{c}": F.col(f"home_{c}") - F.col(f"away_{c}") for c in both})
+
+
+def squad_means(players: DataFrame, team: str, season: str, columns: list[str]) -> DataFrame:
+    """(team, season, <column>...): means over a squad, nulls left out."""
+    return players.groupBy(team, season).agg(*(F.avg(c).alias(c) for c in columns))
+
+
+def future_or_latest(games: DataFrame, home, away) -> DataFrame:
+    """A named pairing's next game without a score, or else its latest one."""
+    rows = games.where((F.col("home") == home) & (F.col("away") == away))
+    return rows.orderBy(F.col("home_goals").isNotNull(), F.when(F.col("home_goals").isNull(), F.col("day")), F.desc("day"), F.desc("game")).limit(1)
+
+
+def before_date(rows: DataFrame, time: str, cutoff: str) -> tuple[DataFrame, DataFrame]:
+    """(rows before the date, the others), by a range on the raw column, which reaches the scan."""
+    at = F.lit(cutoff).cast("timestamp")
+    return rows.where(F.col(time) < at), rows.where(F.col(time) >= at)
+
+
 def rolling_stats(rows: DataFrame, team: str, order: list[str], caps: dict[str, float]) -> DataFrame:
     """rows with roll_<stat>: the mean over the team's up to five rows before, over the cap, 1 at most; 0 without any."""
     w = Window.partitionBy(team).orderBy(*order).rowsBetween(*_LAST5)

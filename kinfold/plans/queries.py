@@ -612,9 +612,9 @@ def flat_join_features(spark, d):
     return flat.select("o_orderkey", r4(F.col("o_totalprice")).alias("price"), r4(F.col("c_acctbal")).alias("acctbal"), "n_name", (F.col("o_orderstatus") == "F").cast("int").alias("is_f"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("is_building"))
 
 
-@query("SELECT n_nationkey, n_name, CAST(1 AS INT) AS match FROM nation WHERE contains('the united kingdom of x', lower(n_name)) OR contains(lower(n_name), 'the united kingdom of x')")
+@query("SELECT n_nationkey, n_name, CAST(1 AS INT) AS match FROM nation WHERE contains('region nation_1 of x', lower(n_name)) OR contains(lower(n_name), 'region nation_1 of x')")
 def fuzzy_name_match(spark, d):
-    return recipes.fuzzy_match(read(spark, d, "nation"), "n_name", "The United Kingdom of X").select("n_nationkey", "n_name", "match")
+    return recipes.fuzzy_match(read(spark, d, "nation"), "n_name", "Region NATION_1 of X").select("n_nationkey", "n_name", "match")
 
 
 @query("SELECT event_id, d AS day, CASE d WHEN 'Monday' THEN 0 WHEN 'Tuesday' THEN 1 WHEN 'Wednesday' THEN 2 WHEN 'Thursday' THEN 3 WHEN 'Friday' THEN 4 WHEN 'Saturday' THEN 5 ELSE 6 END AS day_rank, CAST(date_diff('day', DATE '2000-01-01', CAST(ts AS DATE)) AS INT) AS days FROM (SELECT event_id, ts, dayname(ts) AS d FROM events)")
@@ -623,6 +623,27 @@ def slot_order(spark, d):
     return read(spark, d, "events").select("event_id", day.alias("day"), recipes.slot_order(day).alias("day_rank"), F.datediff("ts", F.lit("2000-01-01")).alias("days"))
 
 
+@query(f"""WITH {_GAMES}, {_SIDES}, {_SEASON}, q AS (SELECT *, count(gf) OVER (PARTITION BY team ORDER BY day, game ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS i FROM t),
+f AS (SELECT game, is_home, coalesce(sum(CAST(gf > ga AS INT)) OVER w, 0) / 5.0 AS wins, coalesce(sum(gf) OVER w, 0) / 25.0 AS goals FROM q WINDOW w AS (PARTITION BY team ORDER BY i RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT a.game, round(a.wins - b.wins + 1e-7, 4) AS diff_wins, round(a.goals - b.goals + 1e-7, 4) AS diff_goals_scored, round((x.pts - y.pts) / 99.0 + 1e-7, 4) AS diff_season_points
+FROM f a JOIN f b ON a.game = b.game AND a.is_home AND NOT b.is_home JOIN p x ON x.game = a.game AND x.is_home JOIN p y ON y.game = a.game AND NOT y.is_home""")
+def fixture_differences(spark, d):
+    out = recipes.fixture_features(_games(spark, d))
+    return out.select("game", *(r4(F.col(c)).alias(c) for c in ("diff_wins", "diff_goals_scored", "diff_season_points")))
+
+
+@query("SELECT p_brand, p_size, round(avg(CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END) + 1e-7, 4) AS price FROM part GROUP BY 1, 2")
+def squad_means(spark, d):
+    rows = read(spark, d, "part").withColumn("price", F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")))
+    return recipes.squad_means(rows, "p_brand", "p_size", ["price"]).withColumn("price", r4(F.col("price")))
+
+
+@query("SELECT count(*) FILTER (o_orderdate < TIMESTAMP '1998-08-01') AS n_before, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-08-01') AS n_after FROM orders")
+def holdout_by_date(spark, d):
+    a, b = recipes.before_date(read(spark, d, "orders"), "o_orderdate", "1998-08-01")
+    return a.agg(F.count("*").alias("n_before")).crossJoin(b.agg(F.count("*").alias("n_after")))
+
+
 @query()
 def train_predict_rows(spark, d):
     """Train a small model for two epochs and score every order; its weights come from a fixed seed."""

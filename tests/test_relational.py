@@ -142,3 +142,23 @@ def test_task_csv(spark, tmp_path):
     tables.save_task(samples, table, "id", str(tmp_path / "task"))
     back = tables.load_task(spark, str(tmp_path / "task"), table, "id")
     assert sorted(map(tuple, back.collect())) == [(0, 1.0, "train"), (1, 0.0, "test")]
+
+
+def test_fixture_lookup(spark):
+    games = spark.createDataFrame([(1, "2024-01-01", 1, 2, 2, 0), (2, "2024-02-01", 1, 2, 1, 1), (3, "2024-03-01", 1, 2, None, None), (4, "2024-04-01", 2, 1, 0, 0)], "game long, day string, home long, away long, home_goals int, away_goals int")
+    assert recipes.future_or_latest(games, 1, 2).first()["game"] == 3
+    assert recipes.future_or_latest(games.where("game < 3"), 1, 2).first()["game"] == 2
+
+
+def test_flat_baseline(spark):
+    from kinfold.plans import baselines
+
+    rows = spark.range(80).select("id", (F.col("id") % 2 + 1).alias("k"), (F.col("id") % 2).cast("double").alias("y"), F.when(F.col("id") % 5 != 0, F.lit("a")).alias("s"))
+    db = Database()
+    db.add_table(Table("r", rows, {"id": N, "k": N, "y": N, "s": C}, "id", None, (ForeignKey("k", "d"),)))
+    db.add_table(Table("d", spark.createDataFrame([(1, 0.5, "x"), (2, 3.0, "z")], "key long, v double, note string"), {"key": N, "v": N, "note": X}, "key"))
+    flat = baselines.flat_features(db, "r")
+    assert "d_v" in flat.columns and "d_note" not in flat.columns and flat.count() == 80
+    model = baselines.fit(flat, ["d_v"], ["s"], "y", "logistic")
+    out = baselines.scores(model, flat, ["d_v"])
+    assert out.where("(score >= 0.5) = (y = 1)").count() == 80
