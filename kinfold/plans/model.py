@@ -307,12 +307,13 @@ def _sums(grads: Iterator[K.Params]) -> Iterator[pd.DataFrame]:
 
 
 def _reduced(rows: DataFrame) -> K.Params:
-    """The sum of the partitions' sums, brought together in a tree of two levels."""
+    """The sum of the partitions' sums, brought together in a tree of two levels, as wide as it is deep."""
 
     def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _sums(pickle.loads(x) for p in it for x in p["g"])
 
-    parts = rows.repartition(8).mapInPandas(merge, "g binary")
+    width = max(1, round(rows.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    parts = rows.repartition(width).mapInPandas(merge, "g binary")
     total: K.Params = {}
     for row in parts.toLocalIterator():
         for k, v in pickle.loads(row["g"]).items():
