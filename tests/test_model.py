@@ -28,7 +28,7 @@ def db(spark):
 
 
 SPEC = TaskSpec("trips", "late", label_transform=LabelTransform("threshold", 0.5))
-SMALL = Config(channels=4, hidden=4, layers=2, dropout=0.0, epochs=2, lr=0.01)
+SMALL = Config(channels=4, hidden=4, layers=1, dropout=0.0, epochs=2, lr=0.01)
 
 
 def test_gradients_match_differences(spark, db):
@@ -44,14 +44,14 @@ def test_gradients_match_differences(spark, db):
 
     def plain(p):
         h = {t: K.linear(p, f"enc.{t}", np.stack([x[i] for i in sorted(x)])) for t, x in raw.items()}
-        for layer in range(2):
+        for layer in range(1):
             new = {}
             for t in h:
                 means = {}
                 for e in model.incoming(t):
                     rows = [[h[e.src][s] for s, d in edges[e] if d == i] for i in range(len(h[t]))]
                     means[e.name] = np.stack([np.mean(r, axis=0) if r else np.zeros(4) for r in rows])
-                new[t] = K.sage(p, layer, t, h[t], means, layer == 0)
+                new[t] = K.sage(p, layer, t, h[t], means, False)
             h = new
         return K.loss("binary_classification", K.head(p, h["trips"])[0], np.array([0.0, 1.0, 0.0, 1.0]), 4)[0]
 
@@ -65,6 +65,23 @@ def test_gradients_match_differences(spark, db):
             assert g[at] == pytest.approx((up - plain(p)) / 2e-6, abs=1e-5), name
 
 
+def test_layer_with_relu():
+    rng = np.random.default_rng(2)
+    p = {"l0.self.a.W": rng.normal(size=(3, 3)), "l0.self.a.b": rng.normal(size=3), "l0.bias.a": rng.normal(size=3), "l0.neigh.e.W": rng.normal(size=(3, 3)), "l0.neigh.e.b": rng.normal(size=3)}
+    own, mean, up = rng.normal(size=(5, 3)), rng.normal(size=(5, 3)), rng.normal(size=(5, 3))
+    value = lambda q, o, m: float((K.sage(q, 0, "a", o, {"e": m}, True) * up).sum())
+    g_own, g_mean, grads = K.sage_back(p, 0, "a", own, {"e": mean}, K.sage(p, 0, "a", own, {"e": mean}, True), up, True)
+    for name, g in grads.items():
+        for at in np.ndindex(g.shape):
+            q = {k: v.copy() for k, v in p.items()}
+            q[name][at] += 1e-6
+            assert g[at] == pytest.approx((value(q, own, mean) - value(p, own, mean)) / 1e-6, abs=1e-4)
+    for x, g, at in ((own, g_own, 0), (mean, g_mean["e"], 1)):
+        d = x.copy()
+        d[2, 1] += 1e-6
+        assert g[2, 1] == pytest.approx((value(p, *((d, mean) if at == 0 else (own, d))) - value(p, own, mean)) / 1e-6, abs=1e-4)
+
+
 def test_heads():
     x = np.array([[0.2, -0.1, 0.5], [1.0, 0.0, -1.0]])
     for task, y in (("multiclass_classification", np.array([2.0, 0.0])), ("regression", np.array([0.3, 0.1]))):
