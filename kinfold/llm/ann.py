@@ -133,16 +133,34 @@ def _hash(tables: int, count: int, probes: int, seed: int, norm: float, flat: bo
     return apply
 
 
+def _nearest(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of lists of (ids, scores), each id once; ties to the smaller id."""
+    ids, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+    scores = np.concatenate([p[1] for p in parts])[at]
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
 def _best(found: dict[int, list], k: int) -> Iterator[pa.RecordBatch]:
-    ids, near, score = [], [], []
-    for q, parts in found.items():
-        n, s = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        n, at = np.unique(n, return_index=True)
-        s = s[at]
-        order = np.lexsort((n, -s))[:k]
-        ids.append(np.full(len(order), q)), near.append(n[order]), score.append(s[order])
-    if ids:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(near), pa.int64()), pa.array(np.concatenate(score), pa.float64())], names=["q", "near", "score"])
+    """A row for each query: its best k so far, as lists."""
+    if found:
+        lists = [_nearest(parts, k) for parts in found.values()]
+        offsets = pa.array(np.cumsum([0, *(len(x[0]) for x in lists)]), pa.int32())
+        ids, scores = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in lists]))) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), ids, scores], names=["q", "ids", "scores"])
+
+
+def _merged(k: int):
+    """From each query's lists to a row for each of its best k."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(q, *_nearest([(np.array(p["ids"], np.int64), np.array(p["scores"])) for p in parts], k)) for q, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if rows:
+                q = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]))], names=["q", "near", "score"])
+
+    return apply
 
 
 def _rerank(k: int, kept: int = 4000):
@@ -219,9 +237,10 @@ def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES,
     part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
     dealt = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, count, probes, seed, largest, flat, parts, number), f"bucket long, part int, query byte, key long, v array<{sort}>")
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query")
-    near = dealt.mapInArrow(_rerank(k + 1), "q long, near long, score double").dropDuplicates(["q", "near"])
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "near")
-    near = cut(near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r"))
+    lists = dealt.mapInArrow(_rerank(k + 1), "q long, ids array<long>, scores array<double>")
+    # A query has a list of k + 1 for each task that holds buckets it probes, tables * probes * parts at most.
+    together = lists.groupBy("q").agg(F.collect_list(F.struct("ids", "scores")).alias("lists"))
+    near = cut(together.mapInArrow(_merged(k + 1), "q long, near long, score double"))
     # From distinct vectors to rows: the neighbours' ids, and every query that has the vector.
     ids = distinct.select(F.col("key").alias("near"), "ids")
     names = near.join(ids, "near").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
