@@ -34,5 +34,6 @@ def test_same_rows(spark, duck, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES["infer_filter_mean"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_totalprice" in plan and "o_custkey" not in plan.split("ReadSchema")[1]
