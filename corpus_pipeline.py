@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, packing, secrets, simhash, toxicity
+from kinfold.llm import mixing, packing, secrets, shingles, toxicity
 from kinfold.llm.queries import TOKENS, tokenizer
 from kinfold.llm.store import shared_folder
 
@@ -20,11 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of five-word shingles, the one of smallest id stays, and one of rows that repeat it.
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one of smallest id stays, and one of rows that repeat it.
 
-    Fingerprints at most 4 of 64 bits apart agree on 0.94 of them. Rows without an id stay as they are.
+    Rows without an id stay as they are.
     """
-    kept = simhash.classes(docs.select("doc_id", "text").where("doc_id is not null"), size=5).where("doc_id = component_id").select("doc_id").distinct()
+    kept = shingles.classes(docs.select("doc_id", "text").where("doc_id is not null"), size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     named = docs.join(kept, "doc_id").withColumn("_r", F.row_number().over(once)).where("_r = 1").select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null"))
