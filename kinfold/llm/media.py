@@ -6,6 +6,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -179,19 +180,40 @@ def dictionary(docs: DataFrame, id_col: str, text_col: str) -> bytes:
         return b""
 
 
+class Store(NamedTuple):
+    """Tables from which every payload can be rebuilt, in the folder of store.py until release()."""
+
+    #: digest, data (compressed): each chunk once.
+    chunks: DataFrame
+    #: id, n_bytes, media, list: a row for each input row.
+    lists: DataFrame
+    #: data: one row, the dictionary that the chunks are compressed with; empty if there is none.
+    dictionary: DataFrame
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Store:
+    """Write the payloads' chunks, their lists and the dictionary."""
+    trained = dictionary(docs, id_col, text_col)
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    lists = cut(source.mapInArrow(_listed(False, trained), f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary, list binary"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = source.mapInArrow(_listed(True, trained), "digest binary, data binary").repartition(parts, "digest")
+    chunks = cut(found.groupBy("digest").agg(F.first("data").alias("data")), (parts, "digest"))
+    return Store(chunks, lists, cut(spark.createDataFrame([(bytearray(trained),)], "data binary")))
+
+
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     A payload is the text's UTF-8 bytes and bytes 0 up to a positive multiple of 64. It is stored as the ordered list of
-    its chunks' digests; each chunk is stored once, however many payloads hold it. Equal payloads have one list, which
-    is read back once: its chunks come by a join on their digests, in which a hot chunk's readers are split.
+    its chunks' digests; each chunk is stored once, however many payloads hold it (store() returns the tables). Equal payloads
+    have one list, which is read back once from the tables written: its chunks come by a join on their digests.
     Null text is empty (64 bytes 0); null ids and repeated rows have rows of their own; an empty table gives an empty one.
     The dictionary changes how chunks are compressed, and none of the values returned.
     """
-    trained = dictionary(docs, id_col, text_col)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    lists = cut(source.mapInArrow(_listed(False, trained), f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary, list binary"))
-    kept = source.select("id", "text").mapInArrow(_listed(True, trained), "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    kept, lists, trained = store(docs, id_col, text_col)
+    trained = bytes(trained.first()["data"])
     entries = lists.groupBy("media").agg(F.first("list").alias("list")).mapInArrow(_entries, "media binary, pos int, n int, digest binary")
     found = entries.join(kept, "digest").select("media", "n", "pos", "digest", "data")
     schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"

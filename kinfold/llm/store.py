@@ -19,8 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/kinfold/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back; in so many buckets by a column, a join on it leaves the table where it is.
 
     The shuffle files of the writing query are dropped when it ends, where this Spark can do so: later
     stages read the written table, which survives the loss of executors.
@@ -30,7 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        if buckets:
+            table = f"kinfold_{path.rpartition('/')[2]}"
+            out.format("parquet").bucketBy(*buckets).sortBy(buckets[1]).option("path", path).saveAsTable(table)
+            return spark.table(table)
+        out.parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
@@ -44,3 +49,5 @@ def release(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for table in spark.catalog.listTables(pattern="kinfold_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
