@@ -13,6 +13,8 @@ from kinfold.schema import Database, Table
 
 log = logging.getLogger(__name__)
 NODE = "_nid"
+#: Rows of a range that one task numbers, and ranges told apart in each of the two steps of the search.
+RANGE, LEVEL = 100_000, 128
 
 
 @dataclass(frozen=True)
@@ -48,19 +50,51 @@ class Graph:
         return out.unionByName(total)
 
 
-def with_node_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """Dense ids from 0 in the order of the columns.
+def _spread(rows: list, parts: int) -> list:
+    """parts - 1 of the sorted rows, evenly spaced, without repeats."""
+    picked = [rows[len(rows) * i // parts] for i in range(1, parts)] if rows else []
+    return [x for i, x in enumerate(picked) if i == 0 or x != picked[i - 1]]
 
-    The rows are range-partitioned; ranges get their first id from a table of one row per partition (small enough
-    to be broadcast) and number their own rows.
+
+def with_ranges(df: DataFrame, order: list[str], rows: int = RANGE) -> DataFrame:
+    """df with _order, a struct that orders the rows, and _range, which of the ranges of that order a row is in, from 0.
+
+    A range is a function of a row's values alone: its bounds come once from a sample that the values choose (16 rows a
+    range, at most 2**18 rows of the order's columns) and are literals of the plan, so every branch that reads the result sees the same ranges,
+    however Spark partitions it. Rows that tie are told apart by a hash of all columns.
+    """
+    hashable = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    keyed = df.withColumn("_order", F.struct(*order, F.xxhash64(*hashable).alias("_tie")))
+    n = df.count()
+    ranges = max(1, min(LEVEL * LEVEL, -(-n // rows)))
+    if ranges == 1:
+        return keyed.withColumn("_range", F.lit(0))
+    every = max(1, n // (16 * ranges))
+    sample = keyed.where(F.pmod(F.xxhash64("_order"), F.lit(every)) == 0).select("_order").sort("_order").collect()
+    bounds = _spread([r["_order"] for r in sample], ranges)
+    # Two steps of the search: the last of every LEVEL bounds, then those of its section.
+    sections = [bounds[i : i + LEVEL] for i in range(0, len(bounds), LEVEL)]
+    kind = keyed.schema["_order"].dataType.simpleString()
+    found = df.sparkSession.createDataFrame([([x[-1] for x in sections], sections)], f"_last array<{kind}>, _sections array<array<{kind}>>")
+    below = lambda bounds: F.size(F.filter(bounds, lambda x: x < F.col("_order")))
+    placed = keyed.crossJoin(F.broadcast(found)).withColumn("_section", below(F.col("_last")))
+    inner = F.coalesce(F.get("_sections", "_section"), F.array().cast(f"array<{kind}>"))
+    return placed.withColumn("_range", (F.col("_section") * LEVEL + below(inner)).cast("int")).drop("_last", "_sections", "_section")
+
+
+def with_node_ids(df: DataFrame, order: list[str], rows: int = RANGE) -> DataFrame:
+    """Dense ids from 0 in the order of the columns, ties by a hash of all columns.
+
+    Rows are dealt into ranges of about `rows` by their values; ranges get their first id from a table of one row per range
+    (small enough to be broadcast) and number their own rows. Rows equal in all columns are interchangeable. Nulls come first.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    own = Window.partitionBy("_p").orderBy(*order)
-    out = ranged.join(F.broadcast(starts), "_p").withColumn(NODE, (F.col("_s") + F.row_number().over(own) - 1).cast("long"))
-    return out.drop("_p", "_s")
+    ranged = with_ranges(df, order, rows)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    own = Window.partitionBy("_range").orderBy("_order")
+    out = ranged.withColumn("_r", F.row_number().over(own)).join(F.broadcast(starts), "_range")
+    return out.withColumn(NODE, (F.col("_s") + F.col("_r") - 1).cast("long")).drop("_range", "_s", "_r", "_order")
 
 
 def pk_index(df: DataFrame, pk: str, node: str = NODE) -> DataFrame:

@@ -63,6 +63,42 @@ def test_edges_and_reverse(spark):
     assert all(r["_nid"] == 99 - r["id"] for r in ids)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_node_ids_depend_on_values_alone(spark, parts, adaptive):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 9 != 0, F.pmod(F.xxhash64("id"), F.lit(40))).alias("t"), F.concat(F.lit("text "), "id").alias("s"), F.create_map(F.lit("k"), "id").alias("m"))
+    known = {r["id"]: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r["t"] is not None, r["t"] or 0, r["id"])))}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        out = graph.with_node_ids(rows.repartition(parts), ["t", "id"], rows=50)
+        assert {r["id"]: r["_nid"] for r in out.collect()} == known and set(out.columns) == {*rows.columns, "_nid"}
+        tied = graph.with_node_ids(rows.repartition(parts).select(F.lit(1).alias("x"), "s"), ["x"], rows=50).collect()
+        assert sorted(r["_nid"] for r in tied) == list(range(6000))
+        equal = graph.with_node_ids(rows.repartition(parts).select(F.lit(1).alias("x")), ["x"], rows=50).collect()
+        assert sorted(r["_nid"] for r in equal) == list(range(6000))
+        assert graph.with_node_ids(rows.where("id < 0"), ["id"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_missing_matches(spark):
+    a = spark.createDataFrame([(1, 2, 5.0), (1, 3, 6.0), (2, 2, 7.0)], "a long, b long, v double").withColumn("t", F.col("v"))
+    asked = spark.createDataFrame([(1, 2), (1, 9), (3, 2)], "a long, b long")
+    found = {(r["a"], r["b"]): (r["v"], r["source"]) for r in recipes.pair_lookup(asked, a, "a", "b", ["t"], "v").collect()}
+    assert found == {(1, 2): (5.0, "pair"), (1, 9): (6.0, "first"), (3, 2): (None, "none")}
+    got = recipes.with_defaults(asked, recipes.last_of(a.select("a", "v", "t"), ["a"], ["t"]), ["a"], ["v"], -1.0).collect()
+    assert sorted((r["a"], r["v"]) for r in got) == [(1, 6.0), (1, 6.0), (3, -1.0)]
+    src = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    cover = keys.fk_coverage(src, "k", spark.createDataFrame([(1,), (4,)], "id long"), "id").first()
+    assert (cover["n_values"], cover["n_found"]) == (3, 2)
+    ends = spark.createDataFrame([(0, 1), (2, 1)], "src long, dst long")
+    feats = spark.createDataFrame([(0, 1.0), (2, 4.0)], "node long, x double")
+    means = graph.with_zeros(spark.createDataFrame([(1,), (5,)], "node long"), graph.neighbor_mean(ends, feats, ["x"]), ["x"])
+    assert {r["node"]: r["x"] for r in means.collect()} == {1: 2.5, 5: 0.0}
+    lost = recipes.churn(spark.createDataFrame([(1,), (2,)], "id long"), "id", spark.createDataFrame([(1, "2024-01-01")], "k long, d string").withColumn("d", F.to_timestamp("d")), "k", "d", 30)
+    assert {r["id"]: r["will_churn"] for r in lost.collect()} == {1: 0.0, 2: 1.0}
+
+
 def test_database(spark):
     df = spark.createDataFrame([(1, "a")], "id long, s string")
     t = Table("t", df, {"id": N, "s": C}, "id", None, (ForeignKey("s", "u"),))
