@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
+import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,20 +19,21 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
-#: Distinct words whose ids a worker keeps; beyond, it starts afresh.
-KEPT = 700_000
-#: Buckets over which the pieces of one length are spread to be numbered.
-SPREAD = 32
-#: Search steps of the branch and bound, and fillings compared at a node.
-STEPS, FILLINGS = 200, 4
+log = logging.getLogger(__name__)
+#: Pieces of one length that a task numbers, and how many more such cells there may be than lengths at most.
+CELL, CELLS = 4096, 1 << 20
+#: Limits of the branch and bound: nodes, steps of the enumeration at a node, fillings that a node branches on.
+NODES, STEPS, FILLINGS = 100, 1000, 32
 
-_tokenizers: dict[str, _Words] = {}
+_engines: dict[str, Engine] = {}
 
 
 #: Fixed value: how byte-level BPE of this kind cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts of characters below this are cut alike by all engines; others are left to the tokenizers library.
-PLAIN = "\u0250"
+#: Texts of characters below this are cut alike by all engines, but for the two blanks among them; others are left to the tokenizers library.
+PLAIN, ODD = "\u0250", ("\x85", "\xa0")
+#: Longer runs of blanks are beyond the fast engine's stack.
+BLANKS = 100_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -61,58 +65,24 @@ def _fast_engine(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class _Words(dict):
-    """Little-endian ids of a word with the space before it; None where a text can't be cut at that space.
-
-    Byte-level BPE splits a text before a space that stands between two other characters, so a text's ids
-    are those of its words in turn. Where blanks meet, the whole text is encoded at once.
-    """
+class Engine:
+    """Little-endian ids of a text, as tokenizers gives them. Texts for which tiktoken must give the same go to it, which takes a fifth of the time."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = _fast_engine(path)
-        if self.fast:
-            self.spaced = np.zeros(self.fast.n_vocab + 1, bool)
-            for i in range(self.fast.n_vocab):
-                try:
-                    self.spaced[i] = self.fast.decode_single_token_bytes(i).startswith(b" ")
-                except KeyError:  # no token of the vocabulary
-                    continue
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the new words of many texts at once."""
-        if len(self) > KEPT:
-            self.clear()
-        new = [w for w in {w for text in texts for w in text.split(" ")[1:]} if w not in self]
-        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and len(w) < 256]
-        self.update(dict.fromkeys(new))
-        plain = [w for w in good if max(w) < PLAIN and "\x85" not in w and "\xa0" not in w] if self.fast else []
-        for i in range(0, len(plain), 20_000):
-            # One text of all words; a token that begins with a space begins a word.
-            part = plain[i : i + 20_000]
-            ids = np.array(self.fast.encode_ordinary(" " + " ".join(part)), "<u4")
-            cuts = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
-            data = ids.tobytes()
-            self.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        others = [w for w in good if self[w] is None]
-        for i in range(0, len(others), 20_000):
-            part = others[i : i + 20_000]
-            joined = self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, joined, strict=True))
+
+    def plain(self, text: str) -> bool:
+        if not self.fast or (text and max(text) >= PLAIN) or any(x in text for x in (*ODD, *self.added)):
+            return False
+        return len(text) < BLANKS or not re.search(rf"\s{{{BLANKS}}}", text)
 
     def ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            tail = b"".join(map(self.__getitem__, rest))
-        except (TypeError, KeyError):
-            return self.encoded(text)
-        return self.encoded(first) + tail if first and not first[-1].isspace() else self.encoded(text)
+        found = self.fast.encode_ordinary(text) if self.plain(text) else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", found).tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, id_col: str, text_col: str, with_ids: bool = False) -> DataFrame:
@@ -122,15 +92,13 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, id_col: str, text_col: st
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizers.get(tokenizer) or _tokenizers.setdefault(tokenizer, _Words(tokenizer))
+        engine = _engines.get(tokenizer) or _engines.setdefault(tokenizer, Engine(tokenizer))
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                words.learn(texts)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, text in enumerate(texts):
-                    data = words.ids(text) + b"\0\0\0\0"
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    data = engine.ids(text or "") + b"\0\0\0\0"
                     n = len(data) // 4
                     a = 0
                     for k in range(-(-n // size)):
@@ -153,9 +121,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, id_col: str, text_col: st
 
 @dataclass
 class Bins:
-    """Patterns: (times used, {length: pieces of it in each bin})."""
+    """Patterns: (times used, {length: pieces of it in each bin}). No packing has fewer bins than `bound`."""
 
     patterns: list[tuple[int, dict[int, int]]] = field(default_factory=list)
+    bound: int = 0
+    #: Whether no packing has fewer bins: the bound is met, or the search went through all cases.
+    proven: bool = False
 
     @property
     def count(self) -> int:
@@ -198,9 +169,10 @@ def best_fit(counts: dict[int, int], size: int) -> Bins:
     return bins
 
 
-def _use(left: dict[int, int], pattern: dict[int, int], bins: Bins) -> list[int]:
-    """As many bins of this pattern as the pieces allow; the lengths of which none is left."""
+def _use(left: dict[int, int], pattern: dict[int, int], bins: Bins, most: int | None = None) -> list[int]:
+    """As many bins of this pattern as the pieces allow, or `most`; the lengths of which none is left."""
     times = min(left[x] // n for x, n in pattern.items())
+    times = times if most is None else min(times, most)
     bins.patterns.append((times, pattern))
     for x, n in pattern.items():
         left[x] -= n * times
@@ -210,41 +182,42 @@ def _use(left: dict[int, int], pattern: dict[int, int], bins: Bins) -> list[int]
     return gone
 
 
-def fillings(left: dict[int, int], size: int, most: int = FILLINGS, steps: int = 300) -> list[dict[int, int]]:
-    """Fillings around the longest piece, fullest first, none dominated by another found.
+def fillings(left: dict[int, int], size: int, most: int = FILLINGS, steps: int = STEPS) -> tuple[list[dict[int, int]], bool]:
+    """(fillings around the longest piece that no other dominates, fullest first; whether these are all).
 
-    A filling is dominated if another holds its pieces, some replaced one by one with longer ones or
-    several with one longer; then the other wastes no more and leaves no harder pieces. Of fillings of the same
-    room the one with fewer, longer pieces stands for the rest.
+    Only fillings to which no piece can be added count. One is dominated if another holds its pieces, some replaced one by
+    one with longer ones or several with one longer: the other wastes no more and leaves no harder pieces.
     """
     longest = max(left)
-    lengths = sorted(left, reverse=True)
-    found: dict[int, dict[int, int]] = {}
-    stack, seen = [(0, size - longest, {longest: 1})], 0
-    while stack and seen < steps:
-        at, room, pattern = stack.pop()
-        seen += 1
-        fits = False
-        options = []
-        for i in range(at, len(lengths)):
+    lengths = sorted(left)
+    least = lengths[0]
+    found: list[tuple[int, dict[int, int]]] = []
+
+    def grown(top: int, room: int, pattern: dict[int, int]) -> Iterator[tuple[int, dict[int, int]]]:
+        """Fillings that add pieces of lengths[:top] only, the longest and the most of them first; with each step of the search, None."""
+        top = bisect_right(lengths, room, 0, top)
+        for i in reversed(range(top)):
             x = lengths[i]
-            if x <= room and left[x] > pattern.get(x, 0):
-                fits = True
-                options.append((i, room - x, {**pattern, x: pattern.get(x, 0) + 1}))
-                if len(options) >= most:
-                    break
-        stack.extend(reversed(options))
-        if not fits and (room not in found or sum(pattern.values()) < sum(found[room].values())):
-            found[room] = pattern
-            if room == 0 and len(found) >= most:
-                break
+            for n in range(min(left[x] - pattern.get(x, 0), room // x), 0, -1):
+                yield from grown(i, room - n * x, {**pattern, x: pattern.get(x, 0) + n})
+        full = room < least or not any(left[x] > pattern.get(x, 0) for x in lengths[: bisect_right(lengths, room)])
+        yield (room, pattern) if full else None
+
+    # A bin holds at most 63 different lengths of 2048, which is how deep this goes.
+    for filling in grown(len(lengths), size - longest, {longest: 1}):
+        if steps == 0:
+            break
+        steps -= 1
+        found += [filling] if filling else []
+    else:
+        steps = max(1, steps)
     undominated: list[dict[int, int]] = []
-    for room in sorted(found):
-        if not any(_dominates(other, found[room]) for other in undominated):
-            undominated.append(found[room])
-        if len(undominated) == most:
+    for _, pattern in sorted(found, key=lambda f: (f[0], sum(f[1].values()))):
+        if len(undominated) > most:
             break
-    return undominated
+        if not any(_dominates(other, pattern) for other in undominated):
+            undominated.append(pattern)
+    return undominated[:most], steps > 0 and len(undominated) <= most
 
 
 def _dominates(a: dict[int, int], b: dict[int, int]) -> bool:
@@ -258,39 +231,53 @@ def _dominates(a: dict[int, int], b: dict[int, int]) -> bool:
     return True
 
 
-def bin_completion(counts: dict[int, int], size: int, steps: int = STEPS) -> Bins:
+def bin_completion(counts: dict[int, int], size: int, nodes: int = NODES) -> Bins:
     """Branch and bound over fillings of the bin that holds the longest piece left.
 
-    Best fit gives the incumbent. A node uses an undominated filling as often as its pieces allow; best fit of
-    what is left may give a better incumbent. A node is pruned if the waste so far, or the bound of what is left,
-    leaves nothing below the incumbent. The search ends at the lower bound of all pieces, or after `steps` nodes
-    with the best found. Its size depends on the number of different lengths, `size` at most, not on the
-    number of pieces.
+    Best fit gives the incumbent. A node branches on the undominated fillings, each used as often as its pieces allow, and
+    once; best fit of what is left may give a better incumbent. A node is pruned if the waste so far, or the bound of
+    what is left, leaves nothing below the incumbent, and if its pieces were met before with no more bins used. The search ends at the lower bound of
+    all pieces, when all cases are done, or after `nodes` nodes with the best found; `proven` tells which, and `bound` how far it may
+    be from the least. Its size depends on the number of different lengths, `size` at most, not on the number of pieces.
     """
     counts = {int(x): int(n) for x, n in counts.items() if n}
     if not counts:
-        return Bins()
+        return Bins(proven=True)
     best, bound, total = best_fit(counts, size), lower_bound(counts, size), sum(x * n for x, n in counts.items())
-    stack = [(counts, Bins(), 0)]
-    while stack and steps > 0 and best.count > bound:
-        left, bins, waste = stack.pop()
-        steps -= 1
-        if total + waste > (best.count - 1) * size or bins.count + lower_bound(left, size) >= best.count:
+    whole, met = True, {}
+
+    def children(left: dict[int, int], bins: Bins, waste: int, patterns: list[dict[int, int]]) -> Iterator[tuple[dict[int, int], Bins, int]]:
+        for pattern in patterns:
+            for times in dict.fromkeys((min(left[x] // n for x, n in pattern.items()), 1)):
+                after, more = dict(left), Bins(list(bins.patterns))
+                _use(after, pattern, more, times)
+                yield after, more, waste + times * (size - sum(x * n for x, n in pattern.items()))
+
+    stack = [iter([(counts, Bins(), 0)])]
+    while stack and best.count > bound:
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
+            continue
+        left, bins, waste = node
+        if not left:
+            best = min(best, bins, key=lambda b: b.count)
             continue
+        key = hash(frozenset(left.items()))
+        if total + waste > (best.count - 1) * size or bins.count + lower_bound(left, size) >= best.count or met.get(key, best.count) <= bins.count:
+            continue
+        if nodes == 0:
+            whole = False
+            break
+        nodes -= 1
+        met[key] = bins.count
         rest = best_fit(left, size)
         if bins.count + rest.count < best.count:
             best = Bins(bins.patterns + rest.patterns)
-        children = []
-        for pattern in fillings(left, size):
-            after, more = dict(left), Bins(list(bins.patterns))
-            _use(after, pattern, more)
-            wasted = more.patterns[-1][0] * (size - sum(x * n for x, n in pattern.items()))
-            if after:
-                children.append((after, more, waste + wasted))
-            elif more.count < best.count:
-                best = more
-        stack.extend(reversed(children))
-    return best
+        patterns, all_of_them = fillings(left, size)
+        whole &= all_of_them
+        stack.append(children(left, bins, waste, patterns))
+    return Bins(best.patterns, bound, whole or best.count <= bound)
 
 
 def places(bins: Bins) -> pd.DataFrame:
@@ -307,25 +294,29 @@ def places(bins: Bins) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "each", "sequence", "offset"]).sort_values(["length", "first"], ignore_index=True)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, spread: int = SPREAD) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cell: int = CELL) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32[, ids], sequence_id and offset.
 
     Only the histogram of lengths, `size` rows at most, comes to the driver. The pieces of each length get
-    numbers (spread over buckets, so that a hot length is no single task) and go to the places that the patterns name.
+    numbers (a length of many pieces in cells of about `cell`, so that it is no single task) and go to the places that the patterns name.
+    Special tokens in a text have their own ids, as the tokenizer has it.
     Null and empty texts are the closing id alone; null ids and repeated rows are packed like any other
-    row; an empty table gives no pieces; other columns are ignored.
+    row; an empty table gives no pieces; other columns, of whatever name, are ignored.
     """
     made = cut(pieces(docs, tokenizer, size, id_col, text_col, with_ids))
-    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(spread))
-    keyed = made.withColumn("_b", bucket)
-    cells = keyed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    where = places(bin_completion(counts, size))
+    found = bin_completion(counts, size)
+    log.info("%d sequences, at least %d are needed%s", found.count, found.bound, "" if found.proven else ", the search stopped at its limit")
+    where = places(found)
     columns = [where[c].to_numpy(np.int64) for c in where.columns]
+    # Cells are at most CELLS more than lengths, so their first numbers can be broadcast.
+    cell = max(cell, -(-sum(counts.values()) // CELLS))
+    cells = made.sparkSession.createDataFrame([(x, -(-n // cell)) for x, n in counts.items()], "length long, _cells long")
+    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("_cells"))
+    keyed = made.join(F.broadcast(cells), "length").withColumn("_b", bucket).drop("_cells")
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = keyed.groupBy("length", "_b").agg(F.count("*").alias("_n")).select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("length", "_b").orderBy("id", "piece", "ids_crc32")
-    # size * spread rows at most
     number = (F.row_number().over(within) - 1 + F.col("_start")).cast("long")
     ranked = keyed.join(F.broadcast(starts), ["length", "_b"]).withColumn("_k", number)
 
