@@ -1,4 +1,4 @@
-"""Near duplicates by Jaccard similarity of word shingles: MinHash bands give candidates, the shingles themselves decide."""
+"""Near duplicates by similarity of word shingles: bit-sliced comparison of SimHash fingerprints in MinHash bands, confirmed on the shingles."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected
 from .store import cut
 
@@ -19,6 +20,9 @@ BANDS, ROWS = 25, 5
 HUBS, GROUP = 2, 2048
 #: Sets of shingles that a worker keeps while it compares.
 CACHED = 256
+#: Bits in which fingerprints of similar texts differ at most. Of equally large sets of similarity 0.8, 8/9 of each is common: a bit differs with
+#: probability acos(8/9) / pi, so 9.7 bits do on average, with a spread of 2.9; 26 is beyond five and a half spreads.
+RADIUS = 26
 
 _seeds = np.random.default_rng(20240229)
 _XOR = _seeds.integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
@@ -28,15 +32,7 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct shingles of `size` words as sorted 64-bit hashes; one of all words if there are fewer, none without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    line, n = b" ".join(found), max(1, len(found) - size + 1)
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    ends = starts[-n:] + lengths[-n:]
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)], np.uint64))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_hashes(text, size)]))
 
 
 def bands(of: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -61,9 +57,10 @@ def _sketched(size: int):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sets = [shingles(x, size) for x in batch.column(1).to_pylist()]
+                prints = pa.array([simhash.majority([s]) for s in sets], pa.int64())
                 nodes = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
                 keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, keys], names=["id", "text", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, prints, keys], names=["id", "text", "node", "fp", "bands"])
 
     return apply
 
@@ -88,19 +85,29 @@ def _confirmed(size: int, percent: int):
     return apply
 
 
-def linked(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of positions that connect all similar sets with different labels, no more than sets. No set is empty."""
-    sizes = np.array(list(map(len, sets)), np.int64)
-    names, at = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, labels, out = np.cumsum(sizes) - sizes, labels.copy(), []
-    for q in range(len(sets)):
+def linked(texts: list[str], prints: np.ndarray, labels: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions that connect all similar texts with different labels, no more than texts.
+
+    Fingerprints are compared bit-sliced, 64 at a time; the shingles of those within RADIUS decide.
+    """
+    sets: dict[int, np.ndarray] = {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            if len(sets) >= CACHED:
+                sets.pop(next(iter(sets)))
+            sets[i] = shingles(texts[i], size)
+        return sets[i]
+
+    prints, labels, out = prints.view(np.uint64), labels.copy(), []
+    sliced = simhash.planes(prints)
+    for q in range(len(texts)):
         if (labels == labels[q]).all():
             break
-        own = np.zeros(len(names), bool)
-        own[at[starts[q] : starts[q] + sizes[q]]] = True
-        common = np.add.reduceat(own[at], starts, dtype=np.int64)
-        for i in np.flatnonzero((common * 100 >= percent * (sizes + sizes[q] - common)) & (labels != labels[q])):
-            if labels[i] != labels[q]:
+        near = simhash.within(np.repeat(prints[q : q + 1], len(sliced)), sliced, RADIUS)
+        lanes = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(texts)])
+        for i in lanes[lanes > q]:
+            if labels[i] != labels[q] and similar(of(q), of(i), percent):
                 out.append((q, int(i)))
                 labels[labels == labels[i]] = labels[q]
     return out
@@ -108,21 +115,20 @@ def linked(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tup
 
 def _grouped(size: int, percent: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, node, root, text) come sorted by block; a group is held until its last row has come."""
-        block, nodes, roots, sets = None, [], [], []
+        """Rows (block, node, root, fp, text) come sorted by block; a group is held until its last row has come."""
+        block, rows = None, []
 
         def links() -> pa.RecordBatch:
-            found = linked(sets, np.array(roots, np.int64), percent) if nodes else []
+            nodes, roots, prints, texts = zip(*rows, strict=True) if rows else ((),) * 4
+            found = linked(texts, np.array(prints, np.int64), np.array(roots, np.int64), size, percent) if rows else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for at, node, root, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != block:
                     yield links()
-                    block, nodes, roots, sets = at, [], [], []
-                nodes.append(node)
-                roots.append(root)
-                sets.append(shingles(text, size))
+                    block, rows = at, []
+                rows.append(row)
         yield links()
 
     return apply
@@ -145,21 +151,22 @@ def components(sketches: DataFrame, size: int, percent: int, hubs: int = HUBS, g
     """(node, root) for the nodes that share a band with another, linked by pairs whose similarity is confirmed.
 
     First some members of each key are compared with all others, which completes small keys and connects dense ones.
-    What is left of a key with several components is compared within one task, set by set, and
+    What is left of a key with several components is compared within one task, bit-sliced, and
     only links that connect come out, so that rows stay in proportion to members. A key of over `group` members is split
     into tiles, and each pair of tiles is a group of its own: each pair of a key is compared, at any skew.
     """
     up_to = lambda df, up: df.join(up, "root", "left").withColumn("root", F.coalesce("_up", "root")).drop("_up")
     distinct = sketches.groupBy("node").agg(F.first("bands").alias("bands"))
     members = _parted(distinct.select(F.explode("bands").alias("key"), "node", F.col("node").alias("root")))
-    texts = cut(sketches.select("node", "text").join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("text").alias("text")))
+    texts = cut(sketches.select("node", "fp", "text").join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")))
     roots = texts.select("node", F.col("node").alias("root"))
     # The same order for all keys: keys of one group of copies mostly choose the same members, and pairs repeat.
     first = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
     hub = cut(members.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= hubs).select("key", F.col("node").alias("hub")))
     pairs = members.join(hub, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    up = _merged(cut(pairs.select("a", "b", "x", "y").mapInArrow(_confirmed(size, percent), "a long, b long")), roots)
+    side = lambda end: texts.select(F.col("node").alias(end), F.col("fp").alias(f"f{end}"), F.col("text").alias(f"t{end}"))
+    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= RADIUS)
+    up = _merged(cut(pairs.select("a", "b", "ta", "tb").mapInArrow(_confirmed(size, percent), "a long, b long")), roots)
     roots = cut(up_to(roots, up).select("node", "root"))
     rest = members.join(hub.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
     rest = _parted(up_to(rest, up))
@@ -168,20 +175,22 @@ def components(sketches: DataFrame, size: int, percent: int, hubs: int = HUBS, g
     rest = rest.join(counts, "key").withColumn("_tiles", F.when(F.col("n") > group, tiles).otherwise(1))
     rest = rest.withColumn("_own", F.pmod(F.xxhash64("node"), "_tiles").cast("int")).withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     block = F.xxhash64("key", F.least("_own", "_u"), F.greatest("_own", "_u"))
-    rest = rest.select(block.alias("block"), "node", "root").join(texts, "node").select("block", "node", "root", "text")
+    rest = rest.select(block.alias("block"), "node", "root").join(texts, "node").select("block", "node", "root", "fp", "text")
     links = cut(rest.repartition("block").sortWithinPartitions("block", "node").mapInArrow(_grouped(size, percent), "a long, b long").distinct())
     return up_to(roots, _merged(links, roots)).select("node", "root")
 
 
 def sketched(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, node, bands): texts with the same set of shingles are one node."""
+    """(id, text, node, fp, bands): texts with the same set of shingles are one node; fp is the SimHash of the set."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return cut(rows.mapInArrow(_sketched(size), f"id {rows.schema['id'].dataType.simpleString()}, text string, node long, bands array<long>"))
+    return cut(rows.mapInArrow(_sketched(size), f"id {rows.schema['id'].dataType.simpleString()}, text string, node long, fp long, bands array<long>"))
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hubs: int = HUBS, group: int = GROUP) -> DataFrame:
     """(id, component_id) for each row; component_id is the smallest id reachable over pairs of similar texts, its own included.
 
+    Operator 9 for a similarity instead of a radius. At 0.8, fingerprints differ in about ten bits and sometimes twenty, and no part of 64 bits is left to
+    agree on, so blocks are MinHash bands; in them fingerprints are compared bit-sliced, and what is within RADIUS bits is confirmed on the shingles.
     Two texts are similar if their sets of shingles of `size` words have a Jaccard similarity of at least `percent` / 100.
     Words are those of simhash.classes; null, empty and blank texts have no shingle and are equal. Null ids count for nothing.
     """

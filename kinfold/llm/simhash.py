@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,23 +20,35 @@ _ONE = np.uint64(1)
 LANES, ITEMS, GROUP = 64, 1 << 14, 1 << 18
 
 
-def fingerprint(text: str | None, size: int, block: int = 1 << 15) -> int:
-    """SimHash of the shingles of `size` words, repeats included, as a signed 64-bit number; 0 without words."""
+def shingle_hashes(text: str | None, size: int, block: int = 1 << 15) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of `size` words in turn, repeats included; one of all words if there are fewer, none without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return
     line, n = b" ".join(found), max(1, len(found) - size + 1)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     starts = np.cumsum(lengths + 1) - lengths - 1
     ends = starts[-n:] + lengths[-n:]
-    hashed, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    hashed = xxhash.xxh64_intdigest
     for i in range(0, n, block):
-        h = [hashed(line[a:b], 42) for a, b in zip(starts[i : min(n, i + block)].tolist(), ends[i : i + block].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(h, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array([hashed(line[a:b], 42) for a, b in zip(starts[i : min(n, i + block)].tolist(), ends[i : i + block].tolist(), strict=True)], np.uint64)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The number whose bits are set in over half the hashes, as a signed 64-bit number; 0 without hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in blocks:
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, size: int) -> int:
+    """SimHash of the shingles of `size` words, repeats included."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,34 +68,41 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
 
 
+def _beyond(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose counter, the planes of which come lowest bit first, is above the radius, or has overflown."""
+    far, same = over.copy(), _ONES
+    for d in reversed(range(len(counters))):
+        if radius >> d & 1:
+            same = same & counters[d]
+        else:
+            far |= same & counters[d]
+            same = same & ~counters[d]
+    return far
+
+
 def within(queries: np.ndarray, words: np.ndarray, radius: int, step: int = 8) -> np.ndarray:
-    """For item i, the lanes of words[i] (64 bit planes) at most radius < 7 bits away from queries[i], as a mask.
+    """For item i, the lanes of words[i] (64 bit planes) at most radius < 64 bits away from queries[i], as a mask.
 
-    Vertical counters hold the distances of 64 lanes: each plane is added with carries to three counter
-    planes, an overflow stays. Items all of whose lanes are beyond the radius are abandoned.
+    Vertical counters hold the distances of 64 lanes: each plane is added with carries to as many counter
+    planes as the radius has bits, an overflow stays. Items all of whose lanes are beyond the radius are abandoned.
     """
     out = np.zeros(len(queries), np.uint64)
     at = np.arange(len(queries))
-    zero = lambda: np.zeros(len(at), np.uint64)
-    c0, c1, c2, over = zero(), zero(), zero(), zero()
+    counters = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros(len(at), np.uint64)
     far = over
     for j in range(64):
-        x = words[:, j] ^ (_ONES * ((queries >> np.uint64(j)) & _ONE))
-        carry = c0 & x
-        c0 ^= x
-        x = c1 & carry
-        c1 ^= carry
-        carry = c2 & x
-        c2 ^= x
+        carry = words[:, j] ^ (_ONES * ((queries >> np.uint64(j)) & _ONE))
+        for c in counters:
+            more = c & carry
+            c ^= carry
+            carry = more
         over |= carry
         if j % step == step - 1:
-            # distances are c0 + 2 c1 + 4 c2, or over 7
-            far = over.copy()
-            for d in range(radius + 1, 8):
-                far |= (c0 if d & 1 else ~c0) & (c1 if d & 2 else ~c1) & (c2 if d & 4 else ~c2)
+            far = _beyond(counters, over, radius)
             if j < 63 and len(left := np.flatnonzero(far != _ONES)) < 0.7 * len(at):
-                at, queries, words, far = at[left], queries[left], words[left], far[left]
-                c0, c1, c2, over = c0[left], c1[left], c2[left], over[left]
+                at, queries, words, far, over = at[left], queries[left], words[left], far[left], over[left]
+                counters = [c[left] for c in counters]
             if not len(at):
                 return out
     out[at] = ~far

@@ -4,21 +4,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a folder of our own."""
+    """A folder of the application in spark.checkpoint.dir; where that is unset, in a temporary folder, if the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kinfold-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/kinfold/{spark.sparkContext.applicationId}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes within is deleted at the end; results that read it must be written before."""
+    _scratch.append(f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, _scratch.pop())
+
+
 def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; in so many buckets by a column, a join on it leaves the table where it is.
 
@@ -26,7 +46,7 @@ def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
     stages read the written table, which survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_folder(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
@@ -46,8 +66,6 @@ def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete every table that cut() wrote for this application. Results that read them must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_folder(spark))
     for table in spark.catalog.listTables(pattern="kinfold_*"):
         spark.sql(f"DROP TABLE IF EXISTS {table.name}")
