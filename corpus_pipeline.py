@@ -8,45 +8,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm import mixing, packing, secrets, shingles, toxicity
+from kinfold.llm.columns import unused
 from kinfold.llm.queries import TOKENS, tokenizer
-from kinfold.llm.store import shared_folder
+from kinfold.llm.store import delete, scratch, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels that aren't held out, scores 0.5 or more go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    columns = docs.columns
-    return toxicity.score(docs, toxicity.fit(docs, labels.where(~toxicity.held_out())), into="_score").where("_score < 0.5").select(*columns)
+    """Documents that the classifier, learned from the labels that aren't held out, scores 0.5 or more go.
+
+    Null and empty texts are scored by the bias alone. Repeated rows are scored alike. Without labels all scores are 0.5, and nothing is dropped then.
+    Columns of any name pass.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
+    if labels.where("doc_id is not null and toxic is not null").isEmpty():
+        return docs
+    score = unused(docs, "score")
+    return toxicity.score(docs, toxicity.fit(docs, labels), into=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one of smallest id stays, and one of rows that repeat it.
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, one stays: that of the smallest id.
 
-    Rows without an id stay as they are.
+    Null ids come after all others. Of rows of one id, or without one, that of the smallest hash of its text; of rows
+    equal in both, one. Texts without words (null, empty, blank) are copies of each other. Columns of any name pass.
     """
-    kept = shingles.classes(docs.select("doc_id", "text").where("doc_id is not null"), size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = docs.join(kept, "doc_id").withColumn("_r", F.row_number().over(once)).where("_r = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    row, key = unused(docs, "row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = docs.select(key.alias("key"), "text", F.struct(*docs.columns).alias(row))
+    kept = shingles.classes(rows, size=5, percent=80, id_col="key").where("key = component_id").select("key").distinct()
+    once = Window.partitionBy("key").orderBy(F.xxhash64(row))
+    return rows.join(kept, "key", "left_semi").withColumn("rank", F.row_number().over(once)).where("rank = 1").select(f"{row}.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced with a mark; every document stays."""
-    columns = docs.columns
+    """Secrets are replaced with a mark; every document stays, with n_chars of its new text.
+
+    Null texts keep n_chars. Repeated rows are treated alike. Columns of any name pass.
+    """
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*columns)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of its source takes it, from none to three."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    out = mixing.plan(docs, carry=rest).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as the mix of its source takes it, from none to three.
+
+    Null texts have no words and go with their hash; null sources are a source. Rows that repeat an id are taken or left together. Columns of any name pass.
+    """
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("row"))
+    out = mixing.plan(rows, carry=("row",)).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences."""
-    return packing.pack(docs, tokenizer(), TOKENS)
+    """The pieces of all documents with their token ids, placed in sequences.
+
+    Null and empty texts are the closing id; repeated rows are packed as often as they come; other columns are left behind.
+    """
+    return packing.pack(docs, tokenizer(), TOKENS, with_ids=True)
 
 
 STAGES = [
@@ -62,10 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again."""
+    """The stages over documents, each written as Parquet in the shared folder and read again; what a stage needed for itself, and the stage before it, is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{base}/{name}"
+        docs = spark.read.parquet(before)
     return docs
