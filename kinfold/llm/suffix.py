@@ -3,73 +3,85 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
 
 U = np.uint64
-#: Bytes of the first names; a window of the threshold holds threshold - FIRST + 1 of them, one of which is its anchor.
-FIRST = 32
+#: Bytes of the first names and of the longest; a window of the threshold holds threshold - FIRST + 1 of the first, one of which is its anchor.
+FIRST, TOP = 32, 64
 #: Bytes hashed at a time, so that the arrays stay in a core's cache; low bits of a sort key that hold a position.
 BLOCK, PLACE = 1 << 16, 28
-ROW = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
-EVENT = pa.schema([("doc", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("k", pa.int64())])
-SPAN = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
-CUT = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_LAST = (1 << 63) - 1
+#: A rank is task << 43 | number of the group in it << 7 | cell of the anchor's place in the window; those of hot anchors are negative.
+TASK, OFFSET = 43, 7
+#: Places of the anchor that a cell holds in the sort before the last; at that size rows carry the names of their windows, before it their bytes.
+SMALL = 6
+#: Rows of the first sort hold first window << 17 | number of the hot name, from 1, << 7 | further windows.
+PLACED, HOT = 17, 7
+_long = lambda *names: pa.schema([(n, pa.int64()) for n in names])
+ROW = _long("k", "s", "doc", "alt", "at")
+EVENT = _long("doc", "alt", "kind", "start", "end", "rank")
+#: Some windows of an anchor, `n` from `at` on; the anchor stands at - the first one's place + o. Repeats have at = -1 - start, n = end.
+NODE = _long("rank", "c", "s", "doc", "alt", "at", "n", "o").append(pa.field("data", pa.binary()))
+CUT = ("doc", "alt", "start", "end")
+#: The document key of rows without an id: after all others; alt tells them from an id of that value, and by their texts from each other.
+_LAST, _NO_ID = (1 << 63) - 1, 1 << 62
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The name of a pair of names."""
-    x = a * U(0x9E3779B97F4A7C15)
-    x ^= x >> U(29)
-    x += b
-    x *= U(0xC2B2AE3D27D4EB4F)
-    x ^= x >> U(32)
-    return x
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
+
+
+class Mix:
+    """Names of pairs of names, by two odd multipliers that are drawn for each run: who writes a text can't aim at equal names."""
+
+    def __init__(self, key: bytes) -> None:
+        self.a, self.b = (np.frombuffer(key, np.uint64) | U(1))[:2]
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * self.a
+        x ^= x >> U(29)
+        x += b
+        x *= self.b
+        x ^= x >> U(32)
+        return x
 
 
 class Names:
-    """Names of the strings of 8, 16, 32, 64 and `length` bytes that start at each position: a name pairs two of the step before."""
+    """Names of the strings of 8, 16, 32 and 64 bytes that start at each position: a name pairs two of the step before."""
 
-    def __init__(self, data: bytes, length: int) -> None:
-        self.length = length
+    def __init__(self, data: bytes, mix: Mix) -> None:
         padded = np.frombuffer(data + bytes(8), np.uint8)
-        self.by = {8: np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))}
+        self.mix, self.by = mix, {8: np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))}
         size = 8
-        while size * 2 <= min(length, max(64, FIRST)):
+        while size < TOP:
             x = self.by[size]
-            self.by[size * 2] = _pair(x[:-size], x[size:]) if len(x) > size else x[:0]
+            self.by[size * 2] = mix.pair(x[:-size], x[size:]) if len(x) > size else x[:0]
             size *= 2
-        self.top = size
 
-    def full(self, at: np.ndarray) -> np.ndarray:
-        """Of `length` bytes: the longest names from the start and up to the end, which meet or overlap."""
-        names, size = self.by[self.top], self.top
-        out, done = names[at], size
-        while done < self.length:
-            step = min(size, self.length - done)
-            out = _pair(out, names[at + done - (size - step)])
-            done += step
-        return out
+    def full(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        """Of `length` bytes, TOP to twice that: the longest names from the start and up to the end, which meet or overlap."""
+        return self.mix.pair(self.by[TOP][at], self.by[TOP][at + length - TOP])
 
 
-def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(name of FIRST bytes at the anchor, name of the span, first window, last window) of each anchor.
+def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int, mix: Mix) -> tuple[np.ndarray, ...]:
+    """(name of FIRST bytes at the anchor, its place, name of the span, first window, last window) of each anchor.
 
     A window of `length` bytes has its anchor where its least name of FIRST bytes stands, the leftmost of several.
     Equal windows have equal anchors at equal places; consecutive windows share one, and their span is named
     by its first window, its last and their distance.
     """
-    empty = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    empty = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) < length:
         return empty
-    names = Names(data, length)
+    names = Names(data, mix)
     first, low = names.by[FIRST], U((1 << PLACE) - 1)
     least = (first & ~low) | np.arange(len(first), dtype=U)
     width, w = length - FIRST + 1, 1
@@ -88,8 +100,8 @@ def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> t
     anchor = (least[windows] & low).astype(np.int64)
     new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     one, last = windows[new], windows[np.r_[new[1:] - 1, len(windows) - 1]]
-    span = _pair(_pair(names.full(one), names.full(last)), (last - one).astype(U))
-    return first[anchor[new]], span, one, last
+    span = mix.pair(mix.pair(names.full(one, length), names.full(last, length)), (last - one).astype(U))
+    return first[anchor[new]], anchor[new], span, one, last
 
 
 def _blocks(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,165 +126,255 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _firsts(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by keys, doc and place; which of them are not at their keys' first place."""
-    order = np.lexsort((at, doc, *reversed(keys)))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    later = (doc[order] != doc[order][head]) | (at[order] != at[order][head])
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _firsts(keys: list[np.ndarray], doc: np.ndarray, alt: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by keys, document and place; which of them are not at their keys' first place."""
+    order = np.lexsort((at, alt, doc, *reversed(keys)))
+    head = np.maximum.accumulate(np.where(_changes(*(k[order] for k in keys)), np.arange(len(order)), 0))
+    later = np.zeros(len(order), bool)
+    for c in (doc, alt, at):
+        later |= c[order] != c[order][head]
     return order, later
 
 
-def _intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later(new: np.ndarray, place: tuple[np.ndarray, ...], head: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which rows of sorted groups stand elsewhere than their group's first row, and the first row of the last group.
+
+    Groups begin where `new` says; the first goes on with `head` if it doesn't begin here. Rows that repeat the first row's place are no repeats of it.
+    """
+    of = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+    out = np.zeros(len(new), bool)
+    for i, c in enumerate(place):
+        out |= c != np.where(of < 0, 0 if head is None else head[i], c[of])
+    return out, tuple(c[of[-1]] for c in place) if of[-1] >= 0 else head
+
+
+def _intervals(doc: np.ndarray, alt: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same bytes in as few intervals as can be; ends must grow with starts within a document."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])]
-    return doc[new], start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(doc) - 1]]
+        return doc, alt, start, end
+    order = np.lexsort((start, alt, doc))
+    doc, alt, start, end = doc[order], alt[order], start[order], end[order]
+    new = _changes(doc, alt)
+    new[1:] |= start[1:] > end[:-1]
+    return doc[new], alt[new], start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(doc) - 1]]
 
 
-def _arrays(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    made = [pa.array(c.view(np.int64) if not isinstance(c, list) and c.dtype == U else c, f.type) for c, f in zip(columns, schema, strict=True)]
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    made = [pa.array(c.view(np.int64) if c.dtype == U else c, pa.int64()) if isinstance(c, np.ndarray) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
-def _rank_anchors(length: int, heavy: np.ndarray):
-    """Rows (k, s, doc, at) for the first round, at = first window * 256 + hot * 128 + further windows.
+def _name_anchors(length: int, heavy: np.ndarray, key: bytes):
+    """Rows (k, s, doc, alt, at) for the first sort; at holds the first window, which hot name it is (0: none), and how many windows follow.
 
     What repeats within a batch is known at once: its later places go on as intervals (at = -1 - start, s = end), spread by
     document, so that common content doesn't meet in one task. Hot anchors are dealt by their spans.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mix = Mix(key)
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(), []
-            cuts = [(d, a, x) for d, text in zip(ids, _bytes(batch.column(1)), strict=True) if len(text) >= length for a, x in _sections(text, length)]
-            doc_of, base = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+            ids, alts, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            cuts = [(i, a, x) for i, text in enumerate(_bytes(batch.column(2))) if len(text) >= length for a, x in _sections(text, length)]
+            row_of, base = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
             for data, own, starts, ends in _blocks(np.arange(len(cuts)), [c[2] for c in cuts]):
-                name, span, one, last = anchors(data, starts, ends, length)
+                name, _, span, one, last = anchors(data, starts, ends, length, mix)
                 i = np.searchsorted(ends, one, side="right")
-                place = one - starts[i] + base[own[i]]
-                parts.append((name, span, doc_of[own[i]], place, last - one))
+                parts.append((name, span, row_of[own[i]], one - starts[i] + base[own[i]], last - one))
             if not parts:
                 continue
-            name, span, doc, place, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-            hot = np.isin(name, heavy)
-            key = np.where(hot, _pair(name, span), name)
-            order, later = _firsts([key, span], doc, place)
+            name, span, row, place, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, alt = ids[row], alts[row]
+            hot = np.searchsorted(heavy, name)
+            hot = np.where(np.r_[heavy, U(0)][hot] == name, hot + 1, 0) * (len(heavy) > 0)
+            hot[hot > len(heavy)] = 0
+            k = np.where(hot > 0, mix.pair(name, span), name)
+            order, later = _firsts([k, span], doc, alt, place)
             keep = order[~later]
-            yield _arrays(ROW, key[keep], span[keep], doc[keep], place[keep] * 256 + hot[keep] * 128 + more[keep])
+            yield _batch(ROW, k[keep], span[keep], doc[keep], alt[keep], place[keep] << PLACED | hot[keep] << HOT | more[keep])
             gone = order[later]
-            d, a, b = _intervals(doc[gone], place[gone], place[gone] + more[gone] + length)
+            d, e, a, b = _intervals(doc[gone], alt[gone], place[gone], place[gone] + more[gone] + length)
             if len(d):
-                yield _arrays(ROW, _pair(d.astype(U), a.astype(U)), b, d, -1 - a)
+                yield _batch(ROW, mix.pair(d.view(U) ^ e.view(U), a.astype(U)), b, d, e, -1 - a)
 
     return apply
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: int = 0) -> Iterator[pa.RecordBatch]:
-    """Batches that end where the value of a sorted column changes."""
-    kept: list[pa.RecordBatch] = []
+class _Ranks:
+    """Numbers of groups in the order in which a task meets them, apart from those of all other tasks."""
+
+    def __init__(self) -> None:
+        self.next = TaskContext.get().partitionId() << (TASK - OFFSET)
+
+    def take(self, n: int) -> np.ndarray:
+        out = np.arange(self.next, self.next + n, dtype=np.int64)
+        self.next += n
+        return out << OFFSET
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], span: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, new, later, open, rank) of rows that come by (keys, span, document, place), some at a time; `new` says which rows were not in the batch before.
+
+    Equal keys get one new rank. Rows whose span was met before in the group, elsewhere, are `later`. The first rows of spans are open once
+    their group has several. No group is held: of the one that a batch ends in, its rank goes on, and its first row while it has one span.
+    """
+    ranks, pending, state = _Ranks(), None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column(by).to_numpy()
-        at = int(np.searchsorted(key, key[-1]))
-        if at or (kept and kept[-1].column(by)[-1].as_py() != key[0]):
-            yield pa.concat_batches([*kept, batch.slice(0, at)]) if kept or at else batch
-            kept = []
-        kept.append(batch.slice(at))
-    if kept:
-        yield pa.concat_batches(kept)
-
-
-def _resolve_anchors(length: int):
-    """First round. Rows come by k. A span met before is repeated whole; a name with several spans goes on to be looked into."""
+        if pending:
+            batch = pa.concat_batches([pending, batch])
+        key, by, place = ([batch.column(n).to_numpy() for n in names] for names in (keys, [span], ["doc", "alt", "at"]))
+        first, new_span = _changes(*key), _changes(*key, *by)
+        last_key, last_span, head, rank = state or (None,) * 4
+        goes_on = state is not None and not pending and last_key == [k[0] for k in key]
+        if goes_on:
+            first[0], new_span[0] = False, by[0][0] != last_span
+        number = np.cumsum(first) - 1 + goes_on
+        known = [rank] if goes_on or pending else []
+        rank_of = np.r_[np.array(known, np.int64), ranks.take(int(number[-1]) + 1 - len(known))]
+        spans = np.bincount(number, new_span, minlength=len(rank_of))
+        spans[0] += 2 * goes_on
+        later, head = _later(new_span, tuple(place), head if goes_on else None)
+        new = np.arange(len(number)) >= (1 if pending else 0)
+        yield batch, new, later, new_span & (spans[number] > 1), rank_of[number]
+        state = [k[-1] for k in key], by[0][-1], head, rank_of[-1]
+        pending = batch.slice(int(np.flatnonzero(first)[-1]), 1) if spans[-1] == 1 else None
+
+
+def _rank_anchors(length: int):
+    """First sort. Rows come by (k, s, document, place). A span met before is repeated whole; a name with several spans goes on with its rank."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches):
-            k, s, doc, at = (c.to_numpy() for c in batch.columns)
-            done = at < 0
-            if done.any():
-                yield _arrays(EVENT, doc[done], np.zeros(done.sum(), np.int32), -1 - at[done], s[done], k[done])
-                k, s, doc, at = k[~done], s[~done], doc[~done], at[~done]
-            if not len(k):
-                continue
-            order, later = _firsts([k, s], doc, at >> 8)
-            k, s, doc, at = k[order], s[order], doc[order], at[order]
-            start, hot = at >> 8, (at >> 7) & 1
-            end = start + (at & 127) + length
-            new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
-            names = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
-            several = np.bincount(names, new)[names] > 1
-            for kind, rows in ((0, later), (1, new & several & (hot == 0)), (2, new & (hot == 1))):
+        decided: list[pa.RecordBatch] = []
+
+        def others() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = batch.column("at").to_numpy() < 0
+                if done.any():
+                    k, s, doc, alt, at = (c.to_numpy()[done] for c in batch.columns)
+                    decided.append(_batch(EVENT, doc, alt, np.zeros_like(k), -1 - at, s, np.zeros_like(k)))
+                    batch = batch.filter(pa.array(~done))
+                yield batch
+
+        for batch, new, later, open_, rank in _groups(others(), ["k"], "s"):
+            k, s, doc, alt, at = (c.to_numpy() for c in batch.columns)
+            start, hot = at >> PLACED, (at >> HOT) & ((1 << PLACED - HOT) - 1)
+            end = start + (at & ((1 << HOT) - 1)) + length
+            rank = np.where(hot > 0, -hot << OFFSET, rank)
+            for kind, rows in ((0, later & new), (1, np.where(hot > 0, _changes(k, s) & new & ~later, open_))):
                 if rows.any():
-                    yield _arrays(EVENT, doc[rows], np.full(rows.sum(), kind, np.int32), start[rows], end[rows], k[rows])
+                    yield _batch(EVENT, doc[rows], alt[rows], np.full(rows.sum(), kind, np.int64), start[rows], end[rows], rank[rows])
+            while decided:
+                yield decided.pop()
+        yield from decided
 
     return apply
 
 
-def _spans(length: int):
-    """Second round's rows: an anchor's span with its bytes, or for hot ones a row for each window, those first in the batch."""
+def _anchors_of(names: Names, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Where the anchors of spans stand: the least name of FIRST bytes, the leftmost of several, of those that all windows of the span hold."""
+    first, low = names.by[FIRST], U((1 << PLACE) - 1)
+    a, counts = ends - length, starts + length - FIRST + 1 - (ends - length)
+    at = np.repeat(a - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    least = np.minimum.reduceat((first[at] & ~low) | at.astype(U), np.cumsum(counts) - counts)
+    return (least & low).astype(np.int64)
+
+
+def widths(length: int) -> list[int]:
+    """How many places of the anchor a cell holds, sort by sort. The bytes that all windows of a cell share are length + 1 - width, from TOP on."""
+    first = min((length - FIRST + 2) // 2, length + 1 - TOP)
+    return [first, *([SMALL] if first > SMALL else []), *([1] if first > 1 else [])]
+
+
+def _split(length: int, width: int, mix: Mix, rank: np.ndarray, doc: np.ndarray, alt: np.ndarray, at: np.ndarray, n: np.ndarray, o: np.ndarray | None, data: list[bytes], named: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of NODE for the cells of some windows: what is alike about all windows of a cell (c), and about those of the row (s).
+
+    data: the bytes of the windows, or, `named`, the names of each. What repeats within the batch is decided.
+    """
+    parts = []
+    for block, own, starts, ends in [(b"".join(data), np.arange(len(data)), np.cumsum(n) - n, np.cumsum(n))] if named else _blocks(np.arange(len(data)), data):
+        i = np.repeat(np.arange(len(own)), n[own])
+        step = np.arange(len(i)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+        x = starts[i] + step
+        if named:
+            full, place = np.frombuffer(block, U), o
+        else:
+            names = Names(block, mix)
+            full = names.full(np.arange(max(0, len(block) - length + 1)), length)
+            place = o[own] if o is not None else _anchors_of(names, starts, ends, length) - starts
+        cell = (place[i] - step) // width
+        new = np.flatnonzero(_changes(i, cell))
+        count = np.diff(np.r_[new, len(i)])
+        j, first, last = i[new], x[new], x[new] + count - 1
+        s = full[first]
+        if width > 1:
+            s = mix.pair(mix.pair(s, full[last]), count.astype(U))
+            top = np.minimum((cell[new] + 1) * width - 1, length - FIRST)
+            c = names.full(starts[j] + place[j] - cell[new] * width, cell[new] * width + length - top)
+            kept = [full[a : b + 1].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)] if width <= SMALL else [block[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        else:
+            c, kept = s, [None] * len(new)
+        row = own[j]
+        parts.append((rank[row] + cell[new], c, s, doc[row], alt[row], at[row] + first - starts[j], count, place[j] - (first - starts[j]), kept))
+    if not parts:
+        return
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(8)]
+    kept = [x for p in parts for x in p[8]]
+    order, later = _firsts(columns[:3], *columns[3:6])
+    keep, gone = order[~later], order[later]
+    yield _batch(NODE, *(c[keep] for c in columns), [kept[k] for k in keep.tolist()])
+    yield from _decided(*(c[gone] for c in columns[3:7]), length)
+
+
+def _decided(doc: np.ndarray, alt: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    d, e, a, b = _intervals(doc, alt, at, at + n - 1 + length)
+    if len(d):
+        none = np.zeros(len(d), np.int64)
+        yield _batch(NODE, none, none, none, d, e, -1 - a, b, none, [None] * len(d))
+
+
+def _cells(length: int, key: bytes):
+    """Rows of NODE of the open spans: in cells of the first width, and those of hot anchors in windows."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mix = Mix(key)
         for batch in batches:
-            rows: list[tuple] = []
-            names: list[tuple[np.ndarray, ...]] = []
-            for doc, text, parts in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                for part in parts:
-                    own = text[part["start"] : part["end"]]
-                    if part["kind"] == 1:
-                        rows.append((part["k"], 0, doc, part["start"], part["end"], own))
-                    else:
-                        of = Names(own, length)
-                        at = np.arange(len(own) - length + 1)
-                        names.append((of.full(at), of.by[FIRST][at], np.full(len(at), doc), at + part["start"]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SPAN, strict=True)], schema=SPAN)
-            if names:
-                k, s, doc, at = (np.concatenate(x) for x in zip(*names, strict=True))
-                order, later = _firsts([k, s], doc, at)
-                keep, gone = order[~later], order[later]
-                yield _arrays(SPAN, k[keep], s[keep], doc[keep], at[keep], at[keep] + length, [None] * len(keep))
-                d, a, b = _intervals(doc[gone], at[gone], at[gone] + length)
-                yield _arrays(SPAN, _pair(d.astype(U), a.astype(U)), np.zeros(len(d), U), d, -1 - a, b, [None] * len(d))
+            parts = [(text[p["start"] : p["end"]], d, e, p["start"], p["end"] - p["start"] - length + 1, p["rank"]) for d, e, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True) for p in own]
+            if not parts:
+                continue
+            doc, alt, at, n, rank = (np.array([p[i] for p in parts], np.int64) for i in range(1, 6))
+            for rows, width in ((rank >= 0, widths(length)[0]), (rank < 0, 1)):
+                if rows.any():
+                    yield from _split(length, width, mix, rank[rows], doc[rows], alt[rows], at[rows], n[rows], None, [p[0] for p, r in zip(parts, rows.tolist(), strict=True) if r], False)
 
     return apply
 
 
-def _resolve_spans(length: int):
-    """Second round: windows of `length` bytes that stand earlier in their group."""
+def _rank_pairs(length: int, width: int | None, key: bytes, named: bool):
+    """One more sort. Rows come by (rank, c, s, document, place): pairs of a rank and what the windows of a cell share. Equal pairs get a new rank.
+
+    Those that are alone leave, rows equal in s to an earlier one are repeats, and the others go on in cells of the next width, if there is one.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _grouped(batches):
-            k, s, doc, start, end = (c.to_numpy() for c in batch.columns[:5])
-            done = start < 0
-            if done.any():
-                yield _arrays(CUT, doc[done], -1 - start[done], end[done])
-            inner = np.flatnonzero(batch.column(5).is_valid().to_numpy(zero_copy_only=False))
-            whole = np.flatnonzero(~done & ~batch.column(5).is_valid().to_numpy(zero_copy_only=False))
-            if len(whole):
-                order, later = _firsts([k[whole], s[whole]], doc[whole], start[whole])
-                rows = whole[order[later]]
-                yield _arrays(CUT, *_intervals(doc[rows], start[rows], end[rows]))
-            if len(inner):
-                texts, parts = batch.column(5).take(pa.array(inner)).to_pylist(), []
-                for data, own, starts, ends in _blocks(inner, texts):
-                    names = Names(data, length)
-                    counts = ends - starts - length + 1
-                    i = np.repeat(np.arange(len(own)), counts)
-                    step = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
-                    parts.append((k[own[i]], names.full(starts[i] + step), doc[own[i]], start[own[i]] + step))
-                key, name, of, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order, later = _firsts([key, name], of, at)
-                rows = order[later]
-                if len(rows):
-                    yield _arrays(CUT, *_intervals(of[rows], at[rows], at[rows] + length))
+        mix = Mix(key)
+        for batch, new, later, open_, rank in _groups(batches, ["rank", "c"], "s"):
+            _, _, _, doc, alt, at, n, o = (c.to_numpy() for c in batch.columns[:8])
+            rows = later & new
+            yield from _decided(doc[rows], alt[rows], at[rows], n[rows], length)
+            if width and open_.any():
+                data = batch.column("data").filter(pa.array(open_)).to_pylist()
+                yield from _split(length, width, mix, rank[open_], doc[open_], alt[open_], at[open_], n[open_], o[open_], data, named)
 
     return apply
 
@@ -281,7 +383,7 @@ def _kept(with_text: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {x: [] for x in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for text, parts in zip(_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, parts in zip(_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for a, b in sorted((p["start"], p["end"]) for p in parts or ()):
                     if runs and a <= runs[-1][1]:
@@ -300,7 +402,7 @@ def _kept(with_text: bool):
                 out["kept"].append(left)
             if not with_text:
                 del out["kept"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64() if k[0] == "n" else pa.binary() if k == "kept" else pa.string()) for k, v in out.items())], names=["doc", *out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(v, pa.int64() if k[0] == "n" else pa.binary() if k == "kept" else pa.string()) for k, v in out.items())], names=["doc", "alt", *out])
 
     return apply
 
@@ -309,31 +411,54 @@ def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     """Remove each byte that a string of `length` bytes covers which also starts earlier: in a smaller id, or further left.
 
     Returns id, n_bytes, n_removed, n_spans, kept_sha256[, kept]. Texts are UTF-8 bytes; strings don't cross documents and are
-    judged on the input. Null text is empty; a null id comes after all others; rows that repeat an id and text get
-    equal results (an id may not stand for two texts); an empty table gives an empty one.
-
-    Prefix doubling: names of 8, 16, 32, 64 and `length` bytes each pair two names of the step before. Spark sorts
-    anchors by their names of 32 bytes, of which every window holds one that depends on its bytes alone, and the names of their
-    spans; unique names leave, the others get their first place as rank. What is left open, at the ends of repeats,
-    is ranked by windows of `length` bytes. Common names (found on one document in `sample`; at most 1000) are dealt out by span
-    and by window, so no name fills a task.
+    judged on the input. Null text is empty. Null ids come after all others. Rows of one id, or without one, that differ in
+    text are documents of their own, in the order of a digest of their texts; rows that repeat an id and text get equal results. Other
+    columns are ignored, whatever their names; an empty table gives an empty one.
+
+    Prefix doubling over the positions that can repeat. The first sort ranks strings of 32 bytes, at anchors only: every window of
+    `length` bytes holds one, which depends on its bytes alone. Further sorts pair a rank with the name of more bytes around it: windows are told apart by the place of
+    the anchor in them, in cells of half of all places, then of SMALL, then of one, and what all windows of a cell share grows to 66, 95 and all of 100 bytes. After
+    each sort equal pairs get a new rank; those that are alone leave; rows all of whose windows stand earlier in their group are decided as repeats; the
+    others go on in smaller cells. Names are hashes under multipliers drawn for each run; ranks and pairs are compared exactly.
+
+    Rows are read in the order of the sorts, and no group is held in memory. What repeats within a batch is decided before the shuffle. Names
+    that over a thousandth of a sample hold (one document in `sample`; at least `heavy_least` rows) are dealt out by span, so there are 1000 at most.
     """
-    if not 2 * FIRST <= length <= FIRST + 128:
-        raise ValueError(f"length must be from {2 * FIRST} to {FIRST + 128}")
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    row, event, span, removed = "k long, s long, doc long, at long", "doc long, kind int, start long, end long, k long", "k long, s long, doc long, start long, end long, bytes binary", "doc long, start long, end long"
-    few = source.where(F.pmod(F.xxhash64("doc"), F.lit(sample)) == 0).mapInArrow(_rank_anchors(length, np.zeros(0, U)), row).where("at >= 0")
-    counts = cut(few.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= heavy_least))
-    common = counts.orderBy(F.desc("n"), "k").limit(1000).collect()
-    heavy = np.array([r["k"] for r in common], np.int64).view(U)
-
-    ranked = source.mapInArrow(_rank_anchors(length, heavy), row).repartition("k").sortWithinPartitions("k", "s", "doc", "at")
-    events = cut(ranked.mapInArrow(_resolve_anchors(length), event))
-    open_ = events.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "end", "k", "kind")).alias("parts"))
-    spans = source.join(open_, "doc").select("doc", "text", "parts").mapInArrow(_spans(length), span)
-    more = cut(spans.repartition("k").sortWithinPartitions("k", "s", "doc", "start").mapInArrow(_resolve_spans(length), removed))
-    gone = events.where("kind = 0").select("doc", "start", "end").unionByName(more).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-    out = source.join(gone, "doc", "left").select("doc", "text", "parts")
-    names = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    out = out.mapInArrow(_kept(with_text), names)
-    return out.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias(id_col), *out.columns[1:])
+    if not 2 * FIRST <= length <= 2 * TOP:
+        raise ValueError(f"length must be from {2 * FIRST} to {2 * TOP}")
+    key = os.urandom(16)
+    text, number = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    source = docs.select(number.alias("doc"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 2).alias("digest"))
+    # Digests make rows larger, so they come in only where an id doesn't name one text.
+    texts = source.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    several = texts.where("doc is null or a <> b").limit(1).count()
+    alt = F.when(F.col("doc").isNull(), F.col("digest") + F.lit(_NO_ID)).otherwise(F.col("digest") if several else F.lit(0)).cast("long")
+    source = source.select(F.coalesce("doc", F.lit(_LAST)).alias("doc"), alt.alias("alt"), "text")
+    ids = ["doc", "alt"]
+
+    few = source.where(F.pmod(F.xxhash64(*ids), F.lit(sample)) == 0).mapInArrow(_name_anchors(length, np.zeros(0, U), key), _ddl(ROW)).where("at >= 0")
+    counts = cut(few.groupBy("k").agg(F.count("*").alias("n")))
+    least = max(heavy_least, (counts.agg(F.sum("n")).first()[0] or 0) // 1000 + 1)
+    heavy = np.sort(np.array([r["k"] for r in counts.where(F.col("n") >= least).select("k").collect()], np.int64).view(U))
+
+    named = source.mapInArrow(_name_anchors(length, heavy, key), _ddl(ROW)).repartition("k").sortWithinPartitions("k", "s", *ids, "at")
+    events = cut(named.mapInArrow(_rank_anchors(length), _ddl(EVENT)))
+    open_ = events.where("kind = 1").groupBy(*ids).agg(F.collect_list(F.struct("start", "end", "rank")).alias("parts"))
+    sizes = widths(length)
+    rows = cut(source.join(open_, ids).select(*ids, "text", "parts").mapInArrow(_cells(length, key), _ddl(NODE)))
+    hot, done = rows.where("rank < 0"), [rows]
+    for i, width in enumerate(sizes):
+        rows = rows.where("at >= 0 and rank >= 0")
+        if i + 1 == len(sizes):
+            rows = rows.unionByName(hot)
+        after = sizes[i + 1] if i + 1 < len(sizes) else None
+        rows = rows.repartition("rank", "c").sortWithinPartitions("rank", "c", "s", *ids, "at").mapInArrow(_rank_pairs(length, after, key, width <= SMALL), _ddl(NODE))
+        rows = cut(rows)
+        done.append(rows)
+    gone = events.where("kind = 0").select(*CUT)
+    for rows in done:
+        gone = gone.unionByName(rows.where("at < 0").select(*ids, (F.lit(-1) - F.col("at")).alias("start"), F.col("n").alias("end")))
+    gone = gone.groupBy(*ids).agg(F.collect_list(F.struct("start", "end")).alias("parts"))
+    names = _ddl(_long(*ids)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    out = source.join(gone, ids, "left").select(*ids, "text", "parts").mapInArrow(_kept(with_text), names)
+    return out.select(F.when(F.col("alt") < _NO_ID, F.col("doc")).alias(id_col), *out.columns[2:])
