@@ -30,9 +30,11 @@ def zscore(c: Column, mean: Column | float, std: Column | float) -> Column:
     return (F.coalesce(c.cast("double"), mean) - mean) / std
 
 
-def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """(value, index): distinct non-null values in byte order, from 0."""
+def vocabulary(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    """(value, index): distinct non-null values in byte order, from 0; of at most the first `most`, which the sort cuts off before they meet."""
     values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
+    if most is not None:
+        values = values.orderBy("value").limit(most)
     values = values.agg(F.array_sort(F.collect_list("value")).alias("v"))
     return values.select(F.posexplode("v").alias("index", "value")).select("value", "index")
 
@@ -50,6 +52,11 @@ def time_parts(c: Column, mean: Column | float, std: Column | float) -> Column:
     return F.array(*(F.coalesce(p, F.lit(0.0)) for p in parts))
 
 
+def day_number(c: Column) -> Column:
+    """Days since 1970-01-01 of a date, a time, or text that starts with a date; null for what is none."""
+    return F.datediff(F.substring(c.cast("string"), 1, 10).try_cast("date"), F.lit("1970-01-01").cast("date"))
+
+
 def multi_hot(c: Column, labels: list[str], sep: str = "|") -> Column:
     """Whether each label is among the separated ones of the cell."""
     found = F.split(F.coalesce(c, F.lit("")), f"[{sep}]")

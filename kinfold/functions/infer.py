@@ -80,6 +80,14 @@ def infer_types(df: DataFrame, overrides: dict[str, LogicalType] | None = None,
     return {c: overrides.get(c) or found.get(c, LogicalType.TEXT) for c in df.columns}
 
 
+def categorical(df: DataFrame, ratio: float = RATIO) -> set[str]:
+    """The string columns whose non-null values are at most `ratio` distinct, counted per column and value in one shuffle; no cap."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in df.columns))).alias("c")).select("c.*").where("value is not null")
+    values = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    found = values.groupBy("column").agg((F.count("*") / F.sum("n")).alias("share"))
+    return {r["column"] for r in found.where(F.col("share") <= ratio).collect()}
+
+
 def is_categorical(c: Column) -> Column:
     """Aggregate: whether the non-null strings are at most RATIO distinct; false if there are none. No cap."""
     return F.coalesce(F.count_distinct(c) / F.nullif(F.count(c), F.lit(0)) <= RATIO, F.lit(False))

@@ -39,6 +39,10 @@ class LabelTransform:
     def inverse(self, v: Column) -> Column:
         return v * self.std + self.mean if self.kind == "normalize" else v
 
+    def back(self, v):
+        """inverse() for numbers and arrays."""
+        return v * self.std + self.mean if self.kind == "normalize" else v
+
     def fitted(self, train: DataFrame, column: str) -> LabelTransform:
         if self.kind != "normalize":
             return self

@@ -28,18 +28,29 @@ def binary(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> Dat
     return sums.select("tp", "fp", "fn", "tn", _ratio(F.col("tp") + F.col("tn"), total).alias("accuracy"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def ranking(df: DataFrame, score: str, label: str, key: str, ties: bool = False) -> DataFrame:
+def _below(c: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are less than the value: a binary search, written out."""
+    if not bounds:
+        return F.lit(0)
+    mid = len(bounds) // 2
+    return F.when(c > bounds[mid], _below(c, bounds[mid + 1 :]) + (mid + 1)).otherwise(_below(c, bounds[:mid]))
+
+
+def ranking(df: DataFrame, score: str, label: str, key: str, ties: bool = False, rows_in_range: int = 100_000) -> DataFrame:
     """auc (trapezoids along rows by falling score, then key) and average precision; auc_ties groups equal scores.
 
     Scores are counted first, per value, and running sums go over the distinct ones within and then between
-    ranges of scores, so that no window holds all rows. With `ties` off, rows of one score count in the order of the
+    ranges of scores, so that no window holds all rows; the number of ranges grows with that of rows. With `ties` off, rows of one score count in the order of the
     key: they are ranked within their score.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), (F.col(label) > 0.5).cast("long").alias("y"), F.col(key).alias("k"))
     within = Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_score = rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    bounds = by_score.select(F.expr("percentile_approx(s, array(0.125,0.25,0.375,0.5,0.625,0.75,0.875), 1000)").alias("b"))
-    by_score = by_score.crossJoin(F.broadcast(bounds)).withColumn("g", F.coalesce(-F.size(F.filter("b", lambda x: x < F.col("s"))), F.lit(0))).drop("b")
+    parts = max(2, min(1024, -(-rows.count() // rows_in_range)))
+    shares = ",".join(str(i / parts) for i in range(1, parts))
+    # Collected once, so that all branches see the same ranges.
+    bounds = by_score.select(F.expr(f"percentile_approx(s, array({shares}), {max(1000, 8 * parts)})").alias("b")).first()["b"] or []
+    by_score = by_score.withColumn("g", -_below(F.col("s"), sorted(set(bounds))))
     inner = Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     groups = by_score.groupBy("g").agg(F.sum("n").alias("gn"), F.sum("p").alias("gp"))
     outer = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)

@@ -56,14 +56,14 @@ def _spread(rows: list, parts: int) -> list:
     return [x for i, x in enumerate(picked) if i == 0 or x != picked[i - 1]]
 
 
-def with_ranges(df: DataFrame, order: list[str], rows: int = RANGE) -> DataFrame:
+def with_ranges(df: DataFrame, order: list[str], rows: int = RANGE, tie: list[str] | None = None) -> DataFrame:
     """df with _order, a struct that orders the rows, and _range, which of the ranges of that order a row is in, from 0.
 
     A range is a function of a row's values alone: its bounds come once from a sample that the values choose (16 rows a
     range, at most 2**18 rows of the order's columns) and are literals of the plan, so every branch that reads the result sees the same ranges,
-    however Spark partitions it. Rows that tie are told apart by a hash of all columns.
+    however Spark partitions it. Rows that tie are told apart by a hash of all columns, or of those named.
     """
-    hashable = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    hashable = tie or [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
     keyed = df.withColumn("_order", F.struct(*order, F.xxhash64(*hashable).alias("_tie")))
     n = df.count()
     ranges = max(1, min(LEVEL * LEVEL, -(-n // rows)))

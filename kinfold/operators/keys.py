@@ -22,6 +22,7 @@ def uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("is_unique", F.col("n_rows") == F.col("n_distinct"))
 
 
+# How a table's primary key is spelt.
 def pk_candidates(table: str, columns: list[str]) -> list[str]:
     """Columns named as a primary key would be, in order of preference; their own spelling."""
     one = table.rstrip("s")

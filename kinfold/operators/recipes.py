@@ -142,10 +142,55 @@ def before_date(rows: DataFrame, time: str, cutoff: str) -> tuple[DataFrame, Dat
 def rolling_stats(rows: DataFrame, team: str, order: list[str], caps: dict[str, float]) -> DataFrame:
     """rows with roll_<stat>: the mean over the team's up to five rows before, over the cap, 1 at most; 0 without any."""
     w = Window.partitionBy(team).orderBy(*order).rowsBetween(*_LAST5)
-    roll = {f"roll_{c}": F.coalesce(F.least(F.avg(F.col(c)).over(w) / cap, F.lit(1.0)), F.lit(0.0)) for c, cap in caps.items()}
+    roll = {f"roll_{c}": F.least(F.coalesce(F.avg(F.col(c)).over(w), F.lit(0.0)) / cap, F.lit(1.0)) for c, cap in caps.items()}
     return rows.withColumns(roll)
 
 
+# The statistics of a team's games and of its players in them, and what counts as most of each.
+GAME_CAPS = {"shots_on": 15.0, "shots_tot": 25.0, "possession": 1.0, "corners": 15.0, "fouls": 20.0, "yellows": 4.0, "saves": 12.0, "pass_acc": 1.0}
+PLAYER_CAPS = {"rating": 10.0, "goals_pp": 0.3, "assists_pp": 0.2, "tackles_pp": 3.0, "dribbles_pp": 1.0}
+#: In per cent in the source.
+PER_CENT = ("possession", "pass_acc")
+
+
+def blank_means(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, columns): means in which blanks, and what is no number, count as 0."""
+    return rows.groupBy(*keys).agg(*(F.avg(F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))).alias(c) for c in columns))
+
+
+def rolling_features(games: DataFrame, cutoff: str, game_stats: DataFrame | None = None, player_stats: DataFrame | None = None) -> DataFrame:
+    """games with h_roll_* and a_roll_* of the home and the away team: means over a team's up to five games before, over the cap, 1 at most.
+
+    game_stats: (game, team, the names of GAME_CAPS); player_stats: (game, team, those of PLAYER_CAPS), a row for each player. A game without a row
+    in them counts as zeros; without any of both tables the games come back as they are. Games from the cutoff date on are in no team's history and have
+    zeros themselves, as have teams without a game before.
+    """
+    if game_stats is None and player_stats is None:
+        return games
+    number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) / (100.0 if c in PER_CENT else 1.0)
+    caps = GAME_CAPS | PLAYER_CAPS
+    side = lambda t, h: games.select("game", "day", F.col(t).alias("team"), F.lit(h).alias("is_home"))
+    rows = side("home", True).unionByName(side("away", False)).where("team is not null")
+    if game_stats is not None:
+        rows = rows.join(game_stats.select("game", "team", *(number(c).alias(c) for c in GAME_CAPS)).dropDuplicates(["game", "team"]), ["game", "team"], "left")
+    if player_stats is not None:
+        rows = rows.join(blank_means(player_stats, ["game", "team"], list(PLAYER_CAPS)), ["game", "team"], "left")
+    rows = rows.select("game", "day", "team", "is_home", *((F.coalesce(c, F.lit(0.0)) if c in rows.columns else F.lit(0.0)).alias(c) for c in caps))
+    known = F.coalesce(F.col("day") < F.lit(cutoff).cast("date"), F.lit(True))
+    rolled = rolling_stats(rows.where(known), "team", ["day", "game"], caps)
+    out = games
+    for home, prefix in ((True, "h"), (False, "a")):
+        own = rolled.where(F.col("is_home") == home).select("game", *(F.col(f"roll_{c}").alias(f"{prefix}_roll_{c}") for c in caps))
+        out = out.join(own, "game", "left")
+    return out.fillna(0.0, [f"{p}_roll_{c}" for p in "ha" for c in caps])
+
+
+def venue_features(games: DataFrame, teams: DataFrame, team: str = "team", capacity: str = "venue_capacity") -> DataFrame:
+    """games with venue, the home team's ground's capacity over 90,000: 40,000 where that isn't known, and 0.5 for teams that aren't there."""
+    own = teams.dropDuplicates([team]).select(F.col(team).alias("home"), (F.coalesce(F.col(capacity).cast("double"), F.lit(40000.0)) / 90000.0).alias("venue"))
+    return games.join(own, "home", "left").fillna(0.5, ["venue"])
+
+
 def with_defaults(rows: DataFrame, other: DataFrame, on: list[str], columns: list[str], default: object = 0.0) -> DataFrame:
     """Left join; rows without a match get the default. `on` must be unique in `other` (use last_of)."""
     return rows.join(other.select(*on, *columns), on, "left").withColumns({c: F.coalesce(F.col(c), F.lit(default)) for c in columns})
@@ -157,8 +202,10 @@ def last_of(rows: DataFrame, on: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*on, *(F.col(f"_v.{c}").alias(c) for c in values))
 
 
-def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int = 5) -> DataFrame:
-    """rows with rank, of which the first k of each group stay; the limit reaches the sort as a group limit."""
+def top_k(rows: DataFrame, group: str, score: str, tie: str, k: int = 5, groups: int | None = None) -> DataFrame:
+    """rows with rank, of which the first k of each group stay; the limit reaches the sort as a group limit. groups: only of so many, the smallest."""
+    if groups is not None:
+        rows = rows.join(F.broadcast(rows.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).limit(groups)), group)
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

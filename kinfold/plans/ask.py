@@ -26,10 +26,11 @@ RULES = """You turn a question about the database below into one JSON object, an
 Keys: target_table, target_column (the column to predict), task_type (binary_classification, regression or
 multiclass_classification), label_transform {kind: threshold (threshold, inclusive), normalize, identity or buckets (buckets)},
 split_strategy (temporal if rows have a time, else random), inference_mode (row_based, or entity_synthesis for a
-combination that has no row, with entity_refs {table: key}), inference_filters [{column, op, value as text}] with op one of
+combination that has no row, with entity_refs {foreign key column of the target table: key as text}), inference_filters [{column, op, value as text}] with op one of
 = != >= > <= <, and inference_agg (none, mean, fraction or count). Use only tables and columns that are listed."""
 
 
+# The keys of the JSON objects that stand for tables.
 def schema_json(db: Database) -> str:
     out = []
     for t in db.tables.values():

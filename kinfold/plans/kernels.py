@@ -103,6 +103,32 @@ def loss(task: str, logits: np.ndarray, y: np.ndarray, n: int, pos_weight: float
     return float(row.sum() / n), (w * (1 / (1 + np.exp(-x)) - y) / n)[:, None]
 
 
+def scored(task: str, logits: np.ndarray) -> np.ndarray:
+    """A probability, a value, or a class."""
+    if task == "multiclass_classification":
+        return logits.argmax(axis=1).astype(float)
+    return logits[:, 0] if task == "regression" else 1 / (1 + np.exp(-logits[:, 0]))
+
+
+def metrics(task: str, ids: np.ndarray, score: np.ndarray, y: np.ndarray, classes: int) -> dict[str, float]:
+    """What functions.metrics computes over tables, for rows at hand."""
+    n = len(y)
+    if task == "regression":
+        e, tot = score - y, float((y * y).sum() - n * y.mean() ** 2) if n else 0.0
+        return {"rmse": float(np.sqrt((e * e).mean())) if n else 0.0, "mae": float(np.abs(e).mean()) if n else 0.0, "r2": float(1 - (e * e).sum() / tot) if tot > 1e-12 else 0.0}
+    ratio = lambda a, b: float(a / b) if b else 0.0
+    if task == "multiclass_classification":
+        p, y = score.astype(int), y.astype(int)
+        f1 = [ratio(2 * ((p == c) & (y == c)).sum(), (p == c).sum() + (y == c).sum()) for c in range(classes)]
+        return {"accuracy": ratio((p == y).sum(), n), "macro_f1": sum(f1) / classes}
+    pos, hit = y > 0.5, score >= 0.5
+    first = pos[np.lexsort((ids, -score))]
+    tp, some = np.cumsum(first), int(pos.sum())
+    auc = float(tp[~first].sum() / (some * (n - some))) if 0 < some < n else 0.5
+    ap = ratio((tp[first] / (np.flatnonzero(first) + 1)).sum(), some)
+    return {"accuracy": ratio((pos == hit).sum(), n), "f1": ratio(2 * (pos & hit).sum(), pos.sum() + hit.sum()), "auc": auc, "average_precision": ap}
+
+
 class Adam:
     def __init__(self, lr: float = 3e-4, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> None:
         self.lr, self.b1, self.b2, self.eps, self.t = lr, b1, b2, eps, 0

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import encoders, metrics
 from kinfold.functions.labels import class_balance, class_weights
 from kinfold.operators.graph import NODE, EdgeType, Graph, build_graph, with_node_ids
+from kinfold.operators.keys import with_detected_fks
 from kinfold.plans import kernels as K
 from kinfold.plans.task import BINARY, MULTICLASS, REGRESSION, TaskSpec, build_split
-from kinfold.schema import Database, LogicalType, Table
+from kinfold.schema import Database, ForeignKey, LogicalType, Table
+from kinfold.sources.tables import catalog, task_table
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -33,6 +40,8 @@ class Config:
     leaky_label: bool = False
     evaluate_every: int = 1
     seed: int = 42
+    #: Training rows whose mean loss the gradient is of; a step adds up the gradients of all batches. 0: all rows are one.
+    batch_size: int = 0
     #: A vocabulary of more values than this is refused: it would make rows that wide.
     vocabulary: int = 5000
 
@@ -71,7 +80,7 @@ def fit_encoder(table: Table, config: Config, label: str | None = None) -> Encod
     parts = []
     for c in used:
         if table.types[c] is LogicalType.CATEGORICAL:
-            values = [r["value"] for r in encoders.vocabulary(table.df, c).orderBy("index").limit(config.vocabulary + 1).collect()]
+            values = [r["value"] for r in encoders.vocabulary(table.df, c, config.vocabulary + 1).orderBy("index").collect()]
             if len(values) > config.vocabulary:
                 raise ValueError(f"{table.name}.{c} has over {config.vocabulary} values; hide it or raise the limit")
             parts.append((c, "cat", tuple(values)))
@@ -80,20 +89,131 @@ def fit_encoder(table: Table, config: Config, label: str | None = None) -> Encod
     return Encoder(parts)
 
 
-def _stack(column: pd.Series, width: int) -> np.ndarray:
-    return np.stack([np.zeros(width) if x is None else np.asarray(x, float) for x in column]) if len(column) else np.zeros((0, width))
+#: Rows that go through layers: a node, what v is of it (0: its own vector; from 1 on: a part of the mean over an edge type; GRADIENT: a part of
+#: a gradient by its vector), and, with a sample's own vector, its label, split (0 train, 1 val, 2 test) and the scale of its gradient.
+ROWS = f"{NODE} long, slot int, v array<double>, label double, split int, scale double"
+OUT = ROWS + ", sums binary"
+GRADIENT, SCORE, SUMS = -1, -2, -3
+SPLITS = ("train", "val", "test")
+#: Rows of a validation set up to which their scores come to the driver with the gradients; beyond, metrics are a query.
+COLLECTED = 1 << 20
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of one width as rows; null ones are zeros."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if not column.null_count:
+        return flat.reshape(len(column), width)
+    out = np.zeros((len(column), width))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = flat.reshape(-1, width)
+    return out
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1), pa.float64()))
+
+
+def _rows(node: np.ndarray, slot: int, v: np.ndarray, label=None, split=None, scale=None, sums: bytes | None = None) -> pa.RecordBatch:
+    n = len(node)
+    some = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x, pa.float64(), from_pandas=True).cast(kind)
+    columns = [pa.array(node, pa.int64()), pa.array(np.full(n, slot), pa.int32()), _lists(v), some(label, pa.float64()), some(split, pa.int32()), some(scale, pa.float64()), pa.array([sums] * n, pa.binary()) if sums else pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[NODE, "slot", "v", "label", "split", "scale", "sums"])
+
+
+def _carried(edges: DataFrame, rows: DataFrame, take: str, give: str, slot: int) -> DataFrame:
+    """Vectors of nodes sent along edges (src, dst, w), times w: sums per node that gets them, one a batch of edges, for _assembled to add up."""
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                node = batch.column(0).to_numpy()
+                order = np.argsort(node, kind="stable")
+                node, v = node[order], _matrix(batch.column(2), len(batch.column(2)[0]))[order]
+                starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+                yield _rows(node[starts], slot, np.add.reduceat(v * batch.column(1).to_numpy()[order, None], starts))
 
-def _mean_arrays(edges: DataFrame, h: DataFrame, width: int, name: str) -> DataFrame:
-    """(node, name): means of neighbours' vectors, with partial aggregation of plain columns."""
-    joined = edges.join(h.withColumnRenamed(NODE, "src"), "src")
-    cols = [F.avg(F.col("h")[i]).alias(f"c{i}") for i in range(width)]
-    return joined.groupBy(F.col("dst").alias(NODE)).agg(*cols).select(NODE, F.array(*(f"c{i}" for i in range(width))).alias(name))
+    sent = edges.join(rows.select(F.col(NODE).alias(take), "v"), take).select(F.col(give).alias(NODE), "w", "v")
+    return sent.mapInArrow(partial, OUT).drop("sums")
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """The rows of a node in one task, in the order of their slots."""
+    df = parts[0].select(*_names(ROWS))
+    for p in parts[1:]:
+        df = df.unionByName(p.select(*_names(ROWS)))
+    return df.repartition(NODE).sortWithinPartitions(NODE, "slot")
+
+
+def _names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
+
+
+@dataclass
+class Nodes:
+    """Some nodes with their vectors by slot (zeros where nothing came, see there), and what is known of them as samples."""
+
+    node: np.ndarray
+    v: dict[int, np.ndarray]
+    there: dict[int, np.ndarray]
+    label: np.ndarray
+    split: np.ndarray
+    scale: np.ndarray
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> Iterator[Nodes]:
+    """From rows by (node, slot) to nodes with the sums of their slots. Nodes without a row of slot 0 are left out."""
+    kept: list[pa.RecordBatch] = []
+
+    def nodes(batch: pa.RecordBatch) -> Nodes:
+        node, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        own = np.flatnonzero(slot == 0)
+        out = Nodes(node[own], {}, {}, *(batch.column(i).take(pa.array(own)).to_numpy(zero_copy_only=False) for i in (3, 4, 5)))
+        for k, width in widths.items():
+            rows = np.flatnonzero(slot == k)
+            at = np.searchsorted(out.node, node[rows])
+            good = at < len(own)
+            good[good] = out.node[at[good]] == node[rows[good]]
+            rows, at = rows[good], at[good]
+            out.v[k], out.there[k] = np.zeros((len(own), width)), np.zeros(len(own))
+            if len(rows):
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                out.v[k][at[starts]] = np.add.reduceat(_matrix(batch.column(2).take(pa.array(rows)), width), starts)
+                out.there[k][at] = 1.0
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column(0).to_numpy()
+        last = int(np.searchsorted(node, node[-1]))
+        if last or (kept and kept[-1].column(0)[-1].as_py() != node[0]):
+            yield nodes(pa.concat_batches([*kept, batch.slice(0, last)]) if kept or last else batch)
+            kept = []
+        kept.append(batch.slice(last))
+    if kept:
+        yield nodes(pa.concat_batches(kept))
+
+
+@dataclass
+class Inputs:
+    """What no parameter changes, stored once: by node type, rows whose v is the features and the raw means of all neighbours' features."""
+
+    rows: dict[str, DataFrame]
+    n_val: int = 0
+
+    def release(self) -> None:
+        for df in self.rows.values():
+            df.unpersist()
 
 
 @dataclass
 class Model:
-    """Everything that predicts: the graph, encoders, parameters and the fitted task."""
+    """Everything that predicts: the graph, encoders, parameters and the fitted task.
+
+    Encoders are linear, so the mean of encoded neighbours is the encoded mean of their features, which is stored once: the first
+    layer and its gradients shuffle nothing along edges. Every later layer sends vectors along its edges once forward and once backward. A pass
+    returns gradients, losses and the scores of validation rows together.
+    """
 
     db: Database
     graph: Graph
@@ -102,187 +222,328 @@ class Model:
     encoders: dict[str, Encoder]
     params: K.Params
     raw: dict[str, DataFrame]
+    weighted: dict[EdgeType, DataFrame] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
     weights: np.ndarray | None = None
     pos_weight: float = 1.0
+    #: What the last scores() keeps for its reader.
+    kept: list[DataFrame] = field(default_factory=list)
 
     def incoming(self, node: str) -> list[EdgeType]:
         return [e for e in self.graph.edges if e.dst == node]
 
-    def encoded(self, params: K.Params) -> dict[str, DataFrame]:
-        out = {}
-        for t, df in self.raw.items():
-            sub = {k: v for k, v in params.items() if k.startswith(f"enc.{t}.")}
-            width = max(1, self.encoders[t].width)
-
-            def run(it: Iterator[pd.DataFrame], sub=sub, t=t, width=width) -> Iterator[pd.DataFrame]:
-                for p in it:
-                    yield pd.DataFrame({NODE: p[NODE], "h": list(K.linear(sub, f"enc.{t}", _stack(p["x"], width)))})
-
-            out[t] = df.mapInPandas(run, f"{NODE} long, h array<double>")
-        return out
-
-    def _inputs(self, hs: dict[str, DataFrame], t: str) -> tuple[DataFrame, list[str]]:
-        names, df = [], hs[t]
-        for i, e in enumerate(self.incoming(t)):
-            df = df.join(_mean_arrays(self.graph.edges[e], hs[e.src], self.config.channels, f"m{i}"), NODE, "left")
-            names.append(e.name)
-        return df, names
-
-    def layer(self, params: K.Params, layer: int, hs: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        width, relu, out = self.config.channels, layer < self.config.layers - 1, {}
-        for t in hs:
-            df, names = self._inputs(hs, t)
-            sub = {k: v for k, v in params.items() if k.startswith(f"l{layer}.")}
-
-            def run(it: Iterator[pd.DataFrame], t=t, names=names, sub=sub) -> Iterator[pd.DataFrame]:
-                for p in it:
-                    means = {n: _stack(p[f"m{i}"], width) for i, n in enumerate(names)}
-                    yield pd.DataFrame({NODE: p[NODE], "h": list(K.sage(sub, layer, t, _stack(p["h"], width), means, relu))})
-
-            out[t] = df.mapInPandas(run, f"{NODE} long, h array<double>")
-        return out
-
-    def forward(self, params: K.Params, held: list[DataFrame] | None = None) -> list[dict[str, DataFrame]]:
-        """Vectors after the encoder and each layer. Plans start at the stored features, so they don't grow with the epochs.
-
-        With `held`, layers are kept for the passes that read them again; whoever passes the list gives them up.
-        """
-        states = [self.encoded(params)]
-        for layer in range(self.config.layers):
-            states.append(self.layer(params, layer, states[-1]))
-            if held is not None:
-                held += [df.persist() for df in states[-1].values()]
+    def edges(self, e: EdgeType) -> DataFrame:
+        """(src, dst, w): w is 1 / the number of the destination's neighbours."""
+        if e not in self.weighted:
+            edges = self.graph.edges[e]
+            degree = edges.groupBy("dst").agg((F.lit(1.0) / F.count("*")).alias("w"))
+            self.weighted[e] = edges.join(degree, "dst").select("src", "dst", "w").persist()
+        return self.weighted[e]
+
+    def needed(self, top: set[str]) -> list[set[str]]:
+        """Node types whose vectors are needed after each layer, for those of `top` after the last."""
+        out = [top]
+        for _ in range(self.config.layers - 1):
+            out.append(out[-1] | {e.src for t in out[-1] for e in self.incoming(t)})
+        return out[::-1]
+
+    def width(self, t: str) -> int:
+        return max(1, self.encoders[t].width)
+
+    def inputs(self, samples: DataFrame | None = None, top: set[str] | None = None) -> Inputs:
+        """Stored features and raw means; samples (node, label[, split, scale]) go with the rows of the target table."""
+        out, n_val = {}, 0
+        if samples is not None:
+            split = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split")).cast("int") - 1 if "split" in samples.columns else F.lit(0)
+            samples = samples.select(NODE, "label", split.alias("split"), (F.col("scale") if "scale" in samples.columns else F.lit(1.0)).alias("scale"))
+            n_val = samples.where("split = 1").count()
+        for t in sorted(self.needed(top or {self.spec.target_table})[0]):
+            edges, own = self.incoming(t), self.raw[t].select(NODE, F.lit(0).alias("slot"), F.col("x").alias("v"))
+            if t == self.spec.target_table and samples is not None:
+                own = own.join(samples, NODE, "left")
+            else:
+                own = own.select("*", F.lit(None).cast("double").alias("label"), F.lit(None).cast("int").alias("split"), F.lit(None).cast("double").alias("scale"))
+            parts = [_carried(self.edges(e), self.raw[e.src].withColumnRenamed("x", "v"), "src", "dst", i + 1) for i, e in enumerate(edges)]
+            widths = {0: self.width(t)} | {i + 1: self.width(e.src) for i, e in enumerate(edges)}
+
+            def joined(batches: Iterator[pa.RecordBatch], widths=widths) -> Iterator[pa.RecordBatch]:
+                for x in _assembled(batches, widths):
+                    v = np.hstack([x.v[0], *(y for i in list(widths)[1:] for y in (x.there[i][:, None], x.v[i]))])
+                    yield from _sample_rows(x, v)
+
+            out[t] = _together([own, *parts]).mapInArrow(joined, OUT).drop("sums").persist() if parts else own.persist()
+        return Inputs(out, n_val)
+
+    def _first(self, t: str, z: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """A stored row's features, and (whether there are neighbours, their mean) by edge type."""
+        at, means = self.width(t), {}
+        for e in self.incoming(t):
+            n = self.width(e.src)
+            means[e.name] = z[:, at : at + 1], z[:, at + 1 : at + 1 + n]
+            at += 1 + n
+        return z[:, : self.width(t)], means
+
+    def _layer(self, layer: int, t: str, x: Nodes, p: K.Params) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """(vectors after the layer, own vectors before it, neighbours' means before it)."""
+        edges = self.incoming(t)
+        if layer == 0:
+            own, raw = self._first(t, x.v[0])
+            own = K.linear(p, f"enc.{t}", own)
+            means = {e.name: K.linear(p, f"enc.{e.src}", raw[e.name][1]) * raw[e.name][0] for e in edges}
+        else:
+            own, means = x.v[0], {e.name: x.v[i + 1] for i, e in enumerate(edges)}
+        return K.sage(p, layer, t, own, means, layer < self.config.layers - 1), own, means
+
+    def _back(self, layer: int, t: str, x: Nodes, p: K.Params, out: np.ndarray, own: np.ndarray, means: dict[str, np.ndarray], g: np.ndarray) -> tuple[K.Params, list[pa.RecordBatch]]:
+        """Gradients of parameters, and above the first layer rows of the gradients by the vectors before it: GRADIENT its own, from 1 on the means'."""
+        g_own, g_means, grads = K.sage_back(p, layer, t, own, means, out, g, layer < self.config.layers - 1)
+        if layer:
+            return grads, [_rows(x.node, GRADIENT, g_own), *(_rows(x.node, i + 1, g_means[e.name]) for i, e in enumerate(self.incoming(t)))]
+        features, raw = self._first(t, x.v[0])
+        grads |= K.linear_grads(f"enc.{t}", features, g_own)
+        for e in self.incoming(t):
+            there, mean = raw[e.name]
+            _add(grads, K.linear_grads(f"enc.{e.src}", mean, g_means[e.name] * there))
+        return grads, []
+
+    def _parts(self, layer: int, t: str, states: list[dict[str, DataFrame]], inputs: Inputs) -> list[DataFrame]:
+        """The rows that make the inputs of a layer."""
+        if layer == 0:
+            return [inputs.rows[t]]
+        below = states[layer - 1]
+        return [below[t], *(_carried(self.edges(e), below[e.src], "src", "dst", i + 1) for i, e in enumerate(self.incoming(t)))]
+
+    def _widths(self, layer: int, t: str) -> dict[int, int]:
+        edges, c = self.incoming(t), self.config.channels
+        return {i: c for i in range(len(edges) + 1)} if layer else {0: self.width(t) + sum(1 + self.width(e.src) for e in edges)}
+
+    def _over(self, layer: int, t: str, parts: list[DataFrame], run, grads: bool = False) -> DataFrame:
+        """OUT rows that run() yields from a layer's inputs; of a single table the rows stay where they are."""
+        widths = self._widths(layer, t) | ({GRADIENT: self.config.channels} if grads else {})
+        several = len(parts) > 1
+        moved = _together(parts) if several else parts[0].select(*_names(ROWS))
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = _assembled(batches, widths) if several else (Nodes(b.column(0).to_numpy(), {0: _matrix(b.column(2), widths[0])}, {}, *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))) for b in batches if b.num_rows)
+            yield from run(found)
+
+        return moved.mapInArrow(apply, OUT)
+
+    def _light(self) -> Model:
+        """What workers need: no DataFrames."""
+        return Model(Database(), Graph({}, dict.fromkeys(self.graph.edges)), self.spec, self.config, self.encoders, {}, {}, weights=self.weights, pos_weight=self.pos_weight)
+
+    def forward(self, params: K.Params, inputs: Inputs, top: set[str], held: list[DataFrame], layers: int) -> list[dict[str, DataFrame]]:
+        """Vectors after each of the first `layers` layers, of the types that `top` needs. What is read again is kept until the caller gives up `held`."""
+        states: list[dict[str, DataFrame]] = []
+        me = self._light()
+        for layer, types in enumerate(self.needed(top)[:layers]):
+            found = {}
+            for t in sorted(types):
+
+                def run(batches: Iterator[Nodes], layer=layer, t=t) -> Iterator[pa.RecordBatch]:
+                    for x in batches:
+                        yield from _sample_rows(x, me._layer(layer, t, x, params)[0])
+
+                found[t] = self._over(layer, t, self._parts(layer, t, states, inputs), run).drop("sums").persist()
+                held.append(found[t])
+            states.append(found)
         return states
 
-    def gradients(self, params: K.Params, samples: DataFrame, n: int, epoch: int) -> tuple[float, K.Params]:
-        """Loss and gradients of all parameters. Partitions send sums, one row each; only those reach the driver."""
-        c, task = self.config, self.spec.task_type
+    def step(self, params: K.Params, inputs: Inputs, n: int, epoch: int, learn: bool = True) -> tuple[float, K.Params, np.ndarray]:
+        """Loss and gradients over the n training rows, and (node, score, label) of the validation rows where these are few enough."""
+        c, spec, t, last = self.config, self.spec, self.spec.target_table, self.config.layers - 1
         held: list[DataFrame] = []
-        states = self.forward(params, held)
-        top = samples.join(states[-1][self.spec.target_table], NODE)
-        pos_weight, weights = self.pos_weight, self.weights
-        heads = {k: v for k, v in params.items() if k.startswith("head.")}
-
-        def head_pass(p: pd.DataFrame):
-            h, ids = _stack(p["h"], c.channels), p[NODE].to_numpy()
-            mask = K.drop_mask(ids, c.hidden, c.dropout, c.seed + epoch)
-            logits, z = K.head(heads, h, mask)
-            value, g = K.loss(task, logits, p["label"].to_numpy(), n, pos_weight, weights)
-            gh, grads = K.head_back(heads, h, z, mask, g)
-            return value, gh, grads
-
-        def head_sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield from _sums((dict(grads) | {"loss": np.array([value])} for value, _, grads in map(head_pass, it)))
-
-        def head_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in it:
-                yield pd.DataFrame({NODE: p[NODE], "g": list(head_pass(p)[1])})
-
-        total = _reduced(top.mapInPandas(head_sums, "g binary"))
+        states = self.forward(params, inputs, {t}, held, last)
+        me, tell = self._light(), inputs.n_val <= COLLECTED
+
+        def top(batches: Iterator[Nodes]) -> Iterator[pa.RecordBatch]:
+            total: K.Params = {}
+            for x in batches:
+                out, own, means = me._layer(last, t, x, params)
+                rows = np.flatnonzero(x.split == 1)
+                if tell and len(rows):
+                    yield _rows(x.node[rows], SCORE, K.scored(spec.task_type, K.head(params, out[rows])[0])[:, None], x.label[rows])
+                rows = np.flatnonzero(x.split == 0)
+                if not learn or not len(rows):
+                    continue
+                mask = K.drop_mask(x.node[rows], c.hidden, c.dropout, c.seed + epoch)
+                logits, z = K.head(params, out[rows], mask)
+                value, g = K.loss(spec.task_type, logits, x.label[rows], n, me.pos_weight, me.weights)
+                gh, grads = K.head_back(params, out[rows], z, mask, g * x.scale[rows][:, None])
+                some = Nodes(x.node[rows], {k: v[rows] for k, v in x.v.items()}, {}, x.label[rows], x.split[rows], x.scale[rows])
+                more, sent = me._back(last, t, some, params, out[rows], own[rows], {k: v[rows] for k, v in means.items()}, gh)
+                _add(total, grads | more | {"loss": np.array([value])})
+                yield from sent
+            if total:
+                yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
+
+        rows = self._over(last, t, self._parts(last, t, states, inputs), top)
+        if last and learn:
+            rows = rows.persist()
+            held.append(rows)
+        total, scores = _collected(rows)
         loss = float(total.pop("loss")[0]) if "loss" in total else 0.0
-        grads: dict[str, list[DataFrame]] = {self.spec.target_table: [top.mapInPandas(head_rows, f"{NODE} long, g array<double>")]}
-        for layer in reversed(range(c.layers)):
-            below: dict[str, list[DataFrame]] = {}
-            relu = layer < c.layers - 1
-            sub = {k: v for k, v in params.items() if k.startswith(f"l{layer}.")}
-            for t, parts in grads.items():
-                df, names = self._inputs(states[layer], t)
-                g = _summed(parts, c.channels, "g")
-                rows = df.join(states[layer + 1][t].withColumnRenamed("h", "out"), NODE).join(g, NODE).persist()
-                held.append(rows)
-
-                def back(p: pd.DataFrame, t=t, names=names, sub=sub, layer=layer, relu=relu):
-                    means = {n: _stack(p[f"m{i}"], c.channels) for i, n in enumerate(names)}
-                    return K.sage_back(sub, layer, t, _stack(p["h"], c.channels), means, _stack(p["out"], c.channels), _stack(p["g"], c.channels), relu)
-
-                def sums(it: Iterator[pd.DataFrame], back=back) -> Iterator[pd.DataFrame]:
-                    yield from _sums(back(p)[2] for p in it)
-
-                def down(it: Iterator[pd.DataFrame], back=back, names=names) -> Iterator[pd.DataFrame]:
-                    for p in it:
-                        own, means, _ = back(p)
-                        yield pd.DataFrame({NODE: p[NODE], "g": list(own)} | {f"m{i}": list(means[n]) for i, n in enumerate(names)})
-
-                for k, v in _reduced(rows.mapInPandas(sums, "g binary")).items():
-                    total[k] = total.get(k, 0) + v
-                sent = rows.mapInPandas(down, f"{NODE} long, g array<double>" + "".join(f", m{i} array<double>" for i in range(len(names)))).persist()
-                held.append(sent)
-                below.setdefault(t, []).append(sent.select(NODE, "g"))
-                for i, e in enumerate(self.incoming(t)):
-                    edges = self.graph.edges[e]
-                    degree = edges.groupBy("dst").agg(F.count("*").alias("degree"))
-                    shared = sent.select(F.col(NODE).alias("dst"), F.col(f"m{i}").alias("m")).join(degree, "dst").select("dst", F.transform("m", lambda x: x / F.col("degree")).alias("g"))
-                    below.setdefault(e.src, []).append(edges.join(shared, "dst").select(F.col("src").alias(NODE), "g"))
-            grads = below
-        for t, parts in grads.items():
-            width = max(1, self.encoders[t].width)
-            rows = self.raw[t].join(_summed(parts, c.channels, "g"), NODE)
-
-            def enc(it: Iterator[pd.DataFrame], t=t, width=width) -> Iterator[pd.DataFrame]:
-                yield from _sums(K.linear_grads(f"enc.{t}", _stack(p["x"], width), _stack(p["g"], c.channels)) for p in it)
-
-            total |= _reduced(rows.mapInPandas(enc, "g binary"))
+        sent = {t: rows}
+        for layer in reversed(range(last if learn else 0)):
+            below = {}
+            for u in sorted(self.needed({t})[layer]):
+                got = [sent[u].where(F.col("slot") == GRADIENT)] if u in sent else []
+                got += [_carried(self.edges(e), sent[v].where(F.col("slot") == i + 1), "dst", "src", GRADIENT) for v in sent for i, e in enumerate(self.incoming(v)) if e.src == u]
+                if not got:
+                    continue
+
+                def back(batches: Iterator[Nodes], layer=layer, u=u) -> Iterator[pa.RecordBatch]:
+                    total: K.Params = {}
+                    for x in batches:
+                        grads, sent = me._back(layer, u, x, params, *me._layer(layer, u, x, params), x.v[GRADIENT])
+                        _add(total, grads)
+                        yield from sent
+                    if total:
+                        yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
+
+                below[u] = self._over(layer, u, [*self._parts(layer, u, states, inputs), *got], back, grads=True)
+                if layer:
+                    below[u] = below[u].persist()
+                    held.append(below[u])
+            sums = list(below.values())
+            for df in sums[1:]:
+                sums[0] = sums[0].unionByName(df)
+            _add(total, _collected(sums[0])[0])
+            sent = below
         for df in held:
             df.unpersist()
+        return loss, total, scores
+
+    def gradients(self, params: K.Params, samples: DataFrame, n: int, epoch: int) -> tuple[float, K.Params]:
+        """Loss and gradients of all parameters over samples (node, label)."""
+        inputs = self.inputs(samples)
+        loss, total, _ = self.step(params, inputs, n, epoch)
+        inputs.release()
         return loss, total
 
-    def scores(self, params: K.Params | None = None) -> DataFrame:
+    def scores(self, params: K.Params | None = None, inputs: Inputs | None = None) -> DataFrame:
         """(node, score, prediction) of every row of the target table: a probability, a value on the label's scale, or a class."""
-        params = self.params if params is None else params
-        task, c, spec = self.spec.task_type, self.config, self.spec
-        heads = {k: v for k, v in params.items() if k.startswith("head.")}
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in it:
-                logits, _ = K.head(heads, _stack(p["h"], c.channels))
-                if task == MULTICLASS:
-                    score = prediction = logits.argmax(axis=1).astype(float)
-                elif task == REGRESSION:
-                    score, prediction = logits[:, 0], logits[:, 0] * spec.label_transform.std + spec.label_transform.mean if spec.label_transform.kind == "normalize" else logits[:, 0]
-                else:
-                    score = prediction = 1 / (1 + np.exp(-logits[:, 0]))
-                yield pd.DataFrame({NODE: p[NODE], "score": score, "prediction": prediction})
-
-        return self.forward(params)[-1][spec.target_table].mapInPandas(run, f"{NODE} long, score double, prediction double")
+        params, t, last = self.params if params is None else params, self.spec.target_table, self.config.layers - 1
+        for df in self.kept:
+            df.unpersist()
+        self.kept, spec, me, inputs = [], self.spec, self._light(), inputs or self.inputs()
+        states = self.forward(params, inputs, {t}, self.kept, last)
+
+        def run(batches: Iterator[Nodes]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                score = K.scored(spec.task_type, K.head(params, me._layer(last, t, x, params)[0])[0])
+                yield _rows(x.node, SCORE, np.stack([score, spec.label_transform.back(score) if spec.task_type == REGRESSION else score], axis=1))
+
+        rows = self._over(last, t, self._parts(last, t, states, inputs), run)
+        return rows.select(NODE, F.col("v")[0].alias("score"), F.col("v")[1].alias("prediction"))
 
     def predict(self) -> DataFrame:
         """The target table with its predictions."""
         t = self.db.get_table(self.spec.target_table)
         return t.df.join(self.scores().select(NODE, "prediction"), NODE)
 
-    def synthesize(self, refs: dict[str, object]) -> float:
-        """A prediction for a combination of entities, {table: key}: the head on the mean of their vectors."""
-        states, found = self.forward(self.params)[-1], []
-        for name, value in refs.items():
-            if not self.db.has_table(name) or not self.db.get_table(name).pk:
-                continue
-            t = self.db.get_table(name)
-            row = t.df.where(F.col(t.pk) == value).select(NODE).orderBy(NODE).limit(1).join(states[name], NODE).first()
-            if row:
-                found.append(np.array(row["h"]))
-        if not found:
+    def _resolved(self, refs) -> list[tuple[str, object]]:
+        """(table, key) of references by a foreign key of the target table, or else by a table's name; others are skipped."""
+        fks, out = {fk.column: fk.target for fk in self.db.get_table(self.spec.target_table).fks}, []
+        for name, value in refs.items() if isinstance(refs, dict) else refs:
+            table = fks.get(name, name)
+            if self.db.has_table(table) and self.db.get_table(table).pk:
+                out.append((table, value))
+            else:
+                log.warning("%s is no foreign key of %s and no table with a key: skipped", name, self.spec.target_table)
+        return out
+
+    def synthesize(self, refs) -> float:
+        """A prediction for a combination of entities: the head on the mean of their vectors.
+
+        refs: {foreign key of the target table, or table: key}, or such pairs. Of a repeated key the first row counts. One job looks all of
+        them up; only edges into their rows reach the last layer.
+        """
+        asked = self._resolved(refs)
+        top, last, found, held = {t for t, _ in asked}, self.config.layers - 1, None, []
+        if top:
+            inputs, me, params = self.inputs(top=top), self._light(), self.params
+            states = self.forward(params, inputs, top, held, last)
+            for i, (t, value) in enumerate(asked):
+                table = self.db.get_table(t)
+                key = F.lit(str(value)).try_cast(table.df.schema[table.pk].dataType)
+                node = table.df.where(F.col(table.pk) == key).agg(F.min(NODE)).first()[0]
+                if node is None:
+                    log.warning("%s has no row %s", t, value)
+                    continue
+
+                def run(batches: Iterator[Nodes], t=t, i=i) -> Iterator[pa.RecordBatch]:
+                    for x in batches:
+                        yield _rows(x.node, i, me._layer(last, t, x, params)[0])
+
+                own = self._over(last, t, [p.where(F.col(NODE) == node) for p in self._parts(last, t, states, inputs)], run)
+                found = own if found is None else found.unionByName(own)
+        if found is None:
             raise ValueError(f"none of {refs} is there")
-        logits = K.head(self.params, np.mean(found, axis=0)[None])[0][0]
-        if self.spec.task_type == MULTICLASS:
-            return float(logits.argmax())
-        if self.spec.task_type == REGRESSION:
-            t = self.spec.label_transform
-            return float(logits[0] * t.std + t.mean if t.kind == "normalize" else logits[0])
-        return float(1 / (1 + np.exp(-logits[0])))
+        vectors = [np.array(r["v"]) for r in found.select("v").collect()]
+        for df in (*held, *inputs.rows.values()):
+            df.unpersist()
+        score = float(K.scored(self.spec.task_type, K.head(self.params, np.mean(vectors, axis=0)[None])[0])[0])
+        return self.spec.label_transform.back(score) if self.spec.task_type == REGRESSION else score
+
+    def pair_scores(self, asked: DataFrame, columns: list[str], value: str = "prediction") -> DataFrame:
+        """asked with value: the mean prediction of the target's rows that agree in the foreign keys `columns`, or else that of the combination.
 
-    def evaluate(self, samples: DataFrame, params: K.Params | None = None) -> dict[str, float]:
-        rows = samples.join(self.scores(params), NODE)
+        Combinations without a row are scored from the mean of their entities' vectors, all of them in one plan.
+        """
+        fks = {fk.column: fk.target for fk in self.db.get_table(self.spec.target_table).fks}
+        known = self.predict().groupBy(*columns).agg(F.avg("prediction").alias("_known"))
+        pairs = asked.select(*columns).distinct().join(known, columns, "left")
+        top, last, params, me = {fks[c] for c in columns}, self.config.layers - 1, self.params, self._light()
+        inputs = self.inputs(top=top)
+        states = self.forward(params, inputs, top, [], last)
+        rest = pairs.where("_known is null").select(*columns)
+        parts = []
+        for c in columns:
+            t = fks[c]
+
+            def run(batches: Iterator[Nodes], t=t) -> Iterator[pa.RecordBatch]:
+                for x in batches:
+                    yield _rows(x.node, 0, me._layer(last, t, x, params)[0])
+
+            table = self.db.get_table(t)
+            first = table.df.where(F.col(table.pk).isNotNull()).groupBy(F.col(table.pk).alias(c)).agg(F.min(NODE).alias(NODE))
+            parts.append(rest.join(first.join(self._over(last, t, self._parts(last, t, states, inputs), run).select(NODE, "v"), NODE).select(c, "v"), c).select(*columns, "v"))
+        vectors = parts[0]
+        for p in parts[1:]:
+            vectors = vectors.unionByName(p)
+        spec = self.spec
+
+        @F.pandas_udf("double")
+        def score(column: pd.Series) -> pd.Series:
+            mean = np.stack([np.mean([np.asarray(v, float) for v in vs], axis=0) for vs in column])
+            out = K.scored(spec.task_type, K.head(params, mean)[0])
+            return pd.Series(spec.label_transform.back(out) if spec.task_type == REGRESSION else out)
+
+        made = vectors.groupBy(*columns).agg(F.collect_list("v").alias("_vs")).select(*columns, score("_vs").alias("_made"))
+        return asked.join(pairs.join(made, columns, "left").select(*columns, F.coalesce("_known", "_made").alias(value), F.when(F.col("_known").isNotNull(), "row").when(F.col("_made").isNotNull(), "entities").otherwise("none").alias("source")), columns, "left")
+
+    def evaluate(self, samples: DataFrame, params: K.Params | None = None, inputs: Inputs | None = None) -> dict[str, float]:
+        rows = samples.join(self.scores(params, inputs), NODE)
         if self.spec.task_type == BINARY:
             a, b = metrics.binary(rows, "score", "label").first(), metrics.ranking(rows, "score", "label", NODE).first()
             return {"accuracy": a["accuracy"], "f1": a["f1"], "auc": b["auc"], "average_precision": b["average_precision"]}
         if self.spec.task_type == REGRESSION:
             r = metrics.regression(rows, "score", "label").first()
-            std = self.spec.label_transform.std if self.spec.label_transform.kind == "normalize" else 1.0
-            return {"rmse_norm": r["rmse"], "rmse": r["rmse"] * std, "mae": r["mae"] * std, "r2": r["r2"]}
+            return self._on_scale(r["rmse"], r["mae"], r["r2"])
         r = metrics.multiclass(rows, "score", "label", self.spec.output_dim).first()
         return {"accuracy": r["accuracy"], "macro_f1": r["macro_f1"]}
 
+    def _on_scale(self, rmse: float, mae: float, r2: float) -> dict[str, float]:
+        std = self.spec.label_transform.std if self.spec.label_transform.kind == "normalize" else 1.0
+        return {"rmse_norm": rmse, "rmse": rmse * std, "mae": mae * std, "r2": r2}
+
+    def judged(self, found: np.ndarray) -> dict[str, float]:
+        """The metrics of evaluate() for rows (node, score, label) at the driver."""
+        got = K.metrics(self.spec.task_type, *found.T, self.spec.output_dim)
+        return self._on_scale(got["rmse"], got["mae"], got["r2"]) if self.spec.task_type == REGRESSION else got
+
     def save(self, path: str) -> None:
         """Parameters by name, and the label's mean and std."""
         t = self.spec.label_transform
@@ -297,36 +558,46 @@ class Model:
         self.params = got
 
 
-def _sums(grads: Iterator[K.Params]) -> Iterator[pd.DataFrame]:
-    total: K.Params = {}
-    for g in grads:
-        for k, v in g.items():
-            total[k] = total.get(k, 0) + v
-    if total:
-        yield pd.DataFrame({"g": [pickle.dumps(total)]})
+def _sample_rows(x: Nodes, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    yield _rows(x.node, 0, v, x.label, x.split, x.scale)
 
 
-def _reduced(rows: DataFrame) -> K.Params:
-    """The sum of the partitions' sums, brought together in a tree of two levels, as wide as it is deep."""
+def _add(total: K.Params, grads: K.Params) -> None:
+    for k, v in grads.items():
+        total[k] = total[k] + v if k in total else v
 
-    def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _sums(pickle.loads(x) for p in it for x in p["g"])
 
-    width = max(1, round(rows.sparkSession.sparkContext.defaultParallelism ** 0.5))
-    parts = rows.repartition(width).mapInPandas(merge, "g binary")
-    total: K.Params = {}
-    for row in parts.toLocalIterator():
-        for k, v in pickle.loads(row["g"]).items():
-            total[k] = total.get(k, 0) + v
-    return total
+#: Partitions up to which their sums go to the driver one by one; more are merged on the way, by as many tasks as their square root.
+DIRECT = 64
 
 
-def _summed(parts: list[DataFrame], width: int, name: str) -> DataFrame:
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    cols = [F.sum(F.col("g")[i]).alias(f"c{i}") for i in range(width)]
-    return df.groupBy(NODE).agg(*cols).select(NODE, F.array(*(f"c{i}" for i in range(width))).alias(name))
+def _collected(rows: DataFrame) -> tuple[K.Params, np.ndarray]:
+    """The sums of all partitions, one row of each, and the scores, from one job; nothing else reaches the driver."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: K.Params = {}
+        for batch in batches:
+            scores = batch.filter(pc.equal(batch.column(1), SCORE))
+            if scores.num_rows:
+                yield scores
+            for x in batch.column(6).drop_null().to_pylist():
+                _add(total, pickle.loads(x))
+        if total:
+            yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
+
+    few = rows.where(F.col("slot") <= SCORE)
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if width > DIRECT:
+        few = few.repartition(round(width**0.5)).mapInArrow(merge, OUT)
+    total, scores = {}, []
+    for batch in few.toArrow().to_batches():
+        if batch.num_rows:
+            for x in batch.column(6).drop_null().to_pylist():
+                _add(total, pickle.loads(x))
+            part = batch.filter(pc.equal(batch.column(1), SCORE))
+            if part.num_rows:
+                scores.append(np.column_stack([part.column(0).to_numpy(), _matrix(part.column(2), 1)[:, 0], part.column(3).to_numpy(zero_copy_only=False)]))
+    return total, np.concatenate([np.zeros((0, 3)), *scores])
 
 
 def prepare(db: Database, spec: TaskSpec, config: Config) -> Model:
@@ -353,8 +624,35 @@ def better(task: str, new: dict[str, float], old: dict[str, float] | None) -> bo
     return new[key] < old[key] if task == REGRESSION else new[key] > old[key]
 
 
+def train_sql(spark: SparkSession, name: str, query: str, spec: TaskSpec, tables: list[str] | None = None, fks: dict[str, tuple[ForeignKey, ...]] | None = None, config: Config | None = None) -> Model:
+    """Fit a model to the rows of a SQL query, in one call: the query is written as the table `name`; keys, times and foreign keys of it and
+    of the session's tables (or those named) are detected, beside the foreign keys given by table."""
+    task = task_table(spark, name, query, time_col=spec.split_time_col, fks=(fks or {}).get(name, ()))
+    db = catalog(spark, [t for t in tables or [x.name for x in spark.catalog.listTables()] if t != name] or [name], fks)
+    db.put(task)
+    return train(spark, replace(spec, target_table=name), with_detected_fks(db), config)
+
+
+def report(history: list[dict]) -> str:
+    """A line for each epoch, and the metrics of the test rows."""
+    line = lambda d: "  ".join(f"{k} {v:.4f}" for k, v in d.items() if k != "epoch")
+    return "\n".join(f"test     {line(h['test'])}" if "test" in h else f"{h['epoch'] + 1:5d}    {line(h)}" for h in history)
+
+
+def batched(samples: DataFrame, size: int) -> DataFrame:
+    """samples with the scale of each training row's gradient: all of them over those of its batch, in the order of their nodes."""
+    rows = with_node_ids(samples.where("split = 'train'").withColumnRenamed(NODE, "_row"), ["_row"]).withColumnRenamed(NODE, "_at").withColumnRenamed("_row", NODE)
+    n = rows.count()
+    own = F.when(F.col("_at") < n - n % size, F.lit(size)).otherwise(F.lit(max(1, n % size)))
+    return samples.join(rows.select(NODE, (F.lit(float(n)) / own).alias("scale")), NODE, "left")
+
+
 def train(spark: SparkSession, spec: TaskSpec, db: Database, config: Config | None = None) -> Model:
-    """Fit a model: one full-batch step an epoch, and the parameters that did best on the validation rows."""
+    """Fit a model: one step an epoch, and the parameters that did best on the validation rows.
+
+    The pass that gives an epoch's gradients also scores the validation rows, with the parameters that the step before left, so
+    a run of n epochs takes n passes and one more.
+    """
     config = config or Config(channels=64, epochs=30)
     model = prepare(db, spec, config)
     target = model.db.get_table(spec.target_table)
@@ -368,18 +666,21 @@ def train(spark: SparkSession, spec: TaskSpec, db: Database, config: Config | No
         model.pos_weight = config.pos_weight if config.pos_weight != 1.0 else class_balance(train_rows).first()["pos_weight"]
     elif spec.task_type == MULTICLASS:
         model.weights = np.array([r["weight"] for r in class_weights(train_rows, spec.output_dim).orderBy("class").collect()])
+    inputs = model.inputs(batched(samples, config.batch_size) if 0 < config.batch_size < n else samples)
     adam, best, kept = K.Adam(config.lr), None, None
-    for epoch in range(config.epochs):
-        loss, grads = model.gradients(model.params, train_rows, n, epoch)
-        adam.step(model.params, grads)
-        entry = {"epoch": epoch, "loss": loss}
-        if epoch % config.evaluate_every == 0 or epoch == config.epochs - 1:
-            found = model.evaluate(val_rows)
-            entry |= found
+    for epoch in range(config.epochs + 1):
+        loss, grads, scores = model.step(model.params, inputs, n, epoch, learn=epoch < config.epochs)
+        if epoch and ((epoch - 1) % config.evaluate_every == 0 or epoch == config.epochs):
+            found = model.judged(scores) if inputs.n_val <= COLLECTED else model.evaluate(val_rows, inputs=inputs)
+            model.history[-1] |= found
             if better(spec.task_type, found, best):
                 best, kept = found, {k: v.copy() for k, v in model.params.items()}
-        model.history.append(entry)
+        if epoch < config.epochs:
+            adam.step(model.params, grads)
+            model.history.append({"epoch": epoch, "loss": loss})
     if kept:
         model.params = kept
-    model.history.append({"test": model.evaluate(samples.where("split = 'test'"))})
+    model.history.append({"test": model.evaluate(samples.where("split = 'test'"), inputs=inputs)})
+    inputs.release()
+    samples.unpersist()
     return model

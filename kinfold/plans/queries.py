@@ -137,6 +137,88 @@ def sage_forward_fixed_weights(spark, d):
     return rows.select("node", r4(unit(0)).alias("h0"), r4(unit(1)).alias("h1"))
 
 
+@query("""
+WITH m AS (SELECT o_custkey AS k, avg(o_totalprice / 1e5) AS a, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS b FROM orders GROUP BY 1)
+SELECT c_custkey AS node,
+  round(greatest(0.5 * (c_acctbal / 1e4) + 0.1 + 0.3 * coalesce(a, 0) - 0.2 * coalesce(b, 0) + 0.05 - 0.01, 0) + 3.3e-8, 4) AS h0,
+  round(greatest(-0.4 * (c_acctbal / 1e4) - 0.1 + 0.25 * coalesce(a, 0) + 0.6 * coalesce(b, 0) - 0.05 + 0.02, 0) + 3.3e-8, 4) AS h1
+FROM customer LEFT JOIN m ON k = c_custkey""")
+def model_layer_fixed_weights(spark, d):
+    """The same layer by the model's own passes, from stored features and means."""
+    model, _ = _fixed_model(spark, d, "customer", layers=2)
+    states = model.forward(model.params, model.inputs(top={"customer"}), {"customer"}, [], 1)
+    off_ties = lambda i: F.round(F.col("v")[i] + 3.3e-8, 4)
+    return states[0]["customer"].select(F.col("_nid").alias("node"), off_ties(0).alias("h0"), off_ties(1).alias("h1"))
+
+
+def _fixed_model(spark: SparkSession, d: str, target: str, layers: int):
+    """A model over orders and customers whose weights are given; nodes are keys, features are not fitted."""
+    import numpy as np
+
+    from kinfold.plans.model import Config, Encoder, Model
+    from kinfold.plans.task import TaskSpec
+    from kinfold.schema import ForeignKey
+
+    n = LogicalType.NUMERICAL
+    orders = read(spark, d, "orders").withColumn("_nid", F.col("o_orderkey").cast("long"))
+    customers = read(spark, d, "customer").withColumn("_nid", F.col("c_custkey").cast("long"))
+    db = Database()
+    db.add_table(Table("orders", orders, {"o_orderkey": n, "o_custkey": n}, "o_orderkey", None, (ForeignKey("o_custkey", "customer"),)))
+    db.add_table(Table("customer", customers, {"c_custkey": n}, "c_custkey"))
+    raw = {"orders": orders.select("_nid", F.array(F.col("o_totalprice") / 1e5, recipes.flag(F.col("o_orderstatus") == "F")).alias("x")), "customer": customers.select("_nid", F.array((F.col("c_acctbal") / 1e4).cast("double")).alias("x"))}
+    kind = lambda k: [(str(i), "num", (0.0, 1.0)) for i in range(k)]
+    params = {"enc.orders.W": np.eye(2), "enc.orders.b": np.zeros(2), "enc.customer.W": np.array([[1.0], [0.0]]), "enc.customer.b": np.zeros(2)}
+    edge, back = graph.EdgeType("orders", "o_custkey", "customer"), graph.EdgeType("orders", "o_custkey", "customer").reverse
+    for t, e in (("customer", edge), ("orders", back)):
+        params |= {f"l0.self.{t}.W": np.array([[0.5, 0.0], [-0.4, 0.0]]), f"l0.self.{t}.b": np.array([0.1, -0.1]), f"l0.bias.{t}": np.array([-0.01, 0.02])}
+        params |= {f"l0.neigh.{e.name}.W": np.array([[0.3, -0.2], [0.25, 0.6]]), f"l0.neigh.{e.name}.b": np.array([0.05, -0.05])}
+    params |= {"head.1.W": np.array([[1.0, -0.5], [0.2, 0.7]]), "head.1.b": np.array([0.0, 0.1]), "head.2.W": np.array([[0.8, -1.1]]), "head.2.b": np.array([0.05])}
+    edges = graph.fk_edges(orders, "o_custkey", customers, "c_custkey")
+    return Model(db, graph.Graph({}, {edge: edges, back: graph.reversed_edges(edges)}), TaskSpec(target, "x"), Config(channels=2, layers=layers, hidden=2, dropout=0.0), {"orders": Encoder(kind(2)), "customer": Encoder(kind(1))}, params, raw), target
+
+
+@query("""
+WITH x AS (SELECT o_orderkey, 0.5 * (o_totalprice / 1e5) + 0.1 + 0.3 * coalesce(c_acctbal / 1e4, 0) + 0.05 - 0.01 AS a, -0.4 * (o_totalprice / 1e5) - 0.1 + 0.25 * coalesce(c_acctbal / 1e4, 0) - 0.05 + 0.02 AS b
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, round(1 / (1 + exp(-(0.8 * greatest(a - 0.5 * b, 0) - 1.1 * greatest(0.2 * a + 0.7 * b + 0.1, 0) + 0.05))) + 1e-7, 4) AS prediction FROM x""")
+def predict_fixed_weights(spark, d):
+    """Probabilities of all orders from one layer and the head, with given weights."""
+    model, _ = _fixed_model(spark, d, "orders", layers=1)
+    return model.predict().select("o_orderkey", r4(F.col("prediction")).alias("prediction"))
+
+
+@query("""
+WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, avg(year(o_orderdate)) AS ym, stddev_pop(year(o_orderdate)) AS ys FROM orders)
+SELECT o_orderkey, round((o_totalprice - m) / s + 1e-7, 4) AS price, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f, CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o,
+  CASE WHEN o_orderstatus = 'P' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p, round(sin(month(o_orderdate) * 2 * pi() / 12) + 1e-7, 4) AS month_sin, round(coalesce((year(o_orderdate) - ym) / ys, 0) + 1e-7, 4) AS year
+FROM orders, s""")
+def encoded_rows(spark, d):
+    """The feature vector that a fitted encoder makes of a table: its key is left out, the others follow their types."""
+    from kinfold.plans.model import Config, fit_encoder
+
+    n, c, t = LogicalType.NUMERICAL, LogicalType.CATEGORICAL, LogicalType.TIMESTAMP
+    table = Table("orders", read(spark, d, "orders"), {"o_orderkey": n, "o_totalprice": n, "o_orderstatus": c, "o_orderdate": t}, "o_orderkey")
+    rows = table.df.select("o_orderkey", fit_encoder(table, Config()).column().alias("x"))
+    at = {"price": 0, "f": 1, "o": 2, "p": 3, "month_sin": 4, "year": 8}
+    return rows.select("o_orderkey", *((r4(F.col("x")[i]) if k in ("price", "month_sin", "year") else F.col("x")[i]).alias(k) for k, i in at.items()))
+
+
+@query("SELECT c_custkey AS src, dst FROM customer JOIN (SELECT c_mktsegment AS s, max(c_custkey) AS dst FROM customer GROUP BY 1) ON lower(c_mktsegment) = lower(s)")
+def edge_list_string_key(spark, d):
+    """Foreign keys that are strings; the last row of a repeated key counts."""
+    c = read(spark, d, "customer")
+    return graph.fk_edges(c, "c_mktsegment", c, "c_mktsegment", "c_custkey", "c_custkey")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, CASE WHEN o_totalprice >= 150000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, label, CASE WHEN i < n * 70 // 100 THEN 'train' WHEN i < n * 85 // 100 THEN 'val' ELSE 'test' END AS split FROM r""")
+def split_threshold(spark, d):
+    """A threshold label, and shares of 70, 15 and 15 per cent in the order of time; all columns are kept on the way."""
+    rows = splits.temporal(read(spark, d, "orders"), "o_orderdate", "o_orderkey")
+    return rows.select("o_orderkey", LabelTransform("threshold", 150000.0).apply(F.col("o_totalprice")).alias("label"), "split")
+
+
 # --- keys and types --------------------------------------------------------------------------------------------------
 
 
@@ -546,7 +628,7 @@ def text_label(spark, d):
     return read(spark, d, "events").select("event_id", recipes.numeric_label(F.when(e % 4 == 0, "n/a").otherwise((e % 1000).cast("string"))).alias("label"))
 
 
-@query("SELECT event_id, user_id, round(coalesce(least(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) / 100, 1), 0) + 1e-7, 4) AS roll_value FROM events")
+@query("SELECT event_id, user_id, round(least(coalesce(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) / 100, 1) + 1e-7, 4) AS roll_value FROM events")
 def rolling_stats(spark, d):
     rows = recipes.rolling_stats(read(spark, d, "events"), "user_id", ["ts", "event_id"], {"value": 100.0})
     return rows.select("event_id", "user_id", r4(F.col("roll_value")).alias("roll_value"))
@@ -639,6 +721,30 @@ def holdout_by_date(spark, d):
     return a.agg(F.count("*").alias("n_before")).crossJoin(b.agg(F.count("*").alias("n_after")))
 
 
+_TEAM_STATS = {"shots_on": "o_orderkey % 9", "shots_tot": "o_orderkey % 21", "possession": "o_custkey % 101", "corners": "o_orderkey % 13", "fouls": "o_custkey % 17", "yellows": "o_orderkey % 6", "saves": "o_orderkey % 8", "pass_acc": "o_orderkey % 97"}
+_PLAYER_STATS = {"rating": "l_quantity / 5", "goals_pp": "l_linenumber % 2", "assists_pp": "l_linenumber % 3", "tackles_pp": "l_quantity", "dribbles_pp": "l_discount"}
+_ROLLED = [*_TEAM_STATS, *_PLAYER_STATS]
+_ROLLING_SQL = f"""
+WITH {_GAMES},
+h AS (SELECT game, day, t AS team, t = home AS is_home FROM (SELECT *, unnest([home, away]) AS t FROM g) WHERE day < DATE '1997-01-01'),
+s AS (SELECT o_orderkey AS game, o_custkey % 20 AS team, {", ".join(f"CAST({e} AS DOUBLE){' / 100' if c in recipes.PER_CENT else ''} AS {c}" for c, e in _TEAM_STATS.items())} FROM orders),
+p AS (SELECT l_orderkey AS game, l_suppkey % 20 AS team, {", ".join(f"avg(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE CAST({e} AS DOUBLE) END) AS {c}" for c, e in _PLAYER_STATS.items())} FROM lineitem GROUP BY 1, 2),
+j AS (SELECT h.*, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _ROLLED)} FROM h LEFT JOIN s USING (game, team) LEFT JOIN p USING (game, team)),
+r AS (SELECT game, is_home, {", ".join(f"least(coalesce(avg({c}) OVER w, 0) / {v}, 1) AS {c}" for c, v in (recipes.GAME_CAPS | recipes.PLAYER_CAPS).items())} FROM j WINDOW w AS (PARTITION BY team ORDER BY day, game ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+SELECT g.game, {", ".join(f"round(coalesce({x}.{c}, 0) + 1e-7, 4) AS {x}_roll_{c}" for x in "ha" for c in _ROLLED)}
+FROM g LEFT JOIN (SELECT * FROM r WHERE is_home) h ON h.game = g.game LEFT JOIN (SELECT * FROM r WHERE NOT is_home) a ON a.game = g.game"""
+
+
+@query(_ROLLING_SQL)
+def rolling_features(spark, d):
+    """Thirteen statistics of either team over its last five games before a cutoff: side tables with blanks, and games that they lack."""
+    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
+    teams = o.select(F.col("o_orderkey").alias("game"), (F.col("o_custkey") % 20).alias("team"), *(F.expr(e).alias(c) for c, e in _TEAM_STATS.items()))
+    players = li.select(F.col("l_orderkey").alias("game"), (F.col("l_suppkey") % 20).alias("team"), *(F.when(F.col("l_linenumber") % 4 != 0, F.expr(e)).alias(c) for c, e in _PLAYER_STATS.items()))
+    out = recipes.rolling_features(_games(spark, d), "1997-01-01", teams, players)
+    return out.select("game", *(r4(F.col(f"{x}_roll_{c}")).alias(f"{x}_roll_{c}") for x in "ha" for c in _ROLLED))
+
+
 @query()
 def train_predict_rows(spark, d):
     """Train a small model for two epochs and score every order; its weights come from a fixed seed."""

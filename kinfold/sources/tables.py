@@ -2,22 +2,72 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.infer import infer_types, is_categorical, parse
+from kinfold.functions.infer import categorical, infer_types, parse
 from kinfold.operators.keys import detect_pk, detect_time_col
 from kinfold.schema import Database, ForeignKey, LogicalType, Table, logical_type_of, typed
 
 
-def read_csv(spark: SparkSession, path: str, name: str, overrides: dict[str, LogicalType] | None = None, pk: str | None = None, time_col: str | None = None, fks: tuple[ForeignKey, ...] = ()) -> Table:
+log = logging.getLogger(__name__)
+
+
+def read_csv(spark: SparkSession, path: str, name: str, overrides: dict[str, LogicalType] | None = None, pk: str | None = None, time_col: str | None = None, fks: tuple[ForeignKey, ...] = (), raw_columns: Sequence[str] = ()) -> Table:
     """A table from a CSV file with a header: quotes doubled within quotes, no trimming, short rows padded with null.
 
-    The file is read as strings; explicit types win, the others follow from all values. Cells that don't parse are null.
+    The file is read as strings; explicit types win, the others follow from all values. Cells that don't parse are null. raw_columns
+    are also kept as they stand in the file, as <column>_raw, which is TEXT.
     """
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", None).option("emptyValue", "").csv(path)
     types = infer_types(raw, overrides)
-    return Table(name, raw.select(*(parse(F.col(c), t).alias(c) for c, t in types.items())), types, pk, time_col, fks)
+    kept = {f"{c}_raw": c for c in raw_columns}
+    df = raw.select(*(parse(F.col(c), t).alias(c) for c, t in types.items()), *(F.col(c).alias(n) for n, c in kept.items()))
+    return Table(name, df, types | dict.fromkeys(kept, LogicalType.TEXT), pk, time_col, fks)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def side_file(spark: SparkSession, path: str, numbers: Mapping[str, str]) -> DataFrame | None:
+    """Columns of a CSV file that may not be there (None then): {name: its name in the header}, whose blanks are trimmed.
+
+    Cells are numbers; blanks, what is none, and columns that the file lacks are 0.
+    """
+    if not _exists(spark, path):
+        log.info("%s is not there: skipped", path)
+        return None
+    raw = spark.read.option("header", True).csv(path)
+    raw = raw.toDF(*(c.strip() for c in raw.columns))
+    zero = lambda c: F.coalesce(F.trim(c).try_cast("double"), F.lit(0.0)) if c in raw.columns else F.lit(0.0)
+    return raw.select(*(zero(source).alias(name) for name, source in numbers.items()))
+
+
+def from_columns(spark: SparkSession, tables: Mapping[str, Mapping]) -> Database:
+    """A database from {table: {"columns": [{"name", "type", "values"}], "pkey_col", "time_col", "foreign_keys": [{"column", "references"}]}}.
+
+    type: numerical, categorical, timestamp (text or seconds since 1970) or text. Lists must be equally long.
+    """
+    db = Database()
+    for name, spec in tables.items():
+        columns = spec["columns"]
+        types = {c["name"]: LogicalType(c["type"].upper()) for c in columns}
+        if len({len(c["values"]) for c in columns}) > 1:
+            raise ValueError(f"the columns of {name} are not equally long")
+        number = lambda v: None if v is None else float(v)
+        text = lambda v: None if v is None else str(v)
+        kinds = {LogicalType.NUMERICAL: ("double", number), LogicalType.TIMESTAMP: ("string", text), LogicalType.CATEGORICAL: ("string", text), LogicalType.TEXT: ("string", text)}
+        rows = list(zip(*([kinds[types[c["name"]]][1](v) for v in c["values"]] for c in columns), strict=True))
+        df = spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds[t][0]}" for c, t in types.items()))
+        times = [c for c, t in types.items() if t is LogicalType.TIMESTAMP]
+        df = df.withColumns({c: F.coalesce(F.timestamp_seconds(F.col(c).try_cast("double")), F.col(c).try_cast("timestamp")) for c in times})
+        db.add_table(Table(name, df, types, spec.get("pkey_col"), spec.get("time_col"), tuple(ForeignKey(k["column"], k["references"]) for k in spec.get("foreign_keys") or ())))
+    return db
 
 
 def read_csv_database(spark: SparkSession, folder: str, schemas: dict[str, dict] | None = None) -> Database:
@@ -37,8 +87,8 @@ def from_dataframe(name: str, df: DataFrame, pk: str | None = None, time_col: st
     """A table from typed columns: string columns are categorical if at most 5 % of their values differ (exactly counted)."""
     types = {c: (overrides or {}).get(c) or logical_type_of(t) for c, t in df.dtypes}
     if texts := [c for c, t in types.items() if t is None]:
-        row = df.agg(*(is_categorical(F.col(c)).alias(c) for c in texts)).first()
-        types |= {c: LogicalType.CATEGORICAL if row[c] else LogicalType.TEXT for c in texts}
+        row = categorical(df.select(*texts))
+        types |= {c: LogicalType.CATEGORICAL if c in row else LogicalType.TEXT for c in texts}
     if detect:
         pk, time_col = pk or detect_pk(name, df), time_col or detect_time_col(df)
     if time_col:
@@ -47,25 +97,32 @@ def from_dataframe(name: str, df: DataFrame, pk: str | None = None, time_col: st
 
 
 def task_table(spark: SparkSession, name: str, query: str, **kwargs) -> Table:
-    """The result of a SQL query as a table, also registered as a view of its name."""
-    df = spark.sql(query)
-    df.createOrReplaceTempView(name)
-    return from_dataframe(name, df, **kwargs)
+    """The result of a SQL query as a table of its name, written to the warehouse: its rows stay the same however often they are read."""
+    spark.sql(query).write.mode("overwrite").saveAsTable(name)
+    return from_dataframe(name, spark.table(name), **kwargs)
 
 
-def catalog(spark: SparkSession, names: list[str] | None = None) -> Database:
-    """The session's tables and views, or those named, with keys and times detected."""
+def catalog(spark: SparkSession, names: list[str] | None = None, fks: Mapping[str, tuple[ForeignKey, ...]] | None = None) -> Database:
+    """The session's tables and views, or those named, with keys and times detected; fks: declared foreign keys by table."""
     db = Database()
     for name in names or [t.name for t in spark.catalog.listTables()]:
-        db.add_table(from_dataframe(name, spark.table(name)))
+        db.add_table(from_dataframe(name, spark.table(name), fks=(fks or {}).get(name, ())))
     return db
 
 
 def load_task(spark: SparkSession, path: str, table: DataFrame, pk: str, node: str = "_nid") -> DataFrame:
-    """(node, label, split) from a CSV of (pk, label, split); keys that are not in the table are left out, of a repeated key the last row of the table counts."""
+    """(node, label, split) from a CSV of (pk, label, split); of a repeated key the last row of the table counts.
+
+    Keys that are not in the table are left out, and their number is logged. Numbers are compared as numbers ("7" is 7.0).
+    """
     rows = spark.read.option("header", True).csv(path).toDF("_key", "label", "split")
-    nodes = table.groupBy(F.col(pk).cast("string").alias("_key")).agg(F.max(node).alias(node))
-    return rows.join(nodes, "_key").select(node, F.col("label").try_cast("double").alias("label"), "split")
+    numeric = table.schema[pk].dataType.simpleString() not in ("string", "date", "timestamp", "boolean")
+    key = lambda c: F.col(c).try_cast("double") if numeric else F.col(c).cast("string")
+    nodes = table.groupBy(key(pk).alias("_key")).agg(F.max(node).alias(node))
+    found = rows.withColumn("_key", key("_key")).join(nodes, "_key", "left")
+    if missing := found.where(F.col(node).isNull()).count():
+        log.warning("%d rows of %s have no row in the table", missing, path)
+    return found.where(F.col(node).isNotNull()).select(node, F.col("label").try_cast("double").alias("label"), "split")
 
 
 def save_task(samples: DataFrame, table: DataFrame, pk: str, path: str, node: str = "_nid") -> None:

@@ -1,4 +1,4 @@
-"""The model on a four-row database: shapes, gradients, training, questions."""
+"""The model on small databases: gradients, training, evaluation, combinations of entities, questions."""
 
 import json
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.labels import LabelTransform
 from kinfold.plans import kernels as K
+from kinfold.plans import model as M
 from kinfold.plans.ask import Registry, Session, decode, read_env, schema_json, unfenced
 from kinfold.plans.model import Config, prepare, train
 from kinfold.plans.task import TaskSpec
@@ -19,50 +20,152 @@ N, C = LogicalType.NUMERICAL, LogicalType.CATEGORICAL
 
 @pytest.fixture(scope="module")
 def db(spark):
-    trips = spark.createDataFrame([(1, 1.0, "flat", 1, 0.0), (2, -0.5, "hilly", 1, 1.0), (3, 0.3, "flat", 2, 0.0), (4, -1.2, "hilly", 2, 1.0)], "id long, distance double, terrain string, driver_id long, late double")
-    drivers = spark.createDataFrame([(1, 0.8), (2, -0.4)], "id long, experience double")
+    """Loans between two members each, of a book or of none; one book and one member have no loan."""
+    rows = [(11, 0.4, "desk", 1, 2, 5, 0.0), (12, -1.5, "post", 2, 1, 5, 1.0), (13, 0.9, "desk", 1, 3, None, 1.0), (14, 0.1, "app", 3, 3, 6, 0.0), (15, -0.2, "post", 2, 9, 6, 1.0)]
+    loans = spark.createDataFrame(rows, "id long, weeks double, channel string, giver long, taker long, book_id long, late double")
+    members = spark.createDataFrame([(1, 0.3), (2, -0.9), (3, 1.4), (4, 0.0)], "id long, age double")
+    books = spark.createDataFrame([(5, "x", 2.0), (6, "y", -1.0), (7, "x", 0.5)], "id long, shelf string, weight double")
     out = Database()
-    out.add_table(Table("trips", trips, {"id": N, "distance": N, "terrain": C, "driver_id": N, "late": N}, "id", None, (ForeignKey("driver_id", "drivers"),)))
-    out.add_table(Table("drivers", drivers, {"id": N, "experience": N}, "id"))
+    fks = (ForeignKey("giver", "members"), ForeignKey("taker", "members"), ForeignKey("book_id", "books"))
+    out.add_table(Table("loans", loans, {"id": N, "weeks": N, "channel": C, "giver": N, "taker": N, "book_id": N, "late": N}, "id", None, fks))
+    out.add_table(Table("members", members, {"id": N, "age": N}, "id"))
+    out.add_table(Table("books", books, {"id": N, "shelf": C, "weight": N}, "id"))
     return out
 
 
-SPEC = TaskSpec("trips", "late", label_transform=LabelTransform("threshold", 0.5))
-SMALL = Config(channels=4, hidden=4, layers=1, dropout=0.0, epochs=2, lr=0.01)
+SPEC = TaskSpec("loans", "late", label_transform=LabelTransform("threshold", 0.5))
+SMALL = Config(channels=4, hidden=4, layers=1, dropout=0.0, epochs=2, lr=0.01, exclude_fk=True)
 
 
-def test_gradients_match_differences(spark, db):
-    model = prepare(db, SPEC, SMALL)
-    assert model.encoders["trips"].width == 4 and model.encoders["drivers"].width == 1
-    samples = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 0.0), (3, 1.0)], "_nid long, label double")
-    rng = np.random.default_rng(1)  # away from the kinks at zero
-    model.params = {k: v + 0.1 * rng.normal(size=v.shape) for k, v in model.params.items()}
-    loss, grads = model.gradients(model.params, samples, 4, 0)
-
+def plain(model, p, samples, scale):
+    """(loss, logits of the samples) without Spark: full passes over all nodes. scale: of each sample's loss."""
     raw = {t: {r["_nid"]: np.array(r["x"]) for r in df.collect()} for t, df in model.raw.items()}
     edges = {e: [(r["src"], r["dst"]) for r in df.collect()] for e, df in model.graph.edges.items()}
+    c, last = model.config.channels, model.config.layers - 1
 
-    def plain(p):
+    def value(p):
         h = {t: K.linear(p, f"enc.{t}", np.stack([x[i] for i in sorted(x)])) for t, x in raw.items()}
-        for layer in range(1):
+        for layer in range(last + 1):
             new = {}
             for t in h:
                 means = {}
                 for e in model.incoming(t):
                     rows = [[h[e.src][s] for s, d in edges[e] if d == i] for i in range(len(h[t]))]
-                    means[e.name] = np.stack([np.mean(r, axis=0) if r else np.zeros(4) for r in rows])
-                new[t] = K.sage(p, layer, t, h[t], means, False)
+                    means[e.name] = np.stack([np.mean(r, axis=0) if r else np.zeros(c) for r in rows])
+                new[t] = K.sage(p, layer, t, h[t], means, layer < last)
             h = new
-        return K.loss("binary_classification", K.head(p, h["trips"])[0], np.array([0.0, 1.0, 0.0, 1.0]), 4)[0]
+        at, y = [i for i, _ in samples], np.array([y for _, y in samples])
+        logits = K.head(p, h["loans"][at])[0]
+        each = [K.loss(model.spec.task_type, logits[i : i + 1], y[i : i + 1], len(y), model.pos_weight, model.weights)[0] for i in range(len(y))]
+        return float((np.array(each) * scale).sum()), logits, h
 
-    assert loss == pytest.approx(plain(model.params), abs=1e-12)
+    return value if p is None else value(p)
+
+
+@pytest.mark.parametrize("layers", [1, 2, 3])
+def test_gradients_match_differences(spark, db, layers):
+    if layers == 3:  # a smaller graph
+        full, db = db, Database()
+        loans = full.get_table("loans")
+        hidden = dict.fromkeys(("giver", "taker"), LogicalType.TEXT)
+        db.add_table(Table("loans", loans.df, loans.types | hidden, "id", None, (ForeignKey("book_id", "books"),)))
+        db.add_table(full.get_table("books"))
+    model = prepare(db, SPEC, Config(channels=3, hidden=3, layers=layers, dropout=0.0, exclude_fk=True, seed=layers))
+    assert model.encoders["loans"].width == 4 and model.encoders["books"].width == 3
+    rows = [(0, 0.0), (1, 1.0), (3, 0.0), (4, 1.0)]
+    samples = spark.createDataFrame([(i, y, "train") for i, y in rows] + [(2, 1.0, "val")], "_nid long, label double, split string")
+    rng = np.random.default_rng(1)  # away from the kinks at zero
+    model.params = {k: v + 0.1 * rng.normal(size=v.shape) for k, v in model.params.items()}
+    model.pos_weight = 1.5
+    value = plain(model, None, rows, np.ones(4))
+    inputs = model.inputs(samples)
+    loss, grads, scores = model.step(model.params, inputs, 4, 0)
+    expected, _, h = value(model.params)
+    assert loss == pytest.approx(expected, abs=1e-12)
+    assert scores.shape == (1, 3) and scores[0, 0] == 2 and scores[0, 1] == pytest.approx(1 / (1 + np.exp(-K.head(model.params, h["loans"][2:3])[0][0, 0])), abs=1e-12)
+    assert {r["_nid"]: r["score"] for r in model.scores().collect()}[2] == pytest.approx(scores[0, 1], abs=1e-12)
+    # Parameters of the last layer for other types than the target's never matter.
+    assert set(model.params) - set(grads) == {k for k in model.params if k.startswith(f"l{layers - 1}.") and (k.startswith((f"l{layers - 1}.self.", f"l{layers - 1}.bias.")) and ".loans" not in k or ".neigh." in k and "__loans." not in k)}
     for name, g in grads.items():
-        for at in np.ndindex(g.shape):
+        for at in list(np.ndindex(g.shape))[:: 1 if layers < 3 else 3]:
             p = {k: v.copy() for k, v in model.params.items()}
             p[name][at] += 1e-6
-            up = plain(p)
+            up = value(p)[0]
             p[name][at] -= 2e-6
-            assert g[at] == pytest.approx((up - plain(p)) / 2e-6, abs=1e-5), name
+            assert g[at] == pytest.approx((up - value(p)[0]) / 2e-6, abs=1e-5), name
+    inputs.release()
+
+
+def test_batches_add_up_their_own_means(spark, db):
+    model = prepare(db, SPEC, SMALL)
+    rows = [(i, float(i % 2)) for i in range(5)]
+    samples = spark.createDataFrame([(i, y, "train") for i, y in rows], "_nid long, label double, split string")
+    scales = {r["_nid"]: r["scale"] for r in M.batched(samples, 2).collect()}
+    assert scales == {0: 2.5, 1: 2.5, 2: 2.5, 3: 2.5, 4: 5.0}
+    _, grads, _ = model.step(model.params, model.inputs(M.batched(samples, 2)), 5, 0)
+    value = plain(model, None, rows, np.array([scales[i] for i, _ in rows]))
+    for name in ("enc.members.W", "head.2.W", "l0.self.loans.W"):
+        p = {k: v.copy() for k, v in model.params.items()}
+        p[name][0, 0] += 1e-6
+        assert grads[name][0, 0] == pytest.approx((value(p)[0] - value(model.params)[0]) / 1e-6, abs=1e-4)
+
+
+def test_merged_sums_are_the_same(spark, db, monkeypatch):
+    model = prepare(db, SPEC, SMALL)
+    samples = spark.createDataFrame([(i, float(i % 2), "val" if i == 4 else "train") for i in range(5)], "_nid long, label double, split string").repartition(3)
+    inputs = model.inputs(samples)
+    one = model.step(model.params, inputs, 4, 0)
+    monkeypatch.setattr(M, "DIRECT", 1)
+    other = model.step(model.params, inputs, 4, 0)
+    assert one[0] == pytest.approx(other[0], abs=1e-12) and (one[2] == other[2]).all()
+    assert all(np.allclose(one[1][k], other[1][k], atol=1e-12) for k in one[1])
+
+
+def test_adam():
+    adam, p = K.Adam(0.1), {"w": np.array([1.0, -2.0])}
+    m = v = np.zeros(2)
+    w = p["w"].copy()
+    for t in range(1, 4):
+        g = np.array([0.5, -0.1]) * t
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        adam.step(p, {"w": g})
+        assert np.allclose(p["w"], w, atol=1e-15)
+
+
+@pytest.mark.parametrize("task", ["binary_classification", "regression", "multiclass_classification"])
+def test_metrics_at_the_driver_are_those_of_queries(spark, task):
+    from kinfold.functions import metrics
+
+    rng = np.random.default_rng(4)
+    ids, y = np.arange(300.0), rng.integers(0, 2 if task[0] == "b" else 4, 300).astype(float)
+    score = rng.integers(0, 3, 300).astype(float) if task[0] == "m" else np.round(rng.random(300), 1)
+    got = K.metrics(task, ids, score, y, 4)
+    rows = spark.createDataFrame([(int(i), float(a), float(b)) for i, a, b in zip(ids, score, y)], "_nid long, score double, label double").repartition(3)
+    if task[0] == "b":
+        expected = metrics.binary(rows, "score", "label").first().asDict() | metrics.ranking(rows, "score", "label", "_nid").first().asDict()
+    else:
+        expected = (metrics.regression(rows, "score", "label") if task[0] == "r" else metrics.multiclass(rows, "score", "label", 4)).first().asDict()
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-12) for k in got)
+    for k, v in K.metrics(task, np.zeros(0), np.zeros(0), np.zeros(0), 4).items():
+        assert v == (0.5 if k == "auc" else 0.0)
+
+
+def test_combinations_of_entities(spark, db):
+    model = prepare(db, SPEC, Config(channels=3, hidden=3, layers=2, dropout=0.0, exclude_fk=True))
+    h = plain(model, model.params, [(0, 0.0)], np.ones(1))[2]
+    score = lambda *v: float(1 / (1 + np.exp(-K.head(model.params, np.mean(v, axis=0)[None])[0][0, 0])))
+    # Two foreign keys into one table, by column; keys are text in a reply.
+    assert model.synthesize({"giver": "3", "taker": "1", "book_id": 7}) == pytest.approx(score(h["members"][2], h["members"][0], h["books"][2]), abs=1e-12)
+    assert model.synthesize({"members": 4, "no_such": 1, "book_id": "99"}) == pytest.approx(score(h["members"][3]), abs=1e-12)
+    for none in ({}, {"book_id": "99"}, {"no_such": 1}):
+        with pytest.raises(ValueError):
+            model.synthesize(none)
+    asked = spark.createDataFrame([(1, 2), (4, 1), (4, 1), (77, 2)], "giver long, taker long")
+    out = {(r["giver"], r["taker"]): (r["prediction"], r["source"]) for r in model.pair_scores(asked, ["giver", "taker"]).collect()}
+    row = {(r["giver"], r["taker"]): r["prediction"] for r in model.predict().collect()}
+    assert out[1, 2] == (pytest.approx(row[1, 2], abs=1e-12), "row") and out[4, 1] == (pytest.approx(score(h["members"][3], h["members"][0]), abs=1e-12), "entities")
+    assert out[77, 2][1] == "entities" and out[77, 2][0] == pytest.approx(score(h["members"][1]), abs=1e-12) and model.pair_scores(asked, ["giver", "taker"]).count() == 4
 
 
 def test_layer_with_relu():
@@ -95,42 +198,89 @@ def test_heads():
 
 def test_train_predict_save_ask(spark, db, tmp_path):
     big = Database()
-    rows = spark.range(60).select(F.col("id"), (F.col("id") % 7).cast("double").alias("distance"), F.when(F.col("id") % 2 == 0, "flat").otherwise("hilly").alias("terrain"), (F.col("id") % 2 + 1).alias("driver_id"), (F.col("id") % 2).cast("double").alias("late"))
-    big.add_table(Table("trips", rows, {"id": N, "distance": N, "terrain": C, "driver_id": N, "late": N}, "id", None, (ForeignKey("driver_id", "drivers"),)))
-    big.add_table(db.get_table("drivers"))
-    reply = json.dumps({"target_table": "trips", "target_column": "late", "task_type": "binary_classification", "label_transform": {"kind": "threshold", "threshold": 0.5}, "inference_filters": [{"column": "terrain", "op": "=", "value": "hilly"}], "inference_agg": "mean"})
+    rows = spark.range(60).select(F.col("id"), (F.col("id") % 7).cast("double").alias("weeks"), F.when(F.col("id") % 2 == 0, "desk").otherwise("post").alias("channel"), (F.col("id") % 2 + 5).alias("book_id"), (F.col("id") % 2).cast("double").alias("late"))
+    big.add_table(Table("loans", rows, {"id": N, "weeks": N, "channel": C, "book_id": N, "late": N}, "id", None, (ForeignKey("book_id", "books"),)))
+    big.add_table(db.get_table("books"))
+    reply = json.dumps({"target_table": "loans", "target_column": "late", "task_type": "binary_classification", "label_transform": {"kind": "threshold", "threshold": 0.5}, "inference_filters": [{"column": "channel", "op": "=", "value": "post"}], "inference_agg": "mean"})
     said = []
 
     def speaker(system, message):
         said.append(message)
         return f"```json\n{reply}\n```" if "JSON" in system else message
 
-    config = Config(channels=4, hidden=4, layers=1, dropout=0.0, epochs=2, lr=0.05, evaluate_every=2)
+    config = Config(channels=4, hidden=4, layers=2, dropout=0.0, epochs=3, lr=0.05, evaluate_every=2)
     session = Session(spark, big, speaker, config, Registry(tmp_path))
     spec = decode(reply, big)
     assert session.intent(spec) == "train"
-    answer = session.ask("how late are hilly trips?")
+    answer = session.ask("how late are loans by post?")
     assert "mean over 30 rows" in answer and session.intent(spec) == "infer"
-    losses = [h["loss"] for h in session.models[spec.fingerprint()].history if "loss" in h]
-    assert losses[-1] < losses[0]
+    history = session.models[spec.fingerprint()].history
+    losses = [h["loss"] for h in history if "loss" in h]
+    assert len(losses) == 3 and losses[-1] < losses[0] and ["auc" in h for h in history[:3]] == [True, False, True] and "auc" in history[3]["test"]
     again = Session(spark, big, speaker, config, Registry(tmp_path))
     assert again.intent(spec) == "load"
-    assert 0 <= again.model(spec).synthesize({"drivers": 1, "trips": 3}) <= 1
+    assert 0 <= again.model(spec).synthesize({"books": 5, "loans": 3}) <= 1
+    assert again.models[spec.fingerprint()].predict().count() == 60
 
 
 def test_replies(spark, db):
     assert unfenced("x\n```json\n{}\n```\ny").strip() == "{}"
-    good = {"target_table": "trips", "target_column": "late", "task_type": "regression", "label_transform": {"kind": "identity"}}
+    good = {"target_table": "loans", "target_column": "late", "task_type": "regression", "label_transform": {"kind": "identity"}}
     assert decode(json.dumps(good), db).label_transform.kind == "normalize"
     for bad in ({"target_table": "no"}, {"target_column": "no"}, {"task_type": "no"}, {"label_transform": {"kind": "no"}}, {"inference_filters": [{"column": "late"}]}):
         with pytest.raises(ValueError):
             decode(json.dumps(good | bad), db)
     with pytest.raises(ValueError):
         decode("not json", db)
-    assert json.loads(schema_json(db))[0]["foreign_keys"] == [{"column": "driver_id", "references": "drivers"}]
+    assert json.loads(schema_json(db))[0]["foreign_keys"][2] == {"column": "book_id", "references": "books"}
     assert read_env("# no\nexport A='1'\nB = 2\n") == {"A": "1", "B": "2"}
 
 
+def test_client_keeps_what_was_said(tmp_path, monkeypatch):
+    from kinfold.plans.client import Client, setting
+
+    for name in ("KINFOLD_API_KEY", "KINFOLD_MODEL", "KINFOLD_SYSTEM"):
+        monkeypatch.delenv(name, raising=False)
+    sent, replies = [], [{"content": [{"text": "one"}], "usage": {"input_tokens": 3, "output_tokens": 1}}, {"error": {"message": "busy"}}, {"content": []}, None]
+
+    def transport(url, headers, body):
+        sent.append((url, headers, json.loads(body)))
+        reply = replies[len(sent) - 1]
+        return json.dumps(reply).encode() if reply else b"oops"
+
+    client = Client("https://example.org/messages", env_file=tmp_path / ".env", transport=transport)
+    with pytest.raises(RuntimeError, match="no key"):
+        client.send("hi")
+    (tmp_path / ".env").write_text("# settings\nexport KINFOLD_API_KEY='k1'\nKINFOLD_MODEL=m\n")
+    monkeypatch.setenv("KINFOLD_MODEL", "other")
+    assert setting("KINFOLD_MODEL", tmp_path / ".env") == "other" and setting("NOPE", tmp_path / ".env") is None
+    assert client.send("first") == "one" and client.usage == {"input_tokens": 3, "output_tokens": 1}
+    assert sent[0][1]["x-api-key"] == "k1" and sent[0][2] == {"model": "other", "max_tokens": 1024, "messages": [{"role": "user", "content": "first"}]}
+    with pytest.raises(RuntimeError, match="busy"):
+        client.send("second")
+    assert client("rules", "alone") == "" and sent[2][2]["system"] == "rules" and len(sent[2][2]["messages"]) == 1
+    assert [m["content"] for m in client.history] == ["first", "one"]
+    with pytest.raises(RuntimeError, match="not JSON"):
+        client.send("third")
+    assert [m["content"] for m in sent[3][2]["messages"]] == ["first", "one", "third"]
+    client.reset()
+    assert client.history == []
+
+
+def test_train_on_a_query(spark):
+    spark.range(40).select(F.col("id").alias("shopId"), (F.col("id") % 3).cast("double").alias("size")).where("shopId < 6").write.mode("overwrite").saveAsTable("shops")
+    try:
+        query = "SELECT id AS saleId, id % 6 AS shopId, CAST(id % 5 AS DOUBLE) AS amount, rand() AS noise FROM range(60)"
+        spec = TaskSpec("", "amount", "regression", LabelTransform("normalize"))
+        model = M.train_sql(spark, "sales", query, spec, tables=["shops"], config=Config(channels=4, hidden=4, layers=1, epochs=2, batch_size=16))
+        assert {e.name for e in model.graph.edges} == {"sales__shopId__shops", "shops__rev_shopId__sales"}
+        assert spark.table("sales").agg(F.sum("noise")).first() == spark.table("sales").agg(F.sum("noise")).first() and model.predict().count() == 60
+        assert M.report(model.history).splitlines()[0].startswith("    1    loss ") and M.report(model.history).splitlines()[-1].startswith("test     rmse_norm ")
+    finally:
+        spark.sql("DROP TABLE IF EXISTS shops")
+        spark.sql("DROP TABLE IF EXISTS sales")
+
+
 def test_windows(spark):
     rows = spark.range(20).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") / 20.0).alias("prediction"))
     out = windowed(rows, "ts", []).orderBy("start").collect()

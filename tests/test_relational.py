@@ -198,3 +198,70 @@ def test_flat_baseline(spark):
     model = baselines.fit(flat, ["d_v"], ["s"], "y", "logistic")
     out = baselines.scores(model, flat, ["d_v"])
     assert out.where("(score >= 0.5) = (y = 1)").count() == 80
+
+
+def test_tables_from_lists(spark):
+    db = tables.from_columns(spark, {"t": {"columns": [{"name": "id", "type": "numerical", "values": [1, 2]}, {"name": "when", "type": "timestamp", "values": ["2024-01-02", 86400]}, {"name": "c", "type": "categorical", "values": [None, 5]}], "pkey_col": "id", "time_col": "when", "foreign_keys": [{"column": "c", "references": "u"}]}, "none": {"columns": [{"name": "x", "type": "text", "values": []}]}})
+    t = db.get_table("t")
+    assert t.pk == "id" and t.time_col == "when" and t.fks == (ForeignKey("c", "u"),) and t.types == {"id": N, "when": T, "c": C}
+    assert [(r["id"], str(r["when"]), r["c"]) for r in t.df.orderBy("id").collect()] == [(1.0, "2024-01-02 00:00:00", None), (2.0, "1970-01-02 00:00:00", "5")]
+    assert db.get_table("none").num_rows() == 0
+    with pytest.raises(ValueError):
+        tables.from_columns(spark, {"t": {"columns": [{"name": "a", "type": "text", "values": []}, {"name": "b", "type": "text", "values": ["x"]}]}})
+
+
+def test_side_files_and_raw_columns(spark, tmp_path):
+    path = tmp_path / "stats.csv"
+    assert tables.side_file(spark, str(path), {"a": "a"}) is None
+    path.write_text(" game , shots\n1,3\n2,\nx, 4.5\n")
+    assert sorted(map(tuple, tables.side_file(spark, str(path), {"game": "game", "shots": "shots", "fouls": "fouls"}).collect())) == [(0.0, 4.5, 0.0), (1.0, 3.0, 0.0), (2.0, 0.0, 0.0)]
+    path.write_text("id,day\n1,2024-01-02\n2,\n")
+    t = tables.read_csv(spark, str(path), "games", {"day": T}, raw_columns=["day"])
+    assert t.types["day_raw"] is X and [(str(r["day"])[:10], r["day_raw"]) for r in t.df.orderBy("id").collect()] == [("2024-01-02", "2024-01-02"), ("None", None)]
+
+
+def test_task_csv_with_repeated_and_unknown_keys(spark, tmp_path, caplog):
+    (tmp_path / "task.csv").write_text("id,label,split\n7,1,train\n8.0,0,val\n9,1,test\n")
+    table = spark.createDataFrame([(0, 7.0), (1, 8.0), (2, 7.0)], "_nid long, id double")
+    with caplog.at_level("WARNING"):
+        rows = tables.load_task(spark, str(tmp_path / "task.csv"), table, "id")
+    assert sorted(map(tuple, rows.collect())) == [(1, 0.0, "val"), (2, 1.0, "train")] and "1 rows of" in caplog.text
+
+
+def test_catalog_with_declared_keys(spark):
+    spark.createDataFrame([(1, "a", 5), (2, "a", 5)], "id long, s string, u long").createOrReplaceTempView("cat_t")
+    spark.createDataFrame([(5, "2024-01-01")], "id long, created_at string").createOrReplaceTempView("cat_u")
+    db = tables.catalog(spark, ["cat_t", "cat_u"], {"cat_t": (ForeignKey("u", "cat_u"),)})
+    assert db.get_table("cat_t").pk == "id" and db.get_table("cat_t").fks == (ForeignKey("u", "cat_u"),) and db.get_table("cat_u").time_col == "created_at"
+    many = spark.range(200).select(F.when(F.col("id") > 0, F.col("id") % 9).cast("string").alias("few"), F.col("id").cast("string").alias("all"), F.lit(None).cast("string").alias("none"))
+    assert infer.categorical(many) == {"few"}
+
+
+def test_values_of_a_vocabulary_and_days(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "v string")
+    assert [tuple(r) for r in encoders.vocabulary(df, "v", 2).orderBy("index").collect()] == [("a", 0), ("b", 1)]
+    days = spark.createDataFrame([("1970-01-03 10:00",), ("nothing",), (None,), ("2000-03-01",)], "d string")
+    assert [r[0] for r in days.select(encoders.day_number(F.col("d"))).collect()] == [2, None, None, 11017]
+
+
+def test_ranking_over_many_ranges(spark):
+    rows = spark.range(3000).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 997.0).alias("s"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("double").alias("y"))
+    one, many = (metrics.ranking(rows, "s", "y", "id", ties=True, rows_in_range=n).first() for n in (100_000, 50))
+    assert all(one[k] == pytest.approx(many[k], abs=1e-12) for k in ("auc", "auc_ties", "average_precision"))
+
+
+def test_rolling_statistics(spark):
+    games = spark.createDataFrame([(1, "2024-01-01", 1, 2), (2, "2024-01-08", 2, 1), (3, "2024-01-15", 1, None), (4, "2024-02-01", 1, 2)], "game long, day string, home long, away long").withColumn("day", F.to_date("day"))
+    stats = spark.createDataFrame([(1, 1, "30", "50"), (1, 2, "", "x"), (2, 1, "3", "100")], "game long, team long, shots_on string, possession string")
+    stats = stats.withColumns({c: F.lit(1) for c in recipes.GAME_CAPS if c not in stats.columns})
+    out = {r["game"]: r for r in recipes.rolling_features(games, "2024-02-01", stats).collect()}
+    assert out[1]["h_roll_shots_on"] == 0.0 and out[2]["a_roll_shots_on"] == 1.0 and out[2]["h_roll_possession"] == 0.0 and out[2]["a_roll_possession"] == 0.5
+    assert out[3]["h_roll_possession"] == 0.75 and out[3]["a_roll_possession"] == 0.0 and out[4]["h_roll_possession"] == 0.0 and out[3]["h_roll_rating"] == 0.0
+    assert recipes.rolling_features(games, "2024-02-01").columns == games.columns
+    players = spark.createDataFrame([(1, 1, "8"), (1, 1, None), (1, 1, "x")], "game long, team long, rating string").withColumns({c: F.lit("0.6") for c in recipes.PLAYER_CAPS if c != "rating"})
+    out = {r["game"]: r for r in recipes.rolling_features(games, "2024-02-01", None, players).collect()}
+    assert out[2]["a_roll_rating"] == pytest.approx(8 / 3 / 10) and out[2]["a_roll_goals_pp"] == 1.0
+    venues = recipes.venue_features(games, spark.createDataFrame([(1, 45000), (2, None)], "team long, venue_capacity long")).collect()
+    assert {r["game"]: r["venue"] for r in venues} == {1: 0.5, 2: pytest.approx(40000 / 90000), 3: 0.5, 4: 0.5}
+    scored = spark.range(40).select((F.col("id") % 8).alias("u"), F.col("id").alias("k"), F.col("id").cast("double").alias("p"))
+    assert {(r["u"], r["k"]) for r in recipes.top_k(scored, "u", "p", "k", 2, groups=3).collect()} == {(u, u + 8 * i) for u in range(3) for i in (3, 4)}
