@@ -122,6 +122,13 @@ def _sections(text: bytes, length: int, most: int = 1 << (PLACE - 1)) -> list[tu
     return [(i, text[i : i + most]) for i in range(0, max(1, len(text) - length + 1), most - length + 1)]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """A task's memory follows the texts that it looks at together."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
@@ -182,7 +189,7 @@ def _name_anchors(length: int, heavy: np.ndarray, key: bytes):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = Mix(key)
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, alts, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             cuts = [(i, a, x) for i, text in enumerate(_bytes(batch.column(2))) if len(text) >= length for a, x in _sections(text, length)]
             row_of, base = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
@@ -348,7 +355,7 @@ def _cells(length: int, key: bytes):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mix = Mix(key)
-        for batch in batches:
+        for batch in _sliced(batches):
             parts = [(text[p["start"] : p["end"]], d, e, p["start"], p["end"] - p["start"] - length + 1, p["rank"]) for d, e, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True) for p in own]
             if not parts:
                 continue
