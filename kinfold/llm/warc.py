@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.graph import with_ranges
+
 #: Headers of a 304 answer that replace those of the stored response (a 304 may not restate the others).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't name a resource.
@@ -46,13 +48,12 @@ def resolve(records: DataFrame, rows: int = ROWS) -> DataFrame:
     an empty table gives an empty one; other columns are ignored.
 
     The as-of join runs in blocks of time: within a block by a window, and from earlier blocks by the last response of
-    each, so that a URL with very many captures is spread over tasks. The blocks are cut so that about `rows` rows share one.
+    each, so that a URL with very many captures, or none at all, is spread over tasks. The blocks are ranges of (ts, record_id) that about
+    `rows` rows share (more where there would be over 16,384 blocks), however unevenly times are spread; rows equal in both are told apart by their URLs.
     """
-    facts = records.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
-    low, high, n = facts[0] or 0, facts[1] or 0, facts[2]
-    width = max(1, -(-(high - low + 1) // max(1, -(-n // rows))))
-    keyed = records.select("record_id", canonical(F.col("url")).alias("url_key"), F.coalesce(F.col("ts").cast("long"), F.lit(low)).alias("ts"), "kind", _lowered(F.col("headers")).alias("headers"), "payload_digest")
-    keyed = keyed.withColumn("_b", F.floor((F.col("ts") - low) / F.lit(width)).cast("long"))
+    narrow = records.select("record_id", "url", F.col("ts").cast("long").alias("ts"), "kind", "headers", "payload_digest")
+    keyed = with_ranges(narrow, ["ts", "record_id"], rows, ["record_id", "url"]).withColumnRenamed("_range", "_b").drop("_order")
+    keyed = keyed.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", "kind", _lowered(F.col("headers")).alias("headers"), "payload_digest", "_b")
     full = F.when(F.col("kind") == "response", F.struct("record_id", "headers", "payload_digest"))
     strictly = Window.partitionBy("url_key", "_b").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     inside = keyed.withColumn("_in", F.last(full, ignorenulls=True).over(strictly))
