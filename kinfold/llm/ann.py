@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
+log = logging.getLogger(__name__)
 #: Tables; rows of a bucket in one task at most, on average; rows that a bucket should hold; most probes tried.
 TABLES, PART, ROWS, PROBES = 8, 1 << 16, 1 << 12, 2048
 #: Rows and queries that the number of probes is fitted on, and the recall that it must reach there.
@@ -55,9 +57,9 @@ def _unit(vectors: np.ndarray, norm: float, query: bool) -> np.ndarray:
     return out
 
 
-def polytopes(n: int, width: int) -> int:
+def polytopes(n: int, width: int, rows: int = ROWS) -> int:
     """Polytopes hashed together in a table, so that a bucket's share of n rows stays about the same."""
-    return max(1, round(np.log(max(1, n) / ROWS) / np.log(2 * width)))
+    return max(1, round(np.log(max(1, n) / rows) / np.log(2 * width)))
 
 
 def hashed(unit: np.ndarray, table: int, count: int, most: int, seed: int) -> np.ndarray:
@@ -78,13 +80,14 @@ def hashed(unit: np.ndarray, table: int, count: int, most: int, seed: int) -> np
     return code
 
 
-def fitted_probes(sample: np.ndarray, norm: float, flat: bool, k: int, tables: int, count: int, seed: int) -> int:
-    """The fewest probes a table with which the sample's first rows find RECALL of their k nearest in the sample.
+def fitted_probes(sample: np.ndarray, norm: float, flat: bool, k: int, tables: int, count: int, seed: int, tried: int = PROBES) -> tuple[int | None, float]:
+    """(the fewest probes a table with which the sample's first rows find RECALL of their k nearest in the sample, the recall there).
 
-    Neighbours in a sample are farther than in the whole, so the whole needs no more probes. PROBES is the most tried.
+    Neighbours in a sample are farther than in the whole, so the whole needs no more probes. None if `tried` probes, or all buckets, don't do:
+    a neighbour that none of them reaches is missed.
     """
     if len(sample) < 2:
-        return 1
+        return 1, 1.0
     asked = sample[:ASKED]
     plain = flat and sample.shape[1] & (sample.shape[1] - 1) == 0
     rows, queries = (sample, asked) if plain else (_unit(sample, norm, False), _unit(asked, norm, True))
@@ -92,14 +95,15 @@ def fitted_probes(sample: np.ndarray, norm: float, flat: bool, k: int, tables: i
     scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     k = min(k, len(sample) - 1)
     near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    most = min((2 * rows.shape[1]) ** count, PROBES)
-    needed = np.full(near.shape, most)
+    most = min((2 * rows.shape[1]) ** count, tried)
+    needed = np.full(near.shape, np.inf)
     for t in range(tables):
         own, order = hashed(rows, t, count, 1, seed)[:, 0], hashed(queries, t, count, most, seed)
         for q in range(len(asked)):
             same = order[q][:, None] == own[near[q]][None]
-            needed[q] = np.minimum(needed[q], np.where(same.any(axis=0), same.argmax(axis=0) + 1, most))
-    return int(np.quantile(needed, RECALL, method="higher"))
+            needed[q] = np.minimum(needed[q], np.where(same.any(axis=0), same.argmax(axis=0) + 1, np.inf))
+    probes = np.quantile(needed, RECALL, method="higher")
+    return (int(probes), float((needed <= probes).mean())) if np.isfinite(probes) else (None, float(np.isfinite(needed).mean()))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -202,13 +206,15 @@ def _rerank(k: int, kept: int = 4000):
     return apply
 
 
-def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: int | None = None, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, probes: int | None = None, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", rows_in_bucket: int = ROWS, tried: int = PROBES) -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by `every`, the k rows found of largest inner product.
 
     Ties go to the smaller id, a query is no neighbour of itself, scores are double precision on the original
     vectors. Null, zero and non-finite vectors, and null ids, take no part; vectors must be of one width.
     Equal vectors are searched as one, under their k + 1 smallest ids (no query can need more), so a vector that many rows
     hold is one row of the index; extra columns are ignored; repeated rows count once.
+    The recall reached on the sample is logged. Where the most probes tried don't reach RECALL there, every query is compared with every
+    row, in blocks.
     """
     v = F.col(vector_col)
     sort = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
@@ -228,12 +234,16 @@ def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES,
     largest, least, n = (facts[0] or 1.0) ** 0.5, (facts[1] or 1.0) ** 0.5, facts[2]
     flat, size = least > 0.999999 * largest, len(distinct.select("v").first()["v"]) if n else 1
     width = size if flat and size & (size - 1) == 0 else 1 << size.bit_length()
-    count = polytopes(n, width)
-    parts = max(1, -(-n // (PART * (2 * width) ** count)))
+    count = polytopes(n, width, rows_in_bucket)
     if probes is None:
         share = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < max(1, int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
         sample = np.array([r["v"] for r in distinct.where(share).orderBy("key").select("v").limit(2 * SAMPLE).collect()])
-        probes = fitted_probes(sample, largest, flat, k, tables, count, seed)
+        probes, recall = fitted_probes(sample, largest, flat, k, tables, count, seed, tried)
+        log.info("%d polytopes a table: %s probes reach a recall of %.3f in the sample", count, probes, recall)
+        if probes is None:
+            # No polytope: one bucket holds all, in parts that every query visits.
+            tables, count, probes = 1, 0, 1
+    parts = max(1, -(-n // (PART * (2 * width) ** count)))
     part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
     dealt = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, count, probes, seed, largest, flat, parts, number), f"bucket long, part int, query byte, key long, v array<{sort}>")
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query")
