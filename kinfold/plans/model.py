@@ -579,7 +579,7 @@ def _collected(rows: DataFrame) -> tuple[K.Params, np.ndarray]:
         for batch in batches:
             scores = batch.filter(pc.equal(batch.column(1), SCORE))
             if scores.num_rows:
-                yield scores
+                yield _rows(scores.column(0).to_numpy(), SCORE, _matrix(scores.column(2), 1), scores.column(3).to_numpy(zero_copy_only=False))
             for x in batch.column(6).drop_null().to_pylist():
                 _add(total, pickle.loads(x))
         if total:
