@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import pickle
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -42,6 +43,8 @@ class Config:
     seed: int = 42
     #: Training rows whose mean loss the gradient is of; a step adds up the gradients of all batches. 0: all rows are one.
     batch_size: int = 0
+    #: Bytes of a small table's vectors up to which they are broadcast, and its part of the first layer runs at the driver.
+    local_bytes: int = 16 << 20
     #: A vocabulary of more values than this is refused: it would make rows that wide.
     vocabulary: int = 5000
 
@@ -159,6 +162,9 @@ class Nodes:
     split: np.ndarray
     scale: np.ndarray
 
+    def take(self, rows: np.ndarray) -> Nodes:
+        return Nodes(self.node[rows], {k: v[rows] for k, v in self.v.items()}, {}, self.label[rows], self.split[rows], self.scale[rows])
+
 
 def _assembled(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> Iterator[Nodes]:
     """From rows by (node, slot) to nodes with the sums of their slots. Nodes without a row of slot 0 are left out."""
@@ -196,10 +202,14 @@ def _assembled(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> Ite
 
 @dataclass
 class Inputs:
-    """What no parameter changes, stored once: by node type, rows whose v is the features and the raw means of all neighbours' features."""
+    """What no parameter changes, stored once: by node type, rows whose v is the features, the raw means of all neighbours' features, and the
+    neighbour by each edge type that gives a node one at most (-1: none)."""
 
     rows: dict[str, DataFrame]
-    n_val: int = 0
+    #: Rows of the validation or test set, whichever has more.
+    n_judged: int = 0
+    #: Tables of few rows, by their nodes: they are sources of such edge types.
+    local: dict[str, Nodes] = field(default_factory=dict)
 
     def release(self) -> None:
         for df in self.rows.values():
@@ -211,8 +221,9 @@ class Model:
     """Everything that predicts: the graph, encoders, parameters and the fitted task.
 
     Encoders are linear, so the mean of encoded neighbours is the encoded mean of their features, which is stored once: the first
-    layer and its gradients shuffle nothing along edges. Every later layer sends vectors along its edges once forward and once backward. A pass
-    returns gradients, losses and the scores of validation rows together.
+    layer and its gradients shuffle nothing along edges, and a row's own vector after it is computed where it is read. Small tables that rows refer to
+    (Config.local_bytes) have their part of the first layer at the driver; their vectors are broadcast, and gradients come back added up. Along all other
+    edges vectors are sent once forward and once backward. A pass returns gradients, losses and the scores of validation rows together.
     """
 
     db: Database
@@ -228,6 +239,8 @@ class Model:
     pos_weight: float = 1.0
     #: What the last scores() keeps for its reader.
     kept: list[DataFrame] = field(default_factory=list)
+    #: After the first layer: {type: (nodes, vectors)} of the tables that are at the driver, broadcast.
+    near: object = None
 
     def incoming(self, node: str) -> list[EdgeType]:
         return [e for e in self.graph.edges if e.dst == node]
@@ -240,6 +253,10 @@ class Model:
             self.weighted[e] = edges.join(degree, "dst").select("src", "dst", "w").persist()
         return self.weighted[e]
 
+    def single(self, e: EdgeType) -> bool:
+        """Whether a node has one neighbour at most: the one that its foreign key names."""
+        return any(k.reverse == e for k in self.graph.edges)
+
     def needed(self, top: set[str]) -> list[set[str]]:
         """Node types whose vectors are needed after each layer, for those of `top` after the last."""
         out = [top]
@@ -252,11 +269,11 @@ class Model:
 
     def inputs(self, samples: DataFrame | None = None, top: set[str] | None = None) -> Inputs:
         """Stored features and raw means; samples (node, label[, split, scale]) go with the rows of the target table."""
-        out, n_val = {}, 0
+        out, n_judged = {}, 0
         if samples is not None:
             split = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split")).cast("int") - 1 if "split" in samples.columns else F.lit(0)
             samples = samples.select(NODE, "label", split.alias("split"), (F.col("scale") if "scale" in samples.columns else F.lit(1.0)).alias("scale"))
-            n_val = samples.where("split = 1").count()
+            n_judged = max((r["count"] for r in samples.where("split > 0").groupBy("split").count().collect()), default=0)
         for t in sorted(self.needed(top or {self.spec.target_table})[0]):
             edges, own = self.incoming(t), self.raw[t].select(NODE, F.lit(0).alias("slot"), F.col("x").alias("v"))
             if t == self.spec.target_table and samples is not None:
@@ -271,8 +288,21 @@ class Model:
                     v = np.hstack([x.v[0], *(y for i in list(widths)[1:] for y in (x.there[i][:, None], x.v[i]))])
                     yield from _sample_rows(x, v)
 
-            out[t] = _together([own, *parts]).mapInArrow(joined, OUT).drop("sums").persist() if parts else own.persist()
-        return Inputs(out, n_val)
+            df = _together([own, *parts]).mapInArrow(joined, OUT).drop("sums") if parts else own
+            if self.config.layers > 1:
+                for e in filter(self.single, edges):
+                    df = df.join(self.graph.edges[e].select(F.col("dst").alias(NODE), F.col("src").cast("double").alias("_near")), NODE, "left")
+                    df = df.withColumn("v", F.concat("v", F.array(F.coalesce("_near", F.lit(-1.0))))).drop("_near")
+            out[t] = df.persist()
+        local = {}
+        for u in sorted({e.src for t in self.needed(top or {self.spec.target_table})[1] for e in self.incoming(t) if self.single(e)} if self.config.layers > 1 else ()):
+            width = self._widths(0, u)[0]
+            if out[u].count() * 8 * max(width, self.config.channels) <= self.config.local_bytes:
+                found = out[u].select(NODE, "v").toArrow().combine_chunks()
+                node, v = found.column(0).to_numpy(), _matrix(found.column(1).combine_chunks(), width)
+                order = np.argsort(node)
+                local[u] = Nodes(node[order], {0: v[order]}, {}, *(np.zeros(0) for _ in range(3)))
+        return Inputs(out, n_judged, local)
 
     def _first(self, t: str, z: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
         """A stored row's features, and (whether there are neighbours, their mean) by edge type."""
@@ -283,43 +313,80 @@ class Model:
             at += 1 + n
         return z[:, : self.width(t)], means
 
+    def _neighbours(self, t: str, z: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """By edge type whose source is near: which rows have a neighbour, and where these stand among the source's nodes."""
+        near, out = self.near if self.near is None or isinstance(self.near, dict) else self.near.value, {}
+        edges = [e for e in self.incoming(t) if self.single(e)]
+        for e, ids in zip(edges, z[:, z.shape[1] - len(edges) :].T, strict=True):
+            if near and e.src in near:
+                rows = np.flatnonzero(ids >= 0)
+                out[e.name] = rows, np.searchsorted(near[e.src][0], ids[rows].astype(np.int64)), near[e.src][1]
+        return out
+
     def _layer(self, layer: int, t: str, x: Nodes, p: K.Params) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-        """(vectors after the layer, own vectors before it, neighbours' means before it)."""
+        """(vectors after the layer, own vectors before it, neighbours' means before it). The second layer's own rows are those that the first one reads."""
         edges = self.incoming(t)
         if layer == 0:
             own, raw = self._first(t, x.v[0])
             own = K.linear(p, f"enc.{t}", own)
             means = {e.name: K.linear(p, f"enc.{e.src}", raw[e.name][1]) * raw[e.name][0] for e in edges}
         else:
-            own, means = x.v[0], {e.name: x.v[i + 1] for i, e in enumerate(edges)}
+            own = self._layer(0, t, x, p)[0] if layer == 1 else x.v[0]
+            means = {e.name: x.v[i + 1] for i, e in enumerate(edges) if i + 1 in x.v}
+            for name, (rows, at, h) in self._neighbours(t, x.v[0]).items() if layer == 1 else ():
+                means[name] = np.zeros((len(own), h.shape[1]))
+                means[name][rows] = h[at]
         return K.sage(p, layer, t, own, means, layer < self.config.layers - 1), own, means
 
-    def _back(self, layer: int, t: str, x: Nodes, p: K.Params, out: np.ndarray, own: np.ndarray, means: dict[str, np.ndarray], g: np.ndarray) -> tuple[K.Params, list[pa.RecordBatch]]:
-        """Gradients of parameters, and above the first layer rows of the gradients by the vectors before it: GRADIENT its own, from 1 on the means'."""
+    def _back(self, layer: int, t: str, x: Nodes, p: K.Params, out: np.ndarray, own: np.ndarray, means: dict[str, np.ndarray], g: np.ndarray, total: K.Params) -> Iterator[pa.RecordBatch]:
+        """Adds gradients of parameters to total, and those by near tables' vectors as ~table. Rows of the gradients by the vectors before a layer
+        above the first: GRADIENT its own (above the second; the second's go on to the first at once), from 1 on the means'."""
         g_own, g_means, grads = K.sage_back(p, layer, t, own, means, out, g, layer < self.config.layers - 1)
-        if layer:
-            return grads, [_rows(x.node, GRADIENT, g_own), *(_rows(x.node, i + 1, g_means[e.name]) for i, e in enumerate(self.incoming(t)))]
-        features, raw = self._first(t, x.v[0])
-        grads |= K.linear_grads(f"enc.{t}", features, g_own)
-        for e in self.incoming(t):
-            there, mean = raw[e.name]
-            _add(grads, K.linear_grads(f"enc.{e.src}", mean, g_means[e.name] * there))
-        return grads, []
+        _add(total, grads)
+        if layer == 0:
+            features, raw = self._first(t, x.v[0])
+            _add(total, K.linear_grads(f"enc.{t}", features, g_own))
+            for e in self.incoming(t):
+                there, mean = raw[e.name]
+                _add(total, K.linear_grads(f"enc.{e.src}", mean, g_means[e.name] * there))
+            return
+        near = self._neighbours(t, x.v[0]) if layer == 1 else {}
+        if layer == 1:
+            yield from self._back(0, t, x, p, *self._layer(0, t, x, p), g_own, total)
+        else:
+            yield _rows(x.node, GRADIENT, g_own)
+        for i, e in enumerate(self.incoming(t)):
+            if e.name in near:
+                rows, at, h = near[e.name]
+                order = np.argsort(at, kind="stable")
+                at, sums = at[order], g_means[e.name][rows][order]
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+                if f"~{e.src}" not in total:
+                    total[f"~{e.src}"] = np.zeros(h.shape)
+                if len(starts):
+                    total[f"~{e.src}"][at[starts]] += np.add.reduceat(sums, starts)
+            else:
+                yield _rows(x.node, i + 1, g_means[e.name])
+
+    def _sent(self, layer: int, t: str, inputs: Inputs) -> list[tuple[int, EdgeType]]:
+        """(slot, edge type) of the edges into t along which vectors are sent before a layer above the first."""
+        return [(i + 1, e) for i, e in enumerate(self.incoming(t)) if layer > 1 or not (self.single(e) and e.src in inputs.local)]
 
     def _parts(self, layer: int, t: str, states: list[dict[str, DataFrame]], inputs: Inputs) -> list[DataFrame]:
         """The rows that make the inputs of a layer."""
         if layer == 0:
             return [inputs.rows[t]]
-        below = states[layer - 1]
-        return [below[t], *(_carried(self.edges(e), below[e.src], "src", "dst", i + 1) for i, e in enumerate(self.incoming(t)))]
+        own = inputs.rows[t] if layer == 1 else states[layer - 1][t]
+        return [own, *(_carried(self.edges(e), states[layer - 1][e.src], "src", "dst", i) for i, e in self._sent(layer, t, inputs))]
 
-    def _widths(self, layer: int, t: str) -> dict[int, int]:
+    def _widths(self, layer: int, t: str, inputs: Inputs | None = None) -> dict[int, int]:
         edges, c = self.incoming(t), self.config.channels
-        return {i: c for i in range(len(edges) + 1)} if layer else {0: self.width(t) + sum(1 + self.width(e.src) for e in edges)}
+        first = self.width(t) + sum(1 + self.width(e.src) for e in edges) + (sum(map(self.single, edges)) if self.config.layers > 1 else 0)
+        return {0: first if layer < 2 else c} | ({i: c for i, _ in self._sent(layer, t, inputs)} if layer else {})
 
-    def _over(self, layer: int, t: str, parts: list[DataFrame], run, grads: bool = False) -> DataFrame:
+    def _over(self, layer: int, t: str, parts: list[DataFrame], inputs: Inputs, run, grads: bool = False) -> DataFrame:
         """OUT rows that run() yields from a layer's inputs; of a single table the rows stay where they are."""
-        widths = self._widths(layer, t) | ({GRADIENT: self.config.channels} if grads else {})
+        widths = self._widths(layer, t, inputs) | ({GRADIENT: self.config.channels} if grads else {})
         several = len(parts) > 1
         moved = _together(parts) if several else parts[0].select(*_names(ROWS))
 
@@ -329,39 +396,45 @@ class Model:
 
         return moved.mapInArrow(apply, OUT)
 
-    def _light(self) -> Model:
-        """What workers need: no DataFrames."""
-        return Model(Database(), Graph({}, dict.fromkeys(self.graph.edges)), self.spec, self.config, self.encoders, {}, {}, weights=self.weights, pos_weight=self.pos_weight)
+    def _light(self, params: K.Params, inputs: Inputs) -> Model:
+        """What workers need: no DataFrames, and the vectors of near tables after the first layer."""
+        out = Model(Database(), Graph({}, dict.fromkeys(self.graph.edges)), self.spec, self.config, self.encoders, {}, {}, weights=self.weights, pos_weight=self.pos_weight)
+        if inputs.local:
+            out.near = next(iter(inputs.rows.values())).sparkSession.sparkContext.broadcast({u: (x.node, out._layer(0, u, x, params)[0]) for u, x in inputs.local.items()})
+        return out
 
-    def forward(self, params: K.Params, inputs: Inputs, top: set[str], held: list[DataFrame], layers: int) -> list[dict[str, DataFrame]]:
-        """Vectors after each of the first `layers` layers, of the types that `top` needs. What is read again is kept until the caller gives up `held`."""
+    def forward(self, params: K.Params, inputs: Inputs, top: set[str], held: list[DataFrame], layers: int, me: Model | None = None, every: bool = False) -> list[dict[str, DataFrame]]:
+        """Vectors after each of the first `layers` layers, of the types that `top` needs; after the first, without `every`, only of those that are sent.
+        What is read again is kept until the caller gives up `held`."""
         states: list[dict[str, DataFrame]] = []
-        me = self._light()
-        for layer, types in enumerate(self.needed(top)[:layers]):
+        me, needed = me or self._light(params, inputs), self.needed(top)
+        for layer, types in enumerate(needed[:layers]):
             found = {}
+            if layer == 0 and not every:
+                types = {e.src for t in needed[1] for _, e in self._sent(1, t, inputs)}
             for t in sorted(types):
 
                 def run(batches: Iterator[Nodes], layer=layer, t=t) -> Iterator[pa.RecordBatch]:
                     for x in batches:
                         yield from _sample_rows(x, me._layer(layer, t, x, params)[0])
 
-                found[t] = self._over(layer, t, self._parts(layer, t, states, inputs), run).drop("sums").persist()
+                found[t] = self._over(layer, t, self._parts(layer, t, states, inputs), inputs, run).drop("sums").persist()
                 held.append(found[t])
             states.append(found)
         return states
 
-    def step(self, params: K.Params, inputs: Inputs, n: int, epoch: int, learn: bool = True) -> tuple[float, K.Params, np.ndarray]:
-        """Loss and gradients over the n training rows, and (node, score, label) of the validation rows where these are few enough."""
+    def step(self, params: K.Params, inputs: Inputs, n: int, epoch: int, learn: bool = True, judge: int = 1) -> tuple[float, K.Params, np.ndarray]:
+        """Loss and gradients over the n training rows, and (node, score, label) of the validation rows (judge: those of this split) where these are few enough."""
         c, spec, t, last = self.config, self.spec, self.spec.target_table, self.config.layers - 1
         held: list[DataFrame] = []
-        states = self.forward(params, inputs, {t}, held, last)
-        me, tell = self._light(), inputs.n_val <= COLLECTED
+        me, tell = self._light(params, inputs), inputs.n_judged <= COLLECTED
+        states = self.forward(params, inputs, {t}, held, last, me)
 
         def top(batches: Iterator[Nodes]) -> Iterator[pa.RecordBatch]:
             total: K.Params = {}
             for x in batches:
                 out, own, means = me._layer(last, t, x, params)
-                rows = np.flatnonzero(x.split == 1)
+                rows = np.flatnonzero(x.split == judge)
                 if tell and len(rows):
                     yield _rows(x.node[rows], SCORE, K.scored(spec.task_type, K.head(params, out[rows])[0])[:, None], x.label[rows])
                 rows = np.flatnonzero(x.split == 0)
@@ -371,15 +444,13 @@ class Model:
                 logits, z = K.head(params, out[rows], mask)
                 value, g = K.loss(spec.task_type, logits, x.label[rows], n, me.pos_weight, me.weights)
                 gh, grads = K.head_back(params, out[rows], z, mask, g * x.scale[rows][:, None])
-                some = Nodes(x.node[rows], {k: v[rows] for k, v in x.v.items()}, {}, x.label[rows], x.split[rows], x.scale[rows])
-                more, sent = me._back(last, t, some, params, out[rows], own[rows], {k: v[rows] for k, v in means.items()}, gh)
-                _add(total, grads | more | {"loss": np.array([value])})
-                yield from sent
+                _add(total, grads | {"loss": np.array([value])})
+                yield from me._back(last, t, x.take(rows), params, out[rows], own[rows], {k: v[rows] for k, v in means.items()}, gh, total)
             if total:
                 yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
 
-        rows = self._over(last, t, self._parts(last, t, states, inputs), top)
-        if last and learn:
+        rows = self._over(last, t, self._parts(last, t, states, inputs), inputs, top)
+        if last and learn and (last > 1 or self._sent(1, t, inputs)):
             rows = rows.persist()
             held.append(rows)
         total, scores = _collected(rows)
@@ -388,29 +459,33 @@ class Model:
         for layer in reversed(range(last if learn else 0)):
             below = {}
             for u in sorted(self.needed({t})[layer]):
-                got = [sent[u].where(F.col("slot") == GRADIENT)] if u in sent else []
-                got += [_carried(self.edges(e), sent[v].where(F.col("slot") == i + 1), "dst", "src", GRADIENT) for v in sent for i, e in enumerate(self.incoming(v)) if e.src == u]
+                got = [sent[u].where(F.col("slot") == GRADIENT)] if u in sent and layer else []
+                got += [_carried(self.edges(e), sent[v].where(F.col("slot") == i), "dst", "src", GRADIENT) for v in sent for i, e in self._sent(layer + 1, v, inputs) if e.src == u]
                 if not got:
                     continue
 
                 def back(batches: Iterator[Nodes], layer=layer, u=u) -> Iterator[pa.RecordBatch]:
                     total: K.Params = {}
                     for x in batches:
-                        grads, sent = me._back(layer, u, x, params, *me._layer(layer, u, x, params), x.v[GRADIENT])
-                        _add(total, grads)
-                        yield from sent
+                        yield from me._back(layer, u, x, params, *me._layer(layer, u, x, params), x.v[GRADIENT], total)
                     if total:
                         yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
 
-                below[u] = self._over(layer, u, [*self._parts(layer, u, states, inputs), *got], back, grads=True)
+                below[u] = self._over(layer, u, [*self._parts(layer, u, states, inputs), *got], inputs, back, grads=True)
                 if layer:
                     below[u] = below[u].persist()
                     held.append(below[u])
             sums = list(below.values())
             for df in sums[1:]:
                 sums[0] = sums[0].unionByName(df)
-            _add(total, _collected(sums[0])[0])
+            if sums:
+                _add(total, _collected(sums[0])[0])
             sent = below
+        for u, x in inputs.local.items():
+            if f"~{u}" in total:
+                deque(me._back(0, u, x, params, *me._layer(0, u, x, params), total.pop(f"~{u}"), total), 0)
+        if me.near:
+            me.near.destroy()
         for df in held:
             df.unpersist()
         return loss, total, scores
@@ -427,15 +502,16 @@ class Model:
         params, t, last = self.params if params is None else params, self.spec.target_table, self.config.layers - 1
         for df in self.kept:
             df.unpersist()
-        self.kept, spec, me, inputs = [], self.spec, self._light(), inputs or self.inputs()
-        states = self.forward(params, inputs, {t}, self.kept, last)
+        self.kept, spec, inputs = [], self.spec, inputs or self.inputs()
+        me = self._light(params, inputs)
+        states = self.forward(params, inputs, {t}, self.kept, last, me)
 
         def run(batches: Iterator[Nodes]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 score = K.scored(spec.task_type, K.head(params, me._layer(last, t, x, params)[0])[0])
                 yield _rows(x.node, SCORE, np.stack([score, spec.label_transform.back(score) if spec.task_type == REGRESSION else score], axis=1))
 
-        rows = self._over(last, t, self._parts(last, t, states, inputs), run)
+        rows = self._over(last, t, self._parts(last, t, states, inputs), inputs, run)
         return rows.select(NODE, F.col("v")[0].alias("score"), F.col("v")[1].alias("prediction"))
 
     def predict(self) -> DataFrame:
@@ -463,8 +539,9 @@ class Model:
         asked = self._resolved(refs)
         top, last, found, held = {t for t, _ in asked}, self.config.layers - 1, None, []
         if top:
-            inputs, me, params = self.inputs(top=top), self._light(), self.params
-            states = self.forward(params, inputs, top, held, last)
+            inputs, params = self.inputs(top=top), self.params
+            me = self._light(params, inputs)
+            states = self.forward(params, inputs, top, held, last, me)
             for i, (t, value) in enumerate(asked):
                 table = self.db.get_table(t)
                 key = F.lit(str(value)).try_cast(table.df.schema[table.pk].dataType)
@@ -477,7 +554,7 @@ class Model:
                     for x in batches:
                         yield _rows(x.node, i, me._layer(last, t, x, params)[0])
 
-                own = self._over(last, t, [p.where(F.col(NODE) == node) for p in self._parts(last, t, states, inputs)], run)
+                own = self._over(last, t, [p.where(F.col(NODE) == node) for p in self._parts(last, t, states, inputs)], inputs, run)
                 found = own if found is None else found.unionByName(own)
         if found is None:
             raise ValueError(f"none of {refs} is there")
@@ -495,9 +572,10 @@ class Model:
         fks = {fk.column: fk.target for fk in self.db.get_table(self.spec.target_table).fks}
         known = self.predict().groupBy(*columns).agg(F.avg("prediction").alias("_known"))
         pairs = asked.select(*columns).distinct().join(known, columns, "left")
-        top, last, params, me = {fks[c] for c in columns}, self.config.layers - 1, self.params, self._light()
+        top, last, params = {fks[c] for c in columns}, self.config.layers - 1, self.params
         inputs = self.inputs(top=top)
-        states = self.forward(params, inputs, top, [], last)
+        me = self._light(params, inputs)
+        states = self.forward(params, inputs, top, [], last, me)
         rest = pairs.where("_known is null").select(*columns)
         parts = []
         for c in columns:
@@ -509,7 +587,7 @@ class Model:
 
             table = self.db.get_table(t)
             first = table.df.where(F.col(table.pk).isNotNull()).groupBy(F.col(table.pk).alias(c)).agg(F.min(NODE).alias(NODE))
-            parts.append(rest.join(first.join(self._over(last, t, self._parts(last, t, states, inputs), run).select(NODE, "v"), NODE).select(c, "v"), c).select(*columns, "v"))
+            parts.append(rest.join(first.join(self._over(last, t, self._parts(last, t, states, inputs), inputs, run).select(NODE, "v"), NODE).select(c, "v"), c).select(*columns, "v"))
         vectors = parts[0]
         for p in parts[1:]:
             vectors = vectors.unionByName(p)
@@ -568,7 +646,7 @@ def _add(total: K.Params, grads: K.Params) -> None:
 
 
 #: Partitions up to which their sums go to the driver one by one; more are merged on the way, by as many tasks as their square root.
-DIRECT = 64
+DIRECT = 16
 
 
 def _collected(rows: DataFrame) -> tuple[K.Params, np.ndarray]:
@@ -671,7 +749,7 @@ def train(spark: SparkSession, spec: TaskSpec, db: Database, config: Config | No
     for epoch in range(config.epochs + 1):
         loss, grads, scores = model.step(model.params, inputs, n, epoch, learn=epoch < config.epochs)
         if epoch and ((epoch - 1) % config.evaluate_every == 0 or epoch == config.epochs):
-            found = model.judged(scores) if inputs.n_val <= COLLECTED else model.evaluate(val_rows, inputs=inputs)
+            found = model.judged(scores) if inputs.n_judged <= COLLECTED else model.evaluate(val_rows, inputs=inputs)
             model.history[-1] |= found
             if better(spec.task_type, found, best):
                 best, kept = found, {k: v.copy() for k, v in model.params.items()}
@@ -680,7 +758,10 @@ def train(spark: SparkSession, spec: TaskSpec, db: Database, config: Config | No
             model.history.append({"epoch": epoch, "loss": loss})
     if kept:
         model.params = kept
-    model.history.append({"test": model.evaluate(samples.where("split = 'test'"), inputs=inputs)})
+    if inputs.n_judged <= COLLECTED:
+        model.history.append({"test": model.judged(model.step(model.params, inputs, n, 0, learn=False, judge=2)[2])})
+    else:
+        model.history.append({"test": model.evaluate(samples.where("split = 'test'"), inputs=inputs)})
     inputs.release()
     samples.unpersist()
     return model

@@ -146,7 +146,7 @@ FROM customer LEFT JOIN m ON k = c_custkey""")
 def model_layer_fixed_weights(spark, d):
     """The same layer by the model's own passes, from stored features and means."""
     model, _ = _fixed_model(spark, d, "customer", layers=2)
-    states = model.forward(model.params, model.inputs(top={"customer"}), {"customer"}, [], 1)
+    states = model.forward(model.params, model.inputs(top={"customer"}), {"customer"}, [], 1, every=True)
     off_ties = lambda i: F.round(F.col("v")[i] + 3.3e-8, 4)
     return states[0]["customer"].select(F.col("_nid").alias("node"), off_ties(0).alias("h0"), off_ties(1).alias("h1"))
 
@@ -745,10 +745,8 @@ def rolling_features(spark, d):
     return out.select("game", *(r4(F.col(f"{x}_roll_{c}")).alias(f"{x}_roll_{c}") for x in "ha" for c in _ROLLED))
 
 
-@query()
-def train_predict_rows(spark, d):
-    """Train a small model for two epochs and score every order; its weights come from a fixed seed."""
-    from kinfold.plans.model import Config, train
+def order_task(spark: SparkSession, d: str):
+    """(a database of orders and customers, the task of telling orders of 150,000 or more in the order of time)."""
     from kinfold.plans.task import TaskSpec
     from kinfold.schema import ForeignKey
 
@@ -756,6 +754,14 @@ def train_predict_rows(spark, d):
     db = Database()
     db.add_table(Table("customer", read(spark, d, "customer"), {"c_custkey": n, "c_acctbal": n, "c_mktsegment": c}, "c_custkey"))
     db.add_table(Table("orders", read(spark, d, "orders"), {"o_orderkey": n, "o_custkey": n, "o_orderstatus": c, "o_totalprice": n, "o_orderdate": LogicalType.TIMESTAMP}, "o_orderkey", "o_orderdate", (ForeignKey("o_custkey", "customer"),)))
-    spec = TaskSpec("orders", "o_totalprice", label_transform=LabelTransform("threshold", 150000.0), split_strategy="temporal")
+    return db, TaskSpec("orders", "o_totalprice", label_transform=LabelTransform("threshold", 150000.0), split_strategy="temporal")
+
+
+@query()
+def train_predict_rows(spark, d):
+    """Train a small model for two epochs and score every order; its weights come from a fixed seed."""
+    from kinfold.plans.model import Config, train
+
+    db, spec = order_task(spark, d)
     model = train(spark, spec, db, Config(channels=8, hidden=8, layers=1, epochs=2, lr=0.01, evaluate_every=2))
     return model.predict().select("o_orderkey", "prediction")

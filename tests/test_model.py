@@ -11,7 +11,7 @@ from kinfold.plans import kernels as K
 from kinfold.plans import model as M
 from kinfold.plans.ask import Registry, Session, decode, read_env, schema_json, unfenced
 from kinfold.plans.model import Config, prepare, train
-from kinfold.plans.task import TaskSpec
+from kinfold.plans.task import TaskSpec, build_split
 from kinfold.schema import Database, ForeignKey, LogicalType, Table
 from kinfold.streaming.scoring import windowed
 
@@ -62,15 +62,15 @@ def plain(model, p, samples, scale):
     return value if p is None else value(p)
 
 
-@pytest.mark.parametrize("layers", [1, 2, 3])
-def test_gradients_match_differences(spark, db, layers):
+@pytest.mark.parametrize(("layers", "local"), [(1, 0), (2, 0), (2, 1 << 20), (3, 1 << 20), (3, 0)])
+def test_gradients_match_differences(spark, db, layers, local):
     if layers == 3:  # a smaller graph
         full, db = db, Database()
         loans = full.get_table("loans")
         hidden = dict.fromkeys(("giver", "taker"), LogicalType.TEXT)
         db.add_table(Table("loans", loans.df, loans.types | hidden, "id", None, (ForeignKey("book_id", "books"),)))
         db.add_table(full.get_table("books"))
-    model = prepare(db, SPEC, Config(channels=3, hidden=3, layers=layers, dropout=0.0, exclude_fk=True, seed=layers))
+    model = prepare(db, SPEC, Config(channels=3, hidden=3, layers=layers, dropout=0.0, exclude_fk=True, seed=layers, local_bytes=local))
     assert model.encoders["loans"].width == 4 and model.encoders["books"].width == 3
     rows = [(0, 0.0), (1, 1.0), (3, 0.0), (4, 1.0)]
     samples = spark.createDataFrame([(i, y, "train") for i, y in rows] + [(2, 1.0, "val")], "_nid long, label double, split string")
@@ -79,6 +79,7 @@ def test_gradients_match_differences(spark, db, layers):
     model.pos_weight = 1.5
     value = plain(model, None, rows, np.ones(4))
     inputs = model.inputs(samples)
+    assert set(inputs.local) == (set() if layers == 1 or not local else {"books"} if layers == 3 else {"books", "members"})
     loss, grads, scores = model.step(model.params, inputs, 4, 0)
     expected, _, h = value(model.params)
     assert loss == pytest.approx(expected, abs=1e-12)
@@ -217,6 +218,10 @@ def test_train_predict_save_ask(spark, db, tmp_path):
     history = session.models[spec.fingerprint()].history
     losses = [h["loss"] for h in history if "loss" in h]
     assert len(losses) == 3 and losses[-1] < losses[0] and ["auc" in h for h in history[:3]] == [True, False, True] and "auc" in history[3]["test"]
+    model = session.models[spec.fingerprint()]
+    loans = model.db.get_table("loans")
+    rows = build_split(loans, model.spec, "id")[0].join(loans.df.select("id", "_nid"), "id")
+    assert model.evaluate(rows.where("split = 'test'").select("_nid", "label")) == pytest.approx(history[3]["test"], abs=1e-9)
     again = Session(spark, big, speaker, config, Registry(tmp_path))
     assert again.intent(spec) == "load"
     assert 0 <= again.model(spec).synthesize({"books": 5, "loans": 3}) <= 1
