@@ -22,7 +22,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     Weights go round over the sources by code point, null last. All sizes together are shared by weight;
     no source gets over `most` times its size, and what that leaves goes to the others by weight again.
     That ends at one level: target = min(most * size, level * weight). Sources stand in the order in which
-    they reach it, so running sums give the level. The table has one row per source.
+    they reach it, so running sums give the level. The table has one row per source, and one task sorts it: that bounds sources to
+    what a task can sort, some hundred million, not documents.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))

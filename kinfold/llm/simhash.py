@@ -109,6 +109,10 @@ def within(queries: np.ndarray, words: np.ndarray, radius: int, step: int = 8) -
     return out
 
 
+#: Keys of over a group's rows that may be broadcast: 24 bytes each.
+HOT_KEYS = 1 << 18
+
+
 class _Sets:
     def __init__(self, n: int) -> None:
         self.of = np.arange(n)
@@ -236,9 +240,9 @@ def links(distinct: DataFrame, radius: int = 4, count: int | None = None, group:
             used += width
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
-    # At most tables * n / group rows, and next to none where fingerprints are spread.
-    hot = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > group)
-    rows = rows.join(F.broadcast(hot), ["t", "key"], "left")
+    # At most tables * n / group rows, and next to none where fingerprints are spread; only so few are broadcast.
+    hot = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    rows = rows.join(F.broadcast(hot) if hot.count() <= HOT_KEYS else hot.hint("merge"), ["t", "key"], "left")
     tiles = F.ceil(F.col("n") * 2 / group).cast("int")
     own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
     other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1)))
