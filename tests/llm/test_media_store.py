@@ -3,6 +3,7 @@
 import hashlib
 import struct
 
+import pytest
 import zstandard
 
 from kinfold.llm import media
@@ -26,3 +27,17 @@ def test_payloads_come_back_from_the_files(spark):
         listed = bytes(r["list"])
         n = struct.unpack_from("<QQI", listed, 5)[2]
         assert b"".join(plain[listed[25 + 32 * i : 57 + 32 * i]] for i in range(n)) == expected[r["id"]]
+
+
+def test_damaged_and_missing_chunks_are_told():
+    pack, parts = zstandard.ZstdCompressor(), [b"a" * 5000, b"b" * 64]
+    digests = [hashlib.sha256(x).digest() for x in parts]
+    stored = [pack.compress(x) for x in parts]
+    reader = media._Reader(b"")
+    assert reader.read(b"m", 2, [(1, digests[1], stored[1]), (0, digests[0], stored[0])])[:2] == (5064, hashlib.sha256(b"".join(parts)).hexdigest())
+    with pytest.raises(ValueError, match="does not match"):
+        reader.read(b"m", 2, [(0, digests[0], stored[0]), (1, digests[1], pack.compress(b"c" * 64))])
+    with pytest.raises(ValueError, match="1 of 2 chunks"):
+        reader.read(b"m", 2, [(0, digests[0], stored[0])])
+    with pytest.raises(zstandard.ZstdError):
+        reader.read(b"m", 1, [(0, digests[0], stored[0][:-7])])
