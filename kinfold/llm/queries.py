@@ -35,6 +35,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def secrets_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 says of the base kinds, which SQL can express too."""
+    return op2_secrets(spark, sf_dir).drop("spans")
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"))
 
@@ -70,9 +75,25 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, op3_neighbours, op4_repeats, op5_packing, op6_toxicity, op7_revisits, op8_mixing, op9_simhash, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, secrets_base_spans, op3_neighbours, op4_repeats, op5_packing, op6_toxicity, op7_revisits, op8_mixing, op9_simhash, op10_media)}
+
+_QUOTED = {"assign": secrets.ASSIGN.replace("'", "''"), "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{32,}"}
+#: Of the kinds: the group that has to have a number of characters, and that number.
+_LEAST = {"assign": (2, 8), "access": (0, 16), "hex": (0, 32)}
 
 ORACLES = {
+    "secrets_base_spans": "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), m AS ("
+    + " UNION ALL ".join(
+        f"SELECT row, '{name}' AS name, {i} AS kind, {_LEAST[name][1]} AS least, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS found, regexp_extract_all(text, '{p}', {_LEAST[name][0]}) AS part FROM d"
+        for i, (name, p) in enumerate(_QUOTED.items())
+    )
+    + """),
+e AS (SELECT row, name, kind, least, unnest(found) AS own, unnest(part) AS part, unnest(gaps[1:len(found)]) AS gap, generate_subscripts(found, 1) AS i FROM m WHERE len(found) > 0),
+s AS (SELECT row, name, kind, least, length(part) AS n, sum(length(gap) + length(own)) OVER (PARTITION BY row, kind ORDER BY i) AS stop, length(own) AS own FROM e),
+g AS (SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
+  string_agg(name || ':' || CAST(stop - own AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY stop - own, kind) AS spans FROM s WHERE n >= least GROUP BY row)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (row)
+""",
     "op7_revisits": r"""
 WITH d AS (SELECT *, instr('0123456789abcdef', substr(md5(CAST(page_id AS VARCHAR)), 1, 1)) - 1 AS d FROM pages),
 x AS (SELECT page_id, url, html, d, unnest(range(0, d % 5 + 1)) AS i FROM d),
