@@ -48,7 +48,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     only the boundary bucket is looked at with more bits. After LEVELS * DIGITS * 4 = 48 bits the
     boundary holds one id; it is left out.
     Null or empty text has size 0; null sources are a source of their own; rows that repeat an id and a
-    text share a hash and are taken or left together; an empty table gives an empty one.
+    text share a hash and are taken or left together; an empty table gives an empty one. Other columns are ignored, whatever their names; those in
+    `carry` go along, and must have names that the result doesn't use (a struct holds any columns).
     """
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     read = docs.select(F.col(id_col), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.substring(key, 1, LEVELS * DIGITS).alias("_key"), *carry)

@@ -66,7 +66,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc
     """Weights learned from at most about `rows` labelled documents, chosen by the hash of their ids.
 
     The labels chosen are few enough to be broadcast, so texts are not shuffled but for those learned from; one
-    task learns. Ids with two labels count as toxic; null ids and labels are left out; no labels give the bias 0.
+    task learns. Ids with two labels count as toxic; null ids and labels are left out; no labels, or no documents, give the bias 0. Rows that
+    repeat an id are learned from as often as they come; texts of any length are read whole; other columns are ignored.
     """
     of = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     n = of.count()
@@ -94,9 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with the probability of label 1, from each distinct feature of the whole text; null counts as empty text.
+    """docs with the probability of label 1, from each distinct feature of the whole text; null counts as empty text, and has that of the bias.
 
-    The weights travel sparse, in a broadcast of at most 2**BITS pairs.
+    Repeated rows are scored alike; an empty table gives an empty one; other columns stay, one named as `into` is replaced. The weights travel sparse, in a broadcast of at most 2**BITS pairs.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
