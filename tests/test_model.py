@@ -228,6 +228,19 @@ def test_train_predict_save_ask(spark, db, tmp_path):
     assert again.models[spec.fingerprint()].predict().count() == 60
 
 
+def test_judging_by_query_is_the_same(spark, db, monkeypatch):
+    rows = spark.range(50).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(11))).cast("double").alias("weeks"), (F.col("id") % 2 + 5).alias("book_id"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(2))).cast("double").alias("late"))
+    two = Database()
+    two.add_table(Table("loans", rows, {"id": N, "weeks": N, "book_id": N, "late": N}, "id", None, (ForeignKey("book_id", "books"),)))
+    two.add_table(db.get_table("books"))
+    histories = []
+    for most in (M.COLLECTED, 0):
+        monkeypatch.setattr(M, "COLLECTED", most)
+        histories.append(train(spark, SPEC, two, Config(channels=3, hidden=3, layers=1, epochs=2)).history)
+    for a, b in zip(*histories, strict=True):
+        assert a.get("test", a) == pytest.approx(b.get("test", b), abs=1e-9)
+
+
 def test_replies(spark, db):
     assert unfenced("x\n```json\n{}\n```\ny").strip() == "{}"
     good = {"target_table": "loans", "target_column": "late", "task_type": "regression", "label_transform": {"kind": "identity"}}
