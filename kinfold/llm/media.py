@@ -110,8 +110,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(pos, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())], names=["media", "pos", "n", "digest"])
 
 
-_DONE = ("payload_bytes", "payload_sha256", "tail_crc32", "feature")
-_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.string())
+_DONE = ("payload_bytes", "payload_sha256", "tail_crc32", "feature", "chunk_bytes")
+_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
 
 class _Reader:
@@ -120,7 +120,7 @@ class _Reader:
     def __init__(self, dictionary: bytes) -> None:
         self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
-    def read(self, media: bytes, n: int, parts: list[tuple[int, bytes, bytes]]) -> tuple[int, str, int, str]:
+    def read(self, media: bytes, n: int, parts: list[tuple[int, bytes, bytes]]) -> tuple[int, str, int, str, int]:
         """From (pos, digest, stored bytes) of all chunks."""
         pieces = []
         for _, digest, stored in sorted(parts):
@@ -135,7 +135,7 @@ class _Reader:
         counts = np.bincount(x, minlength=256)
         p = counts[counts > 0] / len(x)
         feature = f"chunks={n};mean={x.mean():.4f};std={x.std():.4f};entropy={max(0.0, -(p * np.log2(p)).sum()):.4f};zeros={counts[0]}"
-        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), feature
+        return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), feature, sum(len(stored) for _, _, stored in parts)
 
 
 def _read_alone(dictionary: bytes):
@@ -204,22 +204,23 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> St
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """One row per input row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, chunk_bytes.
 
     A payload is the text's UTF-8 bytes and bytes 0 up to a positive multiple of 64. It is stored as the ordered list of
     its chunks' digests; each chunk is stored once, however many payloads hold it (store() returns the tables). Equal payloads
     have one list, which is read back once from the tables written: its chunks come by a join on their digests.
-    Null text is empty (64 bytes 0); null ids and repeated rows have rows of their own; an empty table gives an empty one.
-    The dictionary changes how chunks are compressed, and none of the values returned.
+    media_bytes and media_sha256 are of that list; chunk_bytes is what its chunks take in the store, which other payloads may share.
+    Null text is empty (64 bytes 0); other columns, of whatever name, are ignored; null ids and repeated rows have rows of their own; an empty table gives an empty one.
+    The dictionary changes how chunks are compressed, which of the values returned only chunk_bytes shows.
     """
     kept, lists, trained = store(docs, id_col, text_col)
     trained = bytes(trained.first()["data"])
     entries = lists.groupBy("media").agg(F.first("list").alias("list")).mapInArrow(_entries, "media binary, pos int, n int, digest binary")
     found = entries.join(kept, "digest").select("media", "n", "pos", "digest", "data")
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, chunk_bytes long"
     found = found.mapInArrow(_read_alone(trained), f"media binary, n int, pos int, digest binary, data binary, {schema}")
     parts = F.collect_list(F.struct("pos", "digest", "data", *_DONE)).alias("parts")
     whole = found.groupBy("media", "n").agg(parts).mapInArrow(_read(trained), f"media binary, {schema}")
     forms = lists.select("id", "n_bytes", "media", F.octet_length("list").cast("long").alias("media_bytes"))
     out = forms.join(cut(whole), "media")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature", "chunk_bytes")
