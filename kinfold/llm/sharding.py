@@ -51,7 +51,7 @@ def numbered(rows: DataFrame, name: str = "row_number", buckets: int = BUCKETS)
 
     Rows are ordered by a hash of all columns. Equal rows are counted before the shuffle and spread
     out again afterwards, so no key gathers more than its distinct rows. A histogram of the hash's
-    leading bits (at most `buckets` rows, so it may be broadcast) gives each bucket its first number.
+    leading bits (at most `buckets` rows, up to 2**24, so it may be broadcast) gives each bucket its first number.
     """
     columns = rows.columns
     keyed = rows.withColumn("_h", F.xxhash64(*columns))
@@ -76,5 +76,6 @@ def shards(docs: DataFrame, count: int, seed: int = 20, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     n = docs.count()
-    at = numbered(rows, "_row").withColumn("_p", permuted(F.col("_row"), n, seed))
+    # About 100,000 rows a bucket, as far as the table of their first numbers can be broadcast (2**20 rows).
+    at = numbered(rows, "_row", max(BUCKETS, min(1 << 20, 1 << (n // 100_000).bit_length()))).withColumn("_p", permuted(F.col("_row"), n, seed))
     return at.select(id_col, "size", "text_crc32", F.pmod(F.col("_p"), F.lit(count)).cast("int").alias("shard"), F.floor(F.col("_p") / F.lit(count)).cast("long").alias("slot"))
