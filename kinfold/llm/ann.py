@@ -111,15 +111,29 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def _hash(tables: int, count: int, probes: int, seed: int, norm: float, flat: bool, parts: int, number: pa.DataType):
+def _packed(vectors: np.ndarray, kind: str) -> pa.Array:
+    """The bytes of each row: Spark moves them as they are, and lists number by number."""
+    data = np.ascontiguousarray(vectors.astype(kind))
+    width = data.shape[1] * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer((np.arange(len(data) + 1) * width).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _hash(tables: int, count: int, probes: int, seed: int, norm: float, flat: bool, parts: int, kind: str):
     """Rows (bucket, part, query, key, vector): an index row for its bucket in each table, a query for each bucket it probes."""
-    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("query", pa.int8()), ("key", pa.int64()), ("v", pa.list_(number))])
+    schema = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("query", pa.int8()), ("key", pa.int64()), ("v", pa.binary())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, vectors = batch.column(0), _vectors(batch.column(1))
+            packed = _packed(vectors, kind)
             own_part = batch.column(2).to_numpy().astype(np.int32)
             for query, rows in ((0, np.arange(len(vectors))), (1, np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False)))):
                 if not len(rows):
@@ -132,7 +146,7 @@ def _hash(tables: int, count: int, probes: int, seed: int, norm: float, flat: bo
                     for part in range(parts if query else 1):
                         at = pa.array(np.repeat(rows, n))
                         where = np.full(len(rows) * n, part, np.int32) if query else own_part[rows]
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1)), pa.array(where), pa.array(np.full(len(rows) * n, query, np.int8)), key.take(at), batch.column(1).take(at).cast(pa.list_(number))], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1)), pa.array(where), pa.array(np.full(len(rows) * n, query, np.int8)), key.take(at), packed.take(at)], schema=schema)
 
     return apply
 
@@ -167,7 +181,7 @@ def _merged(k: int):
     return apply
 
 
-def _rerank(k: int, kept: int = 4000):
+def _rerank(k: int, kind: str, kept: int = 4000):
     """Rows come sorted by (bucket, part, query): a bucket's vectors, then its queries, scored in blocks; the best k of each."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +193,7 @@ def _rerank(k: int, kept: int = 4000):
             if not batch.num_rows:
                 continue
             bucket, part, query, key = (batch.column(i).to_numpy() for i in range(4))
-            vectors = _vectors(batch.column(4))
+            vectors = _unpacked(batch.column(4), kind)
             change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1])) + 1
             for a, b in zip(np.r_[0, change], np.r_[change, len(key)], strict=True):
                 if group != (bucket[a], part[a]):
@@ -192,12 +206,13 @@ def _rerank(k: int, kept: int = 4000):
                 ids, index = np.concatenate(keys), np.concatenate(rows)
                 keys, rows = [ids], [index]
                 for i in range(a, b, 256):
-                    scores = vectors[i : min(b, i + 256)] @ index.T
+                    asked = vectors[i : min(b, i + 256)]
                     take = min(k + 8, len(ids))
-                    near = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-                    for j, q in enumerate(key[i : min(b, i + 256)].tolist()):
-                        # Summed pair by pair, so that a score doesn't depend on what it was computed with.
-                        found.setdefault(q, []).append((ids[near[j]], (index[near[j]] * vectors[i + j]).sum(axis=1)))
+                    near = np.argpartition(-(asked @ index.T), take - 1, axis=1)[:, :take]
+                    # Summed pair by pair, so that a score doesn't depend on what it was computed with.
+                    scores = (index[near] * asked[:, None]).sum(axis=2)
+                    for q, own, score in zip(key[i : i + len(asked)].tolist(), ids[near], scores, strict=True):
+                        found.setdefault(q, []).append((own, score))
             if len(found) > kept:
                 yield from _best(found, k)
                 found = {}
@@ -217,12 +232,11 @@ def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES,
     row, in blocks.
     """
     v = F.col(vector_col)
-    sort = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
-    number = pa.float32() if sort == "float" else pa.float64()
+    number, kind = ("float", "<f4") if table.schema[vector_col].dataType.simpleString() == "array<float>" else ("double", "<f8")
     ok = F.col(id_col).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = table.where(ok).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    rows = table.where(ok).select(F.col(id_col).cast("long").alias("id"), v.cast(f"array<{number}>").alias("v"))
     # -0.0 equals 0.0 as a score; one form of it makes equal vectors equal keys.
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).dropDuplicates(["id", "v"])
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast(number))).dropDuplicates(["id", "v"])
     salted = Window.partitionBy("_h", "v", "_salt").orderBy("id")
     by_vector = Window.partitionBy("_h", "v").orderBy("id")
     keyed = rows.withColumn("_h", F.xxhash64("v"))
@@ -230,7 +244,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES,
     first = first.withColumn("_r", F.row_number().over(by_vector)).where(F.col("_r") <= k + 1).groupBy("_h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     asked = keyed.where(F.col("id") % every == 0).groupBy("_h", "v").agg(F.lit(True).alias("_asked"))
     distinct = cut(first.join(asked, ["_h", "v"], "left").withColumn("key", F.col("ids")[0]).withColumn("asked", F.coalesce("_asked", F.lit(False))))
-    facts = distinct.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n")).agg(F.max("n"), F.min("n"), F.count("*")).first()
+    facts = distinct.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("n")).agg(F.max("n"), F.min("n"), F.count("*")).first()
     largest, least, n = (facts[0] or 1.0) ** 0.5, (facts[1] or 1.0) ** 0.5, facts[2]
     flat, size = least > 0.999999 * largest, len(distinct.select("v").first()["v"]) if n else 1
     width = size if flat and size & (size - 1) == 0 else 1 << size.bit_length()
@@ -245,9 +259,9 @@ def search(table: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES,
             tables, count, probes = 1, 0, 1
     parts = max(1, -(-n // (PART * (2 * width) ** count)))
     part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
-    dealt = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, count, probes, seed, largest, flat, parts, number), f"bucket long, part int, query byte, key long, v array<{sort}>")
+    dealt = distinct.select("key", "v", part.alias("part"), "asked").mapInArrow(_hash(tables, count, probes, seed, largest, flat, parts, kind), "bucket long, part int, query byte, key long, v binary")
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "query")
-    lists = dealt.mapInArrow(_rerank(k + 1), "q long, ids array<long>, scores array<double>")
+    lists = dealt.mapInArrow(_rerank(k + 1, kind), "q long, ids array<long>, scores array<double>")
     # A query has a list of k + 1 for each task that holds buckets it probes, tables * probes * parts at most.
     together = lists.groupBy("q").agg(F.collect_list(F.struct("ids", "scores")).alias("lists"))
     near = cut(together.mapInArrow(_merged(k + 1), "q long, near long, score double"))
