@@ -14,7 +14,7 @@ from kinfold.schema import Database, Table
 log = logging.getLogger(__name__)
 NODE = "_nid"
 #: Rows of a range that one task numbers, and ranges told apart in each of the two steps of the search.
-RANGE, LEVEL = 100_000, 128
+RANGE, LEVEL = 250_000, 128
 
 
 @dataclass(frozen=True)
