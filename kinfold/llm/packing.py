@@ -21,7 +21,7 @@ from .store import cut
 
 log = logging.getLogger(__name__)
 #: Pieces of one length that a task numbers, and how many more such cells there may be than lengths at most.
-CELL, CELLS = 4096, 1 << 20
+CELL, CELLS = 512, 1 << 20
 #: Limits of the branch and bound: nodes, steps of the enumeration at a node, fillings that a node branches on.
 NODES, STEPS, FILLINGS = 100, 1000, 32
 
