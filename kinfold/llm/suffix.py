@@ -414,7 +414,7 @@ def _kept(with_text: bool):
     return apply
 
 
-def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, heavy_least: int = 1000, sample: int = 64) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, heavy_least: int = 100, sample: int = 64) -> DataFrame:
     """Remove each byte that a string of `length` bytes covers which also starts earlier: in a smaller id, or further left.
 
     Returns id, n_bytes, n_removed, n_spans, kept_sha256[, kept]. Texts are UTF-8 bytes; strings don't cross documents and are
