@@ -156,9 +156,13 @@ def components(sketches: DataFrame, size: int, percent: int, hubs: int = HUBS, g
     into tiles, and each pair of tiles is a group of its own: each pair of a key is compared, at any skew.
     """
     up_to = lambda df, up: df.join(up, "root", "left").withColumn("root", F.coalesce("_up", "root")).drop("_up")
-    distinct = sketches.groupBy("node").agg(F.first("bands").alias("bands"))
+    # Of a node's rows, which may be very many copies, one brings the text: the others don't meet.
+    key = F.struct(F.col("id").isNull().alias("none"), "id")
+    distinct = cut(sketches.groupBy("node").agg(F.first("bands").alias("bands"), F.min(key).alias("key")))
     members = _parted(distinct.select(F.explode("bands").alias("key"), "node", F.col("node").alias("root")))
-    texts = cut(sketches.select("node", "fp", "text").join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")))
+    open_ = distinct.select("node", "key").join(members.select("node").distinct(), "node")
+    texts = sketches.select("node", key.alias("key"), "fp", "text").join(open_, ["node", "key"])
+    texts = cut(texts.groupBy("node").agg(F.first("fp").alias("fp"), F.first("text").alias("text")))
     roots = texts.select("node", F.col("node").alias("root"))
     # The same order for all keys: keys of one group of copies mostly choose the same members, and pairs repeat.
     first = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
