@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, media, mixing, packing, secrets, sharding, simhash, suffix, toxicity, warc
+from . import ann, media, mixing, overlap, packing, prefixes, secrets, sharding, simhash, spelling, suffix, toxicity, warc
 
 SHARDS = 24
 TOKENS = 2048
@@ -75,12 +75,28 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, secrets_base_spans, op3_neighbours, op4_repeats, op5_packing, op6_toxicity, op7_revisits, op8_mixing, op9_simhash, op10_media)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), typos=31)
+
+
+def op12_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = overlap.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.shared(_read(spark, sf_dir, "conversations"), moduli=(100, 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_secrets, secrets_base_spans, op3_neighbours, op4_repeats, op5_packing, op6_toxicity, op7_revisits, op8_mixing, op9_simhash, op10_media, op11_spelling, op12_overlap, op13_prefixes)}
 
 _QUOTED = {"assign": secrets.ASSIGN.replace("'", "''"), "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{32,}"}
 #: Of the kinds: the group that has to have a number of characters, and that number.
 _LEAST = {"assign": (2, 8), "access": (0, 16), "hex": (0, 32)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
     "secrets_base_spans": "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), m AS ("
     + " UNION ALL ".join(
@@ -142,5 +158,57 @@ c AS (SELECT d.*, n.source_size, n.target, n.times, n.target - n.times * n.sourc
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
       FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN need > 0 AND upto <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+""",
+    "op11_spelling": f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]{{7,}}')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run),
+y AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS b FROM u),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))), lambda a, c: xor(a // 256, t.t[1 + xor(a, c) % 256]))) AS h FROM y, t),
+o AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+l AS (SELECT word, unnest(range(0, length(word))) AS i FROM w),
+d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM l),
+p AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, w.word FROM d JOIN w ON d.v = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.v = w.word),
+q AS (SELECT p.word, count(*) AS n_near, max(w.n) AS most FROM p JOIN w ON w.word = p.other GROUP BY p.word),
+f AS (SELECT p.word, min(p.other) AS form, any_value(q.most) AS form_n FROM p JOIN q ON q.word = p.word JOIN w ON w.word = p.other AND w.n = q.most JOIN w own ON own.word = p.word WHERE q.most >= 10 * own.n GROUP BY p.word),
+c AS (SELECT word, word AS root FROM w UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root),
+e AS (SELECT c.word, c.root FROM c LEFT JOIN f ON f.word = c.root WHERE f.word IS NULL)
+SELECT w.word, f.form, e.root, w.n, coalesce(q.n_near, 0) AS n_near, f.form_n FROM w JOIN e USING (word) LEFT JOIN q USING (word) LEFT JOIN f USING (word)
+""",
+    "op12_overlap": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+s AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1 : i + 10], ' ') AS v FROM s),
+k AS (SELECT DISTINCT n FROM v),
+a AS (SELECT row, w, unnest(range(0, len(w))) AS i FROM d),
+x AS (SELECT row, i, n, array_to_string(w[i + 1 : i + n], ' ') AS v FROM a, k WHERE i + n <= len(w)),
+o AS (SELECT row, i, n, item_id FROM x JOIN v USING (n, v)),
+p AS (SELECT DISTINCT row, unnest(range(i, i + n)) AS at FROM o),
+h AS (SELECT row, count(*) AS n_hit FROM p GROUP BY row),
+j AS (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM o WHERE item_id IS NOT NULL),
+m AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM j GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN m USING (row)
+""",
+    "op13_prefixes": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT DISTINCT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])) AS b FROM t),
+c AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(b, lambda x: CAST(x AS BIGINT))),
+        lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) % 6 AS h FROM z),
+r AS (SELECT c.conv_id, 0 AS part, t.i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= h
+      UNION ALL SELECT c.conv_id, 1, t.i, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.i > h),
+m AS (SELECT conv_id, row_number() OVER own AS depth, length(text) AS size, string_agg(length(role) || ':' || role || length(text) || ':' || text, '|') OVER own AS key FROM r WINDOW own AS (PARTITION BY conv_id ORDER BY part, i)),
+n AS (SELECT * FROM m UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM n),
+g AS (SELECT key, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM l GROUP BY key),
+k AS (SELECT up AS key, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT DISTINCT a.key, b.key AS below FROM l a JOIN l b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+q AS (SELECT s.key, CAST(count(*) FILTER (k.key IS NULL) AS BIGINT) AS n_leaves, CAST(sum((g.n_convs - 1) * g.size) AS BIGINT) AS saved_tokens FROM s JOIN g ON g.key = s.below LEFT JOIN k ON k.key = s.below GROUP BY s.key)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n_children, 0) AS n_children, q.n_leaves, q.saved_tokens, g.ends_sha256
+FROM g JOIN q ON q.key = g.key LEFT JOIN k ON k.key = g.key LEFT JOIN g p ON p.key = g.up
 """,
 }

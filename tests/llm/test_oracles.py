@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="no tables")
 @pytest.mark.parametrize("folder", [DATA, LARGER])
 def test_same_rows(spark, name, folder):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     a, b = con.execute(ORACLES[name]).df(), QUERIES[name](spark, folder).toPandas()
     assert sorted(a) == sorted(b)
