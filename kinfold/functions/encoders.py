@@ -12,7 +12,8 @@ FLAT, YEAR_MEAN, YEAR_STD = 1e-8, 2000.0, 20.0
 
 
 def numeric_stats(c: Column, name: str = "") -> list[Column]:
-    """Aggregates mean and (population) std; a constant column has std 1, one without values (0, 1)."""
+    """Aggregates mean and (population) std, of doubles; a constant column has std 1, one without values (0, 1)."""
+    c = c.cast("double")
     std = F.stddev_pop(c)
     return [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{name}mean"), F.when(std.isNull() | (std < FLAT), 1.0).otherwise(std).alias(f"{name}std")]
 

@@ -29,9 +29,44 @@ def is_date(c: Column) -> Column:
     return c.rlike(DATE)
 
 
-def parse_number(c: Column) -> Column:
-    """The number that the string starts with, after blanks; null if there is none."""
-    return F.regexp_extract(c, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+def _number(c: Column) -> Column:
+    return F.regexp_extract(c, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+
+
+def parse_number(c: Column, kind: str = "double") -> Column:
+    """The number that the string starts with, after blanks, in the type; null if there is none."""
+    return _number(c).try_cast(kind)
+
+
+#: Digits of a number that a double always tells from others of as many.
+DOUBLE_DIGITS = 15
+
+
+def number_types(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The type that holds the numbers of each string column exactly, in one aggregation: bigint, decimal(38, s), or double where no more digits than its own are
+    needed, where there are exponents, and where 38 digits don't do."""
+    if not columns:
+        return {}
+    aggs = []
+    for i, c in enumerate(columns):
+        text = _number(cell(F.col(c)))
+        digits = F.regexp_replace(text, "^[+-]?0*", "")
+        behind = F.length(F.regexp_extract(text, r"\.(\d*)", 1))
+        aggs += [
+            F.max(text.rlike("[eE]")).alias(f"e{i}"), F.max(F.when(text != "", text.try_cast("bigint").isNull())).alias(f"wide{i}"),
+            F.max(F.length(F.regexp_replace(digits, r"\.\d*$", ""))).alias(f"before{i}"), F.max(behind).alias(f"behind{i}"), F.max(text.contains(".")).alias(f"point{i}"),
+        ]
+    row, out = df.agg(*aggs).first(), {}
+    for i, c in enumerate(columns):
+        exponent, wide, before, behind, point = (row[f"{k}{i}"] for k in ("e", "wide", "before", "behind", "point"))
+        digits = (before or 0) + (behind or 0)
+        if exponent or before is None:
+            out[c] = "double"
+        elif not point:
+            out[c] = "bigint" if not wide else "decimal(38,0)" if digits <= 38 else "double"
+        else:
+            out[c] = f"decimal(38,{behind})" if DOUBLE_DIGITS < digits <= 38 else "double"
+    return out
 
 
 def parse_timestamp(c: Column) -> Column:
@@ -40,9 +75,9 @@ def parse_timestamp(c: Column) -> Column:
     return F.coalesce(whole, F.try_to_timestamp(F.substring(c, 1, 10), F.lit("yyyy-MM-dd")))
 
 
-def parse(c: Column, kind: LogicalType) -> Column:
+def parse(c: Column, kind: LogicalType, number: str = "double") -> Column:
     if kind is LogicalType.NUMERICAL:
-        return parse_number(cell(c))
+        return parse_number(cell(c), number)
     if kind is LogicalType.TIMESTAMP:
         return parse_timestamp(cell(c))
     return cell(c)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.operators.keys import compatible
-from kinfold.schema import Database, Table
+from kinfold.schema import Database, Table, aligned
 
 log = logging.getLogger(__name__)
 NODE = "_nid"
@@ -97,15 +97,17 @@ def with_node_ids(df: DataFrame, order: list[str], rows: int = RANGE) -> DataFra
     return out.withColumn(NODE, (F.col("_s") + F.col("_r") - 1).cast("long")).drop("_range", "_s", "_r", "_order")
 
 
-def pk_index(df: DataFrame, pk: str, node: str = NODE) -> DataFrame:
+def pk_index(df: DataFrame, pk: Column | str, node: str = NODE) -> DataFrame:
     """(key, node), one row per key: the last row of a repeated key stands."""
-    return df.where(F.col(pk).isNotNull()).groupBy(F.col(pk).alias("_key")).agg(F.max(node).alias("dst"))
+    key = F.col(pk) if isinstance(pk, str) else pk
+    return df.where(key.isNotNull()).groupBy(key.alias("_key")).agg(F.max(node).alias("dst"))
 
 
 def fk_edges(src: DataFrame, fk: str, dst: DataFrame, pk: str, src_node: str = NODE, dst_node: str = NODE) -> DataFrame:
-    """(src, dst) node ids of each row whose key is found; null and dangling keys give no edge."""
-    left = src.where(F.col(fk).isNotNull()).select(F.col(src_node).alias("src"), F.col(fk).alias("_key"))
-    return left.join(pk_index(dst, pk, dst_node), "_key").select("src", "dst")
+    """(src, dst) node ids of each row whose key is found; null and dangling keys give no edge. Keys of different types are compared as aligned() says, exactly."""
+    own, its = aligned(F.col(fk), dict(src.dtypes)[fk], F.col(pk), dict(dst.dtypes)[pk])
+    left = src.select(F.col(src_node).alias("src"), own.alias("_key")).where("_key is not null")
+    return left.join(pk_index(dst, its, dst_node), "_key").select("src", "dst")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

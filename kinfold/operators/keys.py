@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.schema import Database, ForeignKey, LogicalType, Table
+from kinfold.schema import Database, ForeignKey, LogicalType, Table, aligned
 
 #: Share of a column's values that must be found among the keys of its target.
 COVERAGE = 0.99
@@ -63,8 +63,9 @@ def fk_coverage(src: DataFrame, column: str, dst: DataFrame, pk: str) -> DataFra
 
     Values are counted before the join, so a hot value is one row in it.
     """
-    values = src.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_k")).agg(F.count("*").alias("n"))
-    keys = dst.where(F.col(pk).isNotNull()).select(F.col(pk).alias("_k"), F.lit(1).alias("hit")).distinct()
+    own, its = aligned(F.col(column), dict(src.dtypes)[column], F.col(pk), dict(dst.dtypes)[pk])
+    values = src.where(F.col(column).isNotNull()).groupBy(own.alias("_k")).agg(F.count("*").alias("n"))
+    keys = dst.select(its.alias("_k"), F.lit(1).alias("hit")).where("_k is not null").distinct()
     sums = values.join(keys, "_k", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_values"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).cast("long").alias("n_found"))
     return sums.withColumn("coverage", F.when(F.col("n_values") > 0, F.col("n_found") / F.col("n_values")).otherwise(0.0))
 

@@ -66,6 +66,25 @@ def edge_list_dirty_keys(spark, d):
     return graph.fk_edges(src, "f", dst, "k", "o_orderkey", "c_custkey")
 
 
+_WIDE = 1 << 60
+
+
+@query(f"SELECT l_orderkey * 8 + l_linenumber AS src, o_orderkey AS dst FROM lineitem JOIN orders ON l_orderkey + {_WIDE} = o_orderkey + {_WIDE}")
+def edge_list_wide_keys(spark, d):
+    """Keys beyond what doubles tell apart: integers on one side, decimals on the other, through from_dataframe and the graph."""
+    from kinfold.schema import ForeignKey
+    from kinfold.sources.tables import from_dataframe
+
+    orders = read(spark, d, "orders").select((F.col("o_orderkey") + _WIDE).alias("id"), "o_totalprice")
+    lines = read(spark, d, "lineitem").select((F.col("l_orderkey") + _WIDE).cast("decimal(30,0)").alias("orderId"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"))
+    db = Database()
+    for t in (from_dataframe("orders", orders, pk="id", detect=False), from_dataframe("lines", lines, pk="line", fks=(ForeignKey("orderId", "orders"),), detect=False)):
+        node = (F.col("id") - _WIDE) if t.name == "orders" else F.col("line")
+        db.add_table(Table(t.name, t.df.withColumn(graph.NODE, node), t.types, t.pk, t.time_col, t.fks))
+    edges = graph.build_graph(db).edges
+    return edges[graph.EdgeType("lines", "orderId", "orders")]
+
+
 def _small_db(spark: SparkSession, d: str) -> Database:
     n, c, t = LogicalType.NUMERICAL, LogicalType.CATEGORICAL, LogicalType.TEXT
     from kinfold.schema import ForeignKey

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from enum import StrEnum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -118,7 +118,47 @@ def logical_type_of(dtype: str) -> LogicalType | None:
     return LogicalType.TEXT
 
 
+#: Types whose values are exact; numbers of any other numeric type are doubles.
+EXACT = ("tinyint", "smallint", "int", "bigint")
+
+
+def exact(dtype: str) -> bool:
+    return dtype in EXACT or dtype.startswith("decimal")
+
+
 def typed(df: DataFrame, types: dict[str, LogicalType]) -> DataFrame:
-    """Columns as the encoders take them: doubles, timestamps, strings."""
+    """Columns in the types that they are kept in: integers and decimals as they are, so that keys stay exact, other numbers as doubles, times, strings.
+
+    Only encoders, labels and metrics make doubles of exact numbers.
+    """
     to = {LogicalType.NUMERICAL: "double", LogicalType.TIMESTAMP: "timestamp", LogicalType.CATEGORICAL: "string", LogicalType.TEXT: None}
-    return df.select(*(F.col(c).cast(to[t]).alias(c) if to[t] else F.col(c) for c, t in types.items()))
+    physical = dict(df.dtypes)
+    plain = lambda c, t: to[t] is None or t is LogicalType.NUMERICAL and exact(physical[c])
+    return df.select(*(F.col(c) if plain(c, t) else F.col(c).cast(to[t]).alias(c) for c, t in types.items()))
+
+
+def _scale(dtype: str) -> int:
+    return int(dtype.rstrip(")").partition(",")[2] or 0) if dtype.startswith("decimal") else 0
+
+
+def aligned(a: Column, a_type: str, b: Column, b_type: str) -> tuple[Column, Column]:
+    """Two key columns in one type in which values are equal if and only if the values given are; a value that the other type can't hold becomes null.
+
+    Integers and decimals are compared exactly. A double is an integer's key if it is whole (keys with gaps are often read as doubles); doubles and decimals with
+    fractions are compared as doubles.
+    """
+    if a_type == b_type:
+        return a, b
+    sides = (a, a_type), (b, b_type)
+    if all(t in EXACT for _, t in sides):
+        return a.cast("bigint"), b.cast("bigint")
+    if all(exact(t) for _, t in sides):
+        kind = f"decimal(38,{max(_scale(a_type), _scale(b_type))})"
+        return a.try_cast(kind), b.try_cast(kind)
+    floating = ("double", "float")
+    if a_type in floating or b_type in floating:
+        if all(t in floating or t in EXACT or t.startswith("decimal") and not _scale(t) for _, t in sides) and not all(t in floating for _, t in sides):
+            whole = lambda c, t: F.when(F.floor(c) == c, c.cast("double").try_cast("decimal(38,0)")) if t in floating else c.cast("decimal(38,0)")
+            return whole(*sides[0]), whole(*sides[1])
+        return tuple(c.cast("double") if t in floating or exact(t) else c.try_cast("double") for c, t in sides)
+    return a.cast("string"), b.cast("string")

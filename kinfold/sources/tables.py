@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.functions.infer import categorical, infer_types, parse
+from kinfold.functions.infer import categorical, infer_types, number_types, parse, parse_number
 from kinfold.operators.keys import detect_pk, detect_time_col
-from kinfold.schema import Database, ForeignKey, LogicalType, Table, logical_type_of, typed
+from kinfold.schema import Database, ForeignKey, LogicalType, Table, exact, logical_type_of, typed
 
 
 log = logging.getLogger(__name__)
@@ -19,13 +20,15 @@ log = logging.getLogger(__name__)
 def read_csv(spark: SparkSession, path: str, name: str, overrides: dict[str, LogicalType] | None = None, pk: str | None = None, time_col: str | None = None, fks: tuple[ForeignKey, ...] = (), raw_columns: Sequence[str] = ()) -> Table:
     """A table from a CSV file with a header: quotes doubled within quotes, no trimming, short rows padded with null.
 
-    The file is read as strings; explicit types win, the others follow from all values. Cells that don't parse are null. raw_columns
+    The file is read as strings; explicit types win, the others follow from all values. Cells that don't parse are null. Numbers are integers or decimals
+    where a double would mix them up (number_types), so that keys of any length stay apart. raw_columns
     are also kept as they stand in the file, as <column>_raw, which is TEXT.
     """
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("nullValue", None).option("emptyValue", "").csv(path)
     types = infer_types(raw, overrides)
     kept = {f"{c}_raw": c for c in raw_columns}
-    df = raw.select(*(parse(F.col(c), t).alias(c) for c, t in types.items()), *(F.col(c).alias(n) for n, c in kept.items()))
+    numbers = number_types(raw, [c for c, t in types.items() if t is LogicalType.NUMERICAL])
+    df = raw.select(*(parse(F.col(c), t, numbers.get(c, "double")).alias(c) for c, t in types.items()), *(F.col(c).alias(n) for n, c in kept.items()))
     return Table(name, df, types | dict.fromkeys(kept, LogicalType.TEXT), pk, time_col, fks)
 
 
@@ -48,6 +51,17 @@ def side_file(spark: SparkSession, path: str, numbers: Mapping[str, str]) -> Dat
     return raw.select(*(zero(source).alias(name) for name, source in numbers.items()))
 
 
+def _held(values: Sequence) -> tuple[str, type]:
+    """The type that holds Python's numbers: integers of 64 bits, decimals where some are or integers are longer, else doubles."""
+    some = [v for v in values if v is not None]
+    if some and all(isinstance(v, int) for v in some) and all(-(1 << 63) <= v < 1 << 63 for v in some):
+        return "bigint", int
+    if some and all(isinstance(v, (int, Decimal)) for v in some):
+        behind = max(max(0, -Decimal(v).as_tuple().exponent) for v in some)
+        return f"decimal(38,{behind})", Decimal
+    return "double", float
+
+
 def from_columns(spark: SparkSession, tables: Mapping[str, Mapping]) -> Database:
     """A database from {table: {"columns": [{"name", "type", "values"}], "pkey_col", "time_col", "foreign_keys": [{"column", "references"}]}}.
 
@@ -59,11 +73,9 @@ def from_columns(spark: SparkSession, tables: Mapping[str, Mapping]) -> Database
         types = {c["name"]: LogicalType(c["type"].upper()) for c in columns}
         if len({len(c["values"]) for c in columns}) > 1:
             raise ValueError(f"the columns of {name} are not equally long")
-        number = lambda v: None if v is None else float(v)
-        text = lambda v: None if v is None else str(v)
-        kinds = {LogicalType.NUMERICAL: ("double", number), LogicalType.TIMESTAMP: ("string", text), LogicalType.CATEGORICAL: ("string", text), LogicalType.TEXT: ("string", text)}
-        rows = list(zip(*([kinds[types[c["name"]]][1](v) for v in c["values"]] for c in columns), strict=True))
-        df = spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds[t][0]}" for c, t in types.items()))
+        kinds = {c["name"]: _held(c["values"]) if types[c["name"]] is LogicalType.NUMERICAL else ("string", str) for c in columns}
+        rows = list(zip(*([None if v is None else kinds[c["name"]][1](v) for v in c["values"]] for c in columns), strict=True))
+        df = spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds[c][0]}" for c in types))
         times = [c for c, t in types.items() if t is LogicalType.TIMESTAMP]
         df = df.withColumns({c: F.coalesce(F.timestamp_seconds(F.col(c).try_cast("double")), F.col(c).try_cast("timestamp")) for c in times})
         db.add_table(Table(name, df, types, spec.get("pkey_col"), spec.get("time_col"), tuple(ForeignKey(k["column"], k["references"]) for k in spec.get("foreign_keys") or ())))
@@ -84,7 +96,10 @@ def read_csv_database(spark: SparkSession, folder: str, schemas: dict[str, dict]
 
 
 def from_dataframe(name: str, df: DataFrame, pk: str | None = None, time_col: str | None = None, fks: tuple[ForeignKey, ...] = (), overrides: dict[str, LogicalType] | None = None, detect: bool = True) -> Table:
-    """A table from typed columns: string columns are categorical if at most 5 % of their values differ (exactly counted)."""
+    """A table from typed columns: string columns are categorical if at most 5 % of their values differ (exactly counted).
+
+    Integers and decimals are kept exactly; strings that are numbers by `overrides` are parsed as those of a file are.
+    """
     types = {c: (overrides or {}).get(c) or logical_type_of(t) for c, t in df.dtypes}
     if texts := [c for c, t in types.items() if t is None]:
         row = categorical(df.select(*texts))
@@ -93,6 +108,9 @@ def from_dataframe(name: str, df: DataFrame, pk: str | None = None, time_col: st
         pk, time_col = pk or detect_pk(name, df), time_col or detect_time_col(df)
     if time_col:
         types[time_col] = LogicalType.TIMESTAMP
+    physical = dict(df.dtypes)
+    for c, kind in number_types(df, [c for c, t in types.items() if t is LogicalType.NUMERICAL and physical[c] == "string"]).items():
+        df = df.withColumn(c, parse_number(F.col(c), kind))
     return Table(name, typed(df, types), types, pk, time_col, fks)
 
 
@@ -113,13 +131,22 @@ def catalog(spark: SparkSession, names: list[str] | None = None, fks: Mapping[st
 def load_task(spark: SparkSession, path: str, table: DataFrame, pk: str, node: str = "_nid") -> DataFrame:
     """(node, label, split) from a CSV of (pk, label, split); of a repeated key the last row of the table counts.
 
-    Keys that are not in the table are left out, and their number is logged. Numbers are compared as numbers ("7" is 7.0).
+    Keys that are not in the table are left out, and their number is logged. Numbers are compared as numbers ("7" is 7.0), exactly where the table's are exact.
     """
     rows = spark.read.option("header", True).csv(path).toDF("_key", "label", "split")
-    numeric = table.schema[pk].dataType.simpleString() not in ("string", "date", "timestamp", "boolean")
-    key = lambda c: F.col(c).try_cast("double") if numeric else F.col(c).cast("string")
-    nodes = table.groupBy(key(pk).alias("_key")).agg(F.max(node).alias(node))
-    found = rows.withColumn("_key", key("_key")).join(nodes, "_key", "left")
+    kind = table.schema[pk].dataType.simpleString()
+    if exact(kind):
+        # Ten places more than the table's are room for fractions, so that 7.5 is no 7, as far as its integers leave any.
+        digits, scale = map(int, kind[8:-1].split(",")) if kind.startswith("decimal") else (19, 0)
+        kind = f"decimal(38,{min(scale + 10, 38 - digits + scale)})"
+        rows = rows.withColumn("_key", F.col("_key").try_cast(kind))
+    elif kind in ("double", "float"):
+        kind = "double"
+        rows = rows.withColumn("_key", F.col("_key").try_cast(kind))
+    else:
+        kind = "string"
+    nodes = table.groupBy(F.col(pk).cast(kind).alias("_key")).agg(F.max(node).alias(node))
+    found = rows.join(nodes, "_key", "left")
     if missing := found.where(F.col(node).isNull()).count():
         log.warning("%d rows of %s have no row in the table", missing, path)
     return found.where(F.col(node).isNotNull()).select(node, F.col("label").try_cast("double").alias("label"), "split")

@@ -265,3 +265,61 @@ def test_rolling_statistics(spark):
     assert {r["game"]: r["venue"] for r in venues} == {1: 0.5, 2: pytest.approx(40000 / 90000), 3: 0.5, 4: 0.5}
     scored = spark.range(40).select((F.col("id") % 8).alias("u"), F.col("id").alias("k"), F.col("id").cast("double").alias("p"))
     assert {(r["u"], r["k"]) for r in recipes.top_k(scored, "u", "p", "k", 2, groups=3).collect()} == {(u, u + 8 * i) for u in range(3) for i in (3, 4)}
+
+
+WIDE = 1 << 60
+
+
+def linked(db):
+    """(users' keys of the orders, by order) along the edges of the graph."""
+    with_ids = Database()
+    for t in db.tables.values():
+        with_ids.put(Table(t.name, graph.with_node_ids(t.df, [t.pk]), t.types, t.pk, t.time_col, t.fks))
+    edges = graph.build_graph(with_ids).edges[graph.EdgeType("orders", "userId", "users")]
+    users, orders = (with_ids.get_table(n) for n in ("users", "orders"))
+    rows = edges.join(users.df.select(F.col("_nid").alias("dst"), F.col(users.pk).alias("u")), "dst").join(orders.df.select(F.col("_nid").alias("src"), F.col(orders.pk).alias("o")), "src")
+    return {int(r["o"]): r["u"] for r in rows.collect()}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "decimal(38,0)", "string"])
+def test_wide_keys_stay_apart(spark, kind):
+    users = spark.range(8).select((F.col("id") + WIDE).cast(kind).alias("userId"), F.col("id").cast("double").alias("age"))
+    orders = spark.range(16).select(F.col("id").alias("orderId"), (F.col("id") % 8 + WIDE).cast("bigint" if kind == "decimal(38,0)" else kind).alias("userId"))
+    db = Database()
+    db.add_table(tables.from_dataframe("users", users))
+    db.add_table(tables.from_dataframe("orders", orders, pk="orderId"))
+    assert db.get_table("users").pk == "userId" and db.get_table("users").df.select("userId").distinct().count() == 8
+    found = keys.with_detected_fks(db)
+    assert found.get_table("orders").fks == (ForeignKey("userId", "users"),)
+    assert {o: int(u) for o, u in linked(found).items()} == {i: i % 8 + WIDE for i in range(16)}
+
+
+def test_wide_keys_in_files(spark, tmp_path):
+    (tmp_path / "users.csv").write_text("userId,age\n" + "".join(f"{WIDE + i},{i}.5\n" for i in range(8)))
+    (tmp_path / "orders.csv").write_text("orderId,userId,cents\n" + "".join(f"{10**30 + i},{WIDE + i % 8},{i}.00000000000000000001\n" for i in range(16)))
+    db = tables.read_csv_database(spark, str(tmp_path), {"users": {"pk": "userId"}, "orders": {"pk": "orderId", "overrides": {"orderId": N}}})
+    kinds = dict(db.get_table("orders").df.dtypes)
+    assert kinds == {"orderId": "decimal(38,0)", "userId": "bigint", "cents": "decimal(38,20)"} and dict(db.get_table("users").df.dtypes)["age"] == "double"
+    assert {o - 10**30: u for o, u in linked(keys.with_detected_fks(db)).items()} == {i: i % 8 + WIDE for i in range(16)}
+
+
+def test_wide_keys_of_a_task(spark, tmp_path):
+    table = graph.with_node_ids(spark.range(8).select((F.col("id") + WIDE).alias("id")), ["id"])
+    (tmp_path / "task.csv").write_text(f"id,label,split\n{WIDE + 1},1,train\n{WIDE + 6},0,val\n{WIDE + 9},0,val\n{WIDE + 1}.5,0,val\n")
+    got = tables.load_task(spark, str(tmp_path / "task.csv"), table, "id")
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0, "train"), (6, 0.0, "val")]
+    tables.save_task(got, table, "id", str(tmp_path / "again"))
+    assert sorted(map(tuple, tables.load_task(spark, str(tmp_path / "again"), table, "id").collect())) == [(1, 1.0, "train"), (6, 0.0, "val")]
+
+
+def test_keys_of_different_types(spark):
+    whole = spark.createDataFrame([(0, 1), (1, 2), (2, WIDE + 1)], "_nid long, id long")
+    floats = spark.createDataFrame([(0, 1.0), (1, 2.5), (2, None), (3, float("nan")), (4, float(WIDE)), (5, 1e300)], "_nid long, k double")
+    assert sorted(map(tuple, graph.fk_edges(floats, "k", whole, "id").collect())) == [(0, 0)]
+    assert sorted(map(tuple, graph.fk_edges(floats.select("_nid", F.col("k").cast("float")), "k", whole.select("_nid", F.col("id").cast("decimal(20,0)").alias("id")), "id").collect())) == [(0, 0)]
+    cents = spark.sql("SELECT 0L AS _nid, 1.50BD AS k UNION ALL SELECT 1L, 2.00BD UNION ALL SELECT 2L, 7.00BD")
+    assert sorted(map(tuple, graph.fk_edges(cents, "k", whole, "id").collect())) == [(1, 1)]
+    assert sorted(map(tuple, graph.fk_edges(floats, "k", cents.withColumnRenamed("k", "id"), "id").collect())) == []
+    assert keys.fk_coverage(cents, "k", whole, "id").first()["n_found"] == 1
+    made = tables.from_columns(spark, {"t": {"columns": [{"name": "id", "type": "numerical", "values": [WIDE, WIDE + 1, None]}, {"name": "x", "type": "numerical", "values": [1, 2.5, None]}]}})
+    assert dict(made.get_table("t").df.dtypes) == {"id": "bigint", "x": "double"}
