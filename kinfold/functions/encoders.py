@@ -32,17 +32,23 @@ def zscore(c: Column, mean: Column | float, std: Column | float) -> Column:
 
 
 def vocabulary(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
-    """(value, index): distinct non-null values in byte order, from 0; of at most the first `most`, which the sort cuts off before they meet."""
+    """(value, index): distinct non-null values in byte order, from 0; of at most the first `most`, which the sort cuts off before they meet.
+
+    Without `most` they are numbered in ranges, so no task and no driver holds them all.
+    """
+    from kinfold.operators.graph import NODE, with_node_ids
+
     values = df.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    if most is not None:
-        values = values.orderBy("value").limit(most)
-    values = values.agg(F.array_sort(F.collect_list("value")).alias("v"))
+    if most is None:
+        return with_node_ids(values, ["value"]).select("value", F.col(NODE).cast("int").alias("index"))
+    values = values.orderBy("value").limit(most).agg(F.array_sort(F.collect_list("value")).alias("v"))
     return values.select(F.posexplode("v").alias("index", "value")).select("value", "index")
 
 
 def one_hot(c: Column, vocab: list[str]) -> Column:
-    """Unseen and null values give zeros."""
-    return F.array(*(F.when(c.cast("string") == v, 1.0).otherwise(0.0) for v in vocab))
+    """Unseen and null values give zeros. The values are one literal of the plan, whatever their number."""
+    known = F.array(*map(F.lit, vocab)) if vocab else F.array().cast("array<string>")
+    return F.transform(known, lambda v: F.when(c.cast("string") == v, 1.0).otherwise(0.0))
 
 
 def time_parts(c: Column, mean: Column | float, std: Column | float) -> Column:

@@ -12,16 +12,75 @@ def glorot(rng: np.random.Generator, out: int, inp: int) -> np.ndarray:
     return rng.uniform(-bound, bound, (out, inp))
 
 
-def init(raw: dict[str, int], edges: list[tuple[str, str, str]], target: str, channels: int, layers: int, hidden: int, outputs: int, seed: int = 42) -> Params:
-    """Parameters by name. raw: width of each node type's features; edges: (name, source type, destination type)."""
+class Wide:
+    """Rows of which most columns are written out and the others, very many, are given where they are not zero: (row, column, value), by row."""
+
+    def __init__(self, dense: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray) -> None:
+        self.dense, self.row, self.column, self.value = dense, row, column, value
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def __getitem__(self, rows: np.ndarray) -> Wide:
+        starts = np.searchsorted(self.row, np.arange(len(self.dense) + 1))
+        first, count = starts[:-1][rows], np.diff(starts)[rows]
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return Wide(self.dense[rows], np.repeat(np.arange(len(count)), count), self.column[at], self.value[at])
+
+    def between(self, low: int, high: int) -> Wide:
+        """The columns from low up to high alone, counted from low, without the dense ones."""
+        own = (self.column >= low) & (self.column < high)
+        return Wide(self.dense[:, :0], self.row[own], self.column[own] - low, self.value[own])
+
+
+class Rowwise:
+    """A gradient that is zero but for some rows of its parameter."""
+
+    def __init__(self, at: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+        self.at, self.rows = at[new], np.add.reduceat(rows[order], new) if len(new) else rows
+
+    def __add__(self, other: Rowwise) -> Rowwise:
+        return Rowwise(np.r_[self.at, other.at], np.concatenate([self.rows, other.rows]))
+
+    def full(self, shape: tuple[int, ...]) -> np.ndarray:
+        out = np.zeros(shape)
+        out[self.at] = self.rows
+        return out
+
+
+def encode(p: Params, name: str, x: np.ndarray, few: Wide | None = None) -> np.ndarray:
+    """A linear map of features; those of `few` gather the rows of their columns."""
+    out = linear(p, name, x)
+    if few is not None and len(few.row):
+        new = np.flatnonzero(np.r_[True, few.row[1:] != few.row[:-1]])
+        out[few.row[new]] += np.add.reduceat(p[f"{name}.E"][few.column] * few.value[:, None], new)
+    return out
+
+
+def encode_grads(name: str, x: np.ndarray, few: Wide | None, g: np.ndarray) -> dict[str, np.ndarray | Rowwise]:
+    grads: dict[str, np.ndarray | Rowwise] = linear_grads(name, x, g)
+    if few is not None and len(few.row):
+        grads[f"{name}.E"] = Rowwise(few.column, g[few.row] * few.value[:, None])
+    return grads
+
+
+def init(raw: dict[str, tuple[int, int]], edges: list[tuple[str, str, str]], target: str, channels: int, layers: int, hidden: int, outputs: int, seed: int = 42) -> Params:
+    """Parameters by name. raw: dense and sparse width of each node type's features, the latter a row each of enc.<type>.E; edges: (name, source type, destination type)."""
     rng = np.random.default_rng(seed)
     p: Params = {}
 
     def linear(name: str, out: int, inp: int) -> None:
         p[f"{name}.W"], p[f"{name}.b"] = glorot(rng, out, inp), np.zeros(out)
 
-    for t, width in raw.items():
-        linear(f"enc.{t}", channels, max(1, width))
+    for t, (width, many) in raw.items():
+        width = max(1, width)
+        both = glorot(rng, channels, width + many)
+        p[f"enc.{t}.W"], p[f"enc.{t}.b"] = both[:, :width], np.zeros(channels)
+        if many:
+            p[f"enc.{t}.E"] = np.ascontiguousarray(both[:, width:].T)
     for layer in range(layers):
         for t in raw:
             linear(f"l{layer}.self.{t}", channels, channels)
@@ -139,6 +198,7 @@ class Adam:
         """Bias-corrected update, in place."""
         self.t += 1
         for k, g in grads.items():
+            g = g.full(p[k].shape) if isinstance(g, Rowwise) else g
             self.m[k] = self.b1 * self.m.get(k, 0.0) + (1 - self.b1) * g
             self.v[k] = self.b2 * self.v.get(k, 0.0) + (1 - self.b2) * g * g
             m, v = self.m[k] / (1 - self.b1**self.t), self.v[k] / (1 - self.b2**self.t)

@@ -45,34 +45,56 @@ class Config:
     batch_size: int = 0
     #: Bytes of a small table's vectors up to which they are broadcast, and its part of the first layer runs at the driver.
     local_bytes: int = 16 << 20
-    #: A vocabulary of more values than this is refused: it would make rows that wide.
-    vocabulary: int = 5000
+    #: Values of a column up to which its one-hot vector is written out; of a column with more, rows hold the number of their value.
+    vocabulary: int = 256
 
 
 @dataclass
 class Encoder:
-    """Fitted statistics of a table's feature columns: (column, kind, parameters)."""
+    """Fitted statistics of a table's feature columns: (column, kind, parameters). Of the kind "many", the parameter is the number of values, and `values` has
+    their table (value, index) by column: such a column adds so many sparse features, of which a row has one at most."""
 
     parts: list[tuple[str, str, tuple]]
+    values: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def width(self) -> int:
-        return sum({"num": 1, "time": 5}.get(kind, len(args)) for _, kind, args in self.parts)
+        return sum({"num": 1, "time": 5, "many": 0}.get(kind, len(args)) for _, kind, args in self.parts)
+
+    @property
+    def many(self) -> int:
+        return sum(args[0] for _, kind, args in self.parts if kind == "many")
 
     def column(self):
+        """The dense features."""
         arrays = []
         for c, kind, args in self.parts:
             if kind == "num":
                 arrays.append(F.array(encoders.zscore(F.col(c), *args)))
             elif kind == "time":
                 arrays.append(encoders.time_parts(F.col(c), *args))
-            else:
+            elif kind == "cat":
                 arrays.append(encoders.one_hot(F.col(c), list(args)))
         return F.concat(*arrays) if self.width else F.array(F.lit(0.0))
 
+    def rows(self, df: DataFrame, local_bytes: int = 0) -> DataFrame:
+        """(node, x): the dense features, then the number and value of each sparse one. Unseen and null values have none.
+
+        Tables of values are joined, by broadcast if they take at most local_bytes.
+        """
+        tail, at = [], 0
+        for c, kind, args in self.parts:
+            if kind == "many":
+                known = self.values[c].select(F.col("value").alias(f"_{c}|v"), (F.col("index") + at).cast("double").alias(f"_{c}|i"))
+                size = known.agg(F.sum(F.octet_length(f"_{c}|v") + 24)).first()[0] or 0
+                df = df.join(F.broadcast(known) if size <= local_bytes else known, F.col(c).cast("string") == F.col(f"_{c}|v"), "left").drop(f"_{c}|v")
+                tail.append(F.when(F.col(f"_{c}|i").isNotNull(), F.array(F.col(f"_{c}|i"), F.lit(1.0))).otherwise(F.array().cast("array<double>")))
+                at += args[0]
+        return df.select(NODE, F.concat(self.column(), *tail).alias("x"))
+
 
 def fit_encoder(table: Table, config: Config, label: str | None = None) -> Encoder:
-    """Statistics of all feature columns in one aggregation, and one small query per vocabulary.
+    """Statistics of all feature columns in one aggregation, and one small query per vocabulary, or a stored table of its values where there are many.
 
     Keys and TEXT columns are no features; nor is the label, unless asked for. Foreign keys and the time column can be left out.
     """
@@ -80,16 +102,18 @@ def fit_encoder(table: Table, config: Config, label: str | None = None) -> Encod
     used = [c for c, t in table.types.items() if c != table.pk and t is not LogicalType.TEXT and not (c == label and not config.leaky_label) and not (config.exclude_fk and c in fks) and not (c == table.time_col and not config.encode_time_col)]
     aggs = [a for c in used for a in (encoders.numeric_stats(F.col(c), f"{c}|") if table.types[c] is LogicalType.NUMERICAL else encoders.year_stats(F.col(c), f"{c}|") if table.types[c] is LogicalType.TIMESTAMP else [])]
     row = table.df.agg(*aggs).first().asDict() if aggs else {}
-    parts = []
+    parts, many = [], {}
     for c in used:
         if table.types[c] is LogicalType.CATEGORICAL:
             values = [r["value"] for r in encoders.vocabulary(table.df, c, config.vocabulary + 1).orderBy("index").collect()]
             if len(values) > config.vocabulary:
-                raise ValueError(f"{table.name}.{c} has over {config.vocabulary} values; hide it or raise the limit")
-            parts.append((c, "cat", tuple(values)))
+                many[c] = encoders.vocabulary(table.df, c).persist()
+                parts.append((c, "many", (many[c].count(),)))
+            else:
+                parts.append((c, "cat", tuple(values)))
         else:
             parts.append((c, "num" if table.types[c] is LogicalType.NUMERICAL else "time", (row[f"{c}|mean"], row[f"{c}|std"])))
-    return Encoder(parts)
+    return Encoder(parts, many)
 
 
 #: Rows that go through layers: a node, what v is of it (0: its own vector; from 1 on: a part of the mean over an edge type; GRADIENT: a part of
@@ -102,18 +126,58 @@ SPLITS = ("train", "val", "test")
 COLLECTED = 1 << 20
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of one width as rows; null ones are zeros."""
+def _matrix(column: pa.Array, width: int) -> np.ndarray | K.Wide:
+    """Lists as rows; null ones are zeros. What goes on after `width` values is the number and value of each sparse feature."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    if not column.null_count:
-        return flat.reshape(len(column), width)
-    out = np.zeros((len(column), width))
-    out[column.is_valid().to_numpy(zero_copy_only=False)] = flat.reshape(-1, width)
-    return out
+    there = np.arange(len(column)) if not column.null_count else np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(flat) == len(there) * width:
+        if len(there) == len(column):
+            return flat.reshape(len(column), width)
+        out = np.zeros((len(column), width))
+        out[there] = flat.reshape(-1, width)
+        return out
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)[there].astype(np.int64)
+    starts, out = np.cumsum(lengths) - lengths, np.zeros((len(column), width))
+    out[there] = flat[starts[:, None] + np.arange(width)]
+    count = (lengths - width) // 2
+    at = np.repeat(starts + width - 2 * (np.cumsum(count) - count), count) + 2 * np.arange(count.sum())
+    return K.Wide(out, np.repeat(there, count), flat[at].astype(np.int64), flat[at + 1])
+
+
+def _lists(m: np.ndarray | K.Wide) -> pa.Array:
+    if isinstance(m, np.ndarray):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1), pa.float64()))
+    width, count = m.dense.shape[1], np.bincount(m.row, minlength=len(m))
+    ends = np.cumsum(width + 2 * count)
+    starts, flat = ends - width - 2 * count, np.zeros(ends[-1] if len(ends) else 0)
+    flat[(starts[:, None] + np.arange(width)).reshape(-1)] = m.dense.reshape(-1)
+    at = (starts + width - 2 * (np.cumsum(count) - count))[m.row] + 2 * np.arange(len(m.row))
+    flat[at], flat[at + 1] = m.column, m.value
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.float64()))
+
+
+def _parts(m: np.ndarray | K.Wide) -> tuple[np.ndarray, K.Wide | None]:
+    return (m.dense, m) if isinstance(m, K.Wide) else (m, None)
+
+
+def _summed(m: np.ndarray | K.Wide, at: np.ndarray, n: int) -> np.ndarray | K.Wide:
+    """n rows, the sums of those of m that belong to each; `at`, which does not fall, says to which."""
+    dense, few = _parts(m)
+    out = np.zeros((n, dense.shape[1]))
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+    if len(starts):
+        out[at[starts]] = np.add.reduceat(dense, starts)
+    if few is None:
+        return out
+    row = at[few.row]
+    order = np.lexsort((few.column, row))
+    row, column, value = row[order], few.column[order], few.value[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (column[1:] != column[:-1])][: len(row)])
+    return K.Wide(out, row[new], column[new], np.add.reduceat(value, new) if len(new) else value)
 
 
-def _lists(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1), pa.float64()))
+def _scaled(m: np.ndarray | K.Wide, by: np.ndarray) -> np.ndarray | K.Wide:
+    return K.Wide(m.dense * by[:, None], m.row, m.column, m.value * by[m.row]) if isinstance(m, K.Wide) else m * by[:, None]
 
 
 def _rows(node: np.ndarray, slot: int, v: np.ndarray, label=None, split=None, scale=None, sums: bytes | None = None) -> pa.RecordBatch:
@@ -123,7 +187,7 @@ def _rows(node: np.ndarray, slot: int, v: np.ndarray, label=None, split=None, sc
     return pa.RecordBatch.from_arrays(columns, names=[NODE, "slot", "v", "label", "split", "scale", "sums"])
 
 
-def _carried(edges: DataFrame, rows: DataFrame, take: str, give: str, slot: int) -> DataFrame:
+def _carried(edges: DataFrame, rows: DataFrame, take: str, give: str, slot: int, width: int) -> DataFrame:
     """Vectors of nodes sent along edges (src, dst, w), times w: sums per node that gets them, one a batch of edges, for _assembled to add up."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +195,9 @@ def _carried(edges: DataFrame, rows: DataFrame, take: str, give: str, slot: int)
             if batch.num_rows:
                 node = batch.column(0).to_numpy()
                 order = np.argsort(node, kind="stable")
-                node, v = node[order], _matrix(batch.column(2), len(batch.column(2)[0]))[order]
-                starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-                yield _rows(node[starts], slot, np.add.reduceat(v * batch.column(1).to_numpy()[order, None], starts))
+                node, v = node[order], _matrix(batch.column(2), width)[order]
+                new = np.r_[True, node[1:] != node[:-1]]
+                yield _rows(node[new], slot, _summed(_scaled(v, batch.column(1).to_numpy()[order]), np.cumsum(new) - 1, int(new.sum())))
 
     sent = edges.join(rows.select(F.col(NODE).alias(take), "v"), take).select(F.col(give).alias(NODE), "w", "v")
     return sent.mapInArrow(partial, OUT).drop("sums")
@@ -156,7 +220,7 @@ class Nodes:
     """Some nodes with their vectors by slot (zeros where nothing came, see there), and what is known of them as samples."""
 
     node: np.ndarray
-    v: dict[int, np.ndarray]
+    v: dict[int, np.ndarray | K.Wide]
     there: dict[int, np.ndarray]
     label: np.ndarray
     split: np.ndarray
@@ -180,11 +244,9 @@ def _assembled(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> Ite
             good = at < len(own)
             good[good] = out.node[at[good]] == node[rows[good]]
             rows, at = rows[good], at[good]
-            out.v[k], out.there[k] = np.zeros((len(own), width)), np.zeros(len(own))
-            if len(rows):
-                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                out.v[k][at[starts]] = np.add.reduceat(_matrix(batch.column(2).take(pa.array(rows)), width), starts)
-                out.there[k][at] = 1.0
+            out.there[k] = np.zeros(len(own))
+            out.v[k] = _summed(_matrix(batch.column(2).take(pa.array(rows, pa.int64())), width), at, len(own))
+            out.there[k][at] = 1.0
         return out
 
     for batch in batches:
@@ -202,8 +264,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> Ite
 
 @dataclass
 class Inputs:
-    """What no parameter changes, stored once: by node type, rows whose v is the features, the raw means of all neighbours' features, and the
-    neighbour by each edge type that gives a node one at most (-1: none)."""
+    """What no parameter changes, stored once: by node type, rows whose v is the neighbour by each edge type that gives a node one at most (-1: none), the
+    features, and the raw means of all neighbours' features; sparse ones, numbered over these in turn, stand behind."""
 
     rows: dict[str, DataFrame]
     #: Rows of the validation or test set, whichever has more.
@@ -267,6 +329,9 @@ class Model:
     def width(self, t: str) -> int:
         return max(1, self.encoders[t].width)
 
+    def many(self, t: str) -> int:
+        return self.encoders[t].many
+
     def inputs(self, samples: DataFrame | None = None, top: set[str] | None = None) -> Inputs:
         """Stored features and raw means; samples (node, label[, split, scale]) go with the rows of the target table."""
         out, n_judged = {}, 0
@@ -280,19 +345,26 @@ class Model:
                 own = own.join(samples, NODE, "left")
             else:
                 own = own.select("*", F.lit(None).cast("double").alias("label"), F.lit(None).cast("int").alias("split"), F.lit(None).cast("double").alias("scale"))
-            parts = [_carried(self.edges(e), self.raw[e.src].withColumnRenamed("x", "v"), "src", "dst", i + 1) for i, e in enumerate(edges)]
+            parts = [_carried(self.edges(e), self.raw[e.src].withColumnRenamed("x", "v"), "src", "dst", i + 1, self.width(e.src)) for i, e in enumerate(edges)]
             widths = {0: self.width(t)} | {i + 1: self.width(e.src) for i, e in enumerate(edges)}
 
-            def joined(batches: Iterator[pa.RecordBatch], widths=widths) -> Iterator[pa.RecordBatch]:
+            starts = np.cumsum([0, self.many(t), *(self.many(e.src) for e in edges)])
+
+            def joined(batches: Iterator[pa.RecordBatch], widths=widths, starts=starts) -> Iterator[pa.RecordBatch]:
                 for x in _assembled(batches, widths):
-                    v = np.hstack([x.v[0], *(y for i in list(widths)[1:] for y in (x.there[i][:, None], x.v[i]))])
-                    yield from _sample_rows(x, v)
+                    dense = np.hstack([_parts(x.v[0])[0], *(y for i in list(widths)[1:] for y in (x.there[i][:, None], _parts(x.v[i])[0]))])
+                    few = [(v.row, v.column + starts[i], v.value) for i, v in x.v.items() if isinstance(v, K.Wide)]
+                    if few:
+                        row, column, value = (np.concatenate(c) for c in zip(*few, strict=True))
+                        order = np.argsort(row, kind="stable")
+                        dense = K.Wide(dense, row[order], column[order], value[order])
+                    yield from _sample_rows(x, dense)
 
             df = _together([own, *parts]).mapInArrow(joined, OUT).drop("sums") if parts else own
             if self.config.layers > 1:
-                for e in filter(self.single, edges):
+                for e in reversed(list(filter(self.single, edges))):
                     df = df.join(self.graph.edges[e].select(F.col("dst").alias(NODE), F.col("src").cast("double").alias("_near")), NODE, "left")
-                    df = df.withColumn("v", F.concat("v", F.array(F.coalesce("_near", F.lit(-1.0))))).drop("_near")
+                    df = df.withColumn("v", F.concat(F.array(F.coalesce("_near", F.lit(-1.0))), "v")).drop("_near")
             out[t] = df.persist()
         local = {}
         for u in sorted({e.src for t in self.needed(top or {self.spec.target_table})[1] for e in self.incoming(t) if self.single(e)} if self.config.layers > 1 else ()):
@@ -304,20 +376,26 @@ class Model:
                 local[u] = Nodes(node[order], {0: v[order]}, {}, *(np.zeros(0) for _ in range(3)))
         return Inputs(out, n_judged, local)
 
-    def _first(self, t: str, z: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
-        """A stored row's features, and (whether there are neighbours, their mean) by edge type."""
-        at, means = self.width(t), {}
+    def _leading(self, t: str) -> int:
+        """Neighbours that a stored row begins with."""
+        return sum(map(self.single, self.incoming(t))) if self.config.layers > 1 else 0
+
+    def _first(self, t: str, z: np.ndarray | K.Wide) -> tuple[tuple, dict[str, tuple]]:
+        """A stored row's features (dense, sparse), and (whether there are neighbours, dense, sparse of their mean) by edge type."""
+        z, few = _parts(z)
+        at, first, means = self._leading(t) + self.width(t), self.many(t), {}
+        own = z[:, at - self.width(t) : at], few and few.between(0, first)
         for e in self.incoming(t):
-            n = self.width(e.src)
-            means[e.name] = z[:, at : at + 1], z[:, at + 1 : at + 1 + n]
-            at += 1 + n
-        return z[:, : self.width(t)], means
+            n, many = self.width(e.src), self.many(e.src)
+            means[e.name] = z[:, at : at + 1], z[:, at + 1 : at + 1 + n], few and few.between(first, first + many)
+            at, first = at + 1 + n, first + many
+        return own, means
 
-    def _neighbours(self, t: str, z: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    def _neighbours(self, t: str, z: np.ndarray | K.Wide) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """By edge type whose source is near: which rows have a neighbour, and where these stand among the source's nodes."""
         near, out = self.near if self.near is None or isinstance(self.near, dict) else self.near.value, {}
         edges = [e for e in self.incoming(t) if self.single(e)]
-        for e, ids in zip(edges, z[:, z.shape[1] - len(edges) :].T, strict=True):
+        for e, ids in zip(edges, _parts(z)[0][:, : len(edges)].T, strict=True):
             if near and e.src in near:
                 rows = np.flatnonzero(ids >= 0)
                 out[e.name] = rows, np.searchsorted(near[e.src][0], ids[rows].astype(np.int64)), near[e.src][1]
@@ -328,8 +406,8 @@ class Model:
         edges = self.incoming(t)
         if layer == 0:
             own, raw = self._first(t, x.v[0])
-            own = K.linear(p, f"enc.{t}", own)
-            means = {e.name: K.linear(p, f"enc.{e.src}", raw[e.name][1]) * raw[e.name][0] for e in edges}
+            own = K.encode(p, f"enc.{t}", *own)
+            means = {e.name: K.encode(p, f"enc.{e.src}", *raw[e.name][1:]) * raw[e.name][0] for e in edges}
         else:
             own = self._layer(0, t, x, p)[0] if layer == 1 else x.v[0]
             means = {e.name: x.v[i + 1] for i, e in enumerate(edges) if i + 1 in x.v}
@@ -345,10 +423,10 @@ class Model:
         _add(total, grads)
         if layer == 0:
             features, raw = self._first(t, x.v[0])
-            _add(total, K.linear_grads(f"enc.{t}", features, g_own))
+            _add(total, K.encode_grads(f"enc.{t}", *features, g_own))
             for e in self.incoming(t):
-                there, mean = raw[e.name]
-                _add(total, K.linear_grads(f"enc.{e.src}", mean, g_means[e.name] * there))
+                there, *mean = raw[e.name]
+                _add(total, K.encode_grads(f"enc.{e.src}", *mean, g_means[e.name] * there))
             return
         near = self._neighbours(t, x.v[0]) if layer == 1 else {}
         if layer == 1:
@@ -377,11 +455,11 @@ class Model:
         if layer == 0:
             return [inputs.rows[t]]
         own = inputs.rows[t] if layer == 1 else states[layer - 1][t]
-        return [own, *(_carried(self.edges(e), states[layer - 1][e.src], "src", "dst", i) for i, e in self._sent(layer, t, inputs))]
+        return [own, *(_carried(self.edges(e), states[layer - 1][e.src], "src", "dst", i, self.config.channels) for i, e in self._sent(layer, t, inputs))]
 
     def _widths(self, layer: int, t: str, inputs: Inputs | None = None) -> dict[int, int]:
         edges, c = self.incoming(t), self.config.channels
-        first = self.width(t) + sum(1 + self.width(e.src) for e in edges) + (sum(map(self.single, edges)) if self.config.layers > 1 else 0)
+        first = self._leading(t) + self.width(t) + sum(1 + self.width(e.src) for e in edges)
         return {0: first if layer < 2 else c} | ({i: c for i, _ in self._sent(layer, t, inputs)} if layer else {})
 
     def _over(self, layer: int, t: str, parts: list[DataFrame], inputs: Inputs, run, grads: bool = False) -> DataFrame:
@@ -398,7 +476,8 @@ class Model:
 
     def _light(self, params: K.Params, inputs: Inputs) -> Model:
         """What workers need: no DataFrames, and the vectors of near tables after the first layer."""
-        out = Model(Database(), Graph({}, dict.fromkeys(self.graph.edges)), self.spec, self.config, self.encoders, {}, {}, weights=self.weights, pos_weight=self.pos_weight)
+        plain = {t: Encoder(e.parts) for t, e in self.encoders.items()}
+        out = Model(Database(), Graph({}, dict.fromkeys(self.graph.edges)), self.spec, self.config, plain, {}, {}, weights=self.weights, pos_weight=self.pos_weight)
         if inputs.local:
             out.near = next(iter(inputs.rows.values())).sparkSession.sparkContext.broadcast({u: (x.node, out._layer(0, u, x, params)[0]) for u, x in inputs.local.items()})
         return out
@@ -460,7 +539,7 @@ class Model:
             below = {}
             for u in sorted(self.needed({t})[layer]):
                 got = [sent[u].where(F.col("slot") == GRADIENT)] if u in sent and layer else []
-                got += [_carried(self.edges(e), sent[v].where(F.col("slot") == i), "dst", "src", GRADIENT) for v in sent for i, e in self._sent(layer + 1, v, inputs) if e.src == u]
+                got += [_carried(self.edges(e), sent[v].where(F.col("slot") == i), "dst", "src", GRADIENT, c.channels) for v in sent for i, e in self._sent(layer + 1, v, inputs) if e.src == u]
                 if not got:
                     continue
 
@@ -688,9 +767,9 @@ def prepare(db: Database, spec: TaskSpec, config: Config) -> Model:
     graph = build_graph(numbered)
     graph.edges = {e: df.persist() for e, df in graph.edges.items()}
     encs = {n: fit_encoder(t, config, spec.target_column if n == spec.target_table else None) for n, t in numbered.tables.items()}
-    raw = {n: numbered.get_table(n).df.select(NODE, e.column().alias("x")).persist() for n, e in encs.items()}
+    raw = {n: e.rows(numbered.get_table(n).df, config.local_bytes).persist() for n, e in encs.items()}
     edges = [(e.name, e.src, e.dst) for e in graph.edges]
-    params = K.init({n: e.width for n, e in encs.items()}, edges, spec.target_table, config.channels, config.layers, config.hidden, spec.output_dim, config.seed)
+    params = K.init({n: (e.width, e.many) for n, e in encs.items()}, edges, spec.target_table, config.channels, config.layers, config.hidden, spec.output_dim, config.seed)
     return Model(numbered, graph, spec, config, encs, params, raw)
 
 

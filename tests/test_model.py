@@ -303,3 +303,71 @@ def test_windows(spark):
     rows = spark.range(20).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") / 20.0).alias("prediction"))
     out = windowed(rows, "ts", []).orderBy("start").collect()
     assert [r["n_rows"] for r in out] == [10, 10] and out[1]["fraction"] == 1.0
+
+
+def dense_of(model, p):
+    """Parameters of a model with sparse features, as those of one that writes all of them out."""
+    out = {k: v for k, v in p.items() if not k.endswith(".E")}
+    for t, e in model.encoders.items():
+        columns, at, first = [], 0, 0
+        for _, kind, args in e.parts:
+            n = args[0] if kind == "many" else {"num": 1, "time": 5}.get(kind, len(args))
+            if kind == "many":
+                columns.append(p[f"enc.{t}.E"][first : first + n].T)
+                first += n
+            else:
+                columns.append(p[f"enc.{t}.W"][:, at : at + n])
+                at += n
+        out[f"enc.{t}.W"] = np.hstack(columns)
+    return out
+
+
+@pytest.mark.parametrize(("layers", "local"), [(1, 0), (2, 0), (2, 1 << 20)])
+def test_sparse_features_are_one_hot_vectors(spark, db, layers, local):
+    rows = [(i, y, s) for i, y, s in zip(range(5), (0.0, 1.0, 1.0, 0.0, 1.0), ("train", "train", "val", "train", "train"))]
+    samples = spark.createDataFrame(rows, "_nid long, label double, split string")
+    few = prepare(db, SPEC, Config(channels=3, hidden=3, layers=layers, dropout=0.0, exclude_fk=True, local_bytes=local, vocabulary=1))
+    full = prepare(db, SPEC, Config(channels=3, hidden=3, layers=layers, dropout=0.0, exclude_fk=True, local_bytes=local))
+    assert (few.encoders["loans"].many, few.encoders["books"].many, full.encoders["loans"].many) == (3, 2, 0) and few.encoders["loans"].width == 1
+    full.params = dense_of(few, few.params)
+    assert {k: v.shape for k, v in full.params.items()} == {k: v.shape for k, v in prepare(db, SPEC, full.config).params.items()}
+    a, b = (m.step(m.params, m.inputs(samples), 4, 0) for m in (few, full))
+    got = dense_of(few, {k: g.full(few.params[k].shape) if isinstance(g, K.Rowwise) else g for k, g in a[1].items()})
+    assert a[0] == pytest.approx(b[0], abs=1e-12) and got.keys() == b[1].keys()
+    for k, g in b[1].items():
+        assert np.allclose(got[k], g, atol=1e-12), k
+    scores = [{r["_nid"]: r["score"] for r in m.scores().collect()} for m in (few, full)]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-12)
+    K.Adam(0.1).step(few.params, a[1])
+    K.Adam(0.1).step(full.params, b[1])
+    assert all(np.allclose(v, full.params[k], atol=1e-9) for k, v in dense_of(few, few.params).items())
+
+
+def test_sparse_rows_survive_the_trip():
+    rng = np.random.default_rng(3)
+    lists = [[1.0, 2.0], None, [3.0, 4.0, 7.0, 0.5], [5.0, 6.0, 2.0, 1.0, 9.0, -1.0]]
+    m = M._matrix(M.pa.array(lists, M.pa.list_(M.pa.float64())), 2)
+    assert m.dense.tolist() == [[1, 2], [0, 0], [3, 4], [5, 6]] and list(zip(m.row.tolist(), m.column.tolist(), m.value.tolist())) == [(2, 7, 0.5), (3, 2, 1.0), (3, 9, -1.0)]
+    assert M._lists(m).to_pylist() == [x or [0.0, 0.0] for x in lists] and M._lists(m[np.array([3, 0, 3])]).to_pylist() == [lists[3], lists[0], lists[3]]
+    at = np.array([0, 0, 2, 2])
+    s = M._summed(m, at, 3)
+    assert s.dense.tolist() == [[1, 2], [0, 0], [8, 10]] and list(zip(s.row.tolist(), s.column.tolist(), s.value.tolist())) == [(2, 2, 1.0), (2, 7, 0.5), (2, 9, -1.0)]
+    g = K.Rowwise(np.array([4, 1, 4]), rng.normal(size=(3, 2)))
+    assert np.allclose((g + g).full((5, 2)), 2 * g.full((5, 2)))
+
+
+def test_a_column_of_very_many_values(spark):
+    n = 200_000
+    rows = spark.range(n + 50_000).select(F.col("id"), F.concat(F.lit("value "), F.col("id") % n).alias("kind"), (F.col("id") % n % 2).cast("double").alias("odd"))
+    db = Database()
+    db.add_table(Table("things", rows, {"id": N, "kind": C, "odd": N}, "id"))
+    spec = TaskSpec("things", "odd", label_transform=LabelTransform("threshold", 0.5))
+    model = train(spark, spec, db, Config(channels=4, hidden=4, layers=1, dropout=0.0, epochs=1, lr=0.1))
+    assert model.params["enc.things.E"].shape == (n, 4) and model.encoders["things"].many == n
+    # One step moves rows of the values that the training rows hold (some have no gradient behind a ReLU), and of no others.
+    samples, _ = build_split(model.db.get_table("things"), spec, "id")
+    known = model.encoders["things"].values["kind"]
+    seen = {r[0] for r in samples.where("split = 'train'").join(known, F.col("kind") == F.col("value")).select("index").distinct().collect()}
+    fresh = K.init({"things": (1, n)}, [], "things", 4, 1, 4, 1)["enc.things.E"]
+    moved = set(np.flatnonzero((model.params["enc.things.E"] != fresh).any(axis=1)).tolist())
+    assert moved <= seen and len(moved) > 100_000
