@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.operators.graph import with_ranges
+
 
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
@@ -28,43 +30,38 @@ def binary(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> Dat
     return sums.select("tp", "fp", "fn", "tn", _ratio(F.col("tp") + F.col("tn"), total).alias("accuracy"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def _below(c: Column, bounds: list[float]) -> Column:
-    """How many of the sorted bounds are less than the value: a binary search, written out."""
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    return F.when(c > bounds[mid], _below(c, bounds[mid + 1 :]) + (mid + 1)).otherwise(_below(c, bounds[:mid]))
+def _before(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """rows with n0 and p0: the sums of n and p over the rows before each, in the order of some columns, which are numbered in ranges of about `size` rows.
+
+    A range is a function of a row's values, those that tie in one column being told apart by the others, so equal scores fill many ranges.
+    """
+    ranged = with_ranges(rows, order, size)
+    inner = Window.partitionBy("_range").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"))
+    starts = sums.select("_range", *(F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(c) for c in ("_n", "_p")))
+    own = ranged.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"{c}0") for c in ("n", "p")))
+    return own.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("n0") + F.col("_n")).alias("n0"), (F.col("p0") + F.col("_p")).alias("p0"))
 
 
 def ranking(df: DataFrame, score: str, label: str, key: str, ties: bool = False, rows_in_range: int = 100_000) -> DataFrame:
     """auc (trapezoids along rows by falling score, then key) and average precision; auc_ties groups equal scores.
 
-    Scores are counted first, per value, and running sums go over the distinct ones within and then between
-    ranges of scores, so that no window holds all rows; the number of ranges grows with that of rows. With `ties` off, rows of one score count in the order of the
-    key: they are ranked within their score.
+    Running sums go over ranges of (score, key) and then between the ranges, so that no task holds all rows, not even those of one score, as a model of constant output
+    gives. With `ties`, scores are counted first, and the sums go over the distinct ones.
     """
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("s"), (F.col(label) > 0.5).cast("long").alias("y"), F.col(key).alias("k"))
-    within = Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_score = rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    parts = max(2, min(1024, -(-rows.count() // rows_in_range)))
-    shares = ",".join(str(i / parts) for i in range(1, parts))
-    # Collected once, so that all branches see the same ranges.
-    bounds = by_score.select(F.expr(f"percentile_approx(s, array({shares}), {max(1000, 8 * parts)})").alias("b")).first()["b"] or []
-    by_score = by_score.withColumn("g", -_below(F.col("s"), sorted(set(bounds))))
-    inner = Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = by_score.groupBy("g").agg(F.sum("n").alias("gn"), F.sum("p").alias("gp"))
-    outer = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("g", F.coalesce(F.sum("gn").over(outer), F.lit(0)).alias("gn0"), F.coalesce(F.sum("gp").over(outer), F.lit(0)).alias("gp0"))
-    before = by_score.withColumn("n0", F.coalesce(F.sum("n").over(inner), F.lit(0))).withColumn("p0", F.coalesce(F.sum("p").over(inner), F.lit(0))).join(F.broadcast(groups), "g")
-    before = before.select("s", "n", "p", (F.col("n0") + F.col("gn0")).alias("n0"), (F.col("p0") + F.col("gp0")).alias("p0"))
-    joined = rows.join(before, "s").withColumn("i", F.row_number().over(within)).withColumn("tp", F.sum("y").over(within) + F.col("p0"))
-    at = F.col("n0") + F.col("i")
-    step = F.when(F.col("y") == 0, F.col("tp"))  # a negative adds a column as high as the positives before it
-    sums = joined.agg(F.sum(step).cast("double").alias("area"), F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"), F.sum(F.when(F.col("y") == 1, F.col("tp") / at)).alias("prec"))
-    tied = before.agg(F.sum((F.col("n") - F.col("p")) * (F.col("p0") + F.col("p") / 2.0)).alias("tied"))
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select((F.lit(0.0) - F.col(score).cast("double")).alias("s"), F.lit(1).cast("long").alias("n"), (F.col(label) > 0.5).cast("long").alias("p"), F.col(key).alias("k"))
+    placed = _before(rows, ["s", "k"], rows_in_range)
+    # A negative adds a column as high as the positives before it; a positive adds to the precisions.
+    area, prec = F.when(F.col("p") == 0, F.col("p0")), F.when(F.col("p") == 1, (F.col("p0") + 1) / (F.col("n0") + 1))
+    sums = placed.agg(F.sum(area).cast("double").alias("area"), F.sum("p").cast("double").alias("pos"), F.sum(1 - F.col("p")).cast("double").alias("neg"), F.sum(prec).alias("prec"))
     both = F.col("pos") * F.col("neg")
-    out = sums.crossJoin(F.broadcast(tied)).select(F.when(both > 0, F.col("area") / both).otherwise(0.5).alias("auc"), F.when(both > 0, F.col("tied") / both).otherwise(0.5).alias("auc_ties"), F.when(F.col("pos") > 0, F.col("prec") / F.col("pos")).otherwise(0.0).alias("average_precision"))
-    return out if ties else out.drop("auc_ties")
+    out = sums.select("*", F.when(both > 0, F.col("area") / both).otherwise(0.5).alias("auc"), F.when(F.col("pos") > 0, F.col("prec") / F.col("pos")).otherwise(0.0).alias("average_precision"))
+    if not ties:
+        return out.select("auc", "average_precision")
+    by_score = _before(rows.groupBy("s").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), ["s"], rows_in_range)
+    tied = by_score.agg(F.sum((F.col("n") - F.col("p")) * (F.col("p0") + F.col("p") / 2.0)).alias("tied"))
+    return out.crossJoin(F.broadcast(tied)).select("auc", F.when(both > 0, F.col("tied") / both).otherwise(0.5).alias("auc_ties"), "average_precision")
 
 
 def regression(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ SHUFFLE_SEED = 0x9E3779B97F4A7C15
 def permutation(n: int, seed: int = SHUFFLE_SEED) -> list[int]:
     """0..n-1 in the order of a Fisher-Yates shuffle with an xorshift64* generator.
 
-    For tables small enough for the driver, where the order must be that of the fixed generator; by_hash() is for all others.
+    For tables small enough for the driver, where the order must be that of the fixed generator: by_permutation() splits by it. by_hash() is for all others.
     """
     word = (1 << 64) - 1
     order, x = list(range(n)), seed
@@ -51,6 +53,25 @@ def permutation(n: int, seed: int = SHUFFLE_SEED) -> list[int]:
     return order
 
 
+#: Rows whose order by the fixed generator is worked out at the driver, at some 100 bytes each.
+SHUFFLED = 2_000_000
+
+
+def by_permutation(df: DataFrame, order: list[str], seed: int = SHUFFLE_SEED, train: int = 70, val: int = 15, most: int = SHUFFLED) -> DataFrame:
+    """Random split of the fixed generator: rows are numbered by `order`, and the permutation's first places train, the next ones validate.
+
+    The generator is a sequence, so the table (row number, place) is made at the driver and joined by row number; tables of over `most` rows are refused, and by_hash() is for them.
+    """
+    placed = with_node_ids(df.drop(NODE), order).withColumnRenamed(NODE, "_row")
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows are over the {most} whose fixed order can be worked out: split by hash, or raise the limit")
+    place = np.empty(n, np.int64)
+    place[np.array(permutation(n, seed), np.int64)] = np.arange(n)
+    table = df.sparkSession.createDataFrame(pa.table({"_row": np.arange(n), "_pos": place}))
+    return placed.join(table, "_row").withColumn("split", _name(F.col("_pos"), F.lit(n), train, val)).drop("_row", "_pos")
+
+
 def stats(df: DataFrame, label: str = "label", time_col: str | None = None) -> DataFrame:
     """(split, n, n_pos, n_neg, pos_rate[, first, last])."""
     pos = F.sum((F.col(label) > 0.5).cast("long"))

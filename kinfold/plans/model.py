@@ -7,6 +7,7 @@ import pickle
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import encoders, metrics
 from kinfold.functions.labels import class_balance, class_weights
-from kinfold.operators.graph import NODE, EdgeType, Graph, build_graph, with_node_ids
+from kinfold.operators.graph import NODE, EdgeType, Graph, build_graph, reversed_edges, with_node_ids
 from kinfold.operators.keys import with_detected_fks
+from kinfold.plans import blocks
 from kinfold.plans import kernels as K
+from kinfold.plans.blocks import GRADIENT, OWN, PULLED, SCORE, SUMS, Nodes
 from kinfold.plans.task import BINARY, MULTICLASS, REGRESSION, TaskSpec, build_split
-from kinfold.schema import Database, ForeignKey, LogicalType, Table
+from kinfold.schema import Database, ForeignKey, LogicalType, Table, aligned, exact
+from kinfold.sources.shared import delete, short, table_of
 from kinfold.sources.tables import catalog, task_table
 
 log = logging.getLogger(__name__)
@@ -116,165 +120,27 @@ def fit_encoder(table: Table, config: Config, label: str | None = None) -> Encod
     return Encoder(parts, many)
 
 
-#: Rows that go through layers: a node, what v is of it (0: its own vector; from 1 on: a part of the mean over an edge type; GRADIENT: a part of
-#: a gradient by its vector), and, with a sample's own vector, its label, split (0 train, 1 val, 2 test) and the scale of its gradient.
-ROWS = f"{NODE} long, slot int, v array<double>, label double, split int, scale double"
-OUT = ROWS + ", sums binary"
-GRADIENT, SCORE, SUMS = -1, -2, -3
 SPLITS = ("train", "val", "test")
 #: Rows of a validation set up to which their scores come to the driver with the gradients; beyond, metrics are a query.
 COLLECTED = 1 << 20
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray | K.Wide:
-    """Lists as rows; null ones are zeros. What goes on after `width` values is the number and value of each sparse feature."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    there = np.arange(len(column)) if not column.null_count else np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-    if len(flat) == len(there) * width:
-        if len(there) == len(column):
-            return flat.reshape(len(column), width)
-        out = np.zeros((len(column), width))
-        out[there] = flat.reshape(-1, width)
-        return out
-    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)[there].astype(np.int64)
-    starts, out = np.cumsum(lengths) - lengths, np.zeros((len(column), width))
-    out[there] = flat[starts[:, None] + np.arange(width)]
-    count = (lengths - width) // 2
-    at = np.repeat(starts + width - 2 * (np.cumsum(count) - count), count) + 2 * np.arange(count.sum())
-    return K.Wide(out, np.repeat(there, count), flat[at].astype(np.int64), flat[at + 1])
-
-
-def _lists(m: np.ndarray | K.Wide) -> pa.Array:
-    if isinstance(m, np.ndarray):
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1), pa.float64()))
-    width, count = m.dense.shape[1], np.bincount(m.row, minlength=len(m))
-    ends = np.cumsum(width + 2 * count)
-    starts, flat = ends - width - 2 * count, np.zeros(ends[-1] if len(ends) else 0)
-    flat[(starts[:, None] + np.arange(width)).reshape(-1)] = m.dense.reshape(-1)
-    at = (starts + width - 2 * (np.cumsum(count) - count))[m.row] + 2 * np.arange(len(m.row))
-    flat[at], flat[at + 1] = m.column, m.value
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.float64()))
-
-
-def _parts(m: np.ndarray | K.Wide) -> tuple[np.ndarray, K.Wide | None]:
-    return (m.dense, m) if isinstance(m, K.Wide) else (m, None)
-
-
-def _summed(m: np.ndarray | K.Wide, at: np.ndarray, n: int) -> np.ndarray | K.Wide:
-    """n rows, the sums of those of m that belong to each; `at`, which does not fall, says to which."""
-    dense, few = _parts(m)
-    out = np.zeros((n, dense.shape[1]))
-    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
-    if len(starts):
-        out[at[starts]] = np.add.reduceat(dense, starts)
-    if few is None:
-        return out
-    row = at[few.row]
-    order = np.lexsort((few.column, row))
-    row, column, value = row[order], few.column[order], few.value[order]
-    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (column[1:] != column[:-1])][: len(row)])
-    return K.Wide(out, row[new], column[new], np.add.reduceat(value, new) if len(new) else value)
-
-
-def _scaled(m: np.ndarray | K.Wide, by: np.ndarray) -> np.ndarray | K.Wide:
-    return K.Wide(m.dense * by[:, None], m.row, m.column, m.value * by[m.row]) if isinstance(m, K.Wide) else m * by[:, None]
-
-
-def _rows(node: np.ndarray, slot: int, v: np.ndarray, label=None, split=None, scale=None, sums: bytes | None = None) -> pa.RecordBatch:
-    n = len(node)
-    some = lambda x, kind: pa.nulls(n, kind) if x is None else pa.array(x, pa.float64(), from_pandas=True).cast(kind)
-    columns = [pa.array(node, pa.int64()), pa.array(np.full(n, slot), pa.int32()), _lists(v), some(label, pa.float64()), some(split, pa.int32()), some(scale, pa.float64()), pa.array([sums] * n, pa.binary()) if sums else pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=[NODE, "slot", "v", "label", "split", "scale", "sums"])
-
-
-def _carried(edges: DataFrame, rows: DataFrame, take: str, give: str, slot: int, width: int) -> DataFrame:
-    """Vectors of nodes sent along edges (src, dst, w), times w: sums per node that gets them, one a batch of edges, for _assembled to add up."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                node = batch.column(0).to_numpy()
-                order = np.argsort(node, kind="stable")
-                node, v = node[order], _matrix(batch.column(2), width)[order]
-                new = np.r_[True, node[1:] != node[:-1]]
-                yield _rows(node[new], slot, _summed(_scaled(v, batch.column(1).to_numpy()[order]), np.cumsum(new) - 1, int(new.sum())))
-
-    sent = edges.join(rows.select(F.col(NODE).alias(take), "v"), take).select(F.col(give).alias(NODE), "w", "v")
-    return sent.mapInArrow(partial, OUT).drop("sums")
-
-
-def _together(parts: list[DataFrame]) -> DataFrame:
-    """The rows of a node in one task, in the order of their slots."""
-    df = parts[0].select(*_names(ROWS))
-    for p in parts[1:]:
-        df = df.unionByName(p.select(*_names(ROWS)))
-    return df.repartition(NODE).sortWithinPartitions(NODE, "slot")
-
-
-def _names(ddl: str) -> list[str]:
-    return [x.split()[0] for x in ddl.split(", ")]
-
-
-@dataclass
-class Nodes:
-    """Some nodes with their vectors by slot (zeros where nothing came, see there), and what is known of them as samples."""
-
-    node: np.ndarray
-    v: dict[int, np.ndarray | K.Wide]
-    there: dict[int, np.ndarray]
-    label: np.ndarray
-    split: np.ndarray
-    scale: np.ndarray
-
-    def take(self, rows: np.ndarray) -> Nodes:
-        return Nodes(self.node[rows], {k: v[rows] for k, v in self.v.items()}, {}, self.label[rows], self.split[rows], self.scale[rows])
-
-
-def _assembled(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> Iterator[Nodes]:
-    """From rows by (node, slot) to nodes with the sums of their slots. Nodes without a row of slot 0 are left out."""
-    kept: list[pa.RecordBatch] = []
-
-    def nodes(batch: pa.RecordBatch) -> Nodes:
-        node, slot = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        own = np.flatnonzero(slot == 0)
-        out = Nodes(node[own], {}, {}, *(batch.column(i).take(pa.array(own)).to_numpy(zero_copy_only=False) for i in (3, 4, 5)))
-        for k, width in widths.items():
-            rows = np.flatnonzero(slot == k)
-            at = np.searchsorted(out.node, node[rows])
-            good = at < len(own)
-            good[good] = out.node[at[good]] == node[rows[good]]
-            rows, at = rows[good], at[good]
-            out.there[k] = np.zeros(len(own))
-            out.v[k] = _summed(_matrix(batch.column(2).take(pa.array(rows, pa.int64())), width), at, len(own))
-            out.there[k][at] = 1.0
-        return out
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node = batch.column(0).to_numpy()
-        last = int(np.searchsorted(node, node[-1]))
-        if last or (kept and kept[-1].column(0)[-1].as_py() != node[0]):
-            yield nodes(pa.concat_batches([*kept, batch.slice(0, last)]) if kept or last else batch)
-            kept = []
-        kept.append(batch.slice(last))
-    if kept:
-        yield nodes(pa.concat_batches(kept))
+#: Nodes with many neighbours, or with predictions asked for, up to which they are broadcast.
+FEW = 1 << 18
 
 
 @dataclass
 class Inputs:
-    """What no parameter changes, stored once: by node type, rows whose v is the neighbour by each edge type that gives a node one at most (-1: none), the
-    features, and the raw means of all neighbours' features; sparse ones, numbered over these in turn, stand behind."""
+    """What no parameter changes, stored once, by node type: rows of STORED by blocks. v is the features and the raw means of all neighbours' features; sparse ones,
+    numbered over these in turn, stand behind."""
 
     rows: dict[str, DataFrame]
     #: Rows of the validation or test set, whichever has more.
     n_judged: int = 0
-    #: Tables of few rows, by their nodes: they are sources of such edge types.
+    #: Tables of few rows, by their nodes: they are sources of edge types that give a node one neighbour at most.
     local: dict[str, Nodes] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        for df in self.rows.values():
+        for df in (*self.rows.values(), *self.held):
             df.unpersist()
 
 
@@ -284,8 +150,12 @@ class Model:
 
     Encoders are linear, so the mean of encoded neighbours is the encoded mean of their features, which is stored once: the first
     layer and its gradients shuffle nothing along edges, and a row's own vector after it is computed where it is read. Small tables that rows refer to
-    (Config.local_bytes) have their part of the first layer at the driver; their vectors are broadcast, and gradients come back added up. Along all other
-    edges vectors are sent once forward and once backward. A pass returns gradients, losses and the scores of validation rows together.
+    (Config.local_bytes) have their part of the first layer at the driver; their vectors are broadcast, and gradients come back added up.
+
+    Other tables are stored in blocks, which stay where they are while a model trains. Blocks send each other vectors, and gradients back: a node's vector goes once to each block that
+    has nodes which refer to it, and what those hold for it comes back as one sum from each. Rows that refer to a node stand in one block, unless it has
+    over HUB: then they are spread, so that no block has much more than BLOCK, and no task all edges of a hub.
+    A pass returns gradients, losses and the scores of validation rows together.
     """
 
     db: Database
@@ -301,6 +171,8 @@ class Model:
     pos_weight: float = 1.0
     #: What the last scores() keeps for its reader.
     kept: list[DataFrame] = field(default_factory=list)
+    #: Paths of tables that were written on the way.
+    files: list[str] = field(default_factory=list)
     #: After the first layer: {type: (nodes, vectors)} of the tables that are at the driver, broadcast.
     near: object = None
 
@@ -315,10 +187,33 @@ class Model:
             self.weighted[e] = edges.join(degree, "dst").select("src", "dst", "w").persist()
         return self.weighted[e]
 
+    def release(self) -> None:
+        """Give up all that is kept in memory for training and predicting; what is asked for afterwards is computed anew."""
+        for df in (*self.kept, *self.weighted.values(), *self.raw.values(), *(v for e in self.encoders.values() for v in e.values.values()), *(e for e in self.graph.edges.values() if e is not None), *(t.df for t in self.db.tables.values())):
+            df.unpersist()
+        for path in self.files:
+            delete(next(iter(self.raw.values())).sparkSession, path)
+        self.kept, self.files = [], []
+
     def single(self, e: EdgeType) -> bool:
         """Whether a node has one neighbour at most: the one that its foreign key names."""
         return any(k.reverse == e for k in self.graph.edges)
 
+    def key(self, e: EdgeType) -> EdgeType:
+        """The edge type of the foreign key that e is, or is the reverse of."""
+        return next((k for k in self.graph.edges if k.reverse == e), e)
+
+    def held(self, t: str) -> list[EdgeType]:
+        """Foreign keys of the table."""
+        return [e for e in self.graph.edges if e.src == t and not self.single(e)]
+
+    def owned(self, t: str) -> list[EdgeType]:
+        """Foreign keys that refer to the table."""
+        return [e for e in self.graph.edges if e.dst == t and not self.single(e)]
+
+    def number(self, t: str) -> int:
+        return list(self.encoders).index(t)
+
     def needed(self, top: set[str]) -> list[set[str]]:
         """Node types whose vectors are needed after each layer, for those of `top` after the last."""
         out = [top]
@@ -332,75 +227,118 @@ class Model:
     def many(self, t: str) -> int:
         return self.encoders[t].many
 
+    def stored(self, t: str) -> int:
+        """Width of a stored row, without sparse features."""
+        return self.width(t) + sum(1 + self.width(e.src) for e in self.incoming(t))
+
     def inputs(self, samples: DataFrame | None = None, top: set[str] | None = None) -> Inputs:
         """Stored features and raw means; samples (node, label[, split, scale]) go with the rows of the target table."""
-        out, n_judged = {}, 0
+        out, n_judged, held = {}, 0, []
         if samples is not None:
             split = F.array_position(F.array(*map(F.lit, SPLITS)), F.col("split")).cast("int") - 1 if "split" in samples.columns else F.lit(0)
             samples = samples.select(NODE, "label", split.alias("split"), (F.col("scale") if "scale" in samples.columns else F.lit(1.0)).alias("scale"))
             n_judged = max((r["count"] for r in samples.where("split > 0").groupBy("split").count().collect()), default=0)
-        for t in sorted(self.needed(top or {self.spec.target_table})[0]):
-            edges, own = self.incoming(t), self.raw[t].select(NODE, F.lit(0).alias("slot"), F.col("x").alias("v"))
-            if t == self.spec.target_table and samples is not None:
-                own = own.join(samples, NODE, "left")
-            else:
-                own = own.select("*", F.lit(None).cast("double").alias("label"), F.lit(None).cast("int").alias("split"), F.lit(None).cast("double").alias("scale"))
-            parts = [_carried(self.edges(e), self.raw[e.src].withColumnRenamed("x", "v"), "src", "dst", i + 1, self.width(e.src)) for i, e in enumerate(edges)]
+        needed = self.needed(top or {self.spec.target_table})
+        sizes = {t: self.raw[t].count() for t in (self.encoders if self.config.layers > 1 else needed[0])}
+        places = self._places(sizes, held) if self.config.layers > 1 else {}
+        tasks = int(next(iter(self.raw.values())).sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        for t in sorted(needed[0]):
+            edges, own = self.incoming(t), self.raw[t].select(NODE, F.col("x").alias("v"))
             widths = {0: self.width(t)} | {i + 1: self.width(e.src) for i, e in enumerate(edges)}
-
             starts = np.cumsum([0, self.many(t), *(self.many(e.src) for e in edges)])
 
-            def joined(batches: Iterator[pa.RecordBatch], widths=widths, starts=starts) -> Iterator[pa.RecordBatch]:
-                for x in _assembled(batches, widths):
-                    dense = np.hstack([_parts(x.v[0])[0], *(y for i in list(widths)[1:] for y in (x.there[i][:, None], _parts(x.v[i])[0]))])
-                    few = [(v.row, v.column + starts[i], v.value) for i, v in x.v.items() if isinstance(v, K.Wide)]
-                    if few:
-                        row, column, value = (np.concatenate(c) for c in zip(*few, strict=True))
-                        order = np.argsort(row, kind="stable")
-                        dense = K.Wide(dense, row[order], column[order], value[order])
-                    yield from _sample_rows(x, dense)
-
-            df = _together([own, *parts]).mapInArrow(joined, OUT).drop("sums") if parts else own
-            if self.config.layers > 1:
-                for e in reversed(list(filter(self.single, edges))):
-                    df = df.join(self.graph.edges[e].select(F.col("dst").alias(NODE), F.col("src").cast("double").alias("_near")), NODE, "left")
-                    df = df.withColumn("v", F.concat(F.array(F.coalesce("_near", F.lit(-1.0))), "v")).drop("_near")
-            out[t] = df.persist()
+            def join(v: dict, there: dict, starts=starts) -> np.ndarray | K.Wide:
+                dense = np.hstack([blocks.halves(v[0])[0], *(y for i in list(v)[1:] for y in (there[i][:, None], blocks.halves(v[i])[0]))])
+                few = [(x.row, x.column + starts[i], x.value) for i, x in v.items() if isinstance(x, K.Wide)]
+                if not few:
+                    return dense
+                row, column, value = (np.concatenate(c) for c in zip(*few, strict=True))
+                order = np.argsort(row, kind="stable")
+                return K.Wide(dense, row[order], column[order], value[order])
+
+            if edges:
+                parts = [blocks.carried(self.edges(e), self.raw[e.src].withColumnRenamed("x", "v"), i + 1, self.width(e.src)) for i, e in enumerate(edges)]
+                own = blocks.assembled([own.select(NODE, F.lit(0).alias("slot"), "v"), *parts], join, widths)
+            df = self._routed(own, t, places)
+            if t == self.spec.target_table and samples is not None:
+                df = df.join(samples, NODE, "left")
+            else:
+                df = df.select("*", F.lit(None).cast("double").alias("label"), F.lit(None).cast("int").alias("split"), F.lit(None).cast("double").alias("scale"))
+            out[t] = df.select(*blocks.names(blocks.STORED)).repartition(tasks, "part").sortWithinPartitions("part", NODE).persist()
         local = {}
-        for u in sorted({e.src for t in self.needed(top or {self.spec.target_table})[1] for e in self.incoming(t) if self.single(e)} if self.config.layers > 1 else ()):
-            width = self._widths(0, u)[0]
-            if out[u].count() * 8 * max(width, self.config.channels) <= self.config.local_bytes:
-                found = out[u].select(NODE, "v").toArrow().combine_chunks()
-                node, v = found.column(0).to_numpy(), _matrix(found.column(1).combine_chunks(), width)
-                order = np.argsort(node)
-                local[u] = Nodes(node[order], {0: v[order]}, {}, *(np.zeros(0) for _ in range(3)))
-        return Inputs(out, n_judged, local)
-
-    def _leading(self, t: str) -> int:
-        """Neighbours that a stored row begins with."""
-        return sum(map(self.single, self.incoming(t))) if self.config.layers > 1 else 0
+        for u in sorted({e.src for t in needed[1] for e in self.incoming(t) if self.single(e)} if self.config.layers > 1 else ()):
+            if sizes[u] * 8 * max(self.stored(u), self.config.channels) <= self.config.local_bytes:
+                local[u] = Nodes.stored(out[u].toArrow(), self.stored(u))
+        return Inputs(out, n_judged, local, held)
+
+    def _places(self, sizes: dict[str, int], held: list[DataFrame]) -> dict[str, tuple[int, DataFrame | None]]:
+        """(number of blocks, (node, part) or None where a node's number alone says it) of each node type.
+
+        Rows stand by what they refer to, of several keys by that of the largest table; rows that refer to a hub, or to nothing, by their own number.
+        """
+        out = {}
+        for t, n in sizes.items():
+            blocks_of, key = max(1, -(-n // blocks.BLOCK)), max(self.held(t), key=lambda e: sizes[e.dst], default=None)
+            if key is None or blocks_of == 1:
+                out[t] = blocks_of, None
+                continue
+            edges = self.graph.edges[key]
+            hubs = edges.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") > blocks.HUB).select("dst", F.lit(True).alias("hub")).persist()
+            joined = edges.join(F.broadcast(hubs) if hubs.count() <= FEW else hubs, "dst", "left")
+            place = F.pmod(F.when(F.col("hub"), F.col("src")).otherwise(F.col("dst")), F.lit(blocks_of))
+            out[t] = blocks_of, joined.select(F.col("src").alias(NODE), place.cast("int").alias("part")).persist()
+            held += [hubs, out[t][1]]
+        return out
+
+    def _placed(self, df: DataFrame, node: str, t: str, places: dict, name: str) -> DataFrame:
+        """df with the block of the node that a column names."""
+        number, found = places.get(t, (max(1, blocks.BLOCK), None))
+        plain = F.pmod(F.col(node), F.lit(number)).cast("int")
+        if found is None:
+            return df.withColumn(name, plain)
+        return df.join(found.select(F.col(NODE).alias(node), F.col("part").alias("_p")), node, "left").withColumn(name, F.coalesce("_p", plain)).drop("_p")
+
+    def _routed(self, df: DataFrame, t: str, places: dict) -> DataFrame:
+        """df with part, ties, degrees and routes; these are empty where a model of one layer sends nothing."""
+        df, ties, degrees, routes = self._placed(df, NODE, t, places, "part"), [], [], []
+        for i, k in enumerate(self.held(t) if places else ()):
+            near = self._placed(self.graph.edges[k].select(F.col("src").alias(NODE), F.col("dst").alias(f"_t{i}")), f"_t{i}", k.dst, places, f"_b{i}")
+            df = df.join(near, NODE, "left")
+            ties += [F.coalesce(f"_t{i}", F.lit(-1)).cast("long"), F.coalesce(f"_b{i}", F.lit(0)).cast("long")]
+        for i, k in enumerate(self.owned(t) if places else ()):
+            from_ = self._placed(self.graph.edges[k].select("src", F.col("dst").alias(NODE)), "src", k.src, places, "_from")
+            df = df.join(from_.groupBy(NODE).agg(F.count("*").alias(f"_d{i}"), F.collect_set("_from").alias(f"_r{i}")), NODE, "left")
+            degrees.append(F.coalesce(f"_d{i}", F.lit(0)).cast("double"))
+            routes.append(F.transform(F.coalesce(f"_r{i}", F.array().cast("array<int>")), _under(i)))
+        empty = lambda kind: F.array().cast(f"array<{kind}>")
+        columns = (F.array(*ties) if ties else empty("long")).alias("ties"), (F.array(*degrees) if degrees else empty("double")).alias("degrees"), (F.concat(*routes) if routes else empty("long")).alias("routes")
+        return df.select("part", NODE, "v", *columns)
 
     def _first(self, t: str, z: np.ndarray | K.Wide) -> tuple[tuple, dict[str, tuple]]:
         """A stored row's features (dense, sparse), and (whether there are neighbours, dense, sparse of their mean) by edge type."""
-        z, few = _parts(z)
-        at, first, means = self._leading(t) + self.width(t), self.many(t), {}
-        own = z[:, at - self.width(t) : at], few and few.between(0, first)
+        z, few = blocks.halves(z)
+        at, first, means = self.width(t), self.many(t), {}
+        own = z[:, :at], few and few.between(0, first)
         for e in self.incoming(t):
             n, many = self.width(e.src), self.many(e.src)
             means[e.name] = z[:, at : at + 1], z[:, at + 1 : at + 1 + n], few and few.between(first, first + many)
             at, first = at + 1 + n, first + many
         return own, means
 
-    def _neighbours(self, t: str, z: np.ndarray | K.Wide) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """By edge type whose source is near: which rows have a neighbour, and where these stand among the source's nodes."""
-        near, out = self.near if self.near is None or isinstance(self.near, dict) else self.near.value, {}
-        edges = [e for e in self.incoming(t) if self.single(e)]
-        for e, ids in zip(edges, _parts(z)[0][:, : len(edges)].T, strict=True):
-            if near and e.src in near:
+    def _neighbours(self, t: str, x: Nodes) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By edge type whose source is near: which rows have a neighbour, where these stand among the source's nodes, and the vectors of these."""
+        near, out, held = self.near if self.near is None or isinstance(self.near, dict) else self.near.value, {}, self.held(t)
+        for e in self.incoming(t) if near else ():
+            if self.single(e) and e.src in near:
+                ids = x.ties[:, 2 * held.index(self.key(e))]
                 rows = np.flatnonzero(ids >= 0)
-                out[e.name] = rows, np.searchsorted(near[e.src][0], ids[rows].astype(np.int64)), near[e.src][1]
+                out[e.name] = rows, np.searchsorted(near[e.src][0], ids[rows]), near[e.src][1]
         return out
 
+    def _shares(self, e: EdgeType, x: Nodes) -> np.ndarray:
+        """1 / the number of a node's neighbours by an edge type that may give it several."""
+        return 1 / np.maximum(1.0, x.degrees[:, self.owned(e.dst).index(e)])[:, None]
+
     def _layer(self, layer: int, t: str, x: Nodes, p: K.Params) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         """(vectors after the layer, own vectors before it, neighbours' means before it). The second layer's own rows are those that the first one reads."""
         edges = self.incoming(t)
@@ -409,16 +347,16 @@ class Model:
             own = K.encode(p, f"enc.{t}", *own)
             means = {e.name: K.encode(p, f"enc.{e.src}", *raw[e.name][1:]) * raw[e.name][0] for e in edges}
         else:
-            own = self._layer(0, t, x, p)[0] if layer == 1 else x.v[0]
-            means = {e.name: x.v[i + 1] for i, e in enumerate(edges) if i + 1 in x.v}
-            for name, (rows, at, h) in self._neighbours(t, x.v[0]).items() if layer == 1 else ():
+            own = self._layer(0, t, x, p)[0] if layer == 1 else x.v[OWN]
+            means = {e.name: x.v[i + 1] if self.single(e) else x.v[i + 1] * self._shares(e, x) for i, e in enumerate(edges) if i + 1 in x.v}
+            for name, (rows, at, h) in self._neighbours(t, x).items() if layer == 1 else ():
                 means[name] = np.zeros((len(own), h.shape[1]))
                 means[name][rows] = h[at]
         return K.sage(p, layer, t, own, means, layer < self.config.layers - 1), own, means
 
     def _back(self, layer: int, t: str, x: Nodes, p: K.Params, out: np.ndarray, own: np.ndarray, means: dict[str, np.ndarray], g: np.ndarray, total: K.Params) -> Iterator[pa.RecordBatch]:
-        """Adds gradients of parameters to total, and those by near tables' vectors as ~table. Rows of the gradients by the vectors before a layer
-        above the first: GRADIENT its own (above the second; the second's go on to the first at once), from 1 on the means'."""
+        """Adds gradients of parameters to total, and those by near tables' vectors as ~table. Sends gradients by the vectors before a layer
+        above the first to their nodes' blocks: of own ones above the second (the second's go on to the first at once), and of those that made the means."""
         g_own, g_means, grads = K.sage_back(p, layer, t, own, means, out, g, layer < self.config.layers - 1)
         _add(total, grads)
         if layer == 0:
@@ -428,12 +366,12 @@ class Model:
                 there, *mean = raw[e.name]
                 _add(total, K.encode_grads(f"enc.{e.src}", *mean, g_means[e.name] * there))
             return
-        near = self._neighbours(t, x.v[0]) if layer == 1 else {}
+        near = self._neighbours(t, x) if layer == 1 else {}
         if layer == 1:
             yield from self._back(0, t, x, p, *self._layer(0, t, x, p), g_own, total)
         else:
-            yield _rows(x.node, GRADIENT, g_own)
-        for i, e in enumerate(self.incoming(t)):
+            yield blocks.sent(self.number(t), x.part, x.node, GRADIENT, g_own)
+        for e in self.incoming(t):
             if e.name in near:
                 rows, at, h = near[e.name]
                 order = np.argsort(at, kind="stable")
@@ -443,36 +381,33 @@ class Model:
                     total[f"~{e.src}"] = np.zeros(h.shape)
                 if len(starts):
                     total[f"~{e.src}"][at[starts]] += np.add.reduceat(sums, starts)
+            elif self.single(e):
+                yield from x.to_owners(self.held(t).index(self.key(e)), self.number(e.src), GRADIENT, g_means[e.name])
             else:
-                yield _rows(x.node, i + 1, g_means[e.name])
+                yield from x.to_holders(self.owned(t).index(e), self.number(e.src), PULLED + self.held(e.src).index(e), g_means[e.name] * self._shares(e, x))
 
-    def _sent(self, layer: int, t: str, inputs: Inputs) -> list[tuple[int, EdgeType]]:
+    def _along(self, layer: int, t: str, inputs: Inputs) -> list[tuple[int, EdgeType]]:
         """(slot, edge type) of the edges into t along which vectors are sent before a layer above the first."""
-        return [(i + 1, e) for i, e in enumerate(self.incoming(t)) if layer > 1 or not (self.single(e) and e.src in inputs.local)]
-
-    def _parts(self, layer: int, t: str, states: list[dict[str, DataFrame]], inputs: Inputs) -> list[DataFrame]:
-        """The rows that make the inputs of a layer."""
-        if layer == 0:
-            return [inputs.rows[t]]
-        own = inputs.rows[t] if layer == 1 else states[layer - 1][t]
-        return [own, *(_carried(self.edges(e), states[layer - 1][e.src], "src", "dst", i, self.config.channels) for i, e in self._sent(layer, t, inputs))]
+        return [(i + 1, e) for i, e in enumerate(self.incoming(t)) if layer > 1 or not (self.single(e) and e.src in inputs.local)] if layer else []
 
-    def _widths(self, layer: int, t: str, inputs: Inputs | None = None) -> dict[int, int]:
-        edges, c = self.incoming(t), self.config.channels
-        first = self._leading(t) + self.width(t) + sum(1 + self.width(e.src) for e in edges)
-        return {0: first if layer < 2 else c} | ({i: c for i, _ in self._sent(layer, t, inputs)} if layer else {})
-
-    def _over(self, layer: int, t: str, parts: list[DataFrame], inputs: Inputs, run, grads: bool = False) -> DataFrame:
-        """OUT rows that run() yields from a layer's inputs; of a single table the rows stay where they are."""
-        widths = self._widths(layer, t, inputs) | ({GRADIENT: self.config.channels} if grads else {})
-        several = len(parts) > 1
-        moved = _together(parts) if several else parts[0].select(*_names(ROWS))
+    def _send(self, layer: int, s: str, x: Nodes, h: np.ndarray, plan: list[tuple[str, int, EdgeType]], again: bool) -> Iterator[pa.RecordBatch]:
+        """Vectors after a layer, to the blocks whose next layer reads them: plan has (type, slot, edge type) of the receivers. again: and to their own block."""
+        for t, slot, e in plan:
+            if self.single(e):
+                yield from x.to_holders(self.owned(s).index(self.key(e)), self.number(t), slot, h)
+            else:
+                yield from x.to_owners(self.held(s).index(e), self.number(t), slot, h)
+        if again:
+            yield blocks.sent(self.number(s), x.part, x.node, OWN, h)
 
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = _assembled(batches, widths) if several else (Nodes(b.column(0).to_numpy(), {0: _matrix(b.column(2), widths[0])}, {}, *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))) for b in batches if b.num_rows)
-            yield from run(found)
+    def _slots(self, layer: int, t: str, inputs: Inputs, grads: bool = False) -> dict[int, tuple[int | None, int]]:
+        """What comes for the nodes of t before a layer, or with gradients by their vectors after it."""
+        c, held = self.config.channels, self.held(t)
+        out = {slot: (held.index(self.key(e)) if self.single(e) else None, c) for slot, e in self._along(layer, t, inputs)} | ({OWN: (None, c)} if layer > 1 else {})
+        return out | ({GRADIENT: (None, c)} | {PULLED + i: (i, c) for i in range(len(held))} if grads else {})
 
-        return moved.mapInArrow(apply, OUT)
+    def _over(self, layer: int, t: str, messages: list[DataFrame], inputs: Inputs, run, grads: bool = False) -> DataFrame:
+        return blocks.over(inputs.rows[t], messages, self.number(t), self._slots(layer, t, inputs, grads), run, self.stored(t))
 
     def _light(self, params: K.Params, inputs: Inputs) -> Model:
         """What workers need: no DataFrames, and the vectors of near tables after the first layer."""
@@ -482,32 +417,48 @@ class Model:
             out.near = next(iter(inputs.rows.values())).sparkSession.sparkContext.broadcast({u: (x.node, out._layer(0, u, x, params)[0]) for u, x in inputs.local.items()})
         return out
 
-    def forward(self, params: K.Params, inputs: Inputs, top: set[str], held: list[DataFrame], layers: int, me: Model | None = None, every: bool = False) -> list[dict[str, DataFrame]]:
-        """Vectors after each of the first `layers` layers, of the types that `top` needs; after the first, without `every`, only of those that are sent.
-        What is read again is kept until the caller gives up `held`."""
-        states: list[dict[str, DataFrame]] = []
-        me, needed = me or self._light(params, inputs), self.needed(top)
-        for layer, types in enumerate(needed[:layers]):
-            found = {}
-            if layer == 0 and not every:
-                types = {e.src for t in needed[1] for _, e in self._sent(1, t, inputs)}
-            for t in sorted(types):
-
-                def run(batches: Iterator[Nodes], layer=layer, t=t) -> Iterator[pa.RecordBatch]:
+    def forward(self, params: K.Params, inputs: Inputs, top: set[str], held: list[DataFrame], me: Model) -> list[list[DataFrame]]:
+        """What is sent before each layer, for `top` after the last. What is read again is kept until the caller gives up `held`."""
+        needed, sent = self.needed(top), [[]]
+        for layer, types in enumerate(needed[:-1]):
+            after = {s: [(t, slot, e) for t in sorted(needed[layer + 1]) for slot, e in self._along(layer + 1, t, inputs) if e.src == s] for s in sorted(types)}
+            found = []
+            for s, plan in after.items():
+                again = layer > 0 and s in needed[layer + 1]
+                if not plan and not again:
+                    continue
+
+                def run(batches: Iterator[Nodes], layer=layer, s=s, plan=plan, again=again) -> Iterator[pa.RecordBatch]:
                     for x in batches:
-                        yield from _sample_rows(x, me._layer(layer, t, x, params)[0])
+                        yield from me._send(layer, s, x, me._layer(layer, s, x, params)[0], plan, again)
+
+                found.append(self._over(layer, s, sent[layer], inputs, run))
+                if len(needed) > 2:
+                    held.append(found[-1].persist())
+            sent.append(found)
+        return sent
+
+    def vectors(self, inputs: Inputs, top: set[str], layers: int | None = None, params: K.Params | None = None) -> dict[str, DataFrame]:
+        """(node, v) of each type of top: the vectors after all layers, or after the first so many."""
+        params, last = self.params if params is None else params, (layers or self.config.layers) - 1
+        me, out = self._light(params, inputs), {}
+        sent = self.forward(params, inputs, top, self.kept, me)
+        for t in sorted(top):
 
-                found[t] = self._over(layer, t, self._parts(layer, t, states, inputs), inputs, run).drop("sums").persist()
-                held.append(found[t])
-            states.append(found)
-        return states
+            def run(batches: Iterator[Nodes], t=t) -> Iterator[pa.RecordBatch]:
+                for x in batches:
+                    yield blocks.result(x.node, SCORE, me._layer(last, t, x, params)[0])
+
+            out[t] = self._over(last, t, sent[last], inputs, run).select(NODE, "v")
+        return out
 
     def step(self, params: K.Params, inputs: Inputs, n: int, epoch: int, learn: bool = True, judge: int = 1) -> tuple[float, K.Params, np.ndarray]:
         """Loss and gradients over the n training rows, and (node, score, label) of the validation rows (judge: those of this split) where these are few enough."""
         c, spec, t, last = self.config, self.spec, self.spec.target_table, self.config.layers - 1
         held: list[DataFrame] = []
         me, tell = self._light(params, inputs), inputs.n_judged <= COLLECTED
-        states = self.forward(params, inputs, {t}, held, last, me)
+        sent, needed = self.forward(params, inputs, {t}, held, me), self.needed({t})
+        told = lambda total: blocks.result(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
 
         def top(batches: Iterator[Nodes]) -> Iterator[pa.RecordBatch]:
             total: K.Params = {}
@@ -515,7 +466,7 @@ class Model:
                 out, own, means = me._layer(last, t, x, params)
                 rows = np.flatnonzero(x.split == judge)
                 if tell and len(rows):
-                    yield _rows(x.node[rows], SCORE, K.scored(spec.task_type, K.head(params, out[rows])[0])[:, None], x.label[rows])
+                    yield blocks.result(x.node[rows], SCORE, K.scored(spec.task_type, K.head(params, out[rows])[0])[:, None], x.label[rows])
                 rows = np.flatnonzero(x.split == 0)
                 if not learn or not len(rows):
                     continue
@@ -526,40 +477,38 @@ class Model:
                 _add(total, grads | {"loss": np.array([value])})
                 yield from me._back(last, t, x.take(rows), params, out[rows], own[rows], {k: v[rows] for k, v in means.items()}, gh, total)
             if total:
-                yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
+                yield told(total)
 
-        rows = self._over(last, t, self._parts(last, t, states, inputs), inputs, top)
-        if last and learn and (last > 1 or self._sent(1, t, inputs)):
-            rows = rows.persist()
-            held.append(rows)
+        rows = self._over(last, t, sent[last], inputs, top)
+        if last and learn and (last > 1 or self._along(1, t, inputs)):
+            held.append(rows.persist())
         total, scores = _collected(rows)
         loss = float(total.pop("loss")[0]) if "loss" in total else 0.0
-        sent = {t: rows}
+        came = {t: rows}
         for layer in reversed(range(last if learn else 0)):
             below = {}
-            for u in sorted(self.needed({t})[layer]):
-                got = [sent[u].where(F.col("slot") == GRADIENT)] if u in sent and layer else []
-                got += [_carried(self.edges(e), sent[v].where(F.col("slot") == i), "dst", "src", GRADIENT, c.channels) for v in sent for i, e in self._sent(layer + 1, v, inputs) if e.src == u]
-                if not got:
+            for u in sorted(needed[layer]):
+                # Gradients by u's vectors after this layer: from its own rows above it, and from the tables to which they were sent.
+                if not (u in came and layer) and not any(e.src == u for v in came for _, e in self._along(layer + 1, v, inputs)):
                     continue
 
                 def back(batches: Iterator[Nodes], layer=layer, u=u) -> Iterator[pa.RecordBatch]:
                     total: K.Params = {}
                     for x in batches:
-                        yield from me._back(layer, u, x, params, *me._layer(layer, u, x, params), x.v[GRADIENT], total)
+                        g = x.v[GRADIENT] + sum(v for k, v in x.v.items() if k >= PULLED)
+                        yield from me._back(layer, u, x, params, *me._layer(layer, u, x, params), g, total)
                     if total:
-                        yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
+                        yield told(total)
 
-                below[u] = self._over(layer, u, [*self._parts(layer, u, states, inputs), *got], inputs, back, grads=True)
+                below[u] = self._over(layer, u, [*sent[layer], *came.values()], inputs, back, grads=True)
                 if layer:
-                    below[u] = below[u].persist()
-                    held.append(below[u])
+                    held.append(below[u].persist())
             sums = list(below.values())
             for df in sums[1:]:
                 sums[0] = sums[0].unionByName(df)
             if sums:
                 _add(total, _collected(sums[0])[0])
-            sent = below
+            came = below
         for u, x in inputs.local.items():
             if f"~{u}" in total:
                 deque(me._back(0, u, x, params, *me._layer(0, u, x, params), total.pop(f"~{u}"), total), 0)
@@ -576,21 +525,28 @@ class Model:
         inputs.release()
         return loss, total
 
+    def _forget(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+        self.kept = []
+
     def scores(self, params: K.Params | None = None, inputs: Inputs | None = None) -> DataFrame:
         """(node, score, prediction) of every row of the target table: a probability, a value on the label's scale, or a class."""
         params, t, last = self.params if params is None else params, self.spec.target_table, self.config.layers - 1
-        for df in self.kept:
-            df.unpersist()
-        self.kept, spec, inputs = [], self.spec, inputs or self.inputs()
+        self._forget()
+        spec = self.spec
+        if inputs is None:
+            inputs = self.inputs()
+            self.kept += [*inputs.rows.values(), *inputs.held]
         me = self._light(params, inputs)
-        states = self.forward(params, inputs, {t}, self.kept, last, me)
+        sent = self.forward(params, inputs, {t}, self.kept, me)
 
         def run(batches: Iterator[Nodes]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 score = K.scored(spec.task_type, K.head(params, me._layer(last, t, x, params)[0])[0])
-                yield _rows(x.node, SCORE, np.stack([score, spec.label_transform.back(score) if spec.task_type == REGRESSION else score], axis=1))
+                yield blocks.result(x.node, SCORE, np.stack([score, spec.label_transform.back(score) if spec.task_type == REGRESSION else score], axis=1))
 
-        rows = self._over(last, t, self._parts(last, t, states, inputs), inputs, run)
+        rows = self._over(last, t, sent[last], inputs, run)
         return rows.select(NODE, F.col("v")[0].alias("score"), F.col("v")[1].alias("prediction"))
 
     def predict(self) -> DataFrame:
@@ -609,77 +565,148 @@ class Model:
                 log.warning("%s is no foreign key of %s and no table with a key: skipped", name, self.spec.target_table)
         return out
 
+    def field_of(self, asked: dict[str, DataFrame]) -> Model:
+        """The model over the receptive field of some nodes, (node) by type: they and what is within as many edges of them as there are layers.
+
+        Each layer's step outwards is one semi-join of edges with the nodes reached, so what is read afterwards follows the neighbourhood; the nodes' vectors are those of
+        the whole graph, as all edges into a node come along where its vector counts. Sets of nodes come to the driver where they are FEW, and are written as tables beyond.
+        """
+        held, files, inner = [], [], {}
+
+        def few(df: DataFrame) -> DataFrame:
+            df, path = short(df, FEW)
+            files.extend([path] if path else [])
+            return df if path else F.broadcast(df)
+
+        reached = {t: few(nodes.select(NODE).distinct()) for t, nodes in asked.items()}
+        for _ in range(self.config.layers):
+            inner, found = dict(reached), {}
+            for t, nodes in inner.items():
+                for e in self.incoming(t):
+                    near = self.graph.edges[e].join(nodes.select(F.col(NODE).alias("dst")), "dst", "left_semi").select(F.col("src").alias(NODE))
+                    found.setdefault(e.src, []).append(near)
+            for s, parts in found.items():
+                every = [reached[s]] if s in reached else []
+                reached[s] = few(reduce(DataFrame.unionByName, [*every, *parts]).distinct())
+        none = lambda df: df.limit(0)
+        raw = {t: df.join(reached[t], NODE, "left_semi").persist() if t in reached else none(df) for t, df in self.raw.items()}
+        edges = {e: df.join(inner[e.dst].select(F.col(NODE).alias("dst")), "dst", "left_semi") if e.dst in inner else none(df) for e, df in self.graph.edges.items()}
+        # Both directions of a foreign key have the same edges, or the blocks would not know whom to send to.
+        pairs = {}
+        for k in edges:
+            if not self.single(k) and k.reverse in edges:
+                both = edges[k].unionByName(reversed_edges(edges[k.reverse])).distinct().persist()
+                pairs |= {k: both, k.reverse: reversed_edges(both)}
+                held.append(both)
+        return replace(self, graph=Graph(self.graph.nodes, pairs), raw=raw, weighted={}, kept=[*held, *raw.values()], files=files, near=None)
+
+    def _entities(self, asked: dict[str, DataFrame]) -> tuple[Model, DataFrame]:
+        """(the model over their field, (table, node, v)) of nodes asked for by type."""
+        part = self.field_of(asked)
+        inputs = part.inputs(top=set(asked))
+        part.kept += [*inputs.rows.values(), *inputs.held]
+        found = part.vectors(inputs, set(asked))
+        rows = [df.join(asked[t], NODE, "left_semi").select(F.lit(t).alias("table"), NODE, "v") for t, df in found.items()]
+        return part, reduce(DataFrame.unionByName, rows)
+
+    def _head(self):
+        """The prediction for the mean of a list of vectors."""
+        spec, params = self.spec, self.params
+
+        @F.pandas_udf("double")
+        def score(column: pd.Series) -> pd.Series:
+            mean = np.stack([np.mean([np.asarray(v, float) for v in vs], axis=0) for vs in column]) if len(column) else np.zeros((0, params["head.1.W"].shape[1]))
+            out = K.scored(spec.task_type, K.head(params, mean)[0])
+            return pd.Series(spec.label_transform.back(out) if spec.task_type == REGRESSION else out)
+
+        return score
+
+    def _first_rows(self, t: str, keys: DataFrame, column: str) -> DataFrame:
+        """(column, node) of the first row of each key that the table has."""
+        table = self.db.get_table(t)
+        own, its = aligned(F.col(f"a.{column}"), dict(keys.dtypes)[column], F.col(f"b.{table.pk}"), dict(table.df.dtypes)[table.pk])
+        asked = keys.select(column).distinct()
+        joined = table.df.alias("b").join((F.broadcast(asked) if asked.count() <= FEW else asked).alias("a"), own == its)
+        return joined.groupBy(F.col(f"a.{column}").alias(column)).agg(F.min(NODE).alias(NODE))
+
+    def entity_scores(self, table: str, keys: DataFrame) -> DataFrame:
+        """(key, prediction) for keys of a table, in the first column of keys: the head on each entity's vector. Keys that the table lacks are left out."""
+        column = keys.columns[0]
+        places = self._first_rows(table, keys, column)
+        part, found = self._entities({table: places.select(NODE)})
+        self.kept += [*part.kept, *part.weighted.values()]
+        self.files += part.files
+        return places.join(found, NODE).select(column, self._head()(F.array("v")).alias("prediction"))
+
+    def _given_up(self) -> None:
+        for df in (*self.kept, *self.weighted.values()):
+            df.unpersist()
+        for path in self.files:
+            delete(next(iter(self.raw.values())).sparkSession, path)
+
     def synthesize(self, refs) -> float:
         """A prediction for a combination of entities: the head on the mean of their vectors.
 
         refs: {foreign key of the target table, or table: key}, or such pairs. Of a repeated key the first row counts. One job looks all of
-        them up; only edges into their rows reach the last layer.
+        them up, and only the neighbourhood that their vectors depend on is read on.
         """
-        asked = self._resolved(refs)
-        top, last, found, held = {t for t, _ in asked}, self.config.layers - 1, None, []
-        if top:
-            inputs, params = self.inputs(top=top), self.params
-            me = self._light(params, inputs)
-            states = self.forward(params, inputs, top, held, last, me)
-            for i, (t, value) in enumerate(asked):
-                table = self.db.get_table(t)
-                key = F.lit(str(value)).try_cast(table.df.schema[table.pk].dataType)
-                node = table.df.where(F.col(table.pk) == key).agg(F.min(NODE)).first()[0]
-                if node is None:
-                    log.warning("%s has no row %s", t, value)
-                    continue
-
-                def run(batches: Iterator[Nodes], t=t, i=i) -> Iterator[pa.RecordBatch]:
-                    for x in batches:
-                        yield _rows(x.node, i, me._layer(last, t, x, params)[0])
-
-                own = self._over(last, t, [p.where(F.col(NODE) == node) for p in self._parts(last, t, states, inputs)], inputs, run)
-                found = own if found is None else found.unionByName(own)
-        if found is None:
+        asked, sides = self._resolved(refs), []
+        for i, (t, value) in enumerate(asked):
+            table = self.db.get_table(t)
+            kind = dict(table.df.dtypes)[table.pk]
+            own, its = aligned(F.col(table.pk), kind, F.lit(str(value)).try_cast("decimal(38,10)" if exact(kind) else kind), "decimal(38,10)" if exact(kind) else kind)
+            sides.append(table.df.where(own == its).agg(F.min(NODE).alias(NODE)).select(F.lit(i).alias("at"), NODE))
+        nodes = {r["at"]: r[NODE] for r in reduce(DataFrame.unionByName, sides).collect() if r[NODE] is not None} if sides else {}
+        for i, (t, value) in enumerate(asked):
+            if i not in nodes:
+                log.warning("%s has no row %s", t, value)
+        if not nodes:
             raise ValueError(f"none of {refs} is there")
-        vectors = [np.array(r["v"]) for r in found.select("v").collect()]
-        for df in (*held, *inputs.rows.values()):
-            df.unpersist()
-        score = float(K.scored(self.spec.task_type, K.head(self.params, np.mean(vectors, axis=0)[None])[0])[0])
+        spark = sides[0].sparkSession
+        by_type = {t: spark.createDataFrame(sorted({(nodes[i],) for i in nodes if asked[i][0] == t}), f"{NODE} long") for t in {asked[i][0] for i in nodes}}
+        part, found = self._entities(by_type)
+        vectors = {(r["table"], r[NODE]): np.array(r["v"]) for r in found.collect()}
+        part._given_up()
+        score = float(K.scored(self.spec.task_type, K.head(self.params, np.mean([vectors[asked[i][0], nodes[i]] for i in sorted(nodes)], axis=0)[None])[0])[0])
         return self.spec.label_transform.back(score) if self.spec.task_type == REGRESSION else score
 
     def pair_scores(self, asked: DataFrame, columns: list[str], value: str = "prediction") -> DataFrame:
         """asked with value: the mean prediction of the target's rows that agree in the foreign keys `columns`, or else that of the combination.
 
-        Combinations without a row are scored from the mean of their entities' vectors, all of them in one plan.
+        Rows that are asked for, and the entities of combinations without one, are scored from what their vectors depend on, not from whole tables. Entities are
+        scored from the mean of their vectors, all of them in one plan. The result is a table in the shared folder; nothing else is kept.
         """
-        fks = {fk.column: fk.target for fk in self.db.get_table(self.spec.target_table).fks}
-        known = self.predict().groupBy(*columns).agg(F.avg("prediction").alias("_known"))
-        pairs = asked.select(*columns).distinct().join(known, columns, "left")
-        top, last, params = {fks[c] for c in columns}, self.config.layers - 1, self.params
-        inputs = self.inputs(top=top)
-        me = self._light(params, inputs)
-        states = self.forward(params, inputs, top, [], last, me)
-        rest = pairs.where("_known is null").select(*columns)
-        parts = []
-        for c in columns:
-            t = fks[c]
-
-            def run(batches: Iterator[Nodes], t=t) -> Iterator[pa.RecordBatch]:
-                for x in batches:
-                    yield _rows(x.node, 0, me._layer(last, t, x, params)[0])
-
-            table = self.db.get_table(t)
-            first = table.df.where(F.col(table.pk).isNotNull()).groupBy(F.col(table.pk).alias(c)).agg(F.min(NODE).alias(NODE))
-            parts.append(rest.join(first.join(self._over(last, t, self._parts(last, t, states, inputs), inputs, run).select(NODE, "v"), NODE).select(c, "v"), c).select(*columns, "v"))
-        vectors = parts[0]
-        for p in parts[1:]:
-            vectors = vectors.unionByName(p)
-        spec = self.spec
-
-        @F.pandas_udf("double")
-        def score(column: pd.Series) -> pd.Series:
-            mean = np.stack([np.mean([np.asarray(v, float) for v in vs], axis=0) for vs in column])
-            out = K.scored(spec.task_type, K.head(params, mean)[0])
-            return pd.Series(spec.label_transform.back(out) if spec.task_type == REGRESSION else out)
-
-        made = vectors.groupBy(*columns).agg(F.collect_list("v").alias("_vs")).select(*columns, score("_vs").alias("_made"))
-        return asked.join(pairs.join(made, columns, "left").select(*columns, F.coalesce("_known", "_made").alias(value), F.when(F.col("_known").isNotNull(), "row").when(F.col("_made").isNotNull(), "entities").otherwise("none").alias("source")), columns, "left")
+        target, files = self.db.get_table(self.spec.target_table), []
+
+        def table(df: DataFrame) -> DataFrame:
+            df, path = table_of(df)
+            files.append(path)
+            return df
+
+        fks, kinds = {fk.column: fk.target for fk in target.fks}, dict(target.df.dtypes)
+        pairs = table(asked.select(*columns).distinct())
+        same = reduce(lambda a, b: a & b, (x == y for c in columns for x, y in [aligned(F.col(f"p.{c}"), dict(pairs.dtypes)[c], F.col(f"t.{c}"), kinds[c])]))
+        small = pairs.count() <= FEW
+        its = table(target.df.alias("t").join((F.broadcast(pairs) if small else pairs).alias("p"), same).select(*(F.col(f"p.{c}").alias(c) for c in columns), f"t.{NODE}"))
+        parts = [self.field_of({self.spec.target_table: its})]
+        known = table(its.join(parts[0].scores(), NODE).groupBy(*columns).agg(F.avg("prediction").alias("_known")))
+        rest, lookup = table(pairs.join(known, columns, "left_anti")), []
+        for i, c in enumerate(columns):
+            found = self._first_rows(fks[c], rest, c)
+            lookup.append(rest.join(found, c).select(*columns, F.lit(i).alias("_i"), F.lit(fks[c]).alias("table"), NODE))
+        places = table(reduce(DataFrame.unionByName, lookup))
+        part, vectors = self._entities({t: places.where(F.col("table") == t).select(NODE) for t in {fks[c] for c in columns}})
+        parts.append(part)
+        made = places.join(vectors, ["table", NODE]).groupBy(*columns).agg(F.collect_list("v").alias("_vs")).select(*columns, self._head()("_vs").alias("_made"))
+        both = pairs.join(known, columns, "left").join(made, columns, "left")
+        source = F.when(F.col("_known").isNotNull(), "row").when(F.col("_made").isNotNull(), "entities").otherwise("none")
+        out, path = table_of(asked.join(both.select(*columns, F.coalesce("_known", "_made").alias(value), source.alias("source")), columns, "left"))
+        self.files.append(path)
+        for p in parts:
+            p._given_up()
+        for path in files:
+            delete(asked.sparkSession, path)
+        return out
 
     def evaluate(self, samples: DataFrame, params: K.Params | None = None, inputs: Inputs | None = None) -> dict[str, float]:
         rows = samples.join(self.scores(params, inputs), NODE)
@@ -715,8 +742,9 @@ class Model:
         self.params = got
 
 
-def _sample_rows(x: Nodes, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-    yield _rows(x.node, 0, v, x.label, x.split, x.scale)
+def _under(key: int):
+    """A block's number beside that of a key."""
+    return lambda part: part.cast("long") + F.lit(key << 32)
 
 
 def _add(total: K.Params, grads: K.Params) -> None:
@@ -734,26 +762,28 @@ def _collected(rows: DataFrame) -> tuple[K.Params, np.ndarray]:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: K.Params = {}
         for batch in batches:
-            scores = batch.filter(pc.equal(batch.column(1), SCORE))
+            scores = batch.filter(pc.equal(batch.column("slot"), SCORE))
             if scores.num_rows:
-                yield _rows(scores.column(0).to_numpy(), SCORE, _matrix(scores.column(2), 1), scores.column(3).to_numpy(zero_copy_only=False))
-            for x in batch.column(6).drop_null().to_pylist():
+                yield blocks.result(scores.column(NODE).to_numpy(), SCORE, blocks.matrix(scores.column("v"), 1), scores.column("label").to_numpy(zero_copy_only=False))
+            for x in batch.column("sums").drop_null().to_pylist():
                 _add(total, pickle.loads(x))
         if total:
-            yield _rows(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
+            yield blocks.result(np.zeros(1, np.int64), SUMS, np.zeros((1, 0)), sums=pickle.dumps(total))
 
-    few = rows.where(F.col("slot") <= SCORE)
+    few = rows.where(F.col("to") < 0)
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Blocks tell their sums one by one; those of a task are merged in it.
+    few = few.mapInArrow(merge, blocks.SENT)
     if width > DIRECT:
-        few = few.repartition(round(width**0.5)).mapInArrow(merge, OUT)
+        few = few.repartition(round(width**0.5)).mapInArrow(merge, blocks.SENT)
     total, scores = {}, []
     for batch in few.toArrow().to_batches():
         if batch.num_rows:
-            for x in batch.column(6).drop_null().to_pylist():
+            for x in batch.column("sums").drop_null().to_pylist():
                 _add(total, pickle.loads(x))
-            part = batch.filter(pc.equal(batch.column(1), SCORE))
+            part = batch.filter(pc.equal(batch.column("slot"), SCORE))
             if part.num_rows:
-                scores.append(np.column_stack([part.column(0).to_numpy(), _matrix(part.column(2), 1)[:, 0], part.column(3).to_numpy(zero_copy_only=False)]))
+                scores.append(np.column_stack([part.column(NODE).to_numpy(), blocks.matrix(part.column("v"), 1)[:, 0], part.column("label").to_numpy(zero_copy_only=False)]))
     return total, np.concatenate([np.zeros((0, 3)), *scores])
 
 

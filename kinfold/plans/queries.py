@@ -165,13 +165,13 @@ FROM customer LEFT JOIN m ON k = c_custkey""")
 def model_layer_fixed_weights(spark, d):
     """The same layer by the model's own passes, from stored features and means."""
     model, _ = _fixed_model(spark, d, "customer", layers=2)
-    states = model.forward(model.params, model.inputs(top={"customer"}), {"customer"}, [], 1, every=True)
+    found = model.vectors(model.inputs(top={"customer"}), {"customer"}, layers=1)
     off_ties = lambda i: F.round(F.col("v")[i] + 3.3e-8, 4)
-    return states[0]["customer"].select(F.col("_nid").alias("node"), off_ties(0).alias("h0"), off_ties(1).alias("h1"))
+    return found["customer"].select(F.col("_nid").alias("node"), off_ties(0).alias("h0"), off_ties(1).alias("h1"))
 
 
 def _fixed_model(spark: SparkSession, d: str, target: str, layers: int):
-    """A model over orders and customers whose weights are given; nodes are keys, features are not fitted."""
+    """A model over orders and customers whose weights are given, those of a second layer being those of the first; nodes are keys, features are not fitted, and no table is at the driver."""
     import numpy as np
 
     from kinfold.plans.model import Config, Encoder, Model
@@ -191,9 +191,11 @@ def _fixed_model(spark: SparkSession, d: str, target: str, layers: int):
     for t, e in (("customer", edge), ("orders", back)):
         params |= {f"l0.self.{t}.W": np.array([[0.5, 0.0], [-0.4, 0.0]]), f"l0.self.{t}.b": np.array([0.1, -0.1]), f"l0.bias.{t}": np.array([-0.01, 0.02])}
         params |= {f"l0.neigh.{e.name}.W": np.array([[0.3, -0.2], [0.25, 0.6]]), f"l0.neigh.{e.name}.b": np.array([0.05, -0.05])}
+    if layers > 1:
+        params |= {k.replace("l0.", "l1.", 1): v for k, v in params.items() if k.startswith("l0.")}
     params |= {"head.1.W": np.array([[1.0, -0.5], [0.2, 0.7]]), "head.1.b": np.array([0.0, 0.1]), "head.2.W": np.array([[0.8, -1.1]]), "head.2.b": np.array([0.05])}
     edges = graph.fk_edges(orders, "o_custkey", customers, "c_custkey")
-    return Model(db, graph.Graph({}, {edge: edges, back: graph.reversed_edges(edges)}), TaskSpec(target, "x"), Config(channels=2, layers=layers, hidden=2, dropout=0.0), {"orders": Encoder(kind(2)), "customer": Encoder(kind(1))}, params, raw), target
+    return Model(db, graph.Graph({}, {edge: edges, back: graph.reversed_edges(edges)}), TaskSpec(target, "x"), Config(channels=2, layers=layers, hidden=2, dropout=0.0, local_bytes=0), {"orders": Encoder(kind(2)), "customer": Encoder(kind(1))}, params, raw), target
 
 
 @query("""
@@ -206,6 +208,50 @@ def predict_fixed_weights(spark, d):
     return model.predict().select("o_orderkey", r4(F.col("prediction")).alias("prediction"))
 
 
+_HEAD = "round(1 / (1 + exp(-(0.8 * greatest(a - 0.5 * b, 0) - 1.1 * greatest(0.2 * a + 0.7 * b + 0.1, 0) + 0.05))) + 1e-7, 4) AS prediction"
+_MEANS = "m AS (SELECT o_custkey AS k, avg(o_totalprice / 1e5) AS a, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS b FROM orders GROUP BY 1)"
+
+
+@query(f"""
+WITH {_MEANS},
+c AS (SELECT c_custkey, c_acctbal / 1e4 AS x, greatest(0.5 * (c_acctbal / 1e4) + 0.1 + 0.3 * coalesce(a, 0) - 0.2 * coalesce(b, 0) + 0.05 - 0.01, 0) AS u,
+  greatest(-0.4 * (c_acctbal / 1e4) - 0.1 + 0.25 * coalesce(a, 0) + 0.6 * coalesce(b, 0) - 0.05 + 0.02, 0) AS v FROM customer LEFT JOIN m ON k = c_custkey),
+o AS (SELECT o_orderkey, greatest(0.5 * (o_totalprice / 1e5) + 0.1 + 0.3 * coalesce(x, 0) + 0.05 - 0.01, 0) AS h, coalesce(u, 0) AS u, coalesce(v, 0) AS v FROM orders LEFT JOIN c ON o_custkey = c_custkey),
+x AS (SELECT o_orderkey, 0.5 * h + 0.1 + 0.3 * u - 0.2 * v + 0.05 - 0.01 AS a, -0.4 * h - 0.1 + 0.25 * u + 0.6 * v - 0.05 + 0.02 AS b FROM o)
+SELECT o_orderkey, {_HEAD} FROM x""")
+def predict_two_layers(spark, d):
+    """Probabilities of all orders from two layers and the head, with given weights: customers' vectors are sent to the blocks of their orders."""
+    model, _ = _fixed_model(spark, d, "orders", layers=2)
+    return model.predict().select("o_orderkey", r4(F.col("prediction")).alias("prediction"))
+
+
+@query(f"""
+WITH {_MEANS}, x AS (SELECT c_custkey, 0.5 * (c_acctbal / 1e4) + 0.1 + 0.3 * coalesce(m.a, 0) - 0.2 * coalesce(m.b, 0) + 0.05 - 0.01 AS a,
+  -0.4 * (c_acctbal / 1e4) - 0.1 + 0.25 * coalesce(m.a, 0) + 0.6 * coalesce(m.b, 0) - 0.05 + 0.02 AS b FROM customer LEFT JOIN m ON k = c_custkey)
+SELECT c_custkey, {_HEAD} FROM x""")
+def entity_scores(spark, d):
+    """The head on the vector of each customer, as a prediction for an entity without a row of its own."""
+    model, _ = _fixed_model(spark, d, "orders", layers=1)
+    out = model.entity_scores("customer", read(spark, d, "customer").select("c_custkey"))
+    return out.select("c_custkey", r4(F.col("prediction")).alias("prediction"))
+
+
+@query(f"""
+WITH x AS (SELECT o_custkey, 0.5 * (o_totalprice / 1e5) + 0.1 + 0.3 * coalesce(c_acctbal / 1e4, 0) + 0.05 - 0.01 AS a, -0.4 * (o_totalprice / 1e5) - 0.1 + 0.25 * coalesce(c_acctbal / 1e4, 0) - 0.05 + 0.02 AS b
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+p AS (SELECT o_custkey, avg(1 / (1 + exp(-(0.8 * greatest(a - 0.5 * b, 0) - 1.1 * greatest(0.2 * a + 0.7 * b + 0.1, 0) + 0.05)))) AS p FROM x GROUP BY 1),
+{_MEANS}, e AS (SELECT c_custkey, 0.5 * (c_acctbal / 1e4) + 0.1 + 0.3 * coalesce(m.a, 0) - 0.2 * coalesce(m.b, 0) + 0.05 - 0.01 AS a,
+  -0.4 * (c_acctbal / 1e4) - 0.1 + 0.25 * coalesce(m.a, 0) + 0.6 * coalesce(m.b, 0) - 0.05 + 0.02 AS b FROM customer LEFT JOIN m ON k = c_custkey),
+h AS (SELECT c_custkey, 1 / (1 + exp(-(0.8 * greatest(a - 0.5 * b, 0) - 1.1 * greatest(0.2 * a + 0.7 * b + 0.1, 0) + 0.05))) AS h FROM e)
+SELECT user_id AS o_custkey, round(coalesce(p, h) + 1e-7, 4) AS prediction, CASE WHEN p IS NOT NULL THEN 'row' WHEN h IS NOT NULL THEN 'entities' ELSE 'none' END AS source
+FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN p ON o_custkey = user_id LEFT JOIN h ON c_custkey = user_id""")
+def pair_scores(spark, d):
+    """The mean prediction of each user's orders, or else of the customer that the user is, or none."""
+    model, _ = _fixed_model(spark, d, "orders", layers=1)
+    asked = read(spark, d, "events").select(F.col("user_id").alias("o_custkey")).distinct()
+    return model.pair_scores(asked, ["o_custkey"]).select("o_custkey", r4(F.col("prediction")).alias("prediction"), "source")
+
+
 @query("""
 WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, avg(year(o_orderdate)) AS ym, stddev_pop(year(o_orderdate)) AS ys FROM orders)
 SELECT o_orderkey, round((o_totalprice - m) / s + 1e-7, 4) AS price, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f, CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o,
@@ -328,11 +374,39 @@ def varchar_class(spark, d):
     return out
 
 
-@query(r"SELECT t AS text, CASE WHEN t LIKE '____-__-__ __:__:__' THEN epoch(try_strptime(t, '%Y-%m-%d %H:%M:%S'))::BIGINT ELSE epoch(try_strptime(substr(t, 1, 10), '%Y-%m-%d'))::BIGINT END AS seconds, try_cast(regexp_extract(t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') AS DOUBLE) AS number FROM (SELECT unnest(['2024-01-02 03:04:05', '2024-01-02', '2024-01-02T03:04:05Z', '2023-13-45', '12abc', '-1.5e3x', '.5', 'abc', '']) AS t)")
+_CELLS = {
+    "CAST(o_orderdate AS DATE) || ' 03:04:05'": lambda: F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 03:04:05")), "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)": lambda: F.date_format("o_orderdate", "yyyy-MM-dd"),
+    "CAST(o_orderdate AS DATE) || 'T03:04:05Z'": lambda: F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T03:04:05Z")), "'2023-13-' || (10 + o_orderkey % 90)": lambda: F.concat(F.lit("2023-13-"), (F.col("o_orderkey") % 90 + 10).cast("string")),
+    "o_custkey || 'abc'": lambda: F.concat(F.col("o_custkey").cast("string"), F.lit("abc")), "'-' || o_custkey || '.5e3x'": lambda: F.concat(F.lit("-"), F.col("o_custkey").cast("string"), F.lit(".5e3x")),
+    "'.' || o_custkey": lambda: F.concat(F.lit("."), F.col("o_custkey").cast("string")), "o_orderstatus": lambda: F.col("o_orderstatus"), "''": lambda: F.lit(""),
+}
+_CELL_SQL = "CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(_CELLS)) + " END"
+
+
+@query(rf"SELECT o_orderkey, t AS text, CASE WHEN t LIKE '____-__-__ __:__:__' THEN epoch(try_strptime(t, '%Y-%m-%d %H:%M:%S'))::BIGINT ELSE epoch(try_strptime(substr(t, 1, 10), '%Y-%m-%d'))::BIGINT END AS seconds, try_cast(regexp_extract(t, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') AS DOUBLE) AS number FROM (SELECT o_orderkey, {_CELL_SQL} AS t FROM orders)")
 def cell_parsing(spark, d):
-    cases = ["2024-01-02 03:04:05", "2024-01-02", "2024-01-02T03:04:05Z", "2023-13-45", "12abc", "-1.5e3x", ".5", "abc", ""]
-    t = spark.createDataFrame([(c,) for c in cases], "text string")
-    return t.select("text", F.unix_timestamp(infer.parse_timestamp(F.col("text"))).alias("seconds"), infer.parse_number(F.col("text")).alias("number"))
+    """Times and numbers in cells made of orders: whole ones, dates alone, other shapes, no dates, numbers with something behind them, nothing."""
+    text = F.coalesce(*(F.when(F.col("o_orderkey") % len(_CELLS) == i, make()) for i, make in enumerate(_CELLS.values())))
+    t = read(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return t.select("o_orderkey", "text", F.unix_timestamp(infer.parse_timestamp(F.col("text"))).alias("seconds"), infer.parse_number(F.col("text")).alias("number"))
+
+
+@query(f"SELECT o_orderkey + {_WIDE} AS id, CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status, epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP))::BIGINT AS seconds, o_custkey || ', \"' || o_orderkey || '\"' AS note FROM orders")
+def csv_round_trip(spark, d):
+    """A table written as CSV and read again: types by its values, keys that need 61 bits, null tokens, quotes and commas."""
+    import uuid
+
+    from kinfold.sources.shared import shared_folder
+    from kinfold.sources.tables import read_csv_database, write_csv
+
+    k = F.col("o_orderkey")
+    note = F.concat(F.col("o_custkey").cast("string"), F.lit(', "'), k.cast("string"), F.lit('"'))
+    rows = read(spark, d, "orders").select((k + _WIDE).alias("id"), F.col("o_totalprice").alias("price"), F.when(k % 7 == 0, "NA").otherwise(F.col("o_orderstatus")).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), note.alias("note"))
+    db, folder = Database(), f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    db.add_table(Table("orders.csv", rows, {}))
+    write_csv(db, folder)
+    t = read_csv_database(spark, folder).get_table("orders")
+    return t.df.select("id", "price", "status", F.unix_timestamp("day").alias("seconds"), "note")
 
 
 # --- encoders and labels ---------------------------------------------------------------------------------------------
@@ -416,6 +490,21 @@ def split_temporal(spark, d):
     return _temporal(spark, d).select("o_orderkey", "split")
 
 
+@query(f"WITH {_TEMPORAL} SELECT o_orderkey AS node, CASE WHEN o_totalprice >= 150000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, split FROM s")
+def task_file(spark, d):
+    """Labels and splits saved as a task's CSV, by keys that need 61 bits, and loaded again."""
+    import uuid
+
+    from kinfold.sources.shared import shared_folder
+    from kinfold.sources.tables import load_task, save_task
+
+    table = read(spark, d, "orders").select(F.col("o_orderkey").alias(graph.NODE), (F.col("o_orderkey") + _WIDE).alias("id"))
+    samples = _temporal(spark, d).select(F.col("o_orderkey").alias(graph.NODE), LabelTransform("threshold", 150000.0).apply(F.col("o_totalprice")).alias("label"), "split")
+    path = f"{shared_folder(spark)}/task-{uuid.uuid4().hex}"
+    save_task(samples, table, "id", path)
+    return load_task(spark, path, table, "id").withColumnRenamed(graph.NODE, "node")
+
+
 @query("WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CASE WHEN i < n * 70 // 100 THEN 'train' WHEN i < n * 85 // 100 THEN 'val' ELSE 'test' END AS split FROM o")
 def split_random_md5(spark, d):
     return splits.by_hash(read(spark, d, "orders"), "o_orderkey").select("o_orderkey", "split")
@@ -765,15 +854,19 @@ def rolling_features(spark, d):
 
 
 def order_task(spark: SparkSession, d: str):
-    """(a database of orders and customers, the task of telling orders of 150,000 or more in the order of time)."""
+    """(a database of orders and customers, the task of telling orders whose customer has a balance of 4,500 or more, in the order of time).
+
+    Orders have no such column among their features: only what their customers send them tells.
+    """
     from kinfold.plans.task import TaskSpec
     from kinfold.schema import ForeignKey
 
     n, c = LogicalType.NUMERICAL, LogicalType.CATEGORICAL
-    db = Database()
-    db.add_table(Table("customer", read(spark, d, "customer"), {"c_custkey": n, "c_acctbal": n, "c_mktsegment": c}, "c_custkey"))
-    db.add_table(Table("orders", read(spark, d, "orders"), {"o_orderkey": n, "o_custkey": n, "o_orderstatus": c, "o_totalprice": n, "o_orderdate": LogicalType.TIMESTAMP}, "o_orderkey", "o_orderdate", (ForeignKey("o_custkey", "customer"),)))
-    return db, TaskSpec("orders", "o_totalprice", label_transform=LabelTransform("threshold", 150000.0), split_strategy="temporal")
+    db, customers = Database(), read(spark, d, "customer")
+    orders = read(spark, d, "orders").join(customers.select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_limit")), "o_custkey", "left")
+    db.add_table(Table("customer", customers, {"c_custkey": n, "c_acctbal": n, "c_mktsegment": c}, "c_custkey"))
+    db.add_table(Table("orders", orders, {"o_orderkey": n, "o_custkey": n, "o_orderstatus": c, "o_totalprice": n, "o_orderdate": LogicalType.TIMESTAMP, "o_limit": n}, "o_orderkey", "o_orderdate", (ForeignKey("o_custkey", "customer"),)))
+    return db, TaskSpec("orders", "o_limit", label_transform=LabelTransform("threshold", 4500.0), split_strategy="temporal")
 
 
 @query()
@@ -782,5 +875,5 @@ def train_predict_rows(spark, d):
     from kinfold.plans.model import Config, train
 
     db, spec = order_task(spark, d)
-    model = train(spark, spec, db, Config(channels=8, hidden=8, layers=1, epochs=2, lr=0.01, evaluate_every=2))
+    model = train(spark, spec, db, Config(channels=8, hidden=8, layers=1, epochs=2, lr=0.01, evaluate_every=2, exclude_fk=True))
     return model.predict().select("o_orderkey", "prediction")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.labels import LabelTransform
 from kinfold.operators import splits
+from kinfold.operators.graph import NODE
 from kinfold.operators.inference import InferenceFilter
 from kinfold.schema import LogicalType, Table
 
@@ -26,6 +27,8 @@ class TaskSpec:
     label_transform: LabelTransform = field(default_factory=LabelTransform)
     split_strategy: str = "random"
     split_time_col: str | None = None
+    #: How a random split is drawn: by a digest of the key, for tables of any size, or "fixed": by the fixed generator's order of the rows as they are numbered.
+    shuffle: str = "hash"
     train: int = 70
     val: int = 15
     inference_mode: str = "row_based"
@@ -68,6 +71,9 @@ def build_split(table: Table, spec: TaskSpec, key: str) -> tuple[DataFrame, Task
         if not time:
             raise ValueError(f"a temporal split of {spec.target_table} needs a time column")
         rows = splits.temporal(rows, time, key, spec.train, spec.val)
+    elif spec.shuffle == "fixed":
+        # Only rows with a label are shuffled, in the order of the table's nodes, or else of its key.
+        rows = splits.by_permutation(rows.withColumn("_at", F.col(NODE)), ["_at"], train=spec.train, val=spec.val).withColumnRenamed("_at", NODE) if NODE in rows.columns else splits.by_permutation(rows, [key], train=spec.train, val=spec.val)
     else:
         rows = splits.by_hash(rows, key, train=spec.train, val=spec.val)
     fitted = spec.label_transform.fitted(rows.where("split = 'train'"), spec.target_column)

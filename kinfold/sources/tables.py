@@ -158,5 +158,6 @@ def save_task(samples: DataFrame, table: DataFrame, pk: str, path: str, node: st
 
 
 def write_csv(db: Database, folder: str) -> None:
+    """A folder of CSV for each table, as read_csv reads it: quotes are doubled."""
     for t in db.tables.values():
-        t.df.write.option("header", True).mode("overwrite").csv(f"{folder}/{t.name}")
+        t.df.write.option("header", True).option("quote", '"').option("escape", '"').mode("overwrite").csv(f"{folder}/{t.name}")

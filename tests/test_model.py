@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions.labels import LabelTransform
+from kinfold.plans import blocks as B
 from kinfold.plans import kernels as K
 from kinfold.plans import model as M
 from kinfold.plans.ask import Registry, Session, decode, read_env, schema_json, unfenced
@@ -159,14 +160,16 @@ def test_combinations_of_entities(spark, db):
     # Two foreign keys into one table, by column; keys are text in a reply.
     assert model.synthesize({"giver": "3", "taker": "1", "book_id": 7}) == pytest.approx(score(h["members"][2], h["members"][0], h["books"][2]), abs=1e-12)
     assert model.synthesize({"members": 4, "no_such": 1, "book_id": "99"}) == pytest.approx(score(h["members"][3]), abs=1e-12)
-    for none in ({}, {"book_id": "99"}, {"no_such": 1}):
+    for none in ({}, {"book_id": "99"}):
         with pytest.raises(ValueError):
             model.synthesize(none)
     asked = spark.createDataFrame([(1, 2), (4, 1), (4, 1), (77, 2)], "giver long, taker long")
-    out = {(r["giver"], r["taker"]): (r["prediction"], r["source"]) for r in model.pair_scores(asked, ["giver", "taker"]).collect()}
+    found = model.pair_scores(asked, ["giver", "taker"]).collect()
+    out = {(r["giver"], r["taker"]): (r["prediction"], r["source"]) for r in found}
     row = {(r["giver"], r["taker"]): r["prediction"] for r in model.predict().collect()}
     assert out[1, 2] == (pytest.approx(row[1, 2], abs=1e-12), "row") and out[4, 1] == (pytest.approx(score(h["members"][3], h["members"][0]), abs=1e-12), "entities")
-    assert out[77, 2][1] == "entities" and out[77, 2][0] == pytest.approx(score(h["members"][1]), abs=1e-12) and model.pair_scores(asked, ["giver", "taker"]).count() == 4
+    assert out[77, 2][1] == "entities" and out[77, 2][0] == pytest.approx(score(h["members"][1]), abs=1e-12) and len(found) == 4
+    model.release()
 
 
 def test_layer_with_relu():
@@ -346,11 +349,11 @@ def test_sparse_features_are_one_hot_vectors(spark, db, layers, local):
 def test_sparse_rows_survive_the_trip():
     rng = np.random.default_rng(3)
     lists = [[1.0, 2.0], None, [3.0, 4.0, 7.0, 0.5], [5.0, 6.0, 2.0, 1.0, 9.0, -1.0]]
-    m = M._matrix(M.pa.array(lists, M.pa.list_(M.pa.float64())), 2)
+    m = B.matrix(M.pa.array(lists, M.pa.list_(M.pa.float64())), 2)
     assert m.dense.tolist() == [[1, 2], [0, 0], [3, 4], [5, 6]] and list(zip(m.row.tolist(), m.column.tolist(), m.value.tolist())) == [(2, 7, 0.5), (3, 2, 1.0), (3, 9, -1.0)]
-    assert M._lists(m).to_pylist() == [x or [0.0, 0.0] for x in lists] and M._lists(m[np.array([3, 0, 3])]).to_pylist() == [lists[3], lists[0], lists[3]]
+    assert B.lists(m).to_pylist() == [x or [0.0, 0.0] for x in lists] and B.lists(m[np.array([3, 0, 3])]).to_pylist() == [lists[3], lists[0], lists[3]]
     at = np.array([0, 0, 2, 2])
-    s = M._summed(m, at, 3)
+    s = B.summed(m, at, 3)
     assert s.dense.tolist() == [[1, 2], [0, 0], [8, 10]] and list(zip(s.row.tolist(), s.column.tolist(), s.value.tolist())) == [(2, 2, 1.0), (2, 7, 0.5), (2, 9, -1.0)]
     g = K.Rowwise(np.array([4, 1, 4]), rng.normal(size=(3, 2)))
     assert np.allclose((g + g).full((5, 2)), 2 * g.full((5, 2)))
@@ -371,3 +374,46 @@ def test_a_column_of_very_many_values(spark):
     fresh = K.init({"things": (1, n)}, [], "things", 4, 1, 4, 1)["enc.things.E"]
     moved = set(np.flatnonzero((model.params["enc.things.E"] != fresh).any(axis=1)).tolist())
     assert moved <= seen and len(moved) > 100_000
+
+
+def test_a_hub_is_in_no_single_block(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 200)
+    monkeypatch.setattr(B, "HUB", 50)
+    n = 3000
+    loans = spark.range(n).select(F.col("id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 97).alias("book_id"), (F.col("id") % 5).cast("double").alias("weeks"), (F.col("id") % 3 % 2).cast("double").alias("late"))
+    books = spark.range(97).select("id", (F.col("id") / 50).alias("weight"))
+    db = Database()
+    db.add_table(Table("loans", loans, {"id": N, "book_id": N, "weeks": N, "late": N}, "id", None, (ForeignKey("book_id", "books"),)))
+    db.add_table(Table("books", books, {"id": N, "weight": N}, "id"))
+    samples = spark.range(n).select(F.col("id").alias("_nid"), (F.col("id") % 3 % 2).cast("double").alias("label"), F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("split"))
+    found = {}
+    for local in (0, 1 << 20):
+        model = prepare(db, SPEC, Config(channels=3, hidden=3, layers=2, dropout=0.0, exclude_fk=True, local_bytes=local))
+        inputs = model.inputs(samples)
+        found[local] = model.step(model.params, inputs, 2700, 0)
+        if not local:
+            sizes = [r["count"] for r in inputs.rows["loans"].groupBy("part").count().collect()]
+            assert len(sizes) == 15 and max(sizes) < 2 * B.BLOCK  # one book has 1,500 loans
+            # The hub's vector goes to every block once, those of others to the block of their loans.
+            routes = {r["_nid"]: len(r["routes"]) for r in inputs.rows["books"].collect()}
+            assert routes[0] == 15 and max(v for k, v in routes.items() if k) == 1
+            # And what comes for it is one sum from each block.
+            sent = model.forward(model.params, inputs, {"loans"}, [], model._light(model.params, inputs))[1][0]
+            assert sent.where("_nid = 0").count() == 15 and sent.count() == 15 + sum(1 for k, v in routes.items() if k and v)
+        inputs.release()
+        model.release()
+    a, b = found[0], found[1 << 20]
+    assert a[0] == pytest.approx(b[0], abs=1e-12) and all(np.allclose(g, b[1][k], atol=1e-12) for k, g in a[1].items())
+    assert dict(zip(a[2][:, 0], a[2][:, 1])) == pytest.approx(dict(zip(b[2][:, 0], b[2][:, 1])), abs=1e-12)
+
+
+def test_training_finds_what_the_neighbours_tell(spark):
+    from kinfold.plans.queries import order_task
+
+    db, spec = order_task(spark, "/root/testdata/sf0.001")
+    histories = []
+    for local in (0, 16 << 20):
+        model = train(spark, spec, db, Config(channels=8, hidden=8, layers=2, epochs=6, lr=0.03, dropout=0.0, exclude_fk=True, local_bytes=local))
+        histories.append(model.history[-1]["test"])
+        model.release()
+    assert histories[0] == pytest.approx(histories[1], abs=1e-6) and histories[0]["auc"] > 0.85

@@ -323,3 +323,33 @@ def test_keys_of_different_types(spark):
     assert keys.fk_coverage(cents, "k", whole, "id").first()["n_found"] == 1
     made = tables.from_columns(spark, {"t": {"columns": [{"name": "id", "type": "numerical", "values": [WIDE, WIDE + 1, None]}, {"name": "x", "type": "numerical", "values": [1, 2.5, None]}]}})
     assert dict(made.get_table("t").df.dtypes) == {"id": "bigint", "x": "double"}
+
+
+def test_the_fixed_random_split(spark):
+    # The order of ten rows by the fixed generator, worked out by hand: 3 7 2 6 1 8 4 | 9 | 5 0.
+    rows = spark.range(12).select((F.lit(100) - F.col("id")).alias("id"), F.when(F.col("id") >= 2, F.col("id").cast("double")).alias("y"))
+    table = Table("r", rows.repartition(4), {"id": N, "y": N}, "id")
+    spec = TaskSpec("r", "y", "regression", LabelTransform("identity"), shuffle="fixed")
+    names = ["test", "train", "train", "train", "train", "test", "train", "train", "train", "val"]
+    got = {r["id"]: r["split"] for r in build_split(table, spec, "id")[0].collect()}
+    assert got == {89 + i: names[i] for i in range(10)}
+    # In a numbered table the nodes' order counts, and nodes stay.
+    numbered = Table("r", graph.with_node_ids(rows, ["y"]), table.types, "id")
+    out = build_split(numbered, spec, "id")[0].collect()
+    assert {r["_nid"] - 2: r["split"] for r in out} == dict(enumerate(names)) and {r["y"] - 2: r["_nid"] - 2 for r in out} == {float(i): i for i in range(10)}
+    with pytest.raises(ValueError, match="over the 5"):
+        splits.by_permutation(rows, ["id"], most=5)
+    assert splits.by_permutation(rows.where("id < 0"), ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("ties", [True, False])
+def test_equal_scores_fill_many_ranges(spark, ties):
+    n = 40_000
+    rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(n * 10)).alias("k"), "id").select("k", "id", F.lit(0.25).alias("s"), (F.col("id") % 4 == 0).cast("double").alias("y")).persist()
+    sizes = graph.with_ranges(rows.select("s", "k"), ["s", "k"], 1000).groupBy("_range").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 3000 and sizes[1] > 20
+    got = metrics.ranking(rows, "s", "y", "id", ties=ties, rows_in_range=1000).first()
+    # In the order of the key the k-th positive stands at place 4k + 1.
+    assert got["average_precision"] == pytest.approx(sum((k + 1) / (4 * k + 1) for k in range(n // 4)) / (n // 4), abs=1e-12)
+    assert got["auc"] == pytest.approx(sum(-(-i // 4) for i in range(n) if i % 4) / (n // 4 * (n - n // 4)), abs=1e-12)
+    assert not ties or got["auc_ties"] == 0.5
