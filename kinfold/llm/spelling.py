@@ -20,7 +20,7 @@ from .store import cut
 #: Words of a range, and ranges of a shard; words and characters of a block.
 RANGE, RANGES, BLOCK, CHARS = 1 << 14, 16, 1 << 15, 1 << 22
 #: Bytes of shards that are broadcast at a time; further shards have rounds of their own.
-ROUND = 64 << 20
+ROUND = 32 << 20
 #: Different words that a task counts together before it hands them on.
 HELD = 1 << 18
 _COUNTED = "word string, n long"
@@ -262,11 +262,12 @@ def _searched(shards):
     """(word, n_near, best_n, best) of the words that have near ones in these shards."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tries = [pickle.loads(x) for x in shards.value]
         for batch in batches:
             every = _latin(batch.column(0))
             for own in _blocks(every, BLOCK):
                 words, parts, base, of = Words(every[own]), [], 0, []
-                for shard in shards.value:
+                for shard in tries:
                     rows = shard.reachable(words)
                     if len(rows):
                         row, other = near(shard, words, rows)
@@ -280,7 +281,7 @@ def _searched(shards):
                 row, n, rank = row[order], n[order], rank[order]
                 head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
                 at = np.searchsorted(of, rank[head], side="right") - 1
-                best = [shards.value[i].words.spelt(r - of[i]) for i, r in zip(at.tolist(), rank[head].tolist(), strict=True)]
+                best = [tries[i].words.spelt(r - of[i]) for i, r in zip(at.tolist(), rank[head].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({
                     "word": pa.array([every[own][r].decode("latin-1") for r in row[head].tolist()], pa.string()),
                     "n_near": pa.array(np.diff(np.r_[head, len(row)]), pa.int64()), "best_n": pa.array(n[head], pa.int64()), "best": pa.array(best, pa.string()),
@@ -312,7 +313,7 @@ def neighbours(vocab: DataFrame, most: int = ROUND, rows: int = RANGE) -> DataFr
         if sizes:
             low, high = (F.struct(F.lit(s["range"]).alias("range"), F.lit(s["part"]).alias("part")) for s in (sizes[at], sizes[end - 1]))
             own = shards.where(F.struct("range", "part").between(low, high)).orderBy("range", "part").select("data").collect()
-        sent = spark.sparkContext.broadcast([pickle.loads(r["data"]) for r in own])
+        sent = spark.sparkContext.broadcast([bytes(r["data"]) for r in own])
         parts.append(cut(words.select("word").mapInArrow(_searched(sent), _NEAR)))
         sent.destroy()
         at = max(end, 1)

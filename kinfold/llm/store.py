@@ -2,41 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_scratch: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of the application in spark.checkpoint.dir; where that is unset, in a temporary folder, if the master is local, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/kinfold/{spark.sparkContext.applicationId}"
+from kinfold.sources.shared import delete, shared_folder
 
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: list[tuple[str, list[str]]] = []
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What cut() writes within is deleted at the end; results that read it must be written before."""
-    _scratch.append(f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}")
+    """What cut() writes within is deleted at the end, with its entries in the catalog; results that read it must be written before."""
+    _scratch.append((f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", []))
     try:
         yield
     finally:
-        delete(spark, _scratch.pop())
+        folder, tables = _scratch.pop()
+        for table in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete(spark, folder)
 
 
 def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
@@ -46,7 +34,7 @@ def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
     stages read the written table, which survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{_scratch[-1] if _scratch else shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{_scratch[-1][0] if _scratch else shared_folder(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     try:
         spark.conf.set(_CLEANUP, "true")
@@ -54,6 +42,8 @@ def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
         if buckets:
             table = f"kinfold_{path.rpartition('/')[2]}"
             out.format("parquet").bucketBy(*buckets).sortBy(buckets[1]).option("path", path).saveAsTable(table)
+            if _scratch:
+                _scratch[-1][1].append(table)
             return spark.table(table)
         out.parquet(path)
     finally:

@@ -39,7 +39,8 @@ def resolve(records: DataFrame, rows: int = ROWS) -> DataFrame:
     """Per record: record_id, url_key, kind, resolution, source_id, payload_digest, headers.
 
     records: record_id, url, ts (long), kind ('response' or 'revisit'), headers (map), payload_digest. A revisit refers to the
-    latest response of its canonical URL that is earlier by (ts, record_id). Its validators are then checked: the
+    latest response of its canonical URL that is earlier by (ts, record_id); of captures that agree in both, responses come before revisits, and several
+    responses in the order of their digests. Its validators are then checked: the
     weak comparison of ETags if both have one, else Last-Modified if both have that, else nothing to compare. Headers
     are those of the response, with the permitted ones of the revisit over them.
     resolution: 'response'; 'resolved'; 'mismatch' (a validator differs: no source is taken); 'unvalidated' (nothing to
@@ -55,9 +56,9 @@ def resolve(records: DataFrame, rows: int = ROWS) -> DataFrame:
     keyed = with_ranges(narrow, ["ts", "record_id"], rows, ["record_id", "url"]).withColumnRenamed("_range", "_b").drop("_order")
     keyed = keyed.select("record_id", canonical(F.col("url")).alias("url_key"), "ts", "kind", _lowered(F.col("headers")).alias("headers"), "payload_digest", "_b")
     full = F.when(F.col("kind") == "response", F.struct("record_id", "headers", "payload_digest"))
-    strictly = Window.partitionBy("url_key", "_b").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    strictly = Window.partitionBy("url_key", "_b").orderBy("ts", "record_id", "kind", "payload_digest").rowsBetween(Window.unboundedPreceding, -1)
     inside = keyed.withColumn("_in", F.last(full, ignorenulls=True).over(strictly))
-    key = F.struct("ts", "record_id")
+    key = F.struct("ts", "record_id", "payload_digest")
     ends = keyed.where("kind = 'response'").groupBy("url_key", "_b").agg(F.max_by(F.struct("record_id", "headers", "payload_digest"), key).alias("_last"))
     blocks = keyed.groupBy("url_key", "_b").agg(F.lit(1).alias("_x")).drop("_x").join(ends, ["url_key", "_b"], "left")
     earlier = Window.partitionBy("url_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

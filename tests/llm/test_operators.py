@@ -617,3 +617,14 @@ def test_chunks_follow_content():
     for i, b in enumerate(data[:500]):
         plain = (2 * plain + int(media.GEAR[b])) % (1 << 32)
         assert h[i] == plain
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_captures_that_tie(spark, parts):
+    head = {"etag": '"a"'}
+    rows = [(1, "http://x.org/", 5, "revisit", head, None), (1, "http://x.org/", 5, "response", head, "d1"), (1, "http://x.org/", 5, "response", {"etag": '"b"'}, "d0"), (2, "http://x.org/", 6, "revisit", head, None)]
+    schema = "record_id long, url string, ts long, kind string, headers map<string,string>, payload_digest string"
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[3], rows[2]]):
+        got = warc.resolve(spark.createDataFrame(order, schema).repartition(parts)).collect()
+        # Responses come first, by their digests: both revisits refer to the last of them.
+        assert sorted((r["record_id"], r["kind"], r["resolution"], r["payload_digest"]) for r in got) == [(1, "response", "response", "d0"), (1, "response", "response", "d1"), (1, "revisit", "resolved", "d1"), (2, "revisit", "resolved", "d1")]
