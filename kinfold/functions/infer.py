@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,11 +111,51 @@ def classified(stats: DataFrame, cap: int | None = CAP) -> DataFrame:
     return stats.withColumn("type", kind)
 
 
+def capped_distinct(df: DataFrame, cap: int = CAP) -> dict[str, int]:
+    """How many different non-null strings each column has, at most `cap`: tasks keep so many values of a column and look no further; below it the count is exact."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, set] = {}
+        for batch in batches:
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                own = found.setdefault(name, set())
+                if len(own) < cap:
+                    own.update(pc.unique(column.drop_null()).slice(0, cap).to_pylist())
+        for name, own in found.items():
+            yield pa.RecordBatch.from_pydict({"column": [name] * min(cap, len(own)), "value": list(own)[:cap]}, pa.schema([("column", pa.string()), ("value", pa.string())]))
+
+    rows = df.mapInArrow(kept, "column string, value string").distinct().groupBy("column").agg(F.least(F.count("*"), F.lit(cap)).alias("n"))
+    return dict.fromkeys(df.columns, 0) | {r["column"]: r["n"] for r in rows.collect()}
+
+
+def bounded_types(df: DataFrame, cap: int = CAP) -> dict[str, tuple[LogicalType, int | None]]:
+    """(logical type, number of different values, at most cap, or None where it doesn't matter) of string columns, by two passes without a row for each cell:
+    shapes are counted for all columns at once, and different values of the columns alone that shapes don't decide."""
+    if not df.columns:
+        return {}
+    shape = lambda test, c: F.coalesce(F.sum(test.cast("long")), F.lit(0))
+    cells = [cell(F.col(c)) for c in df.columns]
+    row = df.agg(*(a.alias(f"{k}{i}") for i, c in enumerate(cells) for k, a in (("v", F.count(c)), ("n", shape(is_numeric(c), c)), ("d", shape(is_date(c), c))))).first()
+    out, open_ = {}, []
+    for i, c in enumerate(df.columns):
+        valid, numeric, date = row[f"v{i}"], row[f"n{i}"], row[f"d{i}"]
+        out[c] = (LogicalType.TEXT if not valid else LogicalType.NUMERICAL if numeric == valid else LogicalType.TIMESTAMP, None)
+        if valid and numeric < valid and date < valid:
+            open_.append((c, valid, cells[i]))
+    if open_:
+        found = capped_distinct(df.select(*(x.alias(c) for c, _, x in open_)), cap)
+        out |= {c: (LogicalType.CATEGORICAL if found[c] / valid <= RATIO else LogicalType.TEXT, found[c]) for c, valid, _ in open_}
+    return out
+
+
 def infer_types(df: DataFrame, overrides: dict[str, LogicalType] | None = None, cap: int | None = CAP) -> dict[str, LogicalType]:
-    """Logical types of string columns by name; explicit ones win, and only the others are looked at."""
+    """Logical types of string columns by name; explicit ones win, and only the others are looked at. Without a cap, different values are all counted."""
     overrides = overrides or {}
-    rest = [c for c in df.columns if c not in overrides]
-    found = {r["column"]: LogicalType(r["type"]) for r in classified(column_stats(df.select(*rest)), cap).collect()} if rest else {}
+    rest = df.select(*(c for c in df.columns if c not in overrides))
+    if cap:
+        found = {c: t for c, (t, _) in bounded_types(rest, cap).items()}
+    else:
+        found = {r["column"]: LogicalType(r["type"]) for r in classified(column_stats(rest), None).collect()} if rest.columns else {}
     return {c: overrides.get(c) or found.get(c, LogicalType.TEXT) for c in df.columns}
 
 

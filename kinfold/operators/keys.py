@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.schema import Database, ForeignKey, LogicalType, Table, aligned
@@ -85,18 +87,36 @@ def fk_candidates(db: Database) -> list[tuple[str, str, str]]:
 
 
 def detect_fks(db: Database, least: float = COVERAGE) -> DataFrame | None:
-    """(table, column, target, n_values, n_found, coverage) of the candidates covered well enough; None without candidates."""
-    frames = []
-    for name, column, target in fk_candidates(db):
-        dst = db.get_table(target)
-        found = fk_coverage(db.get_table(name).df, column, dst.df, dst.pk)
-        frames.append(found.select(F.lit(name).alias("table"), F.lit(column).alias("column"), F.lit(target).alias("target"), "*"))
-    if not frames:
+    """(table, column, target, n_values, n_found, coverage) of the candidates covered well enough; None without candidates.
+
+    All candidates go through one count of (candidate, value), each table being read once, and one join with the keys of all targets; Spark may put a runtime filter of
+    the keys before it. Values are compared as text in the type that aligned() finds for the pair, in which equal values read the same.
+    """
+    found = fk_candidates(db)
+    if not found:
         return None
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.where(F.col("coverage") >= least)
+    sides, targets = {}, {}
+    for i, (name, column, target) in enumerate(found):
+        src, dst = db.get_table(name), db.get_table(target)
+        own, its = aligned(F.col(column), dict(src.df.dtypes)[column], F.col(dst.pk), dict(dst.df.dtypes)[dst.pk])
+        form = (target, src.df.select(own.alias("k")).dtypes[0][1])
+        to = targets.setdefault(form, (len(targets), its))[0]
+        sides.setdefault(name, []).append(F.struct(F.lit(i).alias("i"), F.lit(to).alias("to"), _text(own, form[1]).alias("v"), F.col(column).isNotNull().alias("is")))
+    spark = next(iter(db.tables.values())).df.sparkSession
+    rows = reduce(DataFrame.unionByName, [db.get_table(n).df.select(F.explode(F.array(*s)).alias("c")).select("c.*").where("is") for n, s in sides.items()])
+    values = rows.groupBy("i", "to", "v").agg(F.count("*").alias("n"))
+    keys = reduce(DataFrame.unionByName, [db.get_table(t).df.select(F.lit(to).alias("to"), _text(its, kind).alias("v")).where("v is not null") for (t, kind), (to, its) in targets.items()])
+    hits = values.join(keys.distinct().withColumn("hit", F.lit(True)), ["to", "v"], "left")
+    sums = hits.groupBy("i").agg(F.sum("n").alias("n_values"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("n_found"))
+    names = spark.createDataFrame([(i, *c) for i, c in enumerate(found)], "i int, table string, column string, target string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = names.join(sums, "i", "left").select("table", "column", "target", zero("n_values"), zero("n_found"))
+    return out.withColumn("coverage", F.when(F.col("n_values") > 0, F.col("n_found") / F.col("n_values")).otherwise(0.0)).where(F.col("coverage") >= least)
+
+
+def _text(key: Column, kind: str) -> Column:
+    """A key as text; the two zeros of doubles are one."""
+    return (key + F.lit(0.0) if kind in ("double", "float") else key).cast("string")
 
 
 def with_detected_fks(db: Database, least: float = COVERAGE) -> Database:

@@ -16,6 +16,7 @@ from kinfold.operators.inference import InferenceFilter, apply_inference
 from kinfold.plans.model import Config, Model, prepare, train
 from kinfold.plans.task import BINARY, MULTICLASS, REGRESSION, TaskSpec, build_split
 from kinfold.schema import Database
+from kinfold.sources.shared import delete, exists
 
 log = logging.getLogger(__name__)
 #: (system prompt, message) to reply.
@@ -99,18 +100,29 @@ def decode(reply: str, db: Database) -> TaskSpec:
 
 @dataclass
 class Registry:
-    """Weights of trained tasks by fingerprint and size, in a folder ($KINFOLD_HOME or ~/.kinfold)."""
+    """Weights of trained tasks by fingerprint and size, in a local folder ($KINFOLD_HOME or ~/.kinfold) or, by a URI and a session, in any store that Spark writes."""
 
-    folder: Path = field(default_factory=lambda: Path(os.environ.get("KINFOLD_HOME") or Path.home() / ".kinfold"))
+    folder: Path | str = field(default_factory=lambda: os.environ.get("KINFOLD_HOME") or Path.home() / ".kinfold")
+    spark: SparkSession | None = None
 
-    def path(self, spec: TaskSpec, config: Config) -> Path:
-        return self.folder / f"{spec.fingerprint()}-{config.channels}-{config.layers}-{config.hidden}.npz"
+    def path(self, spec: TaskSpec, config: Config) -> Path | str:
+        name = f"{spec.fingerprint()}-{config.channels}-{config.layers}-{config.hidden}.npz"
+        return f"{str(self.folder).rstrip('/')}/{name}" if self.remote else Path(self.folder) / name
+
+    @property
+    def remote(self) -> bool:
+        return "://" in str(self.folder)
 
     def has(self, spec: TaskSpec, config: Config) -> bool:
-        return self.path(spec, config).exists()
+        path = self.path(spec, config)
+        return exists(self.spark, path) if self.remote else path.exists()
 
     def remove(self, spec: TaskSpec, config: Config) -> None:
-        self.path(spec, config).unlink(missing_ok=True)
+        path = self.path(spec, config)
+        if self.remote:
+            delete(self.spark, path)
+        else:
+            path.unlink(missing_ok=True)
 
 
 def read_env(text: str) -> dict[str, str]:
@@ -141,7 +153,8 @@ class Session:
         log.info("%s on %s.%s: %s", spec.task_type, spec.target_table, spec.target_column, what)
         if what == "train":
             self.models[key] = train(self.spark, spec, self.db, self.config)
-            self.registry.folder.mkdir(parents=True, exist_ok=True)
+            if not self.registry.remote:
+                Path(self.registry.folder).mkdir(parents=True, exist_ok=True)
             self.models[key].save(str(self.registry.path(spec, self.config)))
         elif what == "load":
             model = prepare(self.db, spec, self.config)

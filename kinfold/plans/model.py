@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import json
 import logging
 import pickle
+import time
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -25,7 +29,7 @@ from kinfold.plans import kernels as K
 from kinfold.plans.blocks import GRADIENT, OWN, PULLED, SCORE, SUMS, Nodes
 from kinfold.plans.task import BINARY, MULTICLASS, REGRESSION, TaskSpec, build_split
 from kinfold.schema import Database, ForeignKey, LogicalType, Table, aligned, exact
-from kinfold.sources.shared import delete, short, table_of
+from kinfold.sources.shared import delete, read, short, table_of, written
 from kinfold.sources.tables import catalog, task_table
 
 log = logging.getLogger(__name__)
@@ -49,6 +53,8 @@ class Config:
     batch_size: int = 0
     #: Bytes of a small table's vectors up to which they are broadcast, and its part of the first layer runs at the driver.
     local_bytes: int = 16 << 20
+    #: A file, in any store that Spark writes, that holds the state of the training after each epoch; a training that was lost goes on from it.
+    checkpoint: str | None = None
     #: Values of a column up to which its one-hot vector is written out; of a column with more, rows hold the number of their value.
     vocabulary: int = 256
 
@@ -167,6 +173,8 @@ class Model:
     raw: dict[str, DataFrame]
     weighted: dict[EdgeType, DataFrame] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
+    #: Of each epoch: the pass, with the validation of the epoch before, and the step.
+    seconds: list[float] = field(default_factory=list)
     weights: np.ndarray | None = None
     pos_weight: float = 1.0
     #: What the last scores() keeps for its reader.
@@ -729,19 +737,55 @@ class Model:
         return self._on_scale(got["rmse"], got["mae"], got["r2"]) if self.spec.task_type == REGRESSION else got
 
     def save(self, path: str) -> None:
-        """Parameters by name, and the label's mean and std."""
+        """Parameters by name, and the label's mean and std, to a local file or, by a URI, to any store that Spark writes."""
         t = self.spec.label_transform
-        np.savez(path, **self.params, **{"label|mean": t.mean, "label|std": t.std})
+        data = io.BytesIO()
+        np.savez(data, **self.params, **{"label|mean": t.mean, "label|std": t.std})
+        if "://" in str(path):
+            written(next(iter(self.db.tables.values())).df.sparkSession, str(path), data.getvalue())
+        else:
+            Path(path).write_bytes(data.getvalue())
 
     def load(self, path: str) -> None:
         """Parameters of other names or shapes are refused."""
-        with np.load(path) as f:
+        data = read(next(iter(self.db.tables.values())).df.sparkSession, str(path)) if "://" in str(path) else Path(path).read_bytes()
+        if data is None:
+            raise FileNotFoundError(path)
+        with np.load(io.BytesIO(data)) as f:
             got = {k: f[k] for k in f.files if not k.startswith("label|")}
         if {k: v.shape for k, v in got.items()} != {k: v.shape for k, v in self.params.items()}:
             raise ValueError(f"{path} holds another model")
         self.params = got
 
 
+@dataclass
+class Progress:
+    """What a training needs to go on: the next epoch, Adam's state, and what did best so far."""
+
+    epoch: int = 0
+    adam: K.Adam = field(default_factory=K.Adam)
+    best: dict[str, float] | None = None
+    kept: K.Params | None = None
+
+    def state(self, model: Model) -> bytes:
+        """Arrays by name, and the rest as JSON; nothing that runs when it is read."""
+        data, groups = io.BytesIO(), {"p": model.params, "m": self.adam.m, "v": self.adam.v, "k": self.kept or {}}
+        rest = {"epoch": self.epoch, "t": self.adam.t, "best": self.best, "history": model.history, "seconds": model.seconds, "task": model.spec.canonical()}
+        np.savez(data, json=np.array(json.dumps(rest)), **{f"{g}|{k}": v for g, own in groups.items() for k, v in own.items()})
+        return data.getvalue()
+
+    def restore(self, model: Model, data: bytes) -> None:
+        """States of other tasks or shapes are refused."""
+        with np.load(io.BytesIO(data), allow_pickle=False) as f:
+            rest = json.loads(str(f["json"]))
+            groups = {g: {k[2:]: f[k] for k in f.files if k.startswith(f"{g}|")} for g in "pmvk"}
+        if rest["task"] != model.spec.canonical() or {k: v.shape for k, v in groups["p"].items()} != {k: v.shape for k, v in model.params.items()}:
+            raise ValueError("the checkpoint is of another training")
+        model.params, model.history, model.seconds = groups["p"], rest["history"], rest["seconds"]
+        self.adam.m, self.adam.v, self.adam.t = groups["m"], groups["v"], rest["t"]
+        self.epoch, self.best, self.kept = rest["epoch"], rest["best"], groups["k"] or None
+
+
 def _under(key: int):
     """A block's number beside that of a key."""
     return lambda part: part.cast("long") + F.lit(key << 32)
@@ -820,10 +864,11 @@ def train_sql(spark: SparkSession, name: str, query: str, spec: TaskSpec, tables
     return train(spark, replace(spec, target_table=name), with_detected_fks(db), config)
 
 
-def report(history: list[dict]) -> str:
-    """A line for each epoch, and the metrics of the test rows."""
+def report(history: list[dict], seconds: list[float] | None = None) -> str:
+    """A line for each epoch, with the time that it took if that is given, and the metrics of the test rows."""
     line = lambda d: "  ".join(f"{k} {v:.4f}" for k, v in d.items() if k != "epoch")
-    return "\n".join(f"test     {line(h['test'])}" if "test" in h else f"{h['epoch'] + 1:5d}    {line(h)}" for h in history)
+    took = lambda d: f"  {seconds[d['epoch']]:.2f} s" if seconds and d["epoch"] < len(seconds) else ""
+    return "\n".join(f"test     {line(h['test'])}" if "test" in h else f"{h['epoch'] + 1:5d}    {line(h)}{took(h)}" for h in history)
 
 
 def batched(samples: DataFrame, size: int) -> DataFrame:
@@ -838,7 +883,8 @@ def train(spark: SparkSession, spec: TaskSpec, db: Database, config: Config | No
     """Fit a model: one step an epoch, and the parameters that did best on the validation rows.
 
     The pass that gives an epoch's gradients also scores the validation rows, with the parameters that the step before left, so
-    a run of n epochs takes n passes and one more.
+    a run of n epochs takes n passes and one more. With Config.checkpoint, a driver that was lost is replaced by calling this again: it goes on
+    after the last epoch that was written.
     """
     config = config or Config(channels=64, epochs=30)
     model = prepare(db, spec, config)
@@ -854,19 +900,28 @@ def train(spark: SparkSession, spec: TaskSpec, db: Database, config: Config | No
     elif spec.task_type == MULTICLASS:
         model.weights = np.array([r["weight"] for r in class_weights(train_rows, spec.output_dim).orderBy("class").collect()])
     inputs = model.inputs(batched(samples, config.batch_size) if 0 < config.batch_size < n else samples)
-    adam, best, kept = K.Adam(config.lr), None, None
-    for epoch in range(config.epochs + 1):
+    at = Progress(adam=K.Adam(config.lr))
+    if config.checkpoint and (data := read(spark, config.checkpoint)):
+        at.restore(model, data)
+        log.info("goes on with epoch %d", at.epoch + 1)
+    for epoch in range(at.epoch, config.epochs + 1):
+        began = time.monotonic()
         loss, grads, scores = model.step(model.params, inputs, n, epoch, learn=epoch < config.epochs)
         if epoch and ((epoch - 1) % config.evaluate_every == 0 or epoch == config.epochs):
             found = model.judged(scores) if inputs.n_judged <= COLLECTED else model.evaluate(val_rows, inputs=inputs)
             model.history[-1] |= found
-            if better(spec.task_type, found, best):
-                best, kept = found, {k: v.copy() for k, v in model.params.items()}
+            if better(spec.task_type, found, at.best):
+                at.best, at.kept = found, {k: v.copy() for k, v in model.params.items()}
         if epoch < config.epochs:
-            adam.step(model.params, grads)
+            at.adam.step(model.params, grads)
             model.history.append({"epoch": epoch, "loss": loss})
-    if kept:
-        model.params = kept
+            at.epoch = epoch + 1
+            model.seconds.append(time.monotonic() - began)
+            if config.checkpoint:
+                written(spark, config.checkpoint, at.state(model))
+            log.info("epoch %d: loss %.6f, %.2f s", epoch + 1, loss, model.seconds[-1])
+    if at.kept:
+        model.params = at.kept
     if inputs.n_judged <= COLLECTED:
         model.history.append({"test": model.judged(model.step(model.params, inputs, n, 0, learn=False, judge=2)[2])})
     else:

@@ -353,6 +353,13 @@ def type_infer_csv(spark, d):
     return infer.classified(infer.column_stats(_strings(spark, d)))
 
 
+@query(ORACLES["type_infer_csv"].replace("SELECT *, CASE", 'SELECT "column", CASE WHEN n_valid > 0 AND n_numeric < n_valid AND n_date < n_valid THEN least(n_distinct, 1001) END AS n_distinct, CASE'))
+def type_infer_bounded(spark, d):
+    """The same types, from shapes counted in one aggregation and at most 1,001 different values of the columns that need them."""
+    found = infer.bounded_types(_strings(spark, d))
+    return spark.createDataFrame([(c, n, t.value) for c, (t, n) in found.items()], "column string, n_distinct long, type string")
+
+
 @query(r"SELECT v AS token, count(*) FILTER (v NOT IN ('', '\N', 'NA', 'nan', 'None', 'NULL')) AS n_kept, count(*) AS n FROM (SELECT ['', '\N', 'NA', 'nan', 'None', 'NULL', 'NaN', 'null'][1 + CAST(o_orderkey % 8 AS INT)] AS v FROM orders) GROUP BY 1")
 def null_tokens(spark, d):
     tokens = [*infer.NULL_TOKENS, "NaN", "null"]

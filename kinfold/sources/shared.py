@@ -24,6 +24,11 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def written(spark: SparkSession, path: str, data: bytes) -> None:
     """A file in any store that Spark writes, put in place as a whole: a reader sees the one before or this one."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -40,10 +45,8 @@ def written(spark: SparkSession, path: str, data: bytes) -> None:
 
 def read(spark: SparkSession, path: str) -> bytes | None:
     """The bytes of a file, or of the one that was being put in place when the writer was lost; None without either."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for name in (path, f"{path}.part"):
-        if files.exists(hadoop.Path(name)):
+        if exists(spark, name):
             found = spark.read.format("binaryFile").load(name).select("content").first()
             return bytes(found["content"])
     return None

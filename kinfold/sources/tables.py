@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.infer import categorical, infer_types, number_types, parse, parse_number
 from kinfold.operators.keys import detect_pk, detect_time_col
 from kinfold.schema import Database, ForeignKey, LogicalType, Table, exact, logical_type_of, typed
+from kinfold.sources.shared import exists
 
 
 log = logging.getLogger(__name__)
@@ -32,17 +33,12 @@ def read_csv(spark: SparkSession, path: str, name: str, overrides: dict[str, Log
     return Table(name, df, types | dict.fromkeys(kept, LogicalType.TEXT), pk, time_col, fks)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def side_file(spark: SparkSession, path: str, numbers: Mapping[str, str]) -> DataFrame | None:
     """Columns of a CSV file that may not be there (None then): {name: its name in the header}, whose blanks are trimmed.
 
     Cells are numbers; blanks, what is none, and columns that the file lacks are 0.
     """
-    if not _exists(spark, path):
+    if not exists(spark, path):
         log.info("%s is not there: skipped", path)
         return None
     raw = spark.read.option("header", True).csv(path)

@@ -417,3 +417,45 @@ def test_training_finds_what_the_neighbours_tell(spark):
         histories.append(model.history[-1]["test"])
         model.release()
     assert histories[0] == pytest.approx(histories[1], abs=1e-6) and histories[0]["auc"] > 0.85
+
+
+def test_a_lost_training_goes_on(spark, db, tmp_path, monkeypatch):
+    rows = spark.range(60).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(11))).cast("double").alias("weeks"), F.concat(F.lit("c"), F.col("id") % 5).alias("channel"), (F.col("id") % 2).cast("double").alias("late"))
+    one = Database()
+    one.add_table(Table("loans", rows, {"id": N, "weeks": N, "channel": C, "late": N}, "id"))
+    config = Config(channels=3, hidden=3, layers=1, epochs=4, lr=0.05, vocabulary=2)
+    whole = train(spark, SPEC, one, config)
+    path = f"file://{tmp_path}/state.npz"
+    kept, step = M.replace(config, checkpoint=path), M.Model.step
+
+    def lost(self, params, inputs, n, epoch, *args, **kwargs):
+        if epoch == 2 and kwargs.get("learn", True):
+            raise KeyboardInterrupt
+        return step(self, params, inputs, n, epoch, *args, **kwargs)
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(M.Model, "step", lost)
+        train(spark, SPEC, one, kept)
+    again = train(spark, SPEC, one, kept)
+    for a, b in zip(whole.history, again.history, strict=True):
+        assert a.get("test", a) == pytest.approx(b.get("test", b), abs=1e-9)
+    assert all(np.allclose(v, again.params[k], atol=1e-9) for k, v in whole.params.items()) and len(again.seconds) == 4
+    assert M.report(again.history, again.seconds).splitlines()[3].endswith(" s")
+    with pytest.raises(ValueError, match="another training"):
+        train(spark, SPEC, one, M.replace(kept, channels=4))
+    # Where the writer was lost between removing the old state and putting the new one in place, the new one counts.
+    (tmp_path / "state.npz").rename(tmp_path / "state.npz.part")
+    assert M.read(spark, path) and M.read(spark, f"file://{tmp_path}/no.npz") is None
+
+
+def test_weights_in_a_shared_store(spark, db, tmp_path):
+    model = prepare(db, SPEC, SMALL)
+    registry = Registry(f"file://{tmp_path}/models", spark)
+    assert not registry.has(SPEC, SMALL)
+    model.save(registry.path(SPEC, SMALL))
+    assert registry.has(SPEC, SMALL)
+    other = prepare(db, SPEC, M.replace(SMALL, seed=7))
+    other.load(registry.path(SPEC, SMALL))
+    assert all((v == other.params[k]).all() for k, v in model.params.items())
+    registry.remove(SPEC, SMALL)
+    assert not registry.has(SPEC, SMALL)

@@ -353,3 +353,36 @@ def test_equal_scores_fill_many_ranges(spark, ties):
     assert got["average_precision"] == pytest.approx(sum((k + 1) / (4 * k + 1) for k in range(n // 4)) / (n // 4), abs=1e-12)
     assert got["auc"] == pytest.approx(sum(-(-i // 4) for i in range(n) if i % 4) / (n // 4 * (n - n // 4)), abs=1e-12)
     assert not ties or got["auc_ties"] == 0.5
+
+
+def test_all_candidates_in_one_pass(spark):
+    users = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "userId long, code string")
+    codes = spark.createDataFrame([("x",), ("y",)], "code string")
+    orders = spark.createDataFrame([(10, 1.0, "x"), (11, 2.0, "x"), (12, None, "q"), (13, 3.0, None)], "orderId long, userId double, code string")
+    db = Database()
+    db.add_table(Table("users", users, {"userId": N, "code": C}, "userId"))
+    db.add_table(Table("codes", codes, {"code": C}, "code"))
+    db.add_table(Table("orders", orders, {"orderId": N, "userId": N, "code": C}, "orderId"))
+    got = {(r["table"], r["column"], r["target"]): (r["n_values"], r["n_found"], round(r["coverage"], 3)) for r in keys.detect_fks(db, 0.0).collect()}
+    assert got == {("orders", "userId", "users"): (3, 3, 1.0), ("orders", "code", "codes"): (3, 2, 0.667), ("users", "code", "codes"): (3, 2, 0.667)}
+    assert keys.with_detected_fks(db).get_table("orders").fks == (ForeignKey("userId", "users"),)
+    for r in keys.detect_fks(db, 0.0).collect():
+        alone = keys.fk_coverage(db.get_table(r["table"]).df, r["column"], db.get_table(r["target"]).df, db.get_table(r["target"]).pk).first()
+        assert (alone["n_values"], alone["n_found"], alone["coverage"]) == (r["n_values"], r["n_found"], r["coverage"])
+    empty = Database()
+    empty.add_table(Table("users", users, {"userId": N}, "userId"))
+    empty.add_table(Table("orders", orders.where("orderId < 0"), {"orderId": N, "userId": N}, "orderId"))
+    assert keys.detect_fks(empty, 0.0).first()["coverage"] == 0.0 and keys.detect_fks(empty).count() == 0
+
+
+def test_bounded_types_are_those_of_full_counts(spark):
+    i = F.col("id")
+    df = spark.range(3000).select(
+        i.cast("string").alias("number"), F.concat(F.lit("k"), i % 7).alias("few"), F.concat(F.lit("k"), i % 151).alias("over"), F.concat(F.lit("v"), i).alias("all"), F.lit("NA").alias("none"),
+        F.when(i == 7, "x").otherwise(i.cast("string")).alias("spoilt"), F.lit("2024-01-02").alias("day"), F.concat(F.lit("k"), i % 150).alias("edge"),
+    ).repartition(6)
+    full = {r["column"]: (r["type"], r["n_distinct"]) for r in infer.classified(infer.column_stats(df)).collect()}
+    got = infer.bounded_types(df)
+    assert {c: t.value for c, (t, _) in got.items()} == {c: t for c, (t, _) in full.items()}
+    assert {c: n for c, (_, n) in got.items()} == {"number": None, "none": None, "day": None, "few": 7, "over": 151, "edge": 150, "all": 1001, "spoilt": 1001}
+    assert infer.bounded_types(df.select()) == {}
