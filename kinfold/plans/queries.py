@@ -252,6 +252,45 @@ def pair_scores(spark, d):
     return model.pair_scores(asked, ["o_custkey"]).select("o_custkey", r4(F.col("prediction")).alias("prediction"), "source")
 
 
+_LABELLED = """x AS (SELECT o_orderkey, coalesce(c_acctbal / 1e4, 0) AS c, CASE WHEN o_totalprice >= 150000 THEN 1.0 ELSE 0.0 END AS y,
+  0.5 * (o_totalprice / 1e5) + 0.1 + 0.3 * coalesce(c_acctbal / 1e4, 0) + 0.05 - 0.01 AS a, -0.4 * (o_totalprice / 1e5) - 0.1 + 0.25 * coalesce(c_acctbal / 1e4, 0) - 0.05 + 0.02 AS b
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+z AS (SELECT *, greatest(a - 0.5 * b, 0) AS z0, greatest(0.2 * a + 0.7 * b + 0.1, 0) AS z1 FROM x), l AS (SELECT *, 0.8 * z0 - 1.1 * z1 + 0.05 AS logit FROM z)"""
+
+
+def _labelled_orders(spark: SparkSession, d: str) -> DataFrame:
+    label = LabelTransform("threshold", 150000.0).apply(F.col("o_totalprice"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("_nid"), label.alias("label"), F.lit("train").alias("split"))
+
+
+@query(f"""
+WITH {_LABELLED}, g AS (SELECT *, 1 / (1 + exp(-logit)) - y AS g FROM l),
+h AS (SELECT *, g * 0.8 * CAST(z0 > 0 AS INT) AS u, g * -1.1 * CAST(z1 > 0 AS INT) AS v FROM g), k AS (SELECT *, u + 0.2 * v AS p, -0.5 * u + 0.7 * v AS q FROM h),
+s AS (SELECT avg(-y * logit + ln(1 + exp(-abs(logit))) + greatest(logit, 0)) AS loss, avg(g) AS b2, avg(g * z0) AS w20, avg(g * z1) AS w21, avg(u) AS b10, avg(v) AS b11, avg(u * a) AS w1, avg(p) AS bias0, avg(q) AS bias1,
+  avg(p * c) AS near0, avg(q * c) AS near1, avg((0.3 * p + 0.25 * q) * c) AS enc FROM k)
+SELECT n AS name, round(v + 5e-8, 6) AS value FROM (UNPIVOT s ON COLUMNS(*) INTO NAME n VALUE v)""")
+def gradients_fixed_weights(spark, d):
+    """The loss of all orders under given weights and its gradients, from the head down to the encoder of their customers."""
+    model, _ = _fixed_model(spark, d, "orders", layers=1)
+    rows = _labelled_orders(spark, d)
+    loss, g = model.gradients(model.params, rows, rows.count(), 0)
+    near, encoder = "l0.neigh.customer__rev_o_custkey__orders.W", "enc.customer.W"
+    found = {"loss": loss, "b2": g["head.2.b"][0], "w20": g["head.2.W"][0, 0], "w21": g["head.2.W"][0, 1], "b10": g["head.1.b"][0], "b11": g["head.1.b"][1], "w1": g["head.1.W"][0, 0], "bias0": g["l0.bias.orders"][0], "bias1": g["l0.bias.orders"][1], "near0": g[near][0, 0], "near1": g[near][1, 0], "enc": g[encoder][0, 0]}
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double").select("name", F.round(F.col("value") + 5e-8, 6).alias("value"))
+
+
+@query(f"""
+WITH {_LABELLED}, c AS (SELECT count(*) FILTER (logit >= 0 AND y = 1) AS tp, count(*) FILTER (logit >= 0 AND y = 0) AS fp, count(*) FILTER (logit < 0 AND y = 1) AS fn, count(*) AS n, count(*) FILTER (logit < 0 AND y = 0) AS tn FROM l),
+r AS (SELECT y, row_number() OVER (ORDER BY 1 / (1 + exp(-logit)) DESC, o_orderkey) AS i FROM l), t AS (SELECT *, sum(y) OVER (ORDER BY i) AS up FROM r)
+SELECT round((tp + tn) / n + 1e-7, 4) AS accuracy, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) + 1e-7, 4) AS f1,
+  (SELECT round(sum(CASE WHEN y = 0 THEN up END) / (sum(y) * sum(1 - y)) + 1e-7, 4) FROM t) AS auc, (SELECT round(sum(CASE WHEN y = 1 THEN up / i END) / sum(y) + 1e-7, 4) FROM t) AS average_precision FROM c""")
+def evaluate_fixed_weights(spark, d):
+    """The metrics of all orders' probabilities under given weights."""
+    model, _ = _fixed_model(spark, d, "orders", layers=1)
+    found = model.evaluate(_labelled_orders(spark, d).select("_nid", "label"))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found)).select(*(r4(F.col(k)).alias(k) for k in found))
+
+
 @query("""
 WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s, avg(year(o_orderdate)) AS ym, stddev_pop(year(o_orderdate)) AS ys FROM orders)
 SELECT o_orderkey, round((o_totalprice - m) / s + 1e-7, 4) AS price, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f, CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o,
@@ -401,21 +440,80 @@ def cell_parsing(spark, d):
 @query(f"SELECT o_orderkey + {_WIDE} AS id, CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status, epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP))::BIGINT AS seconds, o_custkey || ', \"' || o_orderkey || '\"' AS note FROM orders")
 def csv_round_trip(spark, d):
     """A table written as CSV and read again: types by its values, keys that need 61 bits, null tokens, quotes and commas."""
-    import uuid
-
-    from kinfold.sources.shared import shared_folder
     from kinfold.sources.tables import read_csv_database, write_csv
 
     k = F.col("o_orderkey")
     note = F.concat(F.col("o_custkey").cast("string"), F.lit(', "'), k.cast("string"), F.lit('"'))
     rows = read(spark, d, "orders").select((k + _WIDE).alias("id"), F.col("o_totalprice").alias("price"), F.when(k % 7 == 0, "NA").otherwise(F.col("o_orderstatus")).alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), note.alias("note"))
-    db, folder = Database(), f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    db, folder = Database(), _folder(spark, "csv")
     db.add_table(Table("orders.csv", rows, {}))
     write_csv(db, folder)
     t = read_csv_database(spark, folder).get_table("orders")
     return t.df.select("id", "price", "status", F.unix_timestamp("day").alias("seconds"), "note")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from kinfold.sources.shared import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey AS id, CAST(o_custkey AS DOUBLE) AS number, o_custkey || ' kg' AS number_raw, lpad(CAST(o_custkey % 7 AS VARCHAR), 3, '0') AS code FROM orders")
+def csv_given_types(spark, d):
+    """Types that are given win: codes of digits stay text, numbers with a unit behind them are parsed, and their cells are kept beside them."""
+    from kinfold.sources.tables import read_csv, write_csv
+
+    k, db, folder = F.col("o_custkey"), Database(), _folder(spark, "csv")
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(k.cast("string"), F.lit(" kg")).alias("number"), F.lpad((k % 7).cast("string"), 3, "0").alias("code"))
+    db.add_table(Table("orders", rows, {}))
+    write_csv(db, folder)
+    t = read_csv(spark, f"{folder}/orders", "orders", {"number": LogicalType.NUMERICAL, "code": LogicalType.CATEGORICAL}, raw_columns=["number"])
+    return t.df.select("id", F.col("number").cast("double").alias("number"), "number_raw", "code")
+
+
+@query("SELECT o_orderkey AS game, CASE WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE CAST(o_custkey AS DOUBLE) END AS shots, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE CAST(o_orderkey % 100 AS DOUBLE) END AS fouls, 0.0::DOUBLE AS saves FROM orders")
+def side_file_defaults(spark, d):
+    """A side file with blanks around names and numbers, cells that are none, and without a column that is asked for."""
+    from kinfold.sources.tables import side_file
+
+    k, path = F.col("o_orderkey"), _folder(spark, "side")
+    shots = F.when(k % 4 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" ")))
+    fouls = F.when(k % 5 != 0, (k % 100).cast("string"))
+    read(spark, d, "orders").select(k.alias("game"), shots.alias(" shots"), fouls.alias("fouls ")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    assert side_file(spark, f"{path}-missing", {"game": "game"}) is None
+    out = side_file(spark, path, {"game": "game", "shots": "shots", "fouls": "fouls", "saves": "saves"})
+    return out.select(F.col("game").cast("long").alias("game"), "shots", "fouls", "saves")
+
+
+def _class_sql(table: str, column: str) -> str:
+    return f"CASE WHEN (SELECT count(DISTINCT {column}) / CAST(count({column}) AS DOUBLE) <= 0.05 FROM {table}) THEN 'CATEGORICAL' ELSE 'TEXT' END"
+
+
+_ROLES = [
+    ("users", 0, "userId", "'NUMERICAL'", "CASE WHEN (SELECT count(*) = count(DISTINCT c_custkey) FROM customer) THEN 'pk' ELSE 'feature' END"), ("users", 1, "balance", "'NUMERICAL'", "'feature'"),
+    ("users", 2, "segment", _class_sql("customer", "c_mktsegment"), "'feature'"),
+    ("sales", 0, "id", "'NUMERICAL'", "CASE WHEN (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) THEN 'pk' ELSE 'feature' END"),
+    ("sales", 1, "userId", "'NUMERICAL'", "CASE WHEN (SELECT count(c_custkey) / CAST(count(*) AS DOUBLE) >= 0.99 FROM orders LEFT JOIN customer ON c_custkey = o_custkey) THEN 'fk:users' ELSE 'feature' END"),
+    ("sales", 2, "created_at", "'TIMESTAMP'", "'time'"), ("sales", 3, "status", _class_sql("orders", "o_orderstatus"), "'feature'"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", {i} AS position, '{c}' AS \"column\", {kind} AS type, {role} AS role" for t, i, c, kind, role in _ROLES))
+def catalog_roles(spark, d):
+    """The session's views as a database: types, and keys, times and foreign keys that names and values tell."""
+    from kinfold.sources.tables import catalog
+
+    read(spark, d, "customer").select(F.col("c_custkey").alias("userId"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")).createOrReplaceTempView("users")
+    read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("userId"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status")).createOrReplaceTempView("sales")
+    try:
+        return keys.with_detected_fks(catalog(spark, ["users", "sales"])).describe(spark)
+    finally:
+        spark.catalog.dropTempView("users")
+        spark.catalog.dropTempView("sales")
+
+
 # --- encoders and labels ---------------------------------------------------------------------------------------------
 
 
@@ -497,17 +595,26 @@ def split_temporal(spark, d):
     return _temporal(spark, d).select("o_orderkey", "split")
 
 
+@query("WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS y, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS t FROM orders), o AS (SELECT *, row_number() OVER (ORDER BY t, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM r WHERE y IS NOT NULL AND t IS NOT NULL), s AS (SELECT *, CASE WHEN i < n * 70 // 100 THEN 'train' WHEN i < n * 85 // 100 THEN 'val' ELSE 'test' END AS split FROM o), t AS (SELECT avg(y) AS m, stddev_pop(y) AS d FROM s WHERE split = 'train') SELECT o_orderkey, round((y - m) / d + 1e-7, 4) AS label, split FROM s, t")
+def split_without_labels(spark, d):
+    """A task's rows: those without a label or a time are in no split, and the label's mean and deviation are those of the training rows."""
+    from kinfold.plans.task import TaskSpec, build_split
+
+    k = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select("o_orderkey", F.when(k % 9 != 0, F.col("o_totalprice")).alias("y"), F.when(k % 11 != 0, F.col("o_orderdate")).alias("t"))
+    table = Table("orders", rows, {"o_orderkey": LogicalType.NUMERICAL, "y": LogicalType.NUMERICAL, "t": LogicalType.TIMESTAMP}, "o_orderkey", "t")
+    out, _ = build_split(table, TaskSpec("orders", "y", "regression", LabelTransform("normalize"), "temporal"), "o_orderkey")
+    return out.select("o_orderkey", r4(F.col("label")).alias("label"), "split")
+
+
 @query(f"WITH {_TEMPORAL} SELECT o_orderkey AS node, CASE WHEN o_totalprice >= 150000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, split FROM s")
 def task_file(spark, d):
     """Labels and splits saved as a task's CSV, by keys that need 61 bits, and loaded again."""
-    import uuid
-
-    from kinfold.sources.shared import shared_folder
     from kinfold.sources.tables import load_task, save_task
 
     table = read(spark, d, "orders").select(F.col("o_orderkey").alias(graph.NODE), (F.col("o_orderkey") + _WIDE).alias("id"))
     samples = _temporal(spark, d).select(F.col("o_orderkey").alias(graph.NODE), LabelTransform("threshold", 150000.0).apply(F.col("o_totalprice")).alias("label"), "split")
-    path = f"{shared_folder(spark)}/task-{uuid.uuid4().hex}"
+    path = _folder(spark, "task")
     save_task(samples, table, "id", path)
     return load_task(spark, path, table, "id").withColumnRenamed(graph.NODE, "node")
 
@@ -824,6 +931,14 @@ def fixture_differences(spark, d):
     return out.select("game", *(r4(F.col(c)).alias(c) for c in ("diff_wins", "diff_goals_scored", "diff_season_points")))
 
 
+@query(f"WITH {_GAMES}, t AS (SELECT s_suppkey AS team, CASE WHEN s_suppkey % 3 <> 0 THEN 1000.0 * s_suppkey END AS capacity FROM supplier) SELECT game, round(CASE WHEN team IS NULL THEN 0.5 ELSE coalesce(capacity, 40000) / 90000 END + 1e-7, 4) AS venue FROM g LEFT JOIN t ON team = home")
+def venue_features(spark, d):
+    """The capacity of the home team's ground; a default where it isn't known, another for teams that aren't there."""
+    k = F.col("s_suppkey")
+    teams = read(spark, d, "supplier").select(k.alias("team"), F.when(k % 3 != 0, k * 1000.0).alias("venue_capacity"))
+    return recipes.venue_features(_games(spark, d), teams).select("game", r4(F.col("venue")).alias("venue"))
+
+
 @query("SELECT p_brand, p_size, round(avg(CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END) + 1e-7, 4) AS price FROM part GROUP BY 1, 2")
 def squad_means(spark, d):
     rows = read(spark, d, "part").withColumn("price", F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")))
