@@ -67,8 +67,11 @@ def _digest(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
-def _listed(with_data: bool, dictionary: bytes):
-    """Rows (id, n_bytes, media, list) for the chunk lists, or (digest, data) for the chunks, those first in the batch."""
+def _listed(dictionary: bytes):
+    """From (id, text, hash of the id), rows (digest, id, n_bytes, media, list, data): one for the list of each text, and one for each chunk, of which only digest and data are there.
+
+    A list's digest is that of its contents and the id's hash, so that the lists of equal texts are spread.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -81,18 +84,22 @@ def _listed(with_data: bool, dictionary: bytes):
                     data = payload(text)
                     parts = chunks(data)
                     digests = [_digest(x) for x in parts]
-                    if with_data:
-                        stored.update((d, x) for d, x in zip(digests, parts, strict=True) if d not in seen)
-                    else:
-                        sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
-                        lists.append(chunk_list(len(data), sizes[-1], digests))
-                if with_data:
-                    # Only to send less: what comes again later is deduplicated by the join's side.
-                    seen = seen | stored.keys() if len(seen) < 200_000 else set(stored)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(stored), pa.binary()), pa.array([pack.compress(x) for x in stored.values()], pa.binary())], names=["digest", "data"])
-                else:
-                    media = [hashlib.sha256(x).digest() for x in lists]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(lists, pa.binary())], names=["id", "n_bytes", "media", "list"])
+                    stored.update((d, x) for d, x in zip(digests, parts, strict=True) if d not in seen)
+                    sizes.append(len((text or "").encode("utf-8", "surrogatepass")))
+                    lists.append(chunk_list(len(data), sizes[-1], digests))
+                # Only to send less: what comes again later is deduplicated by its digest.
+                seen = seen | stored.keys() if len(seen) < 200_000 else set(stored)
+                media, n = [_digest(x) for x in lists], len(stored)
+                spread = [_digest(m + struct.pack("<q", h)) for m, h in zip(media, batch.column(2).to_pylist(), strict=True)]
+                columns = [
+                    pa.array(spread + list(stored), pa.binary()),
+                    pa.concat_arrays([batch.column(0), pa.nulls(n, batch.column(0).type)]),
+                    pa.array(sizes + [None] * n, pa.int64()),
+                    pa.array(media + [None] * n, pa.binary()),
+                    pa.array(lists + [None] * n, pa.binary()),
+                    pa.array([None] * len(lists) + [pack.compress(x) for x in stored.values()], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "id", "n_bytes", "media", "list", "data"])
 
     return apply
 
@@ -192,14 +199,21 @@ class Store(NamedTuple):
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Store:
-    """Write the payloads' chunks, their lists and the dictionary."""
+    """Write the payloads' chunks, their lists and the dictionary.
+
+    One pass over the texts gives lists and chunks, and one shuffle by digest leaves each chunk once, beside the lists; both kinds are parts of one table.
+    """
     trained = dictionary(docs, id_col, text_col)
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    lists = cut(source.mapInArrow(_listed(False, trained), f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary, list binary"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = source.mapInArrow(_listed(True, trained), "digest binary, data binary").repartition(parts, "digest")
-    chunks = cut(found.groupBy("digest").agg(F.first("data").alias("data")), (parts, "digest"))
+    schema = f"digest binary, id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary, list binary, data binary"
+    found = source.mapInArrow(_listed(trained), schema).repartition(parts, "digest").groupBy("digest", "id", "n_bytes", "media")
+    found = found.agg(F.first("list").alias("list"), F.first("data").alias("data"), F.count("*").alias("copies"))
+    kept = cut(found.withColumn("kind", F.when(F.col("media").isNull(), "chunk").otherwise("list")), (parts, "digest"), "kind")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    lists = kept.where("kind = 'list'").select("id", "n_bytes", "media", "list", copies.alias("copy")).drop("copy")
+    chunks = kept.where("kind = 'chunk'").select("digest", "data")
     return Store(chunks, lists, cut(spark.createDataFrame([(bytearray(trained),)], "data binary")))
 
 

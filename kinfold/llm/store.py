@@ -27,9 +27,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, folder)
 
 
-def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
+def cut(df: DataFrame, buckets: tuple[int, str] | None = None, kinds: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; in so many buckets by a column, a join on it leaves the table where it is.
 
+    The few values of the column `kinds` get folders of their own in a bucketed table, so that a filter on it reads its rows alone.
+
     The shuffle files of the writing query are dropped when it ends, where this Spark can do so: later
     stages read the written table, which survives the loss of executors.
     """
@@ -41,6 +43,7 @@ def cut(df: DataFrame, buckets: tuple[int, str] | None = None) -> DataFrame:
         out = df.write.option("compression", "zstd")
         if buckets:
             table = f"kinfold_{path.rpartition('/')[2]}"
+            out = out.partitionBy(kinds) if kinds else out
             out.format("parquet").bucketBy(*buckets).sortBy(buckets[1]).option("path", path).saveAsTable(table)
             if _scratch:
                 _scratch[-1][1].append(table)
