@@ -18,8 +18,8 @@ from .store import cut
 BANDS, ROWS = 25, 5
 #: Members of a band key that are compared with all others first, one or two; members, and bytes of their texts, that are compared in one task.
 HUBS, GROUP, GROUP_BYTES = 2, 2048, 1 << 26
-#: Sets of shingles that a worker keeps while it compares.
-CACHED = 256
+#: Bytes of the shingle sets that a worker keeps while it compares.
+CACHED = 1 << 27
 #: Bits in which fingerprints of similar texts differ at most. Of equally large sets of similarity 0.8, 8/9 of each is common: a bit differs with
 #: probability acos(8/9) / pi, so 9.7 bits do on average, with a spread of 2.9; 26 is beyond five and a half spreads.
 RADIUS = 26
@@ -56,6 +56,22 @@ def least_marks(percent: int) -> int:
     return max(0, int(p * n - SPREADS * (p * (1 - p) * n) ** 0.5))
 
 
+class _Sets:
+    """Shingle sets by a key, made when they are asked for; the oldest go once they take more than CACHED bytes together."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.bytes, self.kept = size, 0, {}
+
+    def of(self, key: int, text: str) -> np.ndarray:
+        found = self.kept.get(key)
+        if found is None:
+            found = self.kept[key] = shingles(text, self.size)
+            self.bytes += found.nbytes
+            while self.bytes > CACHED and len(self.kept) > 1:
+                self.bytes -= self.kept.pop(next(iter(self.kept))).nbytes
+        return found
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether the Jaccard similarity of two sets is at least percent / 100, in whole numbers."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
@@ -81,15 +97,7 @@ def _sketched(size: int):
 
 def _confirmed(size: int, percent: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: str) -> np.ndarray:
-            if node not in kept:
-                if len(kept) >= CACHED:
-                    kept.pop(next(iter(kept)))
-                kept[node] = shingles(text, size)
-            return kept[node]
-
+        of = _Sets(size).of
         for batch in batches:
             a, b, x, y = (batch.column(i) for i in range(4))
             found = [similar(of(a[i].as_py(), x[i].as_py()), of(b[i].as_py(), y[i].as_py()), percent) for i in range(batch.num_rows)]
@@ -127,21 +135,12 @@ def hopeful(near: _Near, labels: np.ndarray) -> np.ndarray:
 
 def linked(texts: list[str], near: _Near, labels: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
     """Pairs of positions that connect all similar texts with different labels, no more than texts; the shingles decide."""
-    sets: dict[int, np.ndarray] = {}
-
-    def of(i: int) -> np.ndarray:
-        if i not in sets:
-            if len(sets) >= CACHED:
-                sets.pop(next(iter(sets)))
-            sets[i] = shingles(texts[i], size)
-        return sets[i]
-
-    labels, out = labels.copy(), []
+    of, labels, out = _Sets(size).of, labels.copy(), []
     for q in range(len(texts)):
         if (labels == labels[q]).all():
             break
         for i in near.after(q, labels):
-            if labels[i] != labels[q] and similar(of(q), of(i), percent):
+            if labels[i] != labels[q] and similar(of(q, texts[q]), of(int(i), texts[i]), percent):
                 out.append((q, int(i)))
                 labels[labels == labels[i]] = labels[q]
     return out
