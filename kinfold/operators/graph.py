@@ -13,8 +13,8 @@ from kinfold.schema import Database, Table, aligned
 
 log = logging.getLogger(__name__)
 NODE = "_nid"
-#: Rows of a range that one task numbers, and ranges told apart in each of the two steps of the search.
-RANGE, LEVEL = 250_000, 128
+#: Rows of a range that one task numbers, and ranges at most.
+RANGE, RANGES = 250_000, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -62,24 +62,24 @@ def with_ranges(df: DataFrame, order: list[str], rows: int = RANGE, tie: list[st
     A range is a function of a row's values alone: its bounds come once from a sample that the values choose (16 rows a
     range, at most 2**18 rows of the order's columns) and are literals of the plan, so every branch that reads the result sees the same ranges,
     however Spark partitions it. Rows that tie are told apart by a hash of all columns, or of those named.
+    Rows of some ranges are to be found by joining these: a filter of _range is moved below the steps that make it, and doubles with each.
     """
     hashable = tie or [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
     keyed = df.withColumn("_order", F.struct(*order, F.xxhash64(*hashable).alias("_tie")))
     n = df.count()
-    ranges = max(1, min(LEVEL * LEVEL, -(-n // rows)))
+    ranges = max(1, min(RANGES, -(-n // rows)))
     if ranges == 1:
         return keyed.withColumn("_range", F.lit(0))
     every = max(1, n // (16 * ranges))
     sample = keyed.where(F.pmod(F.xxhash64("_order"), F.lit(every)) == 0).select("_order").sort("_order").collect()
     bounds = _spread([r["_order"] for r in sample], ranges)
-    # Two steps of the search: the last of every LEVEL bounds, then those of its section.
-    sections = [bounds[i : i + LEVEL] for i in range(0, len(bounds), LEVEL)]
     kind = keyed.schema["_order"].dataType.simpleString()
-    found = df.sparkSession.createDataFrame([([x[-1] for x in sections], sections)], f"_last array<{kind}>, _sections array<array<{kind}>>")
-    below = lambda bounds: F.size(F.filter(bounds, lambda x: x < F.col("_order")))
-    placed = keyed.crossJoin(F.broadcast(found)).withColumn("_section", below(F.col("_last")))
-    inner = F.coalesce(F.get("_sections", "_section"), F.array().cast(f"array<{kind}>"))
-    return placed.withColumn("_range", (F.col("_section") * LEVEL + below(inner)).cast("int")).drop("_last", "_sections", "_section")
+    # The bounds are one value of the plan, not a column that each row carries; a row's range, the number of bounds below it, takes as many steps as that number has bits.
+    known = df.sparkSession.createDataFrame([(bounds,)], f"_bounds array<{kind}>").scalar()
+    placed = keyed.withColumn("_range", F.lit(0))
+    for i in reversed(range(len(bounds).bit_length())):
+        placed = placed.withColumn("_range", F.col("_range") + F.when(F.get(known, F.col("_range") + (1 << i) - 1) < F.col("_order"), 1 << i).otherwise(0))
+    return placed
 
 
 def with_node_ids(df: DataFrame, order: list[str], rows: int = RANGE) -> DataFrame:

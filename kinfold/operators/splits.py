@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.operators.graph import NODE, with_node_ids
+from kinfold.operators.graph import NODE, RANGE, with_node_ids, with_ranges
+
+#: The node numbers of rows that are split.
+OWN = "_own"
 
 
 def _name(position: Column, n: Column, train: int, val: int) -> Column:
@@ -15,11 +18,29 @@ def _name(position: Column, n: Column, train: int, val: int) -> Column:
     return F.when(position < a, "train").when(position < b, "val").otherwise("test")
 
 
-def by_position(df: DataFrame, order: list[str], train: int = 70, val: int = 15) -> DataFrame:
-    """df with split, by the rows' places in the order: shares in per cent, rounded down."""
-    n = df.agg(F.count("*").alias("_n"))
-    placed = with_node_ids(df.drop(NODE), order).withColumnRenamed(NODE, "_pos")
-    return placed.crossJoin(F.broadcast(n)).withColumn("split", _name(F.col("_pos"), F.col("_n"), train, val)).drop("_pos", "_n")
+def by_position(df: DataFrame, order: list[str], train: int = 70, val: int = 15, rows: int = RANGE) -> DataFrame:
+    """df with split, by the rows' places in the order: shares in per cent, rounded down.
+
+    Rows are dealt into ranges of about `rows` by their values. A split ends within one range, so only the rows of these ranges, two at most, are numbered; those of all others
+    stay where they are. Node numbers are left out, but for those in a column OWN, which tells no ties apart.
+    """
+    kept = [c for c in df.columns if c != NODE]
+    tie = [c for c, t in df.dtypes if c not in (NODE, OWN) and "map<" not in t and t != "variant"]
+    ranged = with_ranges(df, order, rows, tie)
+    sizes = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count("*").alias("n")).collect())
+    n, starts, at = sum(size for _, size in sizes), {}, 0
+    cuts = n * train // 100, n * (train + val) // 100
+    for number, size in sizes:
+        starts[number], at = at, at + size
+    cut = {number: starts[number] for number, size in sizes if any(starts[number] < c < starts[number] + size for c in cuts)}
+    a, b = (min((number for number, start in starts.items() if start >= c), default=1 << 30) for c in cuts)
+    by_range = F.when(F.col("_range") < a, "train").when(F.col("_range") < b, "val").otherwise("test")
+    few = F.broadcast(df.sparkSession.createDataFrame(list(cut.items()), "_range int, _start long"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy("_order")) - 1
+    numbered = ranged.join(few, "_range").withColumn("split", _name(place, F.lit(n), train, val)).select(*kept, "split")
+    if len(sizes) == 1 and cut:
+        return numbered
+    return ranged.join(few, "_range", "left").where("_start is null").withColumn("split", by_range).select(*kept, "split").unionByName(numbered)
 
 
 def temporal(df: DataFrame, time_col: str, key: str, train: int = 70, val: int = 15) -> DataFrame:

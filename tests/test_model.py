@@ -264,6 +264,23 @@ def test_judging_by_query_is_the_same(spark, db, monkeypatch):
         assert a.get("test", a) == pytest.approx(b.get("test", b), abs=1e-9)
 
 
+def test_large_sets_are_scored_with_the_gradients(spark, db, monkeypatch):
+    """Beyond COLLECTED rows too, a pass gives scores and gradients, and the prediction reads what the training stored."""
+    passes, stored, score, make = [], [], M.Model.scores, M.Model.inputs
+    monkeypatch.setattr(M, "COLLECTED", 0)
+    monkeypatch.setattr(M.Model, "scores", lambda self, *a, **k: passes.append(1) or score(self, *a, **k))
+    monkeypatch.setattr(M.Model, "inputs", lambda self, *a, **k: stored.append(1) or make(self, *a, **k))
+    rows = spark.range(50).select(F.col("id"), (F.col("id") % 11).cast("double").alias("weeks"), (F.col("id") % 2 + 5).alias("book_id"), (F.col("id") % 3 % 2).cast("double").alias("late"))
+    two = Database()
+    two.add_table(Table("loans", rows, {"id": N, "weeks": N, "book_id": N, "late": N}, "id", None, (ForeignKey("book_id", "books"),)))
+    two.add_table(db.get_table("books"))
+    model = train(spark, SPEC, two, Config(channels=3, hidden=3, layers=1, epochs=2))
+    assert not passes and {"auc", "f1"} <= set(model.history[-1]["test"])
+    assert model.predict().count() == 50 and len(passes) == len(stored) == 1
+    model.release()
+    assert model.ready is None and model.predict().count() == 50 and len(stored) == 2
+
+
 def test_replies(spark, db):
     assert unfenced("x\n```json\n{}\n```\ny").strip() == "{}"
     good = {"target_table": "loans", "target_column": "late", "task_type": "regression", "label_transform": {"kind": "identity"}}

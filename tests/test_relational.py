@@ -342,6 +342,28 @@ def test_the_fixed_random_split(spark):
     assert splits.by_permutation(rows.where("id < 0"), ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 20, 1000, 3000])
+def test_splits_number_only_the_ranges_in_which_they_end(spark, n):
+    rows = spark.range(n).select(F.col("id").alias("_nid"), F.pmod(F.xxhash64("id"), F.lit(40)).alias("t"), (F.col("id") * 7 % 3001).alias("k")).persist()
+    known = [r["k"] for r in sorted(rows.collect(), key=lambda r: (r["t"], r["k"]))]
+    a, b = n * 70 // 100, n * 85 // 100
+    out = splits.by_position(rows.withColumn(splits.OWN, F.col("_nid")), ["t", "k"], rows=50)
+    assert out.columns == ["t", "k", splits.OWN, "split"]
+    found = {r["k"]: r["split"] for r in out.collect()}
+    assert found == {k: "train" if i < a else "val" if i < b else "test" for i, k in enumerate(known)}
+    # Equal rows are told apart by nothing, yet the shares hold.
+    same = splits.by_position(rows.select(F.lit(1).alias("x")), ["x"], rows=50).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in same} == {k: c for k, c in (("train", a), ("val", b - a), ("test", n - b)) if c}
+    rows.unpersist()
+
+
+def test_bounds_of_ranges_go_with_no_row(spark):
+    ranged = graph.with_ranges(spark.range(5000).select(F.xxhash64("id").alias("k")), ["k"], 50)
+    assert "NestedLoop" not in ranged._jdf.queryExecution().executedPlan().toString()
+    rows = [r["_range"] for r in ranged.orderBy("k").collect()]
+    assert rows == sorted(rows) and len(set(rows)) == max(rows) + 1 > 60
+
+
 @pytest.mark.parametrize("ties", [True, False])
 def test_equal_scores_fill_many_ranges(spark, ties):
     n = 40_000
