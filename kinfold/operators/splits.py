@@ -14,6 +14,8 @@ OWN = "_own"
 
 
 def _name(position: Column, n: Column, train: int, val: int) -> Column:
+    # In long: 85 times 26 million rows is beyond an int.
+    n = n.cast("long")
     a, b = F.floor(n * train / 100), F.floor(n * (train + val) / 100)
     return F.when(position < a, "train").when(position < b, "val").otherwise("test")
 
@@ -33,14 +35,15 @@ def by_position(df: DataFrame, order: list[str], train: int = 70, val: int = 15,
     for number, size in sizes:
         starts[number], at = at, at + size
     cut = {number: starts[number] for number, size in sizes if any(starts[number] < c < starts[number] + size for c in cuts)}
-    a, b = (min((number for number, start in starts.items() if start >= c), default=1 << 30) for c in cuts)
-    by_range = F.when(F.col("_range") < a, "train").when(F.col("_range") < b, "val").otherwise("test")
     few = F.broadcast(df.sparkSession.createDataFrame(list(cut.items()), "_range int, _start long"))
     place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy("_order")) - 1
     numbered = ranged.join(few, "_range").withColumn("split", _name(place, F.lit(n), train, val)).select(*kept, "split")
     if len(sizes) == 1 and cut:
         return numbered
-    return ranged.join(few, "_range", "left").where("_start is null").withColumn("split", by_range).select(*kept, "split").unionByName(numbered)
+    # A range in which no split ends has one split, from a table and not by a condition on _range: a filter of split then reads that table, where a condition would be moved below the steps that make _range.
+    names = [(number, ("train", "val", "test")[sum(start >= c for c in cuts)]) for number, start in starts.items() if number not in cut]
+    whole = F.broadcast(df.sparkSession.createDataFrame(names, "_range int, split string"))
+    return ranged.join(whole, "_range").select(*kept, "split").unionByName(numbered)
 
 
 def temporal(df: DataFrame, time_col: str, key: str, train: int = 70, val: int = 15) -> DataFrame:

@@ -357,6 +357,22 @@ def test_splits_number_only_the_ranges_in_which_they_end(spark, n):
     rows.unpersist()
 
 
+def test_a_filter_of_split_reaches_no_bounds(spark):
+    # With 60 ranges and more the six steps of a range's search stand once in each branch, a bound and its subquery in each; a filter moved below them would make 64 copies.
+    rows = spark.range(5000).select(F.xxhash64("id").alias("k"), F.col("id").cast("double").alias("y"))
+    out = splits.by_position(rows, ["k"], rows=50)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") for df in (out, out.where("split = 'train'"), out.where("split <> 'val'"))]
+    assert len(set(plans)) == 1 and 10 <= plans[0] <= 20
+    assert out.where("split = 'train'").agg(F.count("*")).first()[0] == 3500
+
+
+def test_splits_of_more_rows_than_a_percentage_as_int_holds(spark):
+    n = 54_000_000
+    rows = spark.createDataFrame([(0,), (37_799_999,), (37_800_000,), (45_899_999,), (45_900_000,), (n - 1,)], "i long")
+    got = [r["split"] for r in rows.withColumn("split", splits._name(F.col("i"), F.lit(n), 70, 15)).sort("i").collect()]
+    assert got == ["train", "train", "val", "val", "test", "test"]
+
+
 def test_bounds_of_ranges_go_with_no_row(spark):
     ranged = graph.with_ranges(spark.range(5000).select(F.xxhash64("id").alias("k")), ["k"], 50)
     assert "NestedLoop" not in ranged._jdf.queryExecution().executedPlan().toString()
