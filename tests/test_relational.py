@@ -1,5 +1,7 @@
 """Edge cases of the relational operators on hand-made rows."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +375,21 @@ def test_splits_of_more_rows_than_a_percentage_as_int_holds(spark):
     assert got == ["train", "train", "val", "val", "test", "test"]
 
 
+def test_a_task_reads_its_training_rows_without_copies_of_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(splits, "by_position", partial(splits.by_position, rows=50))
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 9 != 0, F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")).alias("y"), F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.col("id") * 7919 % 6007)).alias("t"))
+    table = Table("r", rows, {"id": N, "y": N, "t": LogicalType.TIMESTAMP}, "id", "t")
+    out, spec = build_split(table, TaskSpec("r", "y", "regression", LabelTransform("normalize"), "temporal"), "id")
+    known = sorted((i * 7919 % 6007, i) for i in range(6000) if i % 9 and i % 11)
+    n = len(known)
+    got = {r["id"]: r for r in out.collect()}
+    assert {i: r["split"] for i, r in got.items()} == {i: "train" if at < n * 70 // 100 else "val" if at < n * 85 // 100 else "test" for at, (_, i) in enumerate(known)}
+    y = [got[i]["y"] for _, i in known[: n * 70 // 100]]
+    mean = sum(y) / len(y)
+    assert spec.label_transform.mean == pytest.approx(mean) and spec.label_transform.std == pytest.approx((sum((v - mean) ** 2 for v in y) / len(y)) ** 0.5)
+    assert out.where("split = 'train'")._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") <= 20
+
+
 def test_bounds_of_ranges_go_with_no_row(spark):
     ranged = graph.with_ranges(spark.range(5000).select(F.xxhash64("id").alias("k")), ["k"], 50)
     assert "NestedLoop" not in ranged._jdf.queryExecution().executedPlan().toString()
